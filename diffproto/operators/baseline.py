@@ -1,0 +1,91 @@
+"""Supervised baseline on the same splits.
+
+The reference fine-tunes a transformer on the m-shot fit set.  Here the
+baseline is a multinomial logistic regression on the same difference
+vectors: ``pyspark.ml`` for one large fit (``logreg_scores``), and, for a
+whole grid of tiny fits, a numpy softmax regression per cell run with
+``groupBy(cell).applyInPandas`` (``fit_cells``) so all cells train in
+parallel on executors.  Each cell's fit set is bounded by classes * m rows.
+"""
+
+from __future__ import annotations
+
+from typing import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def logreg_scores(fit: DataFrame, dev: DataFrame, vec_col: str = "diff", label_col: str = "label",
+                  max_iter: int = 100, reg: float = 0.0) -> DataFrame:
+    """Train on ``fit`` and label ``dev``: adds ``truth`` and ``pred`` (int)."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    tr = fit.select(array_to_vector(F.col(vec_col)).alias("features"),
+                    F.col(label_col).cast("double").alias("y"))
+    model = LogisticRegression(featuresCol="features", labelCol="y", family="multinomial",
+                               maxIter=max_iter, regParam=reg).fit(tr)
+    te = dev.withColumn("features", array_to_vector(F.col(vec_col)))
+    out = model.transform(te)
+    return (out.withColumn("truth", F.col(label_col).cast("int"))
+            .withColumn("pred", F.col("prediction").cast("int"))
+            .drop("features", "rawPrediction", "probability", "prediction"))
+
+
+def softmax_fit(x, y, n_classes: int, run: int, epochs: int = 200, lr: float = 0.5, l2: float = 1e-3):
+    """Full-batch gradient descent of a softmax regression (numpy).
+
+    ``run`` seeds the initial weights, as the reference's run index does."""
+    import numpy as np
+
+    rng = np.random.default_rng(run)
+    n, d = x.shape
+    w = rng.normal(0.0, 0.01, size=(d, n_classes))
+    b = np.zeros(n_classes)
+    onehot = np.eye(n_classes)[y]
+    for _ in range(epochs):
+        z = x @ w + b
+        z -= z.max(axis=1, keepdims=True)
+        p = np.exp(z)
+        p /= p.sum(axis=1, keepdims=True)
+        g = (p - onehot) / n
+        w -= lr * (x.T @ g + l2 * w)
+        b -= lr * g.sum(axis=0)
+    return w, b
+
+
+def fit_cells(fit_rows: DataFrame, cell_cols: Sequence[str], n_classes: int = 3,
+              vec_col: str = "diff", label_col: str = "label") -> DataFrame:
+    """One softmax model per cell: ``(*cell_cols, weights ARRAY<ARRAY<DOUBLE>>, bias ARRAY<DOUBLE>)``.
+
+    ``weights`` holds one row of d values per class."""
+    cell_cols = list(cell_cols)
+    schema = T.StructType(
+        [fit_rows.schema[c] for c in cell_cols]
+        + [T.StructField("weights", T.ArrayType(T.ArrayType(T.DoubleType()))),
+           T.StructField("bias", T.ArrayType(T.DoubleType()))])
+
+    def train(pdf):
+        import numpy as np
+        import pandas as pd
+
+        x = np.stack(pdf[vec_col].to_numpy()).astype("float64")
+        y = pdf[label_col].to_numpy().astype(int)
+        run = int(pdf["run"].iloc[0]) if "run" in pdf.columns else 0
+        w, b = softmax_fit(x, y, n_classes, run)
+        row = {c: pdf[c].iloc[0] for c in cell_cols}
+        row["weights"] = [list(col) for col in w.T]
+        row["bias"] = list(b)
+        return pd.DataFrame([row])
+
+    return fit_rows.select(*cell_cols, vec_col, label_col).groupBy(*cell_cols).applyInPandas(train, schema)
+
+
+def linear_argmax(vec: F.Column, weights: F.Column, bias: F.Column) -> F.Column:
+    """Class with the largest ``w_k . x + b_k`` (first on ties)."""
+    scores = F.transform(F.arrays_zip(weights.alias("w"), bias.alias("b")),
+                         lambda wb: F.aggregate(F.zip_with(wb["w"], vec, lambda a, x: a * x),
+                                                F.lit(0.0), lambda acc, v: acc + v) + wb["b"])
+    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
