@@ -151,12 +151,17 @@ class LookupPoolEncoder:
 
     def __init__(self, vocab: DataFrame, vocab_size: int, mode: str = "mean", name: str | None = None):
         self.vocab = vocab
-        self.vocab_size = int(vocab_size)
+        # an int, or a Column such as a scalar subquery counting the vocabulary
+        self.vocab_size = vocab_size if isinstance(vocab_size, Column) else int(vocab_size)
         self.mode = mode
         self.name = name or f"lookup-{mode}"
 
     def encode_texts(self, texts: DataFrame, key_col: str, text_col: str) -> DataFrame:
-        toks = texts.select(key_col, F.posexplode(token_buckets(text_col, self.vocab_size)).alias("pos", "vocab_id"))
+        hashes = F.transform(tokens(text_col), lambda t: hex8_to_int(F.md5(t)))
+        # the modulo is taken after the explode: the vocabulary size may be a
+        # scalar subquery, which cannot sit inside a higher-order function
+        toks = (texts.select(key_col, F.posexplode(hashes).alias("pos", "_h"))
+                .select(key_col, "pos", F.pmod(F.col("_h"), F.lit(self.vocab_size)).alias("vocab_id")))
         if self.mode == "cls":
             first = toks.groupBy(key_col).agg(F.min_by("vocab_id", "pos").alias("vocab_id"))
             return first.join(self.vocab, "vocab_id").select(key_col, F.col("vec"))

@@ -25,6 +25,21 @@ def accuracy(scored: DataFrame, truth: str = "y_truth", pred: str = "y_pred",
                  F.count(F.lit(1)).alias("n")))
 
 
+def expand_grid(counts: DataFrame, labels: Sequence, group_cols: Sequence[str] = ()) -> DataFrame:
+    """Counts ``(group..., y_truth, y_pred, n)`` -> the full labels x labels
+    grid per group, zeros kept.  The counts (at most groups * L * L rows) are
+    folded into one map per group and the grid is generated from it, so the
+    scored data is computed once (no self-join of the counts)."""
+    group_cols = list(group_cols)
+    lab = F.array(*[F.lit(x) for x in labels])
+    folded = counts.groupBy(*group_cols).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.struct("y_truth", "y_pred"), F.col("n")))).alias("_m"))
+    return (folded.select(*group_cols, "_m", F.explode(lab).alias("y_truth"))
+            .select(*group_cols, "_m", "y_truth", F.explode(lab).alias("y_pred"))
+            .select(*group_cols, "y_truth", "y_pred",
+                    F.coalesce(F.element_at("_m", F.struct("y_truth", "y_pred")), F.lit(0)).cast("bigint").alias("n")))
+
+
 def confusion_long(scored: DataFrame, labels: Sequence = tuple(THREE_WAY_LETTERS), truth: str = "y_truth",
                    pred: str = "y_pred", group_cols: Sequence[str] = ()) -> DataFrame:
     """Counts for every (truth, pred) in ``labels`` x ``labels``, zeros kept.
@@ -35,15 +50,7 @@ def confusion_long(scored: DataFrame, labels: Sequence = tuple(THREE_WAY_LETTERS
     group_cols = list(group_cols)
     counts = scored.groupBy(*group_cols, F.col(truth).alias("y_truth"), F.col(pred).alias("y_pred")) \
         .agg(F.count(F.lit(1)).alias("n"))
-    lab = F.array(*[F.lit(x) for x in labels])
-    if group_cols:
-        groups = counts.select(*group_cols).distinct()
-    else:
-        groups = counts.agg(F.count(F.lit(1)).alias("_g")).select()
-    grid = (groups.select(*group_cols, F.explode(lab).alias("y_truth"))
-            .select(*group_cols, "y_truth", F.explode(lab).alias("y_pred")))
-    return (grid.join(counts, [*group_cols, "y_truth", "y_pred"], "left")
-            .select(*group_cols, "y_truth", "y_pred", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))
+    return expand_grid(counts, labels, group_cols)
 
 
 def confusion_matrix(conf_long: DataFrame, labels: Sequence = tuple(THREE_WAY_LETTERS),

@@ -72,8 +72,11 @@ def argmax_label(vec: Column, protos: Column, metric: str = "euclidean") -> Colu
     """Label of the most similar prototype; ties go to the lowest proto_id
     (first maximum), NaN counts as the largest value (as numpy's argmax)."""
     sims = F.transform(protos, lambda p: similarity(vec, p["centroid"], metric))
-    idx = F.array_position(sims, F.array_max(sims))
-    return F.element_at(protos, idx.cast("int"))["label"]
+    # bind the similarities once (a one-element array + transform acts as a
+    # let), so they are not computed again for array_max and array_position
+    pick = F.transform(F.array(sims), lambda s: F.element_at(
+        protos, F.array_position(s, F.array_max(s)).cast("int"))["label"])
+    return F.element_at(pick, 1)
 
 
 def predict(df: DataFrame, protos: DataFrame, vec_col: str = "diff", metric: str = "euclidean",

@@ -273,76 +273,81 @@ conf AS (
 
 
 def sweep_sql(seeds=REFERENCE_SEEDS, shots=REFERENCE_SHOTS, src_ctes: str = VEC_PAIRS, src: str = "fpairs",
-              absolute: bool = True, split: str = "dev") -> str:
-    """CTEs ending in ``conf (seed, m, y_truth, y_pred, n)`` for the grid."""
+              absolute: bool = True, split: str = "dev", p: str = "", head: bool = True) -> str:
+    """CTEs ending in ``{p}conf (seed, m, y_truth, y_pred, n)`` and
+    ``{p}csummary`` for the grid; ``p`` prefixes every CTE name so several
+    sweeps can share one statement (``head=False`` drops the shared views)."""
     seeds_l = ", ".join(str(s) for s in seeds)
     shots_l = ", ".join(str(m) for m in shots)
     diff_src = src
     extra = ""
     if not absolute:
-        extra = f""",
-spairs AS (SELECT * EXCLUDE (diff), {vsigned('evidence_vec', 'claim_vec')} AS diff FROM {src})"""
-        diff_src = "spairs"
+        extra = f"""
+{p}spairs AS (SELECT * EXCLUDE (diff), {vsigned('evidence_vec', 'claim_vec')} AS diff FROM {src}),"""
+        diff_src = f"{p}spairs"
     member = "r.rank <= g.m" if split == "fit" else "r.rank > g.m"
-    return with_(src_ctes + extra, f"""
-seeds AS (SELECT unnest([{seeds_l}])::INTEGER AS seed),
-shots AS (SELECT unnest([{shots_l}])::INTEGER AS m),
-ranked AS (
-  SELECT s.seed, p.claim_id, p.set_pos, p.label,
-         row_number() OVER (PARTITION BY s.seed, p.label ORDER BY {order_key('s.seed', 'p.claim_id', 'p.set_pos')},
-                            p.claim_id, p.set_pos) AS rank
-  FROM {diff_src} p CROSS JOIN seeds s
+    body = f"""{extra}
+{p}seeds AS (SELECT unnest([{seeds_l}])::INTEGER AS seed),
+{p}shots AS (SELECT unnest([{shots_l}])::INTEGER AS m),
+{p}ranked AS (
+  SELECT s.seed, x.claim_id, x.set_pos, x.label,
+         row_number() OVER (PARTITION BY s.seed, x.label ORDER BY {order_key('s.seed', 'x.claim_id', 'x.set_pos')},
+                            x.claim_id, x.set_pos) AS rank
+  FROM {diff_src} x CROSS JOIN {p}seeds s
 ),
-cfit AS (SELECT r.seed, g.m, r.claim_id, r.set_pos, r.label FROM ranked r JOIN shots g ON r.rank <= g.m),
-cproto_x AS (
+{p}cfit AS (SELECT r.seed, g.m, r.claim_id, r.set_pos, r.label FROM {p}ranked r JOIN {p}shots g ON r.rank <= g.m),
+{p}cproto_x AS (
   SELECT seed, m, label, pos, avg(x) AS x FROM (
-    SELECT f.seed, f.m, f.label, unnest(p.diff) AS x, generate_subscripts(p.diff, 1) AS pos
-    FROM cfit f JOIN {diff_src} p ON p.claim_id = f.claim_id AND p.set_pos = f.set_pos)
+    SELECT f.seed, f.m, f.label, unnest(v.diff) AS x, generate_subscripts(v.diff, 1) AS pos
+    FROM {p}cfit f JOIN {diff_src} v ON v.claim_id = f.claim_id AND v.set_pos = f.set_pos)
   GROUP BY ALL
 ),
-cprotos AS (SELECT seed, m, label, list(x ORDER BY pos) AS centroid FROM cproto_x GROUP BY ALL),
-cpacked AS (
+{p}cprotos AS (SELECT seed, m, label, list(x ORDER BY pos) AS centroid FROM {p}cproto_x GROUP BY ALL),
+{p}cpacked AS (
   SELECT seed, m, list(struct_pack(pid := label, label := label, centroid := centroid) ORDER BY label) AS ps
-  FROM cprotos GROUP BY seed, m
+  FROM {p}cprotos GROUP BY seed, m
 ),
-cmember AS (SELECT r.seed, g.m, r.claim_id, r.set_pos, r.label FROM ranked r JOIN shots g ON {member}),
-cscored AS (
-  SELECT d.seed, d.m, d.label AS truth, {argmax_label('p.diff', 'k.ps')} AS pred
-  FROM cmember d JOIN {diff_src} p ON p.claim_id = d.claim_id AND p.set_pos = d.set_pos
-  JOIN cpacked k ON k.seed = d.seed AND k.m = d.m
+{p}cmember AS (SELECT r.seed, g.m, r.claim_id, r.set_pos, r.label FROM {p}ranked r JOIN {p}shots g ON {member}),
+{p}cscored AS (
+  SELECT d.seed, d.m, d.label AS truth, {argmax_label('v.diff', 'k.ps')} AS pred
+  FROM {p}cmember d JOIN {diff_src} v ON v.claim_id = d.claim_id AND v.set_pos = d.set_pos
+  JOIN {p}cpacked k ON k.seed = d.seed AND k.m = d.m
 ),
-ccounts AS (
-  SELECT seed, m, {letter3('truth')} AS y_truth, {letter3('pred')} AS y_pred, count(*) AS n FROM cscored GROUP BY ALL
+{p}ccounts AS (
+  SELECT seed, m, {letter3('truth')} AS y_truth, {letter3('pred')} AS y_pred, count(*) AS n
+  FROM {p}cscored GROUP BY ALL
 ),
-letters AS (SELECT unnest(['s', 'n', 'c']) AS l),
-cells AS (SELECT DISTINCT seed, m FROM ccounts),
-conf AS (
-  SELECT c.seed, c.m, t.l AS y_truth, p.l AS y_pred, coalesce(x.n, 0)::BIGINT AS n
-  FROM cells c CROSS JOIN letters t CROSS JOIN letters p
-  LEFT JOIN ccounts x ON x.seed = c.seed AND x.m = c.m AND x.y_truth = t.l AND x.y_pred = p.l
+{p}letters AS (SELECT unnest(['s', 'n', 'c']) AS l),
+{p}cells AS (SELECT DISTINCT seed, m FROM {p}ccounts),
+{p}conf AS (
+  SELECT c.seed, c.m, t.l AS y_truth, q.l AS y_pred, coalesce(x.n, 0)::BIGINT AS n
+  FROM {p}cells c CROSS JOIN {p}letters t CROSS JOIN {p}letters q
+  LEFT JOIN {p}ccounts x ON x.seed = c.seed AND x.m = c.m AND x.y_truth = t.l AND x.y_pred = q.l
 ),
-ctp AS (SELECT seed, m, y_truth AS label, n AS tp FROM conf WHERE y_truth = y_pred),
-crs AS (SELECT seed, m, y_truth AS label, sum(n) AS support FROM conf GROUP BY ALL),
-ccs AS (SELECT seed, m, y_pred AS label, sum(n) AS predicted FROM conf GROUP BY ALL),
-cper AS (
+{p}ctp AS (SELECT seed, m, y_truth AS label, n AS tp FROM {p}conf WHERE y_truth = y_pred),
+{p}crs AS (SELECT seed, m, y_truth AS label, sum(n) AS support FROM {p}conf GROUP BY ALL),
+{p}ccs AS (SELECT seed, m, y_pred AS label, sum(n) AS predicted FROM {p}conf GROUP BY ALL),
+{p}cper AS (
   SELECT crs.seed, crs.m, crs.label, crs.support, ccs.predicted,
          coalesce(CASE WHEN 2 * ctp.tp + (ccs.predicted - ctp.tp) + (crs.support - ctp.tp) = 0 THEN NULL
                        ELSE 2.0 * ctp.tp / (2 * ctp.tp + (ccs.predicted - ctp.tp) + (crs.support - ctp.tp)) END, 0.0) AS f1
-  FROM crs JOIN ccs USING (seed, m, label) JOIN ctp USING (seed, m, label)
+  FROM {p}crs crs JOIN {p}ccs ccs USING (seed, m, label) JOIN {p}ctp ctp USING (seed, m, label)
 ),
-csummary AS (
+{p}csummary AS (
   SELECT a.seed, a.m, a.accuracy, f.f1_s, f.f1_n, f.f1_c, f.f1_macro FROM (
     SELECT seed, m, round(sum(CASE WHEN y_truth = y_pred THEN n ELSE 0 END)::DOUBLE / sum(n), 4) AS accuracy
-    FROM conf GROUP BY seed, m) a
+    FROM {p}conf GROUP BY seed, m) a
   JOIN (
     SELECT seed, m,
            round(max(CASE WHEN label = 's' THEN f1 END), 4) AS f1_s,
            round(max(CASE WHEN label = 'n' THEN f1 END), 4) AS f1_n,
            round(max(CASE WHEN label = 'c' THEN f1 END), 4) AS f1_c,
            round(avg(CASE WHEN support > 0 OR predicted > 0 THEN f1 END), 4) AS f1_macro
-    FROM cper GROUP BY seed, m) f USING (seed, m)
-)
-""")
+    FROM {p}cper GROUP BY seed, m) f USING (seed, m)
+)"""
+    if head:
+        return with_(src_ctes + "," + body)
+    return body
 
 
 def pair_metric(expr_fn) -> str:
@@ -471,11 +476,12 @@ bsplit AS (
 vocab AS (SELECT vec_id AS vocab_id, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings),
 vsize AS (SELECT count(*) AS n FROM embeddings),
 toks AS (
-  SELECT text_key, unnest(b) AS vocab_id, generate_subscripts(b, 1) AS pos FROM (
-    SELECT concat_ws(':', claim_id::VARCHAR, set_pos::VARCHAR) AS text_key,
-           list_transform(list_filter(regexp_split_to_array(lower(claim), {TOKEN_SPLIT}), lambda t: t <> ''),
-                          lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % (SELECT n FROM vsize)) AS b
-    FROM text_pairs)
+  SELECT text_key, hv % (SELECT n FROM vsize) AS vocab_id, pos FROM (
+    SELECT text_key, unnest(b) AS hv, generate_subscripts(b, 1) AS pos FROM (
+      SELECT concat_ws(':', claim_id::VARCHAR, set_pos::VARCHAR) AS text_key,
+             list_transform(list_filter(regexp_split_to_array(lower(claim), {TOKEN_SPLIT}), lambda t: t <> ''),
+                            lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT) AS b
+      FROM text_pairs))
 ),
 tcounts AS (SELECT text_key, vocab_id, count(*) AS n FROM toks GROUP BY ALL),
 tv AS (SELECT c.text_key, c.n, v.vec FROM tcounts c JOIN vocab v ON v.vocab_id = c.vocab_id),
@@ -521,5 +527,114 @@ SELECT v.claim_id, v.set_pos, v.label AS truth, {argmax_label('v.diff', 'k.ps')}
     return q
 
 
+def drift_sql(seed: int, steps, max_m: int) -> str:
+    """CTEs ending in ``d (label, start, "end", drift)``."""
+    vals = ", ".join(f"({a}, {b})" for a, b in steps)
+    return with_(VEC_PAIRS, f"""
+dranked AS (
+  SELECT label, rank, diff FROM (
+    SELECT *, row_number() OVER (PARTITION BY label ORDER BY {order_key(seed)}, claim_id, set_pos) AS rank FROM fpairs)
+  WHERE rank <= {max_m}
+),
+dx AS (SELECT label, rank, unnest(diff) AS x, generate_subscripts(diff, 1) AS pos FROM dranked),
+drun AS (
+  SELECT label, rank, pos,
+         avg(x) OVER (PARTITION BY label, pos ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c
+  FROM dx
+),
+dsizes AS (SELECT label, max(rank) AS size FROM dranked GROUP BY label),
+dsteps AS (SELECT * FROM (VALUES {vals}) s(start, "end")),
+dg AS (
+  SELECT z.label, s.start, s."end", least(s.start, z.size) AS ra, least(s."end", z.size) AS rb
+  FROM dsizes z CROSS JOIN dsteps s
+),
+d AS (
+  SELECT g.label, g.start, g."end", sqrt(sum((b.c - a.c) * (b.c - a.c))) AS drift
+  FROM dg g JOIN drun a ON a.label = g.label AND a.rank = g.ra
+  JOIN drun b ON b.label = g.label AND b.rank = g.rb AND b.pos = a.pos
+  GROUP BY g.label, g.start, g."end"
+)""")
+
+
+def run_log_sql() -> str:
+    """CTEs: ``recs`` (the small sweep's run records) and ``loglines``
+    (line_no, line) of the rendered log file."""
+    return sweep_sql(RG.SMALL_SEEDS, RG.SMALL_SHOTS) + f""", recs AS (
+  SELECT 'vec_pairs' AS model, seed, m, accuracy, f1_s, f1_n, f1_c, f1_macro AS f1,
+         row_number() OVER (ORDER BY seed, m) - 1 AS i
+  FROM csummary
+),
+loglines AS (
+  SELECT 0 AS line_no, 'fever_fever' AS line
+  UNION ALL SELECT 1 + i * 4, concat_ws(' ', m::VARCHAR, model, seed::VARCHAR) FROM recs
+  UNION ALL SELECT 2 + i * 4, '{RG.NOISE_LINE}' FROM recs
+  UNION ALL SELECT 3 + i * 4, 'Accuracy: ' || printf('%.4f', accuracy) FROM recs
+  UNION ALL SELECT 4 + i * 4, 'F1-macro: ' || printf('%.4f', f1) FROM recs
+)
+"""
+
+
+def before_after_sql() -> str:
+    parts = []
+    for phase, absolute in (("b", False), ("a", True)):
+        for split in ("fit", "dev"):
+            parts.append(sweep_sql(RG.SMALL_SEEDS, RG.SMALL_SHOTS, absolute=absolute, split=split,
+                                   p=f"{phase}{split}_", head=False))
+    return with_(VEC_PAIRS + "," + ",".join(parts)) + """
+, rec AS (
+  SELECT bf.seed, bf.m,
+         bf.accuracy AS before_acc_train, bf.f1_macro AS before_f1_train,
+         bd.accuracy AS before_acc_dev, bd.f1_macro AS before_f1_dev,
+         af.accuracy AS after_acc_train, af.f1_macro AS after_f1_train,
+         ad.accuracy AS after_acc_dev, ad.f1_macro AS after_f1_dev
+  FROM bfit_csummary bf JOIN bdev_csummary bd USING (seed, m)
+  JOIN afit_csummary af USING (seed, m) JOIN adev_csummary ad USING (seed, m)
+)
+"""
+
+
+def add_reporting(q: dict[str, str]) -> None:
+    steps = list(zip(RG.DRIFT_SHOTS, RG.DRIFT_SHOTS[1:]))
+    q["drift_consecutive"] = drift_sql(RG.SEED, steps, max(RG.DRIFT_SHOTS)) + f"""
+SELECT {RG.SEED} AS seed, start::VARCHAR || '_' || "end"::VARCHAR AS step, start::INTEGER AS start, "end"::INTEGER AS "end",
+       round(max(CASE WHEN label = 0 THEN drift END), 4) AS Support,
+       round(max(CASE WHEN label = 1 THEN drift END), 4) AS Neutral,
+       round(max(CASE WHEN label = 2 THEN drift END), 4) AS Contradict
+FROM d GROUP BY start, "end"
+"""
+    base = RG.DRIFT_BASE_SHOTS
+    bsteps = [(base[0], n) for n in base[1:]]
+    q["drift_from_base"] = drift_sql(RG.SEED, bsteps, max(base)) + f"""
+SELECT {RG.SEED} AS seed, ("end" - start)::INTEGER AS step,
+       round(max(CASE WHEN label = 0 THEN drift / ("end" - start) END), 4) AS s,
+       round(max(CASE WHEN label = 1 THEN drift / ("end" - start) END), 4) AS n,
+       round(max(CASE WHEN label = 2 THEN drift / ("end" - start) END), 4) AS c
+FROM d GROUP BY start, "end"
+"""
+    q["after_marker"] = run_log_sql() + "SELECT (line_no - 1)::INTEGER AS line_no, line FROM loglines WHERE line_no > 0"
+    q["drop_noise"] = run_log_sql() + f"""SELECT (row_number() OVER (ORDER BY line_no) - 1)::INTEGER AS line_no, line
+        FROM loglines WHERE line <> '{RG.NOISE_LINE}'"""
+    q["parse_runs"] = run_log_sql() + """SELECT m, model, seed, round(accuracy, 4) AS accuracy, round(f1, 4) AS f1 FROM recs"""
+    q["runs_mean_stdpop"] = run_log_sql() + """SELECT model, m,
+        round(avg(accuracy), 4) AS mean_acc, round(avg(f1_s), 4) AS mean_s, round(avg(f1_n), 4) AS mean_n,
+        round(avg(f1_c), 4) AS mean_c, round(stddev_pop(accuracy), 4) AS std_acc, round(stddev_pop(f1_s), 4) AS std_s,
+        round(stddev_pop(f1_n), 4) AS std_n, round(stddev_pop(f1_c), 4) AS std_c
+        FROM recs GROUP BY model, m"""
+    q["runs_mean_stdsamp"] = run_log_sql() + """SELECT model, m,
+        round(avg(accuracy), 4) AS accuracy_mean, round(avg(f1), 4) AS f1_mean,
+        round(stddev_samp(accuracy), 4) AS accuracy_sd, round(stddev_samp(f1), 4) AS f1_sd
+        FROM recs GROUP BY model, m"""
+    q["trend_series"] = run_log_sql() + """SELECT model, m, round(avg(accuracy), 4) AS accuracy, round(avg(f1), 4) AS f1
+        FROM recs GROUP BY model, m"""
+    q["average_runs"] = run_log_sql() + """SELECT model, seed, m, round(avg(accuracy), 4) AS accuracy,
+        round(avg(f1), 4) AS f1, count(*) AS n_runs FROM recs GROUP BY model, seed, m"""
+    metrics = RG.BEFORE_AFTER_METRICS
+    cols = ", ".join([f"round(avg({x}), 4) AS mean_{x}" for x in metrics]
+                     + [f"round(stddev_pop({x}), 4) AS std_{x}" for x in metrics])
+    q["before_after_summary"] = before_after_sql() + f"SELECT m, {cols} FROM rec GROUP BY m"
+
+
 def oracle_sql() -> dict[str, str]:
-    return build()
+    q = build()
+    add_reporting(q)
+    return q

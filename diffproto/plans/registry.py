@@ -268,11 +268,6 @@ def q_encode_hashing(spark, sf):
                     _r(V.dot("claim_vec", "evidence_vec")).alias("dot"))
 
 
-def vocab_table(spark, sf) -> tuple[DataFrame, int]:
-    emb = TB.table(spark, sf, "embeddings")
-    return emb.select(F.col("vec_id").alias("vocab_id"), V.as_double("embedding").alias("vec")), None
-
-
 def q_pool_tokens(spark, sf):
     """Claims of text_pairs: tokens hashed into the embeddings table used as a
     vocabulary (size = its row count), pooled by mean, max and first token."""
@@ -450,3 +445,143 @@ REGISTRY: dict[str, Query] = {
     "sweep": q_sweep,
     "sweep_summary": q_sweep_summary,
 }
+
+
+# ---------------------------------------------------------------- drift
+
+def q_drift_consecutive(spark, sf):
+    from ..operators.drift import drift_consecutive
+
+    return drift_consecutive(flagship_pairs(spark, sf), SEED, DRIFT_SHOTS)
+
+
+def q_drift_from_base(spark, sf):
+    from ..operators.drift import drift_from_base
+
+    return drift_from_base(flagship_pairs(spark, sf), SEED, DRIFT_BASE_SHOTS)
+
+
+def q_read_drift(spark, sf):
+    """The drift table written as TSV (3 decimals) and read back."""
+    from ..session import scratch_path
+    from ..sources.runlogs import read_drift
+    from .sinks import write_drift
+
+    path = scratch_path(spark, "drift-tsv")
+    write_drift(q_drift_consecutive(spark, sf).drop("seed"), path)
+    return read_drift(spark, path)
+
+
+# ---------------------------------------------------------------- run logs and summaries
+
+# A progress line the runner prints into the log between the
+# header and the metrics; it is noise for the parser.
+NOISE_LINE = "fever --> fever:"
+
+
+def run_records(spark, sf) -> DataFrame:
+    """One record per run of the small sweep: model, seed, m, accuracy,
+    per-class F1 (f1_s, f1_n, f1_c) and macro F1 (f1)."""
+    s = small_sweep_summary(spark, sf)
+    return s.select("model", "seed", "m", "accuracy", "f1_s", "f1_n", "f1_c", F.col("f1_macro").alias("f1"))
+
+
+def written_run_log(spark, sf) -> str:
+    from ..session import scratch_path
+    from ..sources import runlogs
+
+    path = scratch_path(spark, "run-log")
+    runlogs.write_log(runlogs.render_records(run_records(spark, sf), NOISE_LINE), path)
+    return path
+
+
+def q_after_marker(spark, sf):
+    from ..sources import runlogs
+
+    lines = runlogs.read_lines(spark, written_run_log(spark, sf))
+    return runlogs.after_marker(lines).select("line_no", "line")
+
+
+def q_drop_noise(spark, sf):
+    from ..sources import runlogs
+
+    lines = runlogs.read_lines(spark, written_run_log(spark, sf))
+    return runlogs.drop_noise(lines, [NOISE_LINE]).select("line_no", "line")
+
+
+def q_parse_runs(spark, sf):
+    from ..sources import runlogs
+
+    return runlogs.parse_runs(spark, written_run_log(spark, sf), noise=[NOISE_LINE])
+
+
+def q_runs_mean_stdpop(spark, sf):
+    from ..operators.summary import runs_mean_stdpop
+
+    r = run_records(spark, sf).select("model", "m", F.col("accuracy").alias("acc"), F.col("f1_s").alias("s"),
+                                      F.col("f1_n").alias("n"), F.col("f1_c").alias("c"))
+    return runs_mean_stdpop(r, ["acc", "s", "n", "c"])
+
+
+def q_runs_mean_stdsamp(spark, sf):
+    from ..operators.summary import runs_mean_stdsamp
+
+    return runs_mean_stdsamp(run_records(spark, sf), ["accuracy", "f1"])
+
+
+def q_trend_series(spark, sf):
+    from ..operators.summary import trend_series
+
+    return trend_series(run_records(spark, sf))
+
+
+def q_average_runs(spark, sf):
+    from ..operators.summary import average_runs
+
+    return average_runs(run_records(spark, sf))
+
+
+def before_after_records(spark, sf) -> DataFrame:
+    """Per (seed, m) of the small grid: accuracy and macro F1 on the fit rows
+    (train) and the dev rows, before = signed differences, after = absolute
+    differences."""
+    base = TB.vec_pairs(spark, sf)
+    out = None
+    for phase, absolute in (("before", False), ("after", True)):
+        pairs = experiment.with_diff(base, absolute)
+        for split, tag in (("fit", "train"), ("dev", "dev")):
+            conf = sweep.sweep_counts(pairs, SMALL_SEEDS, SMALL_SHOTS, split=split)
+            s = sweep.sweep_summary(conf, ["seed", "m"]).select(
+                "seed", "m", F.col("accuracy").alias(f"{phase}_acc_{tag}"), F.col("f1_macro").alias(f"{phase}_f1_{tag}"))
+            out = s if out is None else out.join(s, ["seed", "m"])
+    return out
+
+
+BEFORE_AFTER_METRICS = ["before_acc_train", "before_f1_train", "before_acc_dev", "before_f1_dev",
+                        "after_acc_train", "after_f1_train", "after_acc_dev", "after_f1_dev"]
+
+
+def q_before_after_summary(spark, sf):
+    from ..operators.summary import mean_std
+
+    return mean_std(before_after_records(spark, sf), ["m"], BEFORE_AFTER_METRICS, "pop")
+
+
+def q_sweep_baseline(spark, sf):
+    return sweep.sweep_baseline(flagship_pairs(spark, sf), SMALL_SEEDS, SMALL_SHOTS, runs=[1, 2, 3, 4, 5])
+
+
+REGISTRY.update({
+    "drift_consecutive": q_drift_consecutive,
+    "drift_from_base": q_drift_from_base,
+    "read_drift": q_read_drift,
+    "after_marker": q_after_marker,
+    "drop_noise": q_drop_noise,
+    "parse_runs": q_parse_runs,
+    "runs_mean_stdpop": q_runs_mean_stdpop,
+    "runs_mean_stdsamp": q_runs_mean_stdsamp,
+    "trend_series": q_trend_series,
+    "average_runs": q_average_runs,
+    "before_after_summary": q_before_after_summary,
+    "sweep_baseline": q_sweep_baseline,
+})

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import THREE_WAY_LETTERS, decode_three
 from ..functions.vectors import similarity
 from ..operators import evaluate
-from ..operators.prototypes import mean_vectors
+from ..operators.prototypes import argmax_label, mean_vectors
 from ..operators.sampling import KEY, top_per_class
 from .broadcast import bounded_broadcast, fits_broadcast
 
@@ -125,10 +125,8 @@ def score_cells(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[int], me
     vec = F.col(vec_col)
 
     def predict_cell(c):
-        sims = F.transform(c["protos"], lambda p: similarity(vec, p["centroid"], metric))
-        idx = F.array_position(sims, F.array_max(sims)).cast("int")
         return F.struct(c["seed"].alias("seed"), c["m"].alias("m"),
-                        F.element_at(c["protos"], idx)["label"].alias("pred"))
+                        argmax_label(vec, c["protos"], metric).alias("pred"))
 
     cells = F.transform(F.filter(F.col("_cells"), member), predict_cell)
     return (base.select(*_grid_key(encoder_col), *key, F.col(label_col).alias("truth"),
@@ -139,12 +137,21 @@ def score_cells(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[int], me
 
 def sweep_counts(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[int], metric: str = "euclidean",
                  encoder_col: str | None = None, letters: Sequence[str] = THREE_WAY_LETTERS,
-                 **kw) -> DataFrame:
+                 engine: str = "numpy", **kw) -> DataFrame:
     """Confusion counts per cell, long form, zero cells kept:
-    ``(encoder?, seed, m, y_truth, y_pred, n)``."""
-    scored = score_cells(pairs, seeds, shots, metric, encoder_col=encoder_col, **kw)
-    counts = scored.groupBy(*_grid_key(encoder_col), "seed", "m", "truth", "pred").agg(
-        F.count(F.lit(1)).alias("n"))
+    ``(encoder?, seed, m, y_truth, y_pred, n)``.
+
+    ``engine='numpy'`` scores Arrow batches with one matrix product per batch
+    (fast for any grid); ``engine='sql'`` keeps everything in JVM expressions
+    (higher-order functions, interpreted per element: fine for small grids)."""
+    if engine == "numpy":
+        counts = score_counts_numpy(pairs, seeds, shots, metric, encoder_col=encoder_col, **kw)
+    elif engine == "sql":
+        scored = score_cells(pairs, seeds, shots, metric, encoder_col=encoder_col, **kw)
+        counts = scored.groupBy(*_grid_key(encoder_col), "seed", "m", "truth", "pred").agg(
+            F.count(F.lit(1)).alias("n"))
+    else:
+        raise ValueError(f"unknown engine {engine!r}")
     named = counts.select(*_grid_key(encoder_col), "seed", "m",
                           decode_three("truth").alias("y_truth"), decode_three("pred").alias("y_pred"), "n")
     group = [*_grid_key(encoder_col), "seed", "m"]
@@ -153,12 +160,7 @@ def sweep_counts(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[int], m
 
 
 def _expand_counts(named: DataFrame, group: list[str], letters: Sequence[str]) -> DataFrame:
-    lab = F.array(*[F.lit(x) for x in letters])
-    grid = (named.select(*group).distinct()
-            .select(*group, F.explode(lab).alias("y_truth"))
-            .select(*group, "y_truth", F.explode(lab).alias("y_pred")))
-    return (grid.join(named, [*group, "y_truth", "y_pred"], "left")
-            .select(*group, "y_truth", "y_pred", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))
+    return evaluate.expand_grid(named, letters, group)
 
 
 def sweep_summary(conf: DataFrame, group: Sequence[str], letters: Sequence[str] = THREE_WAY_LETTERS) -> DataFrame:
@@ -173,3 +175,219 @@ def sweep_summary(conf: DataFrame, group: Sequence[str], letters: Sequence[str]
                                  for l in letters])
     macro = evaluate.f1_macro(conf, group)
     return acc.join(wide, group).join(macro, group, "left")
+
+
+# ------------------------------------------------------------------ vectorised scoring
+
+def _pack_arrays(rows, encoder_col, seeds, n_classes):
+    """Driver-side: the bounded prototype pack -> numpy arrays per encoder."""
+    import numpy as np
+
+    seed_idx = {s: i for i, s in enumerate(seeds)}
+    packs = {}
+    for r in rows:
+        enc = r[encoder_col] if encoder_col else None
+        cells = r["cells"]
+        d = len(cells[0]["protos"][0]["centroid"])
+        c_seed = np.array([seed_idx[c["seed"]] for c in cells], dtype=np.int64)
+        c_m = np.array([c["m"] for c in cells], dtype=np.int64)
+        protos = np.full((len(cells), n_classes, d), np.nan)
+        present = np.zeros((len(cells), n_classes), dtype=bool)
+        for i, c in enumerate(cells):
+            for p in c["protos"]:
+                protos[i, p["label"]] = np.asarray(p["centroid"], dtype=np.float64)
+                present[i, p["label"]] = True
+        packs[enc] = (c_seed, c_m, protos, present)
+    return packs
+
+
+def _score_batch(x, truth, ranks, pack, metric, split, capped, n_classes):
+    """Counts of (cell, truth, pred) for one Arrow batch (numpy)."""
+    import numpy as np
+
+    c_seed, c_m, protos, present = pack
+    n_cells = len(c_m)
+    flat = protos.reshape(n_cells * n_classes, -1)
+    if metric == "euclidean":
+        xx = np.einsum("ij,ij->i", x, x)[:, None]
+        pp = np.nansum(flat * flat, axis=1)[None, :]
+        d2 = np.maximum(xx - 2.0 * (x @ np.nan_to_num(flat).T) + pp, 0.0)
+        sims = 1.0 - np.sqrt(d2)
+    else:
+        nx = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        npp = np.sqrt(np.nansum(flat * flat, axis=1))[None, :]
+        den = nx * npp
+        with np.errstate(invalid="ignore", divide="ignore"):
+            sims = np.where(den == 0, np.nan, (x @ np.nan_to_num(flat).T) / np.where(den == 0, 1.0, den))
+    sims = sims.reshape(len(x), n_cells, n_classes)
+    sims = np.where(present[None, :, :], sims, -np.inf)
+    pred = np.argmax(sims, axis=2)                      # first maximum; NaN wins as in numpy
+    r = ranks[:, c_seed]                                  # rank of each row in each cell's seed
+    m = c_m[None, :]
+    if split == "fit":
+        member = r <= m
+    elif capped:
+        member = (r > m) & (r < BIG_RANK)
+    else:
+        member = r > m
+    rows, cells = np.nonzero(member)
+    code = (cells * n_classes + truth[rows]) * n_classes + pred[rows, cells]
+    counts = np.bincount(code, minlength=n_cells * n_classes * n_classes)
+    nz = np.nonzero(counts)[0]
+    cell = nz // (n_classes * n_classes)
+    return cell, (nz // n_classes) % n_classes, nz % n_classes, counts[nz]
+
+
+def score_counts_numpy(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[int], metric: str = "euclidean",
+                       key: Sequence[str] = KEY, label_col: str = "label", vec_col: str = "diff",
+                       encoder_col: str | None = None, caps: dict[int, int] | None = None,
+                       dim: int = 1024, n_encoders: int = 1, n_classes: int = 3,
+                       split: str = "dev") -> DataFrame:
+    """Per-cell ``(encoder?, seed, m, truth, pred, n)`` counts, scored with
+    numpy on Arrow batches (``mapInPandas``).
+
+    The prototype pack is bounded by encoders * cells * classes * d doubles;
+    its size is checked, then it is collected once and broadcast to the
+    executors.  Each batch is scored against every cell with one matrix
+    product and leaves the task as at most cells * L * L counts, summed by a
+    partial/final aggregate.
+    """
+    import numpy as np
+
+    from pyspark.sql import types as T
+
+    seeds = [int(s) for s in seeds]
+    shots = [int(m) for m in shots]
+    spark = pairs.sparkSession
+    pack_bytes = n_encoders * len(seeds) * len(shots) * n_classes * (8 * dim + 32)
+    if not fits_broadcast(spark, 1, pack_bytes):
+        raise ValueError("prototype pack exceeds the broadcast limit; sweep fewer cells per query")
+    n = max(caps.values()) if caps else max(shots)
+    ranked = ranked_keys(pairs, seeds, n, key, label_col, caps, encoder_col)
+    fit_ranked = ranked.filter(F.col("rank") <= max(shots)) if caps else ranked
+    protos = cell_prototypes(pairs, fit_ranked, shots, key, label_col, vec_col, encoder_col,
+                             len(seeds), n_classes)
+    packed_rows = pack_cells(protos, encoder_col, label_col).collect()
+    packs = _pack_arrays(packed_rows, encoder_col, seeds, n_classes)
+    bc = spark.sparkContext.broadcast(packs)
+
+    rank_rows = len(seeds) * (sum(caps.values()) if caps else n_classes * max(shots))
+    rank_map = (ranked.groupBy(*key).agg(
+        F.map_from_entries(F.collect_list(F.struct("seed", "rank"))).alias("_ranks")))
+    rank_map = bounded_broadcast(rank_map, rank_rows, 64 + 16 * len(seeds))
+    base = pairs.join(rank_map, list(key), "inner" if caps else "left")
+    ranks_arr = F.array(*[F.coalesce(F.element_at(F.col("_ranks"), F.lit(s)), F.lit(BIG_RANK)) for s in seeds])
+    base = base.select(*_grid_key(encoder_col), F.col(label_col).cast("int").alias("truth"),
+                       F.col(vec_col).alias("vec"), ranks_arr.alias("ranks"))
+
+    enc_field = [T.StructField(encoder_col, pairs.schema[encoder_col].dataType)] if encoder_col else []
+    schema = T.StructType(enc_field + [
+        T.StructField("seed", T.IntegerType()), T.StructField("m", T.IntegerType()),
+        T.StructField("truth", T.IntegerType()), T.StructField("pred", T.IntegerType()),
+        T.StructField("n", T.LongType())])
+    capped = bool(caps)
+
+    def run(batches):
+        import pandas as pd
+
+        all_packs = bc.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            groups = pdf.groupby(encoder_col, sort=False) if encoder_col else [(None, pdf)]
+            for enc, g in groups:
+                pack = all_packs.get(enc)
+                if pack is None:
+                    continue
+                x = np.stack(g["vec"].to_numpy()).astype(np.float64)
+                truth = g["truth"].to_numpy().astype(np.int64)
+                ranks = np.stack(g["ranks"].to_numpy()).astype(np.int64)
+                cell, t, p, cnt = _score_batch(x, truth, ranks, pack, metric, split, capped, n_classes)
+                out = pd.DataFrame({"seed": np.asarray(seeds, dtype=np.int32)[pack[0][cell]],
+                                    "m": pack[1][cell].astype(np.int32), "truth": t.astype(np.int32),
+                                    "pred": p.astype(np.int32), "n": cnt.astype(np.int64)})
+                if encoder_col:
+                    out.insert(0, encoder_col, enc)
+                yield out
+
+    scored = base.mapInPandas(run, schema)
+    return scored.groupBy(*_grid_key(encoder_col), "seed", "m", "truth", "pred").agg(F.sum("n").alias("n"))
+
+
+def sweep_baseline(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[int], runs: Sequence[int] = (1,),
+                   key: Sequence[str] = KEY, label_col: str = "label", vec_col: str = "diff",
+                   n_classes: int = 3, dim: int = 1024) -> DataFrame:
+    """Supervised baseline over the grid (seed x m x run): one softmax
+    regression per cell, trained in parallel with ``applyInPandas`` on the
+    cell's fit rows (at most classes * m rows each); the models (bounded by
+    cells * classes * (d + 1) doubles, checked) are broadcast and every pair
+    is scored against every cell in Arrow batches.  Returns the per-cell
+    summary ``(seed, m, run, accuracy, f1_s, f1_n, f1_c, f1_macro)``."""
+    import numpy as np
+
+    from pyspark.sql import types as T
+
+    from ..operators.baseline import fit_cells
+
+    seeds, shots, runs = [int(s) for s in seeds], [int(m) for m in shots], [int(r) for r in runs]
+    spark = pairs.sparkSession
+    n_cells = len(seeds) * len(shots) * len(runs)
+    if not fits_broadcast(spark, n_cells * n_classes, 8 * (dim + 1) + 32):
+        raise ValueError("baseline models exceed the broadcast limit; sweep fewer cells per query")
+    ranked = ranked_keys(pairs, seeds, max(shots), key, label_col)
+    ms = F.array(*[F.lit(m) for m in shots])
+    rs = F.array(*[F.lit(r) for r in runs])
+    fit_keys = (ranked.select("seed", *key, "rank", F.explode(ms).alias("m"))
+                .filter(F.col("rank") <= F.col("m"))
+                .select("seed", "m", *key, F.explode(rs).alias("run")))
+    fit_keys = bounded_broadcast(fit_keys, len(seeds) * len(runs) * n_classes * sum(shots), 48)
+    fit = pairs.select(*key, label_col, vec_col).join(fit_keys, list(key))
+    models = fit_cells(fit, ["seed", "m", "run"], n_classes, vec_col, label_col).collect()
+
+    seed_idx = {s: i for i, s in enumerate(seeds)}
+    c_seed = np.array([seed_idx[r["seed"]] for r in models], dtype=np.int64)
+    c_m = np.array([r["m"] for r in models], dtype=np.int64)
+    c_run = np.array([r["run"] for r in models], dtype=np.int64)
+    w = np.array([r["weights"] for r in models], dtype=np.float64)        # (C, L, d)
+    b = np.array([r["bias"] for r in models], dtype=np.float64)           # (C, L)
+    bc = spark.sparkContext.broadcast((c_seed, c_m, c_run, w, b))
+
+    rank_map = (ranked.groupBy(*key).agg(
+        F.map_from_entries(F.collect_list(F.struct("seed", "rank"))).alias("_ranks")))
+    rank_map = bounded_broadcast(rank_map, len(seeds) * n_classes * max(shots), 64 + 16 * len(seeds))
+    ranks_arr = F.array(*[F.coalesce(F.element_at(F.col("_ranks"), F.lit(s)), F.lit(BIG_RANK)) for s in seeds])
+    base = (pairs.join(rank_map, list(key), "left")
+            .select(F.col(label_col).cast("int").alias("truth"), F.col(vec_col).alias("vec"), ranks_arr.alias("ranks")))
+    schema = T.StructType([T.StructField("seed", T.IntegerType()), T.StructField("m", T.IntegerType()),
+                           T.StructField("run", T.IntegerType()), T.StructField("truth", T.IntegerType()),
+                           T.StructField("pred", T.IntegerType()), T.StructField("n", T.LongType())])
+
+    def run(batches):
+        import pandas as pd
+
+        cs, cm, cr, ww, bb = bc.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+            truth = pdf["truth"].to_numpy().astype(np.int64)
+            ranks = np.stack(pdf["ranks"].to_numpy()).astype(np.int64)
+            scores = np.einsum("bd,cld->bcl", x, ww) + bb[None, :, :]
+            pred = np.argmax(scores, axis=2)
+            member = ranks[:, cs] > cm[None, :]
+            rows, cells = np.nonzero(member)
+            code = (cells * n_classes + truth[rows]) * n_classes + pred[rows, cells]
+            counts = np.bincount(code, minlength=len(cm) * n_classes * n_classes)
+            nz = np.nonzero(counts)[0]
+            cell = nz // (n_classes * n_classes)
+            yield pd.DataFrame({"seed": np.asarray(seeds, dtype=np.int32)[cs[cell]], "m": cm[cell].astype(np.int32),
+                                "run": cr[cell].astype(np.int32),
+                                "truth": ((nz // n_classes) % n_classes).astype(np.int32),
+                                "pred": (nz % n_classes).astype(np.int32), "n": counts[nz].astype(np.int64)})
+
+    counts = (base.mapInPandas(run, schema)
+              .groupBy("seed", "m", "run", "truth", "pred").agg(F.sum("n").alias("n")))
+    named = counts.select("seed", "m", "run", decode_three("truth").alias("y_truth"),
+                          decode_three("pred").alias("y_pred"), "n")
+    conf = _expand_counts(named, ["seed", "m", "run"], THREE_WAY_LETTERS)
+    return sweep_summary(conf, ["seed", "m", "run"])

@@ -1,0 +1,12 @@
+"""Streaming entry point.
+
+The reference has no streaming operator (no watermarks, windows or state);
+nothing stream-specific is built.  Because scoring is a stateless
+per-row expression over packed prototypes, the same ``predict`` operator
+applies unchanged to a streaming DataFrame of new pairs; ``score_stream``
+wires that up with a ``foreachBatch`` sink.
+"""
+
+from .scoring import score_stream
+
+__all__ = ["score_stream"]

@@ -1,0 +1,24 @@
+"""Score a stream of claim/evidence vector pairs against stored prototypes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.labels import decode_three
+from ..functions.vectors import diff
+from ..operators.prototypes import argmax_label
+
+
+def score_stream(pairs_stream: DataFrame, packed_protos: list, metric: str = "euclidean",
+                 absolute: bool = True) -> DataFrame:
+    """``pairs_stream`` has ``claim_vec`` and ``evidence_vec``; ``packed_protos``
+    is the (small, bounded) list of ``(proto_id, label, centroid)`` rows of a
+    fitted model.  Returns the stream with ``pred`` and ``y_pred``: a
+    stateless projection, so any output mode and sink work."""
+    lit = F.array(*[F.struct(F.lit(int(p[0])).alias("proto_id"), F.lit(int(p[1])).alias("label"),
+                             F.array(*[F.lit(float(x)) for x in p[2]]).alias("centroid"))
+                    for p in sorted(packed_protos, key=lambda r: r[0])])
+    d = diff("evidence_vec", "claim_vec", absolute)
+    return (pairs_stream.withColumn("pred", argmax_label(d, lit, metric))
+            .withColumn("y_pred", decode_three("pred")))
