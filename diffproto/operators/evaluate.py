@@ -62,52 +62,83 @@ def confusion_matrix(conf_long: DataFrame, labels: Sequence = tuple(THREE_WAY_LE
             .orderBy(*group_cols, "_o").drop("_o"))
 
 
+def label_stats(conf_long: DataFrame, labels: Sequence = tuple(THREE_WAY_LETTERS),
+                group_cols: Sequence[str] = ()) -> DataFrame:
+    """Per (group, label): tp, support, predicted -- one conditional
+    aggregation over the confusion table (read once, no self-joins), then a
+    generator over the fixed label list."""
+    group_cols = list(group_cols)
+    t, p, n = F.col("y_truth"), F.col("y_pred"), F.col("n")
+    aggs = []
+    for i, l in enumerate(labels):
+        aggs += [F.sum(F.when((t == l) & (p == l), n).otherwise(0)).alias(f"_tp{i}"),
+                 F.sum(F.when(t == l, n).otherwise(0)).alias(f"_su{i}"),
+                 F.sum(F.when(p == l, n).otherwise(0)).alias(f"_pr{i}")]
+    wide = conf_long.groupBy(*group_cols).agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(l).alias("label"), F.lit(i).alias("label_pos"),
+                              F.col(f"_tp{i}").cast("bigint").alias("tp"),
+                              F.col(f"_su{i}").cast("bigint").alias("support"),
+                              F.col(f"_pr{i}").cast("bigint").alias("predicted"))
+                     for i, l in enumerate(labels)])
+    return wide.select(*group_cols, F.inline(rows))
+
+
 def f1_per_class(conf_long: DataFrame, group_cols: Sequence[str] = (),
-                 labels: Sequence | None = None) -> DataFrame:
+                 labels: Sequence = tuple(THREE_WAY_LETTERS)) -> DataFrame:
     """Precision, recall, F1 and support per label; empty denominators give 0.
 
-    Returns ``(group..., label, tp, fp, fn, support, predicted, precision,
-    recall, f1)``; ``labels`` fixes the label set and adds ``label_pos``.
+    Returns ``(group..., label, label_pos, tp, fp, fn, support, predicted,
+    precision, recall, f1)``.
     """
-    group_cols = list(group_cols)
-    c = conf_long
-    tp = c.filter(F.col("y_truth") == F.col("y_pred")).select(*group_cols, F.col("y_truth").alias("label"),
-                                                              F.col("n").alias("tp"))
-    rows = c.groupBy(*group_cols, F.col("y_truth").alias("label")).agg(F.sum("n").alias("support"))
-    cols = c.groupBy(*group_cols, F.col("y_pred").alias("label")).agg(F.sum("n").alias("predicted"))
-    j = (rows.join(cols, [*group_cols, "label"], "full").join(tp, [*group_cols, "label"], "left")
-         .na.fill(0, ["support", "predicted", "tp"]))
-    j = j.select(*group_cols, "label",
-                 F.col("tp").cast("bigint").alias("tp"),
-                 (F.col("predicted") - F.col("tp")).cast("bigint").alias("fp"),
-                 (F.col("support") - F.col("tp")).cast("bigint").alias("fn"),
-                 F.col("support").cast("bigint").alias("support"),
-                 F.col("predicted").cast("bigint").alias("predicted"))
-    j = j.select("*",
-                 F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("predicted")), F.lit(0.0)).alias("precision"),
-                 F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support")), F.lit(0.0)).alias("recall"),
-                 F.coalesce(F.try_divide(F.lit(2.0) * F.col("tp"), F.lit(2) * F.col("tp") + F.col("fp") + F.col("fn")),
-                            F.lit(0.0)).alias("f1"))
-    if labels is not None:
-        order = F.create_map(*[x for i, l in enumerate(labels) for x in (F.lit(l), F.lit(i))])
-        j = j.withColumn("label_pos", F.element_at(order, F.col("label")))
-    return j
-
-
-def f1_macro(conf_long: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
+    st = label_stats(conf_long, labels, group_cols)
+    tp, su, pr = F.col("tp"), F.col("support"), F.col("predicted")
+    return st.select("*", (pr - tp).alias("fp"), (su - tp).alias("fn"),
+                     F.coalesce(F.try_divide(tp.cast("double"), pr), F.lit(0.0)).alias("precision"),
+                     F.coalesce(F.try_divide(tp.cast("double"), su), F.lit(0.0)).alias("recall"),
+                     F.coalesce(F.try_divide(F.lit(2.0) * tp, su + pr), F.lit(0.0)).alias("f1"))
+
+
+def f1_macro(conf_long: DataFrame, group_cols: Sequence[str] = (),
+             labels: Sequence = tuple(THREE_WAY_LETTERS)) -> DataFrame:
     """Unweighted mean F1 over labels seen in truth or prediction."""
-    per = f1_per_class(conf_long, group_cols)
+    per = f1_per_class(conf_long, group_cols, labels)
     seen = per.filter((F.col("support") > 0) | (F.col("predicted") > 0))
     return seen.groupBy(*group_cols).agg(F.round(F.avg("f1"), ROUND).alias("f1_macro"))
 
 
-def f1_observed(conf_long: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
+def f1_observed(conf_long: DataFrame, group_cols: Sequence[str] = (),
+                labels: Sequence = tuple(THREE_WAY_LETTERS)) -> DataFrame:
     """Per-class F1 over the labels that occur, sorted by label (c, n, s)."""
-    per = f1_per_class(conf_long, group_cols)
+    per = f1_per_class(conf_long, group_cols, labels)
     return (per.filter((F.col("support") > 0) | (F.col("predicted") > 0))
             .select(*group_cols, "label", F.round("f1", ROUND).alias("f1")))
 
 
+def cell_metrics(conf_long: DataFrame, group_cols: Sequence[str],
+                 labels: Sequence = tuple(THREE_WAY_LETTERS)) -> DataFrame:
+    """Per group, one aggregation: accuracy, ``f1_<label>`` for every label and
+    macro F1 over the labels seen in truth or prediction."""
+    group_cols = list(group_cols)
+    t, p, n = F.col("y_truth"), F.col("y_pred"), F.col("n")
+    aggs = [F.sum(F.when(t == p, n).otherwise(0)).alias("_ok"), F.sum(n).alias("_all")]
+    for i, l in enumerate(labels):
+        aggs += [F.sum(F.when((t == l) & (p == l), n).otherwise(0)).alias(f"_tp{i}"),
+                 F.sum(F.when(t == l, n).otherwise(0)).alias(f"_su{i}"),
+                 F.sum(F.when(p == l, n).otherwise(0)).alias(f"_pr{i}")]
+    wide = conf_long.groupBy(*group_cols).agg(*aggs)
+    f1s = [F.coalesce(F.try_divide(F.lit(2.0) * F.col(f"_tp{i}"), F.col(f"_su{i}") + F.col(f"_pr{i}")),
+                      F.lit(0.0)) for i in range(len(labels))]
+    seen = [(F.col(f"_su{i}") + F.col(f"_pr{i}")) > 0 for i in range(len(labels))]
+    n_seen = sum((F.when(c, 1).otherwise(0) for c in seen[1:]), F.when(seen[0], 1).otherwise(0))
+    sum_seen = sum((F.when(c, f).otherwise(0.0) for c, f in zip(seen[1:], f1s[1:])),
+                   F.when(seen[0], f1s[0]).otherwise(0.0))
+    return wide.select(
+        *group_cols,
+        F.round(F.try_divide(F.col("_ok").cast("double"), F.col("_all")), ROUND).alias("accuracy"),
+        *[F.round(f, ROUND).alias(f"f1_{l}") for f, l in zip(f1s, labels)],
+        F.round(F.try_divide(sum_seen, n_seen), ROUND).alias("f1_macro"))
+
+
 def split_counts(df: DataFrame, split_col: str = "split", label_col: str = "label",
                  group_cols: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*group_cols, split_col, label_col).agg(F.count(F.lit(1)).alias("n"))

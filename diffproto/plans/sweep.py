@@ -164,17 +164,9 @@ def _expand_counts(named: DataFrame, group: list[str], letters: Sequence[str]) -
 
 
 def sweep_summary(conf: DataFrame, group: Sequence[str], letters: Sequence[str] = THREE_WAY_LETTERS) -> DataFrame:
-    """Per cell: accuracy, F1 of each label (columns ``f1_<letter>``) and macro F1."""
-    group = list(group)
-    acc = conf.groupBy(*group).agg(
-        F.round(F.try_divide(F.sum(F.when(F.col("y_truth") == F.col("y_pred"), F.col("n")).otherwise(0)).cast("double"),
-                             F.sum("n")), evaluate.ROUND).alias("accuracy"))
-    per = evaluate.f1_per_class(conf, group)
-    wide = per.groupBy(*group).pivot("label", list(letters)).agg(F.first("f1"))
-    wide = wide.select(*group, *[F.round(F.coalesce(F.col(l), F.lit(0.0)), evaluate.ROUND).alias(f"f1_{l}")
-                                 for l in letters])
-    macro = evaluate.f1_macro(conf, group)
-    return acc.join(wide, group).join(macro, group, "left")
+    """Per cell: accuracy, F1 of each label (columns ``f1_<letter>``) and macro
+    F1 -- one aggregation over the confusion counts."""
+    return evaluate.cell_metrics(conf, group, letters)
 
 
 # ------------------------------------------------------------------ vectorised scoring
