@@ -29,7 +29,8 @@ def running_prototypes(pairs: DataFrame, seeds, max_m: int, vec_col: str = "diff
     """``(seed, label, rank, pos, c)``: prototype value at position ``pos``
     after ``rank`` shots."""
     ranked = top_per_class(pairs.select(*key, label_col, vec_col), seeds, max_m, (label_col,), key)
-    x = ranked.select("seed", label_col, "rank", F.posexplode(vec_col).alias("pos", "x"))
+    x = (ranked.select("seed", label_col, "rank", F.posexplode_outer(vec_col).alias("pos", "x"))
+         .filter(F.col("pos").isNotNull()))
     w = (Window.partitionBy("seed", label_col, "pos").orderBy("rank")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return x.withColumn("c", F.avg("x").over(w)).drop("x")

@@ -151,7 +151,8 @@ def pool_tokens(token_vecs: DataFrame, group_cols: Sequence[str], vec_col: str =
     if mode not in POOL_MODES:
         raise ValueError(f"unknown pooling mode {mode!r} (expected one of {POOL_MODES})")
     w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
-    exploded = token_vecs.select(*group_cols, w.alias("_w"), F.posexplode(vec_col).alias("_p", "_x"))
+    exploded = (token_vecs.select(*group_cols, w.alias("_w"), F.posexplode_outer(vec_col).alias("_p", "_x"))
+                .filter(F.col("_p").isNotNull()))
     if mode == "mean":
         agg = (F.sum(F.col("_x") * F.col("_w")) / F.sum("_w")).alias("_v")
     else:
@@ -181,7 +182,8 @@ class LookupPoolEncoder:
         hashes = F.transform(tokens(text_col), lambda t: hex8_to_int(F.md5(t)))
         # the modulo is taken after the explode: the vocabulary size may be a
         # scalar subquery, which cannot sit inside a higher-order function
-        toks = (texts.select(key_col, F.posexplode(hashes).alias("pos", "_h"))
+        toks = (texts.select(key_col, F.posexplode_outer(hashes).alias("pos", "_h"))
+                .filter(F.col("pos").isNotNull())
                 .select(key_col, "pos", F.pmod(F.col("_h"), F.lit(self.vocab_size)).alias("vocab_id")))
         if self.mode == "cls":
             first = toks.groupBy(key_col).agg(F.min_by("vocab_id", "pos").alias("vocab_id"))

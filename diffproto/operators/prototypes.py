@@ -38,7 +38,11 @@ def mean_vectors(df: DataFrame, group_cols: Sequence[str], vec_col: str,
                 .select(*group_cols, "n", vector_to_array("_m").alias(out)))
     if method != "explode":
         raise ValueError(f"unknown mean method {method!r}")
-    per_pos = (df.select(*group_cols, F.posexplode(vec_col).alias("pos", "x"))
+    # posexplode_outer + a filter on pos: a plain posexplode makes Catalyst
+    # infer ``size(vec) > 0`` and push it below joins, where it would compute
+    # the whole vector expression (e.g. an encoder) for rows the join drops
+    per_pos = (df.select(*group_cols, F.posexplode_outer(vec_col).alias("pos", "x"))
+               .filter(F.col("pos").isNotNull())
                .groupBy(*group_cols, "pos")
                .agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("n")))
     return (per_pos.groupBy(*group_cols)

@@ -10,7 +10,7 @@ final counts shuffle again.
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from ..functions.labels import decode_binary, decode_three
 from ..functions.vectors import diff
 from ..operators import sampling
 from ..operators.prototypes import predict, prototypes
+from .broadcast import bounded_broadcast
 
 KEY = sampling.KEY
 
@@ -28,28 +29,57 @@ def with_diff(pairs: DataFrame, absolute: bool = True, claim_vec: str = "claim_v
     return pairs.withColumn("diff", diff(evidence_vec, claim_vec, absolute))
 
 
-def fit_and_dev(pairs: DataFrame, seed: int, m: int, caps: dict[int, int] | None = None,
-                key: Sequence[str] = KEY, with_index: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Fit sample (m per class) and dev rows (the rest, or up to the caps)."""
+def split_rows(pairs: DataFrame, seed: int, m: int, caps: dict[int, int] | None = None,
+               key: Sequence[str] = KEY, with_index: bool = False,
+               n_classes: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Fit rows and dev rows of ``pairs`` (whole rows, not yet encoded).
+
+    Ranking runs on the keys only (a window over (key, label) rows, pruned
+    per task by ``WindowGroupLimit``); the rows are then picked by joins
+    against those keys, so any expensive preparation (encoding) that follows
+    runs once per row:
+    * fit rows: broadcast join with the fit keys (at most classes * m);
+    * capped dev rows: broadcast join with the capped pool keys (at most
+      sum(caps));
+    * uncapped dev rows: broadcast anti join with the fit keys -- one pass;
+    * uncapped dev rows with ``dataset_index``: exact bucketed rank on the
+      keys, then a shuffle join back to the rows.
+    """
+    keys = pairs.select(*key, "label")
+    body = pairs.drop("label")
+    fit_k = sampling.fit_sample(keys, seed, m, key=key)
+    fit = pairs.join(bounded_broadcast(fit_k.drop("label"), n_classes * m, 64), list(key))
     if caps:
-        if with_index:
-            pool = sampling.capped_with_index(pairs, seed, m, caps, key=key)
-        else:
-            pool = sampling.split_capped(pairs, seed, m, caps, key=key)
-        return pool.filter(F.col("split") == "fit"), pool.filter(F.col("split") == "dev")
-    fit = sampling.fit_sample(pairs, seed, m, key=key)
-    if with_index:
-        dev = sampling.dev_with_index(pairs, seed, m, key=key)
+        pool = (sampling.capped_with_index(keys, seed, m, caps, key=key) if with_index
+                else sampling.split_capped(keys, seed, m, caps, key=key))
+        dev_k = pool.filter(F.col("split") == "dev").drop("split")
+        dev = body.join(bounded_broadcast(dev_k, sum(caps.values()), 64), list(key))
+    elif with_index:
+        dev_k = sampling.dev_with_index(keys, seed, m, key=key)
+        dev = body.join(dev_k, list(key))
     else:
         dev = sampling.dev_complement(pairs, seed, m, key=key)
     return fit, dev
 
 
-def score(pairs_with_diff: DataFrame, seed: int, m: int, metric: str = "euclidean",
+def fit_and_dev(pairs: DataFrame, seed: int, m: int, caps: dict[int, int] | None = None,
+                key: Sequence[str] = KEY, with_index: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Fit sample (m per class) and dev rows (the rest, or up to the caps)."""
+    return split_rows(pairs, seed, m, caps, key, with_index)
+
+
+def score(pairs: DataFrame, seed: int, m: int, metric: str = "euclidean",
           caps: dict[int, int] | None = None, key: Sequence[str] = KEY, with_index: bool = False,
-          binary: bool = False) -> DataFrame:
-    """Dev rows with integer ``truth`` / ``pred`` and letters ``y_truth`` / ``y_pred``."""
-    fit, dev = fit_and_dev(pairs_with_diff, seed, m, caps, key, with_index)
+          binary: bool = False, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Dev rows with integer ``truth`` / ``pred`` and letters ``y_truth`` / ``y_pred``.
+
+    ``prepare`` turns rows into rows with a ``diff`` column (e.g. encode the
+    texts, then take the difference); it is applied after the split, to the
+    fit rows and to the dev rows separately, so each row is prepared once.
+    """
+    fit, dev = split_rows(pairs, seed, m, caps, key, with_index)
+    if prepare is not None:
+        fit, dev = prepare(fit), prepare(dev)
     protos = prototypes(fit, "diff", "label")
     scored = predict(dev, protos, "diff", metric, out="pred")
     decode = decode_binary if binary else decode_three

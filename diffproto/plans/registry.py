@@ -64,8 +64,8 @@ def nested_scored(spark, sf) -> DataFrame:
     """Entry A on texts: nested claims -> pairs -> hashing encoder -> split
     (capped pool, dev with dataset_index) -> prototypes -> labels."""
     enc = HashingEncoder(HASH_D)
-    pairs = experiment.with_diff(enc.encode_pairs(nested_pairs(spark, sf)))
-    return experiment.score(pairs, SEED, M, caps=THREE_WAY_CAPS, with_index=True)
+    return experiment.score(nested_pairs(spark, sf), SEED, M, caps=THREE_WAY_CAPS, with_index=True,
+                            prepare=lambda rows: experiment.with_diff(enc.encode_pairs(rows)))
 
 
 def corpus_view(spark, sf) -> DataFrame:

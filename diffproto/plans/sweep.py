@@ -31,6 +31,7 @@ from ..functions.vectors import similarity
 from ..operators import evaluate
 from ..operators.prototypes import argmax_label, mean_vectors
 from ..operators.sampling import KEY, top_per_class
+from ..session import checkpoint_dir
 from .broadcast import bounded_broadcast, fits_broadcast
 
 BIG_RANK = 2 ** 31 - 1
@@ -255,7 +256,11 @@ def score_counts_numpy(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[i
     if not fits_broadcast(spark, 1, pack_bytes):
         raise ValueError("prototype pack exceeds the broadcast limit; sweep fewer cells per query")
     n = max(caps.values()) if caps else max(shots)
-    ranked = ranked_keys(pairs, seeds, n, key, label_col, caps, encoder_col)
+    # the ranked keys (bounded: seeds * sum(caps) or seeds * classes * max(m))
+    # feed both the prototypes and the scoring pass: checkpoint them once to
+    # the shared folder instead of ranking the whole pair table twice
+    checkpoint_dir(spark)
+    ranked = ranked_keys(pairs, seeds, n, key, label_col, caps, encoder_col).checkpoint(eager=True)
     fit_ranked = ranked.filter(F.col("rank") <= max(shots)) if caps else ranked
     protos = cell_prototypes(pairs, fit_ranked, shots, key, label_col, vec_col, encoder_col,
                              len(seeds), n_classes)
