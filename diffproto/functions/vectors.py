@@ -20,8 +20,19 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _same_size(a: Column, b: Column, value: Column) -> Column:
-    return F.when(F.size(a) == F.size(b), value).otherwise(
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and hand it to ``fn`` (a one-element array and
+    ``transform`` act as a let binding).  Catalyst may inline a column's
+    expression into filters or lambdas; inside a let it still runs once."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _let2(a, b, fn) -> Column:
+    return let(_col(a), lambda x: let(_col(b), lambda y: fn(x, y)))
+
+
+def _checked(x: Column, y: Column, value: Column) -> Column:
+    return F.when(F.size(x) == F.size(y), value).otherwise(
         F.raise_error(F.lit("vectors of different length")))
 
 
@@ -35,17 +46,47 @@ def as_double(v) -> Column:
 
 def diff(evidence, claim, absolute: bool = True) -> Column:
     """Element-wise ``evidence - claim``, absolute by default."""
-    e, c = _col(evidence), _col(claim)
     if absolute:
-        z = F.zip_with(e, c, lambda x, y: F.abs(x - y))
-    else:
-        z = F.zip_with(e, c, lambda x, y: x - y)
-    return _same_size(e, c, z)
+        return _let2(evidence, claim, lambda e, c: _checked(e, c, F.zip_with(e, c, lambda x, y: F.abs(x - y))))
+    return _let2(evidence, claim, lambda e, c: _checked(e, c, F.zip_with(e, c, lambda x, y: x - y)))
+
+
+def _sq(x: Column, y: Column) -> Column:
+    return _checked(x, y, _sum(F.zip_with(x, y, lambda u, v: (u - v) * (u - v))))
+
+
+def _dot(x: Column, y: Column) -> Column:
+    return _checked(x, y, _sum(F.zip_with(x, y, lambda u, v: u * v)))
+
+
+def _norm(x: Column) -> Column:
+    return F.sqrt(_sum(F.transform(x, lambda u: u * u)))
+
+
+def _cos(x: Column, y: Column) -> Column:
+    return let(_norm(x) * _norm(y), lambda den: F.when(den == 0, F.lit(NAN)).otherwise(_dot(x, y) / den))
+
+
+def _theta(x: Column, y: Column, variant: str) -> Column:
+    c = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), _cos(x, y)))
+    if variant == "reference":
+        return F.acos(c) + F.lit(math.radians(10))
+    if variant == "degrees":
+        return F.degrees(F.acos(c)) + F.lit(10.0)
+    raise ValueError(f"unknown theta variant: {variant}")
+
+
+def _triangle(x: Column, y: Column, variant: str) -> Column:
+    return _norm(x) * _norm(y) * F.sin(F.radians(_theta(x, y, variant))) / F.lit(2.0)
+
+
+def _sector(x: Column, y: Column, variant: str) -> Column:
+    return (F.lit(math.pi) * F.pow(F.sqrt(_sq(x, y)) + F.abs(_norm(x) - _norm(y)), F.lit(2.0))
+            * _theta(x, y, variant) / F.lit(360.0))
 
 
 def sq_distance(a, b) -> Column:
-    a, b = _col(a), _col(b)
-    return _same_size(a, b, _sum(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
+    return _let2(a, b, _sq)
 
 
 def euclidean(a, b) -> Column:
@@ -59,18 +100,16 @@ def sim_euclidean(a, b) -> Column:
 
 
 def dot(a, b) -> Column:
-    a, b = _col(a), _col(b)
-    return _same_size(a, b, _sum(F.zip_with(a, b, lambda x, y: x * y)))
+    return _let2(a, b, _dot)
 
 
 def norm(a) -> Column:
-    return F.sqrt(_sum(F.transform(_col(a), lambda x: x * x)))
+    return _norm(_col(a))
 
 
 def cosine(a, b) -> Column:
     """Cosine similarity; a zero vector gives NaN (0/0), as numpy does."""
-    den = norm(a) * norm(b)
-    return F.when(den == 0, F.lit(NAN)).otherwise(dot(a, b) / den)
+    return _let2(a, b, _cos)
 
 
 def theta(a, b, variant: str = "reference") -> Column:
@@ -80,33 +119,27 @@ def theta(a, b, variant: str = "reference") -> Column:
     ``degrees``  : ``degrees(acos(cos)) + 10``, in degrees (published TS-SS).
     The cosine is clamped to [-1, 1] so rounding never leaves acos's domain.
     """
-    c = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine(a, b)))
-    if variant == "reference":
-        return F.acos(c) + F.lit(math.radians(10))
-    if variant == "degrees":
-        return F.degrees(F.acos(c)) + F.lit(10.0)
-    raise ValueError(f"unknown theta variant: {variant}")
+    return _let2(a, b, lambda x, y: _theta(x, y, variant))
 
 
 def triangle(a, b, variant: str = "reference") -> Column:
     """``|a| |b| sin(radians(theta)) / 2``; the reference variant converts an
     angle that is already in radians once more."""
-    return norm(a) * norm(b) * F.sin(F.radians(theta(a, b, variant))) / F.lit(2.0)
+    return _let2(a, b, lambda x, y: _triangle(x, y, variant))
 
 
 def magnitude_difference(a, b) -> Column:
-    return F.abs(norm(a) - norm(b))
+    return _let2(a, b, lambda x, y: F.abs(_norm(x) - _norm(y)))
 
 
 def sector(a, b, variant: str = "reference") -> Column:
     """``pi (ED + MD)^2 theta / 360``."""
-    return (F.lit(math.pi) * F.pow(euclidean(a, b) + magnitude_difference(a, b), F.lit(2.0))
-            * theta(a, b, variant) / F.lit(360.0))
+    return _let2(a, b, lambda x, y: _sector(x, y, variant))
 
 
 def ts_ss(a, b, variant: str = "reference") -> Column:
     """Triangle-area times sector-area similarity measure (a distance)."""
-    return triangle(a, b, variant) * sector(a, b, variant)
+    return _let2(a, b, lambda x, y: _triangle(x, y, variant) * _sector(x, y, variant))
 
 
 SIMILARITIES = ("euclidean", "cosine")
@@ -139,5 +172,5 @@ def scale(v, factor) -> Column:
 
 
 def l2_normalize(v) -> Column:
-    n = norm(v)
-    return F.when(n == 0, _col(v)).otherwise(F.transform(_col(v), lambda x: x / n))
+    return let(_col(v), lambda x: let(_norm(x), lambda n: F.when(n == 0, x).otherwise(
+        F.transform(x, lambda u: u / n))))

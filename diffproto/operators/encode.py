@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import hex8_to_int
+from ..functions.vectors import l2_normalize
 
 # Token rule shared with the SQL oracle: lower-case, split on every run of
 # characters that are neither letters nor digits, drop empty tokens.
@@ -84,13 +85,10 @@ class HashingEncoder:
         """Adds ``out``; each stage is its own projection so the md5 of every
         token runs once (Catalyst keeps projections apart when collapsing
         them would repeat a costly expression)."""
-        b, c, n = f"_{out}_b", f"_{out}_c", f"_{out}_n"
+        b = f"_{out}_b"
         return (df.withColumn(b, token_buckets(text_col, self.d, self.hash_fn))
-                .withColumn(c, self.counts(b))
-                .withColumn(n, F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x * x)))
-                .withColumn(out, F.when(F.col(n) == 0, F.col(c))
-                            .otherwise(F.transform(c, lambda x: x / F.col(n))))
-                .drop(b, c, n))
+                .withColumn(out, l2_normalize(self.counts(b)))
+                .drop(b))
 
     def encode_pairs(self, pairs: DataFrame, claim: str = "claim", evidence: str = "evidence") -> DataFrame:
         return self.encode(self.encode(pairs, claim, "claim_vec"), evidence, "evidence_vec")

@@ -20,7 +20,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import similarity
+from ..functions.vectors import let, similarity
 from ..plans.broadcast import bounded_broadcast
 
 
@@ -75,12 +75,12 @@ def pack_prototypes(protos: DataFrame, group_cols: Sequence[str] = (), label_col
 def argmax_label(vec: Column, protos: Column, metric: str = "euclidean") -> Column:
     """Label of the most similar prototype; ties go to the lowest proto_id
     (first maximum), NaN counts as the largest value (as numpy's argmax)."""
-    sims = F.transform(protos, lambda p: similarity(vec, p["centroid"], metric))
-    # bind the similarities once (a one-element array + transform acts as a
-    # let), so they are not computed again for array_max and array_position
-    pick = F.transform(F.array(sims), lambda s: F.element_at(
-        protos, F.array_position(s, F.array_max(s)).cast("int"))["label"])
-    return F.element_at(pick, 1)
+    # bind the vector and the similarities once (let), so neither is
+    # recomputed per prototype, for array_max and array_position, or when
+    # Catalyst inlines this expression into a filter
+    return let(vec, lambda v: let(protos, lambda ps: let(
+        F.transform(ps, lambda p: similarity(v, p["centroid"], metric)),
+        lambda s: F.element_at(ps, F.array_position(s, F.array_max(s)).cast("int"))["label"])))
 
 
 def predict(df: DataFrame, protos: DataFrame, vec_col: str = "diff", metric: str = "euclidean",
