@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..functions.labels import (BINARY_LETTERS, CLAIM_LABELS, THREE_WAY_LETTERS, decode_binary,
-                                decode_three, encode_label, label_to_binary)
+from ..functions.labels import CLAIM_LABELS, decode_binary, decode_three, encode_label, label_to_binary
 from ..functions.text import clean_brackets, merge_sentences, normalize_claim, normalize_evidence
 from ..operators import evaluate, sampling
 from ..operators.encode import HashingEncoder, LookupPoolEncoder

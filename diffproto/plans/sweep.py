@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import THREE_WAY_LETTERS, decode_three
-from ..functions.vectors import similarity
 from ..operators import evaluate
 from ..operators.prototypes import argmax_label, mean_vectors
 from ..operators.sampling import KEY, top_per_class
@@ -194,10 +193,23 @@ def _pack_arrays(rows, encoder_col, seeds, n_classes):
     return packs
 
 
-def _score_batch(x, truth, ranks, pack, metric, split, capped, n_classes):
-    """Counts of (cell, truth, pred) for one Arrow batch (numpy)."""
+def _score_batch(x, truth, ranks, pack, metric, split, capped, n_classes, max_elems: int = 4_000_000):
+    """Counts of (cell, truth, pred) for one Arrow batch (numpy), scored in
+    row chunks so the (rows x cells x classes) similarity block stays near
+    ``max_elems`` doubles whatever the grid size."""
     import numpy as np
 
+    n_cells = len(pack[1])
+    step = max(1, max_elems // max(1, n_cells * n_classes))
+    if len(x) > step:
+        total = np.zeros(n_cells * n_classes * n_classes, dtype=np.int64)
+        for i in range(0, len(x), step):
+            cell, t, p, cnt = _score_batch(x[i:i + step], truth[i:i + step], ranks[i:i + step], pack,
+                                           metric, split, capped, n_classes, max_elems)
+            np.add.at(total, (cell * n_classes + t) * n_classes + p, cnt)
+        nz = np.nonzero(total)[0]
+        return nz // (n_classes * n_classes), (nz // n_classes) % n_classes, nz % n_classes, total[nz]
+
     c_seed, c_m, protos, present = pack
     n_cells = len(c_m)
     flat = protos.reshape(n_cells * n_classes, -1)

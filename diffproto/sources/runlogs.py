@@ -11,7 +11,6 @@ in the 11 layouts of the reference's reporting scripts.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 from typing import Sequence
 
