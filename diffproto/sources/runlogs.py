@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import strip_text
+
 # Text removed from the picked lines before splitting into
 # fields, in this order.
 STRIP_TOKENS = ["Accuracy: ", "F1-macro: ", "seed: ", "# of shots: ", "index of run:", ";", "[", "]"]
@@ -72,7 +74,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     raw = raw.select(F.col("_metadata.file_path").alias("file"), "value")
     return (raw.select("file", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line_no", "line"))
-            .withColumn("line", F.trim(F.col("line"))))
+            .withColumn("line", strip_text("line")))
 
 
 def after_marker(lines: DataFrame, marker: str = MARKER, file_col: str = "file") -> DataFrame:

@@ -70,3 +70,24 @@ def test_multi_seed_ranks(spark):
     assert r.count() == 3 * 2 * 5
     one = sorted(rows(S.top_per_class(p, 2, 5), "claim_id", "rank"))
     assert sorted(rows(r.filter(F.col("seed") == 2), "claim_id", "rank")) == one
+
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(sizes=st.lists(st.integers(min_value=0, max_value=25), min_size=3, max_size=3),
+       m=st.integers(min_value=1, max_value=12), seed=st.integers(min_value=0, max_value=10 ** 6))
+def test_split_contract_property(spark, sizes, m, seed):
+    """fit and dev are disjoint, cover the pool, fit has min(m, size) per class."""
+    counts = {lab: n for lab, n in enumerate(sizes)}
+    if sum(sizes) == 0:
+        return
+    p = _pairs(spark, counts)
+    fit = set(rows(S.fit_sample(p, seed, m), "claim_id", "set_pos", "label"))
+    dev = set(rows(S.dev_complement(p, seed, m), "claim_id", "set_pos", "label"))
+    assert not fit & dev
+    assert fit | dev == set(rows(p, "claim_id", "set_pos", "label"))
+    for lab, n in counts.items():
+        assert sum(1 for r in fit if r[2] == lab) == min(m, n)
