@@ -77,7 +77,7 @@ def corpus_pairs_all(spark, sf) -> DataFrame:
 
 def small_sweep_summary(spark, sf) -> DataFrame:
     pairs = flagship_pairs(spark, sf)
-    conf = sweep.sweep_counts(pairs, SMALL_SEEDS, SMALL_SHOTS)
+    conf = sweep.sweep_counts(pairs, SMALL_SEEDS, SMALL_SHOTS, materialize=True)
     return sweep.sweep_summary(conf, ["seed", "m"]).withColumn("model", F.lit("vec_pairs"))
 
 
@@ -376,7 +376,7 @@ def q_errors_correct(spark, sf):
 
 def q_sweep(spark, sf):
     pairs = flagship_pairs(spark, sf)
-    return sweep.sweep_counts(pairs, sweep.REFERENCE_SEEDS, sweep.REFERENCE_SHOTS)
+    return sweep.sweep_counts(pairs, sweep.REFERENCE_SEEDS, sweep.REFERENCE_SHOTS, materialize=True)
 
 
 def q_sweep_summary(spark, sf):
@@ -549,7 +549,7 @@ def before_after_records(spark, sf) -> DataFrame:
     for phase, absolute in (("before", False), ("after", True)):
         pairs = experiment.with_diff(base, absolute)
         for split, tag in (("fit", "train"), ("dev", "dev")):
-            conf = sweep.sweep_counts(pairs, SMALL_SEEDS, SMALL_SHOTS, split=split)
+            conf = sweep.sweep_counts(pairs, SMALL_SEEDS, SMALL_SHOTS, split=split, materialize=True)
             s = sweep.sweep_summary(conf, ["seed", "m"]).select(
                 "seed", "m", F.col("accuracy").alias(f"{phase}_acc_{tag}"), F.col("f1_macro").alias(f"{phase}_f1_{tag}"))
             out = s if out is None else out.join(s, ["seed", "m"])

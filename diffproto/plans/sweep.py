@@ -137,13 +137,22 @@ def score_cells(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[int], me
 
 def sweep_counts(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[int], metric: str = "euclidean",
                  encoder_col: str | None = None, letters: Sequence[str] = THREE_WAY_LETTERS,
-                 engine: str = "numpy", **kw) -> DataFrame:
+                 engine: str = "numpy", materialize: bool = False, **kw) -> DataFrame:
     """Confusion counts per cell, long form, zero cells kept:
     ``(encoder?, seed, m, y_truth, y_pred, n)``.
 
     ``engine='numpy'`` scores Arrow batches with one matrix product per batch
     (fast for any grid); ``engine='sql'`` keeps everything in JVM expressions
-    (higher-order functions, interpreted per element: fine for small grids)."""
+    (higher-order functions, interpreted per element: fine for small grids).
+    ``materialize=True`` checkpoints a derived pair table once before the
+    three passes; leave it off when the pairs are a stored table."""
+    if materialize:
+        # the pair table is read three times (ranking, prototypes, scoring):
+        # when it is derived (encoded) rather than stored, cut its lineage once
+        # into the shared checkpoint folder
+        checkpoint_dir(pairs.sparkSession)
+        need = [*_grid_key(encoder_col), *kw.get("key", KEY), kw.get("label_col", "label"), kw.get("vec_col", "diff")]
+        pairs = pairs.select(*need).checkpoint(eager=True)
     if engine == "numpy":
         counts = score_counts_numpy(pairs, seeds, shots, metric, encoder_col=encoder_col, **kw)
     elif engine == "sql":
