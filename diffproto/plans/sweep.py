@@ -31,7 +31,7 @@ from ..operators import evaluate
 from ..operators.prototypes import argmax_label, mean_vectors
 from ..operators.sampling import KEY, top_per_class
 from ..session import checkpoint_dir
-from .broadcast import bounded_broadcast, fits_broadcast
+from .broadcast import bounded_broadcast, broadcast_limit, fits_broadcast
 
 BIG_RANK = 2 ** 31 - 1
 # The reference sweep grid.
@@ -154,7 +154,12 @@ def sweep_counts(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[int], m
         need = [*_grid_key(encoder_col), *kw.get("key", KEY), kw.get("label_col", "label"), kw.get("vec_col", "diff")]
         pairs = pairs.select(*need).checkpoint(eager=True)
     if engine == "numpy":
-        counts = score_counts_numpy(pairs, seeds, shots, metric, encoder_col=encoder_col, **kw)
+        groups = seed_groups(pairs.sparkSession, seeds, shots, kw.get("dim", 1024), kw.get("n_encoders", 1),
+                             kw.get("n_classes", 3))
+        counts = None
+        for group in groups:
+            part = score_counts_numpy(pairs, group, shots, metric, encoder_col=encoder_col, **kw)
+            counts = part if counts is None else counts.unionByName(part)
     elif engine == "sql":
         scored = score_cells(pairs, seeds, shots, metric, encoder_col=encoder_col, **kw)
         counts = scored.groupBy(*_grid_key(encoder_col), "seed", "m", "truth", "pred").agg(
@@ -168,6 +173,20 @@ def sweep_counts(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[int], m
     return _expand_counts(named, group, letters)
 
 
+def seed_groups(spark, seeds: Sequence[int], shots: Sequence[int], dim: int, n_encoders: int = 1,
+                n_classes: int = 3) -> list[list[int]]:
+    """Split the seeds so each group's prototype pack (encoders * cells *
+    classes * d doubles) fits the broadcast limit.  One group is the normal
+    case; a grid too large to broadcast is scored in several passes over the
+    pairs instead (one per group), never with an unchecked broadcast."""
+    per_seed = n_encoders * len(shots) * n_classes * (8 * dim + 32)
+    if not fits_broadcast(spark, 1, per_seed):
+        raise ValueError("one seed's prototypes exceed the broadcast limit; sweep fewer shot counts per query")
+    k = max(1, broadcast_limit(spark) // per_seed)
+    seeds = [int(x) for x in seeds]
+    return [seeds[i:i + k] for i in range(0, len(seeds), k)]
+
+
 def _expand_counts(named: DataFrame, group: list[str], letters: Sequence[str]) -> DataFrame:
     return evaluate.expand_grid(named, letters, group)
 

@@ -31,3 +31,14 @@ def test_fit_split_scores_fit_rows(spark):
     pairs = registry.flagship_pairs(spark, SF_SMALL)
     conf = sweep.sweep_counts(pairs, [123], [4], split="fit")
     assert sum(r[0] for r in rows(conf, "n")) == 12
+
+
+def test_grid_split_when_pack_exceeds_limit(spark):
+    """A grid whose prototype pack is over the broadcast limit is scored in
+    several passes, with the same counts."""
+    pairs = registry.flagship_pairs(spark, SF_SMALL)
+    groups = sweep.seed_groups(spark, [1, 2, 3, 4], [2, 4], dim=200_000)
+    assert len(groups) > 1 and sum(groups, []) == [1, 2, 3, 4]
+    one = sweep.sweep_counts(pairs, [123, 124, 125], [2, 4])
+    many = sweep.sweep_counts(pairs, [123, 124, 125], [2, 4], dim=200_000)
+    assert sorted(rows(one)) == sorted(rows(many))
