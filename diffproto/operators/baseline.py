@@ -61,6 +61,9 @@ def fit_cells(fit_rows: DataFrame, cell_cols: Sequence[str], n_classes: int = 3,
     """One softmax model per cell: ``(*cell_cols, weights ARRAY<ARRAY<DOUBLE>>, bias ARRAY<DOUBLE>)``.
 
     ``weights`` holds one row of d values per class."""
+    from ..session import ship_package
+
+    ship_package(fit_rows.sparkSession)
     cell_cols = list(cell_cols)
     schema = T.StructType(
         [fit_rows.schema[c] for c in cell_cols]

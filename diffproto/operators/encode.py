@@ -104,6 +104,9 @@ class PandasEncoder:
 
     def encode_texts(self, texts: DataFrame, text_col: str = "text") -> DataFrame:
         """``(text_key, vec)`` for the distinct texts of ``texts``."""
+        from ..session import ship_package
+
+        ship_package(texts.sparkSession)
         fn = self.fn
         keyed = (texts.select(F.md5(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
                  .dropDuplicates(["text_key"]))

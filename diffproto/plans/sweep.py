@@ -30,7 +30,7 @@ from ..functions.labels import THREE_WAY_LETTERS, decode_three
 from ..operators import evaluate
 from ..operators.prototypes import argmax_label, mean_vectors
 from ..operators.sampling import KEY, top_per_class
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, ship_package
 from .broadcast import bounded_broadcast, broadcast_limit, fits_broadcast
 
 BIG_RANK = 2 ** 31 - 1
@@ -292,6 +292,7 @@ def score_counts_numpy(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[i
     seeds = [int(s) for s in seeds]
     shots = [int(m) for m in shots]
     spark = pairs.sparkSession
+    ship_package(spark)
     pack_bytes = n_encoders * len(seeds) * len(shots) * n_classes * (8 * dim + 32)
     if not fits_broadcast(spark, 1, pack_bytes):
         raise ValueError("prototype pack exceeds the broadcast limit; sweep fewer cells per query")
@@ -368,6 +369,7 @@ def sweep_baseline(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[int],
 
     seeds, shots, runs = [int(s) for s in seeds], [int(m) for m in shots], [int(r) for r in runs]
     spark = pairs.sparkSession
+    ship_package(spark)
     n_cells = len(seeds) * len(shots) * len(runs)
     if not fits_broadcast(spark, n_cells * n_classes, 8 * (dim + 1) + 32):
         raise ValueError("baseline models exceed the broadcast limit; sweep fewer cells per query")
