@@ -359,20 +359,31 @@ def sweep_baseline(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[int],
     regression per cell, trained in parallel with ``applyInPandas`` on the
     cell's fit rows (at most classes * m rows each); the models (bounded by
     cells * classes * (d + 1) doubles, checked) are broadcast and every pair
-    is scored against every cell in Arrow batches.  Returns the per-cell
-    summary ``(seed, m, run, accuracy, f1_s, f1_n, f1_c, f1_macro)``."""
+    is scored against every cell in Arrow batches.  A grid whose models do
+    not fit the broadcast limit is run in several passes (seed groups).
+    Returns the per-cell summary ``(seed, m, run, accuracy, f1_s, f1_n, f1_c, f1_macro)``."""
+    seeds, shots, runs = [int(s) for s in seeds], [int(m) for m in shots], [int(r) for r in runs]
+    counts = None
+    for group in seed_groups(pairs.sparkSession, seeds, [(m, r) for m in shots for r in runs], dim, 1, n_classes):
+        part = _baseline_counts(pairs, group, shots, runs, key, label_col, vec_col, n_classes)
+        counts = part if counts is None else counts.unionByName(part)
+    named = counts.select("seed", "m", "run", decode_three("truth").alias("y_truth"),
+                          decode_three("pred").alias("y_pred"), "n")
+    conf = _expand_counts(named, ["seed", "m", "run"], THREE_WAY_LETTERS)
+    return sweep_summary(conf, ["seed", "m", "run"])
+
+
+def _baseline_counts(pairs: DataFrame, seeds: list[int], shots: list[int], runs: list[int],
+                     key: Sequence[str], label_col: str, vec_col: str, n_classes: int) -> DataFrame:
+    """``(seed, m, run, truth, pred, n)`` for one group of seeds."""
     import numpy as np
 
     from pyspark.sql import types as T
 
     from ..operators.baseline import fit_cells
 
-    seeds, shots, runs = [int(s) for s in seeds], [int(m) for m in shots], [int(r) for r in runs]
     spark = pairs.sparkSession
     ship_package(spark)
-    n_cells = len(seeds) * len(shots) * len(runs)
-    if not fits_broadcast(spark, n_cells * n_classes, 8 * (dim + 1) + 32):
-        raise ValueError("baseline models exceed the broadcast limit; sweep fewer cells per query")
     ranked = ranked_keys(pairs, seeds, max(shots), key, label_col)
     ms = F.array(*[F.lit(m) for m in shots])
     rs = F.array(*[F.lit(r) for r in runs])
@@ -424,9 +435,5 @@ def sweep_baseline(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[int],
                                 "truth": ((nz // n_classes) % n_classes).astype(np.int32),
                                 "pred": (nz % n_classes).astype(np.int32), "n": counts[nz].astype(np.int64)})
 
-    counts = (base.mapInPandas(run, schema)
-              .groupBy("seed", "m", "run", "truth", "pred").agg(F.sum("n").alias("n")))
-    named = counts.select("seed", "m", "run", decode_three("truth").alias("y_truth"),
-                          decode_three("pred").alias("y_pred"), "n")
-    conf = _expand_counts(named, ["seed", "m", "run"], THREE_WAY_LETTERS)
-    return sweep_summary(conf, ["seed", "m", "run"])
+    return (base.mapInPandas(run, schema)
+            .groupBy("seed", "m", "run", "truth", "pred").agg(F.sum("n").alias("n")))
