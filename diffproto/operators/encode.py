@@ -73,13 +73,20 @@ class HashingEncoder:
         arrays are bound once with ``_let`` so Catalyst cannot re-evaluate
         them inside a lambda."""
         d = self.d
-        return _let(F.array_sort(_col(buckets)), lambda srt: _let(F.array_distinct(srt), lambda dis: _let(
-            F.transform(dis, lambda v: F.array_position(srt, v)), lambda first: _let(
-                F.map_from_arrays(dis, F.zip_with(F.concat(F.slice(first, 2, F.size(first)),
-                                                           F.array((F.size(srt) + 1).cast("bigint"))),
-                                                  first, lambda a, b: a - b)),
-                lambda cnt: F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(d - 1).cast("bigint")),
-                                        lambda i: F.coalesce(F.element_at(cnt, i), F.lit(0)).cast("double"))))))
+        zeros = F.array_repeat(F.lit(0.0), F.lit(d))
+
+        def dense(srt):
+            return _let(F.array_distinct(srt), lambda dis: _let(
+                F.transform(dis, lambda v: F.array_position(srt, v)), lambda first: _let(
+                    F.map_from_arrays(dis, F.zip_with(F.concat(F.slice(first, 2, F.size(first)),
+                                                               F.array((F.size(srt) + 1).cast("bigint"))),
+                                                      first, lambda a, b: a - b)),
+                    lambda cnt: F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(d - 1).cast("bigint")),
+                                            lambda i: F.coalesce(F.element_at(cnt, i), F.lit(0)).cast("double")))))
+
+        # a text without tokens is all zeros (and must not reach the map build)
+        return _let(F.array_sort(_col(buckets)),
+                    lambda srt: F.when(F.size(srt) == 0, zeros).otherwise(dense(srt)))
 
     def encode(self, df: DataFrame, text_col: str, out: str) -> DataFrame:
         """Adds ``out``; each stage is its own projection so the md5 of every
