@@ -50,3 +50,10 @@ def test_std_kinds(spark):
     assert pop.std_accuracy == pytest.approx(0.5)
     assert samp.accuracy_sd == pytest.approx(0.7071)
     assert pop.mean_accuracy == pytest.approx(0.5)
+
+
+def test_confusion_matrix_wide_order(spark):
+    sc = _scored(spark, [("s", "s"), ("c", "n"), ("n", "n"), ("n", "n")])
+    wide = E.confusion_matrix(E.confusion_long(sc)).collect()
+    assert [r.y_truth for r in wide] == ["s", "n", "c"]          # fixed label order, zero rows kept
+    assert [(r.s, r.n, r.c) for r in wide] == [(1, 0, 0), (0, 2, 0), (0, 1, 0)]
