@@ -544,12 +544,19 @@ def before_after_records(spark, sf) -> DataFrame:
     """Per (seed, m) of the small grid: accuracy and macro F1 on the fit rows
     (train) and the dev rows, before = signed differences, after = absolute
     differences."""
+    from ..session import checkpoint_dir
+
     base = TB.vec_pairs(spark, sf)
+    checkpoint_dir(spark)
+    # one ranking serves all four sweeps (it depends on the keys only), and
+    # each difference variant is materialized once for its fit and dev pass
+    ranked = sweep.ranked_keys(base, SMALL_SEEDS, max(SMALL_SHOTS)).checkpoint(eager=True)
     out = None
     for phase, absolute in (("before", False), ("after", True)):
-        pairs = experiment.with_diff(base, absolute)
+        pairs = (experiment.with_diff(base, absolute)
+                 .select("claim_id", "set_pos", "label", "diff").checkpoint(eager=True))
         for split, tag in (("fit", "train"), ("dev", "dev")):
-            conf = sweep.sweep_counts(pairs, SMALL_SEEDS, SMALL_SHOTS, split=split, materialize=True)
+            conf = sweep.sweep_counts(pairs, SMALL_SEEDS, SMALL_SHOTS, split=split, ranked=ranked)
             s = sweep.sweep_summary(conf, ["seed", "m"]).select(
                 "seed", "m", F.col("accuracy").alias(f"{phase}_acc_{tag}"), F.col("f1_macro").alias(f"{phase}_f1_{tag}"))
             out = s if out is None else out.join(s, ["seed", "m"])

@@ -275,9 +275,11 @@ def score_counts_numpy(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[i
                        key: Sequence[str] = KEY, label_col: str = "label", vec_col: str = "diff",
                        encoder_col: str | None = None, caps: dict[int, int] | None = None,
                        dim: int = 1024, n_encoders: int = 1, n_classes: int = 3,
-                       split: str = "dev") -> DataFrame:
+                       split: str = "dev", ranked: DataFrame | None = None) -> DataFrame:
     """Per-cell ``(encoder?, seed, m, truth, pred, n)`` counts, scored with
-    numpy on Arrow batches (``mapInPandas``).
+    numpy on Arrow batches (``mapInPandas``).  ``ranked`` may pass ranks
+    already computed by ``ranked_keys`` for these seeds (shared by several
+    sweeps over the same keys).
 
     The prototype pack is bounded by encoders * cells * classes * d doubles;
     its size is checked, then it is collected once and broadcast to the
@@ -300,8 +302,11 @@ def score_counts_numpy(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[i
     # the ranked keys (bounded: seeds * sum(caps) or seeds * classes * max(m))
     # feed both the prototypes and the scoring pass: checkpoint them once to
     # the shared folder instead of ranking the whole pair table twice
-    checkpoint_dir(spark)
-    ranked = ranked_keys(pairs, seeds, n, key, label_col, caps, encoder_col).checkpoint(eager=True)
+    if ranked is None:
+        checkpoint_dir(spark)
+        ranked = ranked_keys(pairs, seeds, n, key, label_col, caps, encoder_col).checkpoint(eager=True)
+    else:
+        ranked = ranked.filter(F.col("seed").isin(seeds))
     fit_ranked = ranked.filter(F.col("rank") <= max(shots)) if caps else ranked
     protos = cell_prototypes(pairs, fit_ranked, shots, key, label_col, vec_col, encoder_col,
                              len(seeds), n_classes)
