@@ -86,3 +86,23 @@ def score(pairs: DataFrame, seed: int, m: int, metric: str = "euclidean",
     return (scored.withColumn("truth", F.col("label"))
             .withColumn("y_truth", decode("truth"))
             .withColumn("y_pred", decode("pred")))
+
+
+def score_two_sets(fit_pairs: DataFrame, dev_pairs: DataFrame, seed: int, m: int, dev_cap: int = 70,
+                   metric: str = "euclidean", key: Sequence[str] = KEY, n_classes: int = 3,
+                   prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The corpus experiment: prototypes from the m-shot sample of one pair
+    set, evaluation on a separate dev set capped at ``dev_cap`` rows per class
+    (both seeded).  Both sides are picked on keys first (bounded broadcasts:
+    classes * m and classes * dev_cap keys), then prepared (encoded) once."""
+    fit_k = sampling.fit_sample(fit_pairs.select(*key, "label"), seed, m, key=key)
+    fit = fit_pairs.join(bounded_broadcast(fit_k.drop("label"), n_classes * m, 64), list(key))
+    dev_k = sampling.dev_capped(dev_pairs.select(*key, "label"), seed, dev_cap, key=key)
+    dev = dev_pairs.drop("label").join(bounded_broadcast(dev_k, n_classes * dev_cap, 64), list(key))
+    if prepare is not None:
+        fit, dev = prepare(fit), prepare(dev)
+    protos = prototypes(fit, "diff", "label")
+    scored = predict(dev, protos, "diff", metric, out="pred")
+    return (scored.withColumn("truth", F.col("label"))
+            .withColumn("y_truth", decode_three("truth"))
+            .withColumn("y_pred", decode_three("pred")))

@@ -42,3 +42,16 @@ def test_grid_split_when_pack_exceeds_limit(spark):
     one = sweep.sweep_counts(pairs, [123, 124, 125], [2, 4])
     many = sweep.sweep_counts(pairs, [123, 124, 125], [2, 4], dim=200_000)
     assert sorted(rows(one)) == sorted(rows(many))
+
+
+def test_two_set_experiment(spark):
+    """Fit on one pair set, evaluate on another capped per class."""
+    pairs = registry.flagship_pairs(spark, SF_SMALL)
+    fit_set = pairs.filter(F.col("claim_id") < 250)
+    dev_set = pairs.filter(F.col("claim_id") >= 250)
+    sc = experiment.score_two_sets(fit_set, dev_set, 123, 10, dev_cap=40)
+    per_class = dict(rows(sc.groupBy("truth").count(), "truth", "count"))
+    assert per_class == {0: 40, 1: 40, 2: 40}
+    assert not set(rows(sc, "claim_id")) & set(rows(fit_set, "claim_id"))
+    acc = evaluate.accuracy(sc).first().accuracy
+    assert acc > 0.9
