@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontam, line_dedup, mixing, url_filter
+from . import ann, binary_records, chat, decontam, html_extract, langid, line_dedup, mixing, url_filter
 
 QUERIES = {
+    "op1_html_extraction": html_extract.query,
     "op3_benchmark_decontamination": decontam.query,
+    "op4_language_id": langid.query,
+    "op5_binary_records": binary_records.query,
+    "op6_chat_formatting": chat.query,
     "op7_source_mixing": mixing.query,
     "op8_url_filters": url_filter.query,
     "op9_line_dedup": line_dedup.query,
+    "op10_nearest_neighbours": ann.query,
 }
 
 ORACLE_SQL = {
@@ -16,4 +21,5 @@ ORACLE_SQL = {
     "op7_source_mixing": mixing.SQL,
     "op8_url_filters": url_filter.SQL,
     "op9_line_dedup": line_dedup.SQL,
+    "op10_nearest_neighbours": ann.SQL,
 }
