@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, binary_records, chat, decontam, html_extract, langid, line_dedup, mixing, url_filter
+from . import ann, binary_records, chat, decontam, html_extract, langid, line_dedup, mixing, ngram_join, url_filter
 
 QUERIES = {
     "op1_html_extraction": html_extract.query,
+    "op2_ngram_jaccard_join": ngram_join.query,
     "op3_benchmark_decontamination": decontam.query,
     "op4_language_id": langid.query,
     "op5_binary_records": binary_records.query,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_ngram_jaccard_join": ngram_join.SQL,
     "op3_benchmark_decontamination": decontam.SQL,
     "op7_source_mixing": mixing.SQL,
     "op8_url_filters": url_filter.SQL,
