@@ -123,7 +123,7 @@ def search_block(ids: np.ndarray, vecs: np.ndarray, qids: np.ndarray, qs: np.nda
             verified += len(new)
             score, pos = np.concatenate([score, packed[new] @ q]), np.concatenate([pos, new])
             at += step
-            step = min(step * 2, 64)
+            step = min(step * 2, 16)
             if len(score) > want:
                 # ties at the edge all stay
                 edge = np.partition(score, len(score) - want)[len(score) - want]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship_package
-from .common import read
+from .common import longs, read
 
 PER_FILE = 2048
 END_ID = 0
@@ -195,7 +195,7 @@ def write_records(docs: DataFrame, tokenizer: str, path: str | None = None, id_c
                     doc_id, _, n = body(payload)
                     got.append((name, k, doc_id, offset, length, n, seen))
                     seen += n
-                yield _ids(pd.DataFrame(got, columns=["file", "record", "doc_id", "offset", "length", "n_tokens", "before"]))
+                yield _frame(got, ["file", "record", "doc_id", "offset", "length", "n_tokens", "before"])
 
     index = _files(spark, path).mapInPandas(
         scan, "file string, record long, doc_id long, offset long, length long, n_tokens long, before long")
@@ -203,9 +203,9 @@ def write_records(docs: DataFrame, tokenizer: str, path: str | None = None, id_c
     return f"{path}/data", f"{path}/index"
 
 
-def _ids(f: pd.DataFrame) -> pd.DataFrame:
-    f["doc_id"] = f["doc_id"].astype("Int64")
-    return f
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    cols = dict(zip(columns, zip(*rows, strict=True) if rows else [()] * len(columns), strict=True))
+    return pd.DataFrame({c: longs(v) if c == "doc_id" else list(v) for c, v in cols.items()})
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -226,7 +226,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 for k, (_, _, payload) in enumerate(records(content)):
                     doc_id, ids = unpack(payload)
                     got.append((name, k, doc_id, len(ids), zlib.crc32(ids.tobytes())))
-                yield _ids(pd.DataFrame(got, columns=["file", "record", "doc_id", "n_tokens", "ids_crc32"]))
+                yield _frame(got, ["file", "record", "doc_id", "n_tokens", "ids_crc32"])
 
     got = _files(spark, path).mapInPandas(run, "file string, record long, doc_id long, n_tokens long, ids_crc32 long")
     index = spark.read.parquet(f"{path}/index").select("file", "record", "before", F.col("n_tokens").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import string
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def longs(values) -> pd.arrays.IntegerArray:
+    """A nullable column of integers; through floats, as pandas has it by default, large ids would change."""
+    return pd.array(list(values), dtype="Int64")
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import SHINGLE, components, read, stored
+from .common import SHINGLE, components, longs, read, stored
 
 NUM, DEN = 75, 100  # link if DEN * |x & y| >= NUM * |x | y|
 SKETCH_BITS = 21  # counters of the count sketch: 2 MB of levels, whatever the input
@@ -145,8 +145,10 @@ def _first_pass(k: int, seed: int):
 
 
 def _first_frame(rows) -> pd.DataFrame:
-    f = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "cid", "digest", "chunk", "counts"])
-    return f.astype({"doc_id": "Int64", "n_shingles": "Int64", "cid": "Int64", "chunk": "Int32"})
+    doc_id, n, cid, digest, chunk, counts = zip(*rows, strict=True) if rows else [()] * 6
+    return pd.DataFrame({
+        "doc_id": longs(doc_id), "n_shingles": longs(n), "cid": longs(cid), "digest": list(digest), "chunk": longs(chunk), "counts": list(counts)
+    })
 
 
 _FIRST = "doc_id long, n_shingles long, cid long, digest binary, chunk int, counts binary"
