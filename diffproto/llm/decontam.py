@@ -17,7 +17,8 @@ at least (1 - 1/e) = 0.63, independently over shingles.  At the threshold
 items of fewer than ``SMALL`` shingles use ``BOOST`` times as many bins.
 
 Everything is native: arrays of hashes inside a row, one equi-join on
-(class, value), a distinct, and one equi-join back to the documents.
+(class, value), a distinct, and one equi-join back to the documents that a
+blocked Bloom filter of the candidates passes.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..plans.broadcast import bounded_broadcast
 from .common import SHINGLE, once, read, stored, with_shingles
+from .url_filter import possible
 
 THRESHOLD = (3, 4)
 SMALL = 16
@@ -34,6 +36,8 @@ BOOST_BITS = 3
 #: Size classes are 2^0 .. 2^MAX_CLASS shingles; larger documents are in the last.
 MAX_CLASS = 30
 _ITEM_ROWS = 1 << 18
+#: Blocks of the filter on candidate documents: 512 bits each, 5 MB at most.
+FILTER_BLOCKS = 1 << 16
 
 
 def size_class(n: Column) -> Column:
@@ -95,9 +99,10 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: s
     doc = with_shingles(base, "__t", "doc_set", k).select("doc_id", "doc_set")
     its = stored(item_sets(items, item_id, item_text, k), "items")
     pairs = stored(candidates(doc, its), "candidates")
-    # only candidate documents come back, each with the list of its items
+    # only candidate documents come back, each with the list of its items; a Bloom filter of
+    # bounded size keeps the texts of nearly all others out of the shuffle
     wanted = pairs.groupBy("doc_id").agg(F.collect_set("item_id").alias("__items"))
-    back = base.join(wanted, "doc_id")
+    back = possible(base, "doc_id", pairs, "doc_id", FILTER_BLOCKS).join(wanted, "doc_id")
     back = with_shingles(back, "__t", "doc_set", k).select("doc_id", "doc_set", F.explode("__items").alias("item_id"))
     few = its.limit(_ITEM_ROWS // 64 + 1).count() <= _ITEM_ROWS // 64
     side = bounded_broadcast(its, _ITEM_ROWS // 64, 2048) if few else its

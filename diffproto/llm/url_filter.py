@@ -84,6 +84,20 @@ def blocked_bloom(listed: DataFrame, key: str, n_blocks: int) -> DataFrame:
     return listed.groupBy(_block(F.col(key), n_blocks).alias("__block")).agg(*aggs)
 
 
+def possible(df: DataFrame, key: str, keys: DataFrame, keys_key: str, n_blocks: int) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be in ``keys``, by a filter of
+    ``n_blocks`` blocks.  With a fixed number of blocks the filter's size is
+    bounded whatever ``keys`` holds; with very many keys it only passes more."""
+    bloom = blocked_bloom(keys, keys_key, n_blocks)
+    if fits_broadcast(df.sparkSession, n_blocks, 8 * (WORDS + 2)):
+        bloom = F.broadcast(bloom)
+    hit = F.lit(True)
+    for i, m in enumerate(_masks(F.col(key))):
+        hit = hit & (F.col(f"w{i}").bitwiseAND(m) == m)
+    probe = df.withColumn("__b", _block(F.col(key), n_blocks))
+    return probe.join(bloom, F.col("__b") == F.col("__block")).filter(hit).select(*df.columns)
+
+
 def listed_urls(df: DataFrame, key: Column, listed: DataFrame, listed_key: str = "canonical") -> DataFrame:
     """``df`` with a boolean column ``listed``: is ``key`` in the list?  A null
     key is not.  Rows are kept as they are, whatever they repeat."""
