@@ -10,11 +10,10 @@ signature in each class.  A document and an item become a candidate pair
 when they agree in a bin (bands of one row); the exact containment of the
 item's shingles in the document then decides.
 
-A shared shingle is the minimum of its bin in the document with a chance of
-at least (1 - 1/e) = 0.63, independently over shingles.  At the threshold
-0.75 an item of 20 shingles shares 15, and is missed with a probability of
-0.37^15, below 1e-6; one of 10 shingles, 0.37^8 = 0.04 %.  To close that gap,
-items of fewer than ``SMALL`` shingles use ``BOOST`` times as many bins.
+With 2^b bins a shingle, a shared one is not the minimum of its bin in the
+document with a chance of at most 2^-(b + 1), independently over shingles;
+b follows from the smallest item, so that a pair over the threshold is
+missed with a chance of at most 2^-20 (b = 0 if that shares 20 shingles).
 
 Everything is native: arrays of hashes inside a row, one equi-join on
 (class, value), a distinct, and one equi-join back to the documents that a
@@ -31,8 +30,7 @@ from .common import SHINGLE, once, read, stored, with_shingles
 from .url_filter import possible
 
 THRESHOLD = (3, 4)
-SMALL = 16
-BOOST_BITS = 3
+MISS_BITS = 20  # a pair over the threshold is missed with a chance of at most 2^-MISS_BITS
 #: Size classes are 2^0 .. 2^MAX_CLASS shingles; larger documents are in the last.
 MAX_CLASS = 30
 _ITEM_ROWS = 1 << 18
@@ -45,6 +43,13 @@ def size_class(n: Column) -> Column:
     return F.least(F.ceil(F.log2(F.greatest(n, F.lit(1)))).cast("int"), F.lit(MAX_CLASS))
 
 
+def finer(shared: int) -> int:
+    """How many bits to add to a class's bins for items that share at least
+    ``shared`` shingles: with 2^b bins a shingle, one is not its bin's minimum
+    with a chance of at most 2^-(b + 1)."""
+    return -(-MISS_BITS // shared) - 1
+
+
 def bin_minima(sorted_hashes: Column, bits: Column) -> Column:
     """One-permutation MinHash.  A hash's bin is its ``bits`` highest bits,
     so in an ascending array every bin is a run and its first entry the
@@ -62,26 +67,19 @@ def item_sets(items: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
     return s.filter(F.size("item_set") > 0).filter("item_id is not null").select("item_id", "item_set")
 
 
-def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, items: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Distinct (doc_id, item_id) that agree in a bin.  ``docs``: doc_id and
     doc_set; ``items``: item_id and item_set."""
-    sig = lambda boost: bin_minima(F.col("doc_set"), F.least(F.col("c") + boost, F.lit(62)))
+    # the smallest item decides how fine the bins are, so that one signature serves all items
+    least = items.agg(F.min(F.size("item_set"))).first()[0] or 1
+    bits = F.least(F.col("c") + finer(-(-least * threshold[0] // threshold[1])), F.lit(62))
+    classes = items.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(MAX_CLASS))))
+    values = classes.select("item_id", "c", F.explode(bin_minima(F.col("item_set"), bits)).alias("value"))
+    few = values.limit(_ITEM_ROWS + 1).count() <= _ITEM_ROWS
+    values = bounded_broadcast(values, _ITEM_ROWS, 24) if few else values
     doc = docs.withColumn("c", size_class(F.size("doc_set"))).filter(F.size("doc_set") > 0)
-    # large classes with boosted bins hold nearly every shingle, the others about two thirds
-    n_small = items.filter(F.size("item_set") < SMALL).limit(1).count()
-    boosts = [(0, F.size("item_set") >= SMALL)] + ([(BOOST_BITS, F.size("item_set") < SMALL)] if n_small else [])
-    found = None
-    for boost, which in boosts:
-        chosen = items.filter(which).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(MAX_CLASS))))
-        values = chosen.select(
-            "item_id", "c", F.explode(bin_minima(F.col("item_set"), F.least(F.col("c") + boost, F.lit(62)))).alias("value")
-        )
-        few = values.limit(_ITEM_ROWS + 1).count() <= _ITEM_ROWS
-        values = bounded_broadcast(values, _ITEM_ROWS, 24) if few else values
-        hit = doc.select("doc_id", "c", F.explode(once(sig(boost))).alias("value")).join(values, ["c", "value"])
-        pairs = hit.select("doc_id", "item_id").distinct()
-        found = pairs if found is None else found.unionByName(pairs)
-    return found.distinct()
+    signature = doc.select("doc_id", "c", F.explode(once(bin_minima(F.col("doc_set"), bits))).alias("value"))
+    return signature.join(values, ["c", "value"]).select("doc_id", "item_id").distinct()
 
 
 def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id",
@@ -98,7 +96,7 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: s
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("__t")).filter("doc_id is not null and __t is not null")
     doc = with_shingles(base, "__t", "doc_set", k).select("doc_id", "doc_set")
     its = stored(item_sets(items, item_id, item_text, k), "items")
-    pairs = stored(candidates(doc, its), "candidates")
+    pairs = stored(candidates(doc, its, threshold), "candidates")
     # only candidate documents come back, each with the list of its items; a Bloom filter of
     # bounded size keeps the texts of nearly all others out of the shuffle
     wanted = pairs.groupBy("doc_id").agg(F.collect_set("item_id").alias("__items"))
