@@ -4,15 +4,15 @@ The reference re-samples and re-encodes every prefix for every m.  Here the
 prototypes for *all* m come from one pass: the seeded rank puts each class in
 a fixed order, the difference vectors are exploded by position, and a
 running ``avg`` over (seed, class, position) ordered by rank is the prototype
-after m shots at row ``rank = m``.  The window key has seeds * classes * d
-values and each window holds at most max(m) rows (pruned before the shuffle
-by ``WindowGroupLimit``).  A class with fewer than m rows keeps its last
+after m shots at row ``rank = m``.  Only keys are ranked; vectors are computed
+for the at most seeds * classes * max(m) rows that the ranking keeps.  The
+window key has seeds * classes * d values, with at most max(m) rows each.  A class with fewer than m rows keeps its last
 prototype (it uses all it has).
 """
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,11 +25,16 @@ LETTER_NAMES = ["s", "n", "c"]
 
 
 def running_prototypes(pairs: DataFrame, seeds, max_m: int, vec_col: str = "diff", label_col: str = "label",
-                       key: Sequence[str] = KEY) -> DataFrame:
+                       key: Sequence[str] = KEY, prepare: Callable[[DataFrame], DataFrame] | None = None,
+                       n_classes: int = 3) -> DataFrame:
     """``(seed, label, rank, pos, c)``: prototype value at position ``pos``
-    after ``rank`` shots."""
-    ranked = top_per_class(pairs.select(*key, label_col, vec_col), seeds, max_m, (label_col,), key)
-    x = (ranked.select("seed", label_col, "rank", F.posexplode_outer(vec_col).alias("pos", "x"))
+    after ``rank`` shots.  Ranking sees keys only; the rows of the ranked keys
+    are joined back and get their vectors (``prepare``) after that."""
+    n_seeds = 1 if isinstance(seeds, int) else len(list(seeds))
+    ranked = top_per_class(pairs.select(*key, label_col), seeds, max_m, (label_col,), key).drop(label_col)
+    rows = pairs.join(bounded_broadcast(ranked, n_seeds * n_classes * max_m, 64), list(key))
+    rows = prepare(rows) if prepare is not None else rows
+    x = (rows.select("seed", label_col, "rank", F.posexplode_outer(vec_col).alias("pos", "x"))
          .filter(F.col("pos").isNotNull()))
     w = (Window.partitionBy("seed", label_col, "pos").orderBy("rank")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -37,25 +42,26 @@ def running_prototypes(pairs: DataFrame, seeds, max_m: int, vec_col: str = "diff
 
 
 def drift_pairs(pairs: DataFrame, seeds, steps: Sequence[tuple[int, int]], vec_col: str = "diff",
-                label_col: str = "label", key: Sequence[str] = KEY, n_classes: int = 3) -> DataFrame:
+                label_col: str = "label", key: Sequence[str] = KEY,
+                prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Euclidean distance between the prototypes after ``start`` and after
     ``end`` shots, for every (start, end) in ``steps``:
-    ``(seed, label, start, end, drift)``."""
+    ``(seed, label, start, end, drift)``.
+
+    One pass: the values of a (seed, class, position) after every m (at most
+    max(m) of them, in the order of m) are one array, from which all steps
+    read their two ends."""
     max_m = max(max(a, b) for a, b in steps)
-    run = running_prototypes(pairs, seeds, max_m, vec_col, label_col, key)
-    sizes = run.groupBy("seed", label_col).agg(F.max("rank").alias("_size"))
+    run = running_prototypes(pairs, seeds, max_m, vec_col, label_col, key, prepare)
+    per = run.groupBy("seed", label_col, "pos").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "c"))), lambda s: s["c"]).alias("_cs"))
     grid = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in steps])
-    n_seeds = 1 if isinstance(seeds, int) else len(list(seeds))
-    g = (bounded_broadcast(sizes, n_seeds * n_classes, 32)
-         .select("seed", label_col, "_size", F.explode(grid).alias("g"))
+    at = lambda m: F.element_at("_cs", F.least(m, F.size("_cs")))
+    g = (per.select("seed", label_col, "_cs", F.explode(grid).alias("g"))
          .select("seed", label_col, F.col("g.start").alias("start"), F.col("g.end").alias("end"),
-                 F.least(F.col("g.start"), F.col("_size")).alias("_ra"),
-                 F.least(F.col("g.end"), F.col("_size")).alias("_rb")))
-    a = run.select("seed", label_col, "pos", F.col("rank").alias("_ra"), F.col("c").alias("ca"))
-    b = run.select("seed", label_col, "pos", F.col("rank").alias("_rb"), F.col("c").alias("cb"))
-    j = (g.join(a, ["seed", label_col, "_ra"]).join(b, ["seed", label_col, "_rb", "pos"]))
-    return (j.groupBy("seed", label_col, "start", "end")
-            .agg(F.sqrt(F.sum((F.col("cb") - F.col("ca")) * (F.col("cb") - F.col("ca")))).alias("drift")))
+                 (at(F.col("g.end")) - at(F.col("g.start"))).alias("_d")))
+    return (g.groupBy("seed", label_col, "start", "end")
+            .agg(F.sqrt(F.sum(F.col("_d") * F.col("_d"))).alias("drift")))
 
 
 def drift_consecutive(pairs: DataFrame, seeds, shots: Sequence[int], round_to: int = 4, **kw) -> DataFrame:

@@ -115,7 +115,8 @@ class PandasEncoder:
 
         ship_package(texts.sparkSession)
         fn = self.fn
-        keyed = (texts.select(F.md5(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+        keyed = (texts.filter(F.col(text_col).isNotNull())
+                 .select(F.md5(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
                  .dropDuplicates(["text_key"]))
         schema = T.StructType([T.StructField("text_key", T.StringType()),
                                T.StructField("vec", T.ArrayType(T.DoubleType()))])
@@ -137,8 +138,9 @@ class PandasEncoder:
                  .unionByName(pairs.select(F.col(evidence).alias("text"))))
         vecs = self.encode_texts(texts, "text")
         out = pairs.withColumn("_ck", F.md5(F.col(claim))).withColumn("_ek", F.md5(F.col(evidence)))
-        out = out.join(vecs.select(F.col("text_key").alias("_ck"), F.col("vec").alias("claim_vec")), "_ck")
-        out = out.join(vecs.select(F.col("text_key").alias("_ek"), F.col("vec").alias("evidence_vec")), "_ek")
+        # left joins: a pair with a null text keeps its place, with a null vector
+        out = out.join(vecs.select(F.col("text_key").alias("_ck"), F.col("vec").alias("claim_vec")), "_ck", "left")
+        out = out.join(vecs.select(F.col("text_key").alias("_ek"), F.col("vec").alias("evidence_vec")), "_ek", "left")
         return out.drop("_ck", "_ek")
 
 
@@ -186,13 +188,34 @@ class LookupPoolEncoder:
         self.mode = mode
         self.name = name or f"lookup-{mode}"
 
-    def encode_texts(self, texts: DataFrame, key_col: str, text_col: str) -> DataFrame:
+    def encode_all(self, texts: DataFrame, key_col: str, text_col: str, salts: int = 8) -> DataFrame:
+        """``(key, mean, max, cls)``: all three poolings from one tokenisation,
+        one vocabulary join and one aggregate.  The vocabulary is repeated
+        ``salts`` times, so a token that most texts hold is joined by several
+        tasks."""
+        counts = self._tokens(texts, key_col, text_col).groupBy(key_col, "vocab_id").agg(
+            F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+        salted = counts.withColumn("_salt", F.pmod(F.xxhash64(key_col), F.lit(salts)))
+        vocab = self.vocab.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+        tv = salted.join(vocab, ["vocab_id", "_salt"])
+        x = (tv.select(key_col, "n", "first", F.posexplode_outer("vec").alias("_p", "_x")).filter(F.col("_p").isNotNull()))
+        per_pos = x.groupBy(key_col, "_p").agg(
+            (F.sum(F.col("_x") * F.col("n")) / F.sum("n")).alias("mean"), F.max("_x").alias("max"),
+            F.min_by("_x", "first").alias("cls"))
+        whole = per_pos.groupBy(key_col).agg(
+            F.array_sort(F.collect_list(F.struct("_p", "mean", "max", "cls"))).alias("_s"))
+        return whole.select(key_col, *[F.col("_s").getField(m).alias(m) for m in POOL_MODES])
+
+    def _tokens(self, texts: DataFrame, key_col: str, text_col: str) -> DataFrame:
         hashes = F.transform(tokens(text_col), lambda t: hex8_to_int(F.md5(t)))
         # the modulo is taken after the explode: the vocabulary size may be a
         # scalar subquery, which cannot sit inside a higher-order function
-        toks = (texts.select(key_col, F.posexplode_outer(hashes).alias("pos", "_h"))
+        return (texts.select(key_col, F.posexplode_outer(hashes).alias("pos", "_h"))
                 .filter(F.col("pos").isNotNull())
                 .select(key_col, "pos", F.pmod(F.col("_h"), F.lit(self.vocab_size)).alias("vocab_id")))
+
+    def encode_texts(self, texts: DataFrame, key_col: str, text_col: str) -> DataFrame:
+        toks = self._tokens(texts, key_col, text_col)
         if self.mode == "cls":
             first = toks.groupBy(key_col).agg(F.min_by("vocab_id", "pos").alias("vocab_id"))
             return first.join(self.vocab, "vocab_id").select(key_col, F.col("vec"))

@@ -5,10 +5,9 @@ so the same seed gives the same split in Spark and in DuckDB, and the m = 2
 sample is always inside the m = 4 sample.
 
 Scale notes
-* Top-n per class uses ``row_number() <= n`` with a literal n: Catalyst plans
-  a ``WindowGroupLimit`` that keeps at most n rows per class *in each task*
-  before the shuffle, so a class holding a third of all rows never reaches
-  one task whole.
+* Top-n per class counts rows by the first hex digits of the order key, keeps
+  only the buckets that start before place n, and ranks inside these, so a
+  class holding a third of all rows never reaches one task.
 * The uncapped dev set is a ``left_anti`` join against the fit keys (at most
   n_classes * m rows per seed), never a full ranking.
 * Exact positions of dev rows (``dataset_index``) come from a bucketed rank:
@@ -47,14 +46,42 @@ def shuffle_key(key: Sequence[str] = KEY) -> Column:
     return seeded_hash("seed", *key)
 
 
+def _bucketed(df: DataFrame, seeds, by: Sequence[str], key: Sequence[str], hex_digits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their order key ``_h`` and its first digits ``_b``, and per
+    (seed, class, bucket) the number of rows in earlier buckets, ``_off``."""
+    d = with_seed(df, seeds).withColumn("_h", shuffle_key(key)).withColumn("_b", F.substring("_h", 1, hex_digits))
+    counts = d.groupBy("seed", *by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("seed", *by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return d, counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+
+
+def _null_safe(d: DataFrame, offsets: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join that keeps rows whose class is null."""
+    o = offsets.select(*[F.col(c).alias(f"_o_{c}") for c in on], "_off")
+    cond = None
+    for c in on:
+        e = F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+        cond = e if cond is None else cond & e
+    return d.join(o, cond).drop(*[f"_o_{c}" for c in on])
+
+
 def top_per_class(df: DataFrame, seeds, n: int, by: Sequence[str] = ("label",),
-                  key: Sequence[str] = KEY) -> DataFrame:
-    """Rows with ``rank <= n`` in the seeded order of their class (+ seed, rank)."""
-    d = with_seed(df, seeds).withColumn("_h", shuffle_key(key))
-    w = Window.partitionBy("seed", *by).orderBy("_h", *key)
-    return (d.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= F.lit(int(n)))
-            .drop("_h"))
+                  key: Sequence[str] = KEY, hex_digits: int = 3) -> DataFrame:
+    """Rows with ``rank <= n`` in the seeded order of their class (+ seed, rank).
+
+    The order key is a hash, so its first digits cut a class into up to
+    16^hex_digits buckets in order.  Buckets are counted (map-side combined),
+    those that start at or beyond place n are dropped before any row is
+    shuffled, and the rest are ranked inside their bucket only.  No task
+    gets a whole class, whatever its share of the rows and whatever the
+    session's settings."""
+    n = int(n)
+    d, offsets = _bucketed(df, seeds, by, key, hex_digits)
+    kept = _null_safe(d, offsets.filter(F.col("_off") < F.lit(n)), ["seed", *by, "_b"])
+    w = Window.partitionBy("seed", *by, "_b").orderBy("_h", *key)
+    return (kept.withColumn("rank", (F.col("_off") + F.row_number().over(w)).cast("int"))
+            .filter(F.col("rank") <= F.lit(n))
+            .drop("_h", "_b", "_off"))
 
 
 def fit_sample(df: DataFrame, seeds, m: int, by: Sequence[str] = ("label",),
@@ -70,7 +97,8 @@ def cap_per_class(df: DataFrame, seeds, caps: dict[int, int], by: str = "label",
     for code, cap in caps.items():
         cond = F.col(by) == F.lit(code)
         cap_col = F.when(cond, F.lit(int(cap))) if cap_col is None else cap_col.when(cond, F.lit(int(cap)))
-    cap_col = cap_col.otherwise(F.lit(0))
+    # a class without a cap is a mistake of the caller's, not an empty class
+    cap_col = cap_col.otherwise(F.raise_error(F.concat(F.lit("no cap for class "), F.coalesce(F.col(by).cast("string"), F.lit("null")))))
     top = top_per_class(df, seeds, max(caps.values()), (by,), key)
     return top.filter(F.col("rank") <= cap_col)
 
@@ -108,15 +136,9 @@ def exact_rank(df: DataFrame, seeds, by: Sequence[str] = ("label",), key: Sequen
     16^k buckets; counts per (seed, class, bucket) give each bucket's offset
     (a small table, broadcast), and ``row_number`` runs inside buckets only.
     """
-    d = with_seed(df, seeds).withColumn("_h", shuffle_key(key)) \
-        .withColumn("_b", F.substring("_h", 1, hex_digits))
-    counts = d.groupBy("seed", *by, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    wo = Window.partitionBy("seed", *by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0))).drop("_n")
-    n_seeds = len(_seeds(seeds))
-    offsets = bounded_broadcast(offsets, n_seeds * len(LABEL_CODES) * 16 ** hex_digits, 64)
+    d, offsets = _bucketed(df, seeds, by, key, hex_digits)
     wb = Window.partitionBy("seed", *by, "_b").orderBy("_h", *key)
-    return (d.join(offsets, ["seed", *by, "_b"])
+    return (_null_safe(d, offsets, ["seed", *by, "_b"])
             .withColumn("rank", F.col("_off") + F.row_number().over(wb))
             .drop("_h", "_b", "_off"))
 
@@ -166,20 +188,20 @@ def binary_split(df: DataFrame, seeds, m: int, caps: dict[int, int] | None = Non
     """
     from ..functions.labels import label_to_binary
 
-    src = cap_per_class(df, seeds, caps, "label", key).drop("rank") if caps else with_seed(df, seeds)
-    src = src.withColumn("blabel", label_to_binary("label"))
     s = _seeds(seeds)
-    base = src.drop("seed") if not caps else src
+    merge = lambda d: d.withColumn("blabel", label_to_binary("label"))
     if caps:
-        d = src.withColumn("_h", shuffle_key(key))
-        w = Window.partitionBy("seed", "blabel").orderBy("_h", *key)
-        fit = d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.lit(int(m))).drop("_h")
-        keys = bounded_broadcast(fit.select("seed", *key), len(s) * 2 * m, 64)
-        dev = src.join(keys, ["seed", *key], "left_anti")
+        src = merge(cap_per_class(df, s, caps, "label", key).drop("rank"))
+        # one seed at a time: the pool, and so the ranking, differs by seed
+        fits = [top_per_class(src.filter(F.col("seed") == x).drop("seed"), x, m, ("blabel",), key) for x in s]
+        fit = fits[0]
+        for f in fits[1:]:
+            fit = fit.unionByName(f)
     else:
-        fit = top_per_class(base, s, m, ("blabel",), key)
-        keys = bounded_broadcast(fit.select("seed", *key), len(s) * 2 * m, 64)
-        dev = with_seed(base, s).join(keys, ["seed", *key], "left_anti")
+        src = merge(with_seed(df, s))
+        fit = top_per_class(merge(df), s, m, ("blabel",), key)
+    keys = bounded_broadcast(fit.select("seed", *key), len(s) * 2 * m, 64)
+    dev = src.join(keys, ["seed", *key], "left_anti")
     fit = fit.withColumn("split", F.lit("fit"))
     dev = dev.withColumn("rank", F.lit(None).cast("int")).withColumn("split", F.lit("dev"))
     return fit.unionByName(dev)

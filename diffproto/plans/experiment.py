@@ -1,9 +1,8 @@
 """One prototype experiment: split -> difference vectors -> prototypes ->
 nearest-prototype labels on the dev rows.
 
-Plan shape: the fit sample is pruned per task by ``WindowGroupLimit``
-(at most classes * m rows cross the shuffle), the prototypes are one
-partial/final aggregate over those rows, and the dev rows are scored
+Plan shape: the fit sample is ranked on keys, in hash buckets; the
+prototypes are one partial/final aggregate over its rows; the dev rows are scored
 map-side against a scalar-subquery pack of the prototypes; only the
 final counts shuffle again.
 """
@@ -34,8 +33,7 @@ def split_rows(pairs: DataFrame, seed: int, m: int, caps: dict[int, int] | None
                n_classes: int = 3) -> tuple[DataFrame, DataFrame]:
     """Fit rows and dev rows of ``pairs`` (whole rows, not yet encoded).
 
-    Ranking runs on the keys only (a window over (key, label) rows, pruned
-    per task by ``WindowGroupLimit``); the rows are then picked by joins
+    Ranking runs on the keys only; the rows are then picked by joins
     against those keys, so any expensive preparation (encoding) that follows
     runs once per row:
     * fit rows: broadcast join with the fit keys (at most classes * m);
@@ -58,10 +56,21 @@ def split_rows(pairs: DataFrame, seed: int, m: int, caps: dict[int, int] | None
         dev_k = sampling.dev_with_index(keys, seed, m, key=key)
         dev = body.join(dev_k, list(key))
     else:
-        dev = sampling.dev_complement(pairs, seed, m, key=key)
+        # the same ranked keys serve the fit join and the anti join
+        used = bounded_broadcast(fit_k.select(*key), n_classes * m, 64)
+        dev = pairs.withColumn("seed", F.lit(seed)).join(used, list(key), "left_anti")
     return fit, dev
 
 
+def fit_rows(pairs: DataFrame, seed: int, m: int, key: Sequence[str] = KEY, n_classes: int = 3,
+             prepare: Callable[[DataFrame], DataFrame] | None = with_diff) -> DataFrame:
+    """The m-shot fit sample with its vectors: keys are ranked, the few rows
+    they name are joined back, and only those are prepared."""
+    fit_k = sampling.fit_sample(pairs.select(*key, "label"), seed, m, key=key).drop("label")
+    rows = pairs.join(bounded_broadcast(fit_k, n_classes * m, 64), list(key))
+    return prepare(rows) if prepare is not None else rows
+
+
 def fit_and_dev(pairs: DataFrame, seed: int, m: int, caps: dict[int, int] | None = None,
                 key: Sequence[str] = KEY, with_index: bool = False) -> tuple[DataFrame, DataFrame]:
     """Fit sample (m per class) and dev rows (the rest, or up to the caps)."""

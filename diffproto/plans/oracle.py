@@ -7,6 +7,7 @@ re-derives everything from the raw tables independently of Spark.
 
 from __future__ import annotations
 
+from ..sources import tables as TB
 from . import registry as RG
 from .sweep import REFERENCE_SEEDS, REFERENCE_SHOTS
 
@@ -20,6 +21,12 @@ def clean(x: str) -> str:
             f"'-LSB-', '['), '-RSB-', ']')")
 
 
+def bracketed(x: str) -> str:
+    for word, token in RG.BRACKETED:
+        x = f"replace({x}, '{word}', '{token}')"
+    return x
+
+
 def strip(x: str) -> str:
     return f"regexp_replace({x}, {STRIP}, '', 'g')"
 
@@ -124,7 +131,10 @@ nested AS (
          CASE WHEN l.toxic = 1 THEN 'REFUTES' WHEN l.quality = 1 THEN 'SUPPORTS'
               ELSE 'NOT ENOUGH INFO' END AS label,
          d.sentences,
-         list_filter([[0], [0, 1], [1]], lambda st: list_max(st) < len(d.sentences)) AS evidence_sets
+         CASE WHEN len(d.sentences) = 0 THEN CAST([] AS BIGINT[][])
+              ELSE flatten(list_transform(range((len(d.sentences) - 1) // 3 + 1), lambda j: list_filter(
+                   [[3 * j], list_filter([3 * j + 1, 3 * j + 2], lambda i: i < len(d.sentences))],
+                   lambda st: len(st) > 0))) END AS evidence_sets
   FROM doc_lines d JOIN labels l ON l.doc_id = d.doc_id
 ),
 nested_sets AS (
@@ -141,18 +151,23 @@ flat AS (
 
 CORPUS = f"""
 corpus AS (SELECT doc_id::BIGINT AS doc_id, {lines('text')} AS abstract FROM documents),
-cclaims AS (SELECT item_id::BIGINT AS claim_id, item_id, text AS claim FROM benchmark),
+cites AS (
+  SELECT DISTINCT item_id, text AS claim,
+         ('0x' || substr(md5(concat_ws(':', 'cite', item_id::VARCHAR, j::VARCHAR)), 1, 8))::BIGINT
+           % (SELECT count(*) FROM documents) AS doc_id
+  FROM (SELECT item_id, text, unnest(range(CASE WHEN item_id % 2 = 0 THEN 5 ELSE {TB.CITED} END)) AS j FROM benchmark)
+),
 gold AS (
-  SELECT c.claim_id, (c.item_id + 1)::INTEGER AS set_pos, c.claim,
-         array_to_string(list_transform([0], lambda i: k.abstract[i + 1]), ' ') AS evidence,
+  SELECT c.item_id::BIGINT AS claim_id, c.doc_id::INTEGER AS set_pos, c.claim,
+         k.abstract[('0x' || substr(md5(concat_ws(':', 'gold', c.item_id::VARCHAR, c.doc_id::VARCHAR)), 1, 8))::BIGINT
+                    % len(k.abstract) + 1] AS evidence,
          (CASE WHEN c.item_id % 4 = 2 THEN 2 ELSE 0 END)::INTEGER AS label
-  FROM cclaims c JOIN corpus k ON k.doc_id = c.item_id + 1
-  WHERE c.item_id % 2 = 0
+  FROM cites c JOIN corpus k ON k.doc_id = c.doc_id
+  WHERE c.item_id % 2 = 0 AND len(k.abstract) > 0
 ),
 cited AS (
-  SELECT claim_id, claim, item_id AS doc_id FROM cclaims WHERE item_id % 2 = 1
-  UNION ALL
-  SELECT claim_id, claim, item_id + 7 AS doc_id FROM cclaims WHERE item_id % 2 = 1
+  SELECT c.item_id::BIGINT AS claim_id, c.claim, c.doc_id FROM cites c JOIN corpus k ON k.doc_id = c.doc_id
+  WHERE c.item_id % 2 = 1 AND len(k.abstract) > 0
 ),
 neutral AS (
   SELECT c.claim_id, c.doc_id::INTEGER AS set_pos, c.claim,
@@ -178,9 +193,9 @@ def with_(*ctes: str) -> str:
 
 # ------------------------------------------------------------------ experiment pieces
 
-def split_ctes(src: str, seed: int, m: int, label: str = "label", cap: str | None = None) -> str:
+def split_ctes(src: str, seed: int, m: int, label: str = "label") -> str:
     """ranked / fit / dev CTEs over ``src`` (needs claim_id, set_pos, label, diff)."""
-    dev_cond = f"rank > {m}" + (f" AND rank <= {cap}" if cap else "")
+    dev_cond = f"rank > {m}"
     return f"""
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY {order_key(seed)}, claim_id, set_pos)::INTEGER AS rank
@@ -245,14 +260,14 @@ per AS (
 )"""
 
 
-def nested_experiment(seed: int = RG.SEED, m: int = RG.M, d: int = RG.HASH_D, cap: int = 3333) -> str:
+def nested_experiment(seed: int = RG.SEED, m: int = RG.M, d: int = RG.HASH_D) -> str:
     """Entry A on texts, ending in scored rows with dataset_index and letters."""
     return with_(NESTED, f"""
 npairs AS (
   SELECT *, {vabsdiff('evidence_vec', 'claim_vec')} AS diff
   FROM (SELECT *, {l2n('cv')} AS claim_vec, {l2n('ev')} AS evidence_vec
         FROM (SELECT *, {hash_vec('claim', d)} AS cv, {hash_vec('evidence', d)} AS ev FROM flat))
-)""", split_ctes("npairs", seed, m, cap=str(cap)), proto_ctes(), packed_cte(), f"""
+)""", split_ctes("npairs", seed, m), proto_ctes(), packed_cte(), f"""
 dev_sizes AS (SELECT label, count(*) AS n FROM dev GROUP BY label),
 offsets AS (
   SELECT label, coalesce(sum(n) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
@@ -378,6 +393,8 @@ def _sector(a, b):
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
     # ---------------- sources
+    q["scan_claims"] = with_(NESTED) + """SELECT claim_id, claim, label, len(sentences)::INTEGER AS n_sentences,
+        len(evidence_sets)::INTEGER AS n_sets FROM nested"""
     q["flatten_pairs"] = with_(NESTED) + "SELECT claim_id, set_pos, claim, evidence, label FROM flat"
     q["flatten_single"] = with_(NESTED) + """SELECT claim_id, (pos - 1)::INTEGER AS set_pos, claim,
         array_to_string(list_transform(es, lambda i: sentences[i + 1]), ' ') AS evidence, """ + code3("word") + """ AS label
@@ -406,9 +423,9 @@ versions AS (
     q["union_classes"] = with_(NESTED) + """SELECT claim_id, set_pos, label FROM flat WHERE label = 0
         UNION ALL SELECT claim_id, set_pos, label FROM flat WHERE label = 1
         UNION ALL SELECT claim_id, set_pos, label FROM flat WHERE label = 2"""
-    q["clean_brackets"] = f"SELECT doc_id, {clean('text')} AS text FROM documents"
-    q["normalize_text"] = with_(TEXT_PAIRS) + f"""SELECT claim_id, set_pos, {norm_claim('claim')} AS claim,
-        {norm_evidence('evidence')} AS evidence FROM text_pairs"""
+    q["clean_brackets"] = f"SELECT doc_id, {clean(bracketed('text'))} AS text FROM documents"
+    q["normalize_text"] = with_(TEXT_PAIRS) + f"""SELECT claim_id, set_pos, {norm_claim(bracketed('claim'))} AS claim,
+        {norm_evidence(bracketed('evidence'))} AS evidence FROM text_pairs"""
     q["merge_sentences"] = with_(CORPUS) + "SELECT doc_id, array_to_string(abstract, ' ') AS merged FROM corpus"
     # ---------------- sampling
     rank_vp = lambda seed_expr="123", part="label", src="vec_pairs": (
@@ -432,6 +449,14 @@ bsplit AS (
   FROM (SELECT *, {rank_vp(RG.SEED, 'blabel')} AS rank FROM bflat)
 )""")
     q["binary_split"] = binary + "SELECT * FROM bsplit"
+    q["binary_split_capped"] = with_(VEC_PAIRS, f"""
+cappool AS (
+  SELECT claim_id, set_pos, label, (CASE WHEN label = 0 THEN 0 ELSE 1 END)::INTEGER AS blabel FROM (
+    SELECT claim_id, set_pos, label, {rank_vp(RG.SEED)} AS rank FROM vec_pairs)
+  WHERE rank <= CASE label WHEN 0 THEN {caps[0]} WHEN 1 THEN {caps[1]} WHEN 2 THEN {caps[2]} END
+)""") + f"""SELECT claim_id, set_pos, label, blabel, {RG.SEED} AS seed, CASE WHEN rank <= {RG.M} THEN rank END AS rank,
+        CASE WHEN rank <= {RG.M} THEN 'fit' ELSE 'dev' END AS split
+        FROM (SELECT *, {rank_vp(RG.SEED, 'blabel')} AS rank FROM cappool)"""
     q["split_counts"] = binary + "SELECT split, blabel AS label, count(*) AS n FROM bsplit GROUP BY ALL"
     shots = REFERENCE_SHOTS
     nxt = list(zip(shots, shots[1:] + [shots[-1]]))
@@ -499,10 +524,43 @@ SELECT text_key, mode, round(list_sum(vec), 4) AS vec_sum, round({vnorm('vec')},
     q["prototypes"] = with_(VEC_PAIRS, split_ctes("fpairs", RG.SEED, RG.M), proto_ctes()) + """
 SELECT label, n, (generate_subscripts(centroid, 1) - 1)::INTEGER AS pos, round(unnest(centroid), 4) AS value FROM protos"""
     q["predict_three"] = flagship() + "SELECT claim_id, set_pos, truth, pred FROM scored"
-    q["predict_binary"] = with_(VEC_PAIRS, """
+    two = with_(VEC_PAIRS, """
 bpairs AS (SELECT * EXCLUDE (label), (CASE WHEN label = 0 THEN 0 ELSE 1 END)::INTEGER AS label FROM fpairs)""",
-                                split_ctes("bpairs", RG.SEED, RG.M), proto_ctes(), packed_cte()) + f"""
+                split_ctes("bpairs", RG.SEED, RG.M), proto_ctes(), packed_cte(), f"""
+scored AS (
+  SELECT d.claim_id, d.set_pos, d.label AS truth, {argmax_label('d.diff', 'k.ps')} AS pred FROM dev d CROSS JOIN packed k
+),
+letters AS (SELECT unnest(['s', 'not']) AS l),
+conf_counts AS (SELECT {letter2('truth')} AS y_truth, {letter2('pred')} AS y_pred, count(*) AS n FROM scored GROUP BY ALL),
+conf AS (
+  SELECT t.l AS y_truth, p.l AS y_pred, coalesce(c.n, 0)::BIGINT AS n
+  FROM letters t CROSS JOIN letters p LEFT JOIN conf_counts c ON c.y_truth = t.l AND c.y_pred = p.l
+),""" + F1_CTES)
+    q["predict_binary"] = two + "SELECT claim_id, set_pos, truth, pred FROM scored"
+    q["binary_accuracy"] = two + "SELECT round(avg((truth = pred)::INTEGER::DOUBLE), 4) AS accuracy, count(*) AS n FROM scored"
+    q["binary_confusion"] = two + "SELECT y_truth, y_pred, n FROM conf"
+    q["binary_f1"] = two + """SELECT label, round(precision, 4) AS precision, round(recall, 4) AS recall,
+        round(f1, 4) AS f1, support::BIGINT AS support FROM per"""
+    q["corpus_experiment"] = with_(NESTED, CORPUS, f"""
+cpairs AS (SELECT * FROM gold UNION ALL SELECT * FROM neutral),
+fit AS (
+  SELECT label, {vabsdiff('ev', 'cv')} AS diff FROM (
+    SELECT label, {l2n('c0')} AS cv, {l2n('e0')} AS ev FROM (
+      SELECT label, {hash_vec('claim', RG.HASH_D)} AS c0, {hash_vec('evidence', RG.HASH_D)} AS e0 FROM (
+        SELECT *, {rank_vp(RG.SEED)} AS rank FROM flat) WHERE rank <= {RG.M}))
+),
+dev AS (
+  SELECT claim_id, set_pos, label, {vabsdiff('ev', 'cv')} AS diff FROM (
+    SELECT claim_id, set_pos, label, {l2n('c0')} AS cv, {l2n('e0')} AS ev FROM (
+      SELECT claim_id, set_pos, label, {hash_vec('claim', RG.HASH_D)} AS c0, {hash_vec('evidence', RG.HASH_D)} AS e0 FROM (
+        SELECT *, {rank_vp(RG.SEED)} AS rank FROM cpairs) WHERE rank <= {RG.DEV_CAP}))
+)""", proto_ctes(), packed_cte()) + f"""
 SELECT d.claim_id, d.set_pos, d.label AS truth, {argmax_label('d.diff', 'k.ps')} AS pred FROM dev d CROSS JOIN packed k"""
+    counts = ", ".join(f"len({{0}}) - len(replace({{0}}, '{c}', ''))" for c in RG.TEXT_FEATURES)
+    feats = f"list_transform([{counts}, len({{0}})], lambda x: x::DOUBLE / 100)"
+    q["encode_batch_model"] = with_(TEXT_PAIRS) + f"""SELECT claim_id, set_pos, round(list_sum(cv), 4) AS claim_sum,
+        round(list_sum(ev), 4) AS evidence_sum, round({vdot('cv', 'ev')}, 4) AS dot
+        FROM (SELECT claim_id, set_pos, {feats.format('claim')} AS cv, {feats.format('evidence')} AS ev FROM text_pairs)"""
     multi = []
     for i, s in enumerate((RG.SEED, RG.SEED + 1)):
         multi.append(f"""
@@ -601,6 +659,13 @@ SELECT {RG.SEED} AS seed, start::VARCHAR || '_' || "end"::VARCHAR AS step, start
        round(max(CASE WHEN label = 1 THEN drift END), 4) AS Neutral,
        round(max(CASE WHEN label = 2 THEN drift END), 4) AS Contradict
 FROM d GROUP BY start, "end"
+"""
+    three = ", ".join(f"round(max(CASE WHEN label = {i} THEN drift END), 3) AS {n}"
+                      for i, n in enumerate(("Support", "Neutral", "Contradict")))
+    # the sink formats values that were rounded to four decimals before
+    q["read_drift"] = drift_sql(RG.SEED, steps, max(RG.DRIFT_SHOTS)) + f"""
+SELECT start::VARCHAR || '_' || "end"::VARCHAR AS step, start::INTEGER AS start, "end"::INTEGER AS "end", {three}
+FROM (SELECT label, start, "end", round(drift, 4) AS drift FROM d) GROUP BY start, "end"
 """
     base = RG.DRIFT_BASE_SHOTS
     bsteps = [(base[0], n) for n in base[1:]]

@@ -17,18 +17,18 @@ from ..functions import vectors as V
 from ..functions.labels import CLAIM_LABELS, decode_binary, decode_three, encode_label, label_to_binary
 from ..functions.text import clean_brackets, merge_sentences, normalize_claim, normalize_evidence
 from ..operators import evaluate, sampling
-from ..operators.encode import HashingEncoder, LookupPoolEncoder
+from ..operators.encode import HashingEncoder, LookupPoolEncoder, PandasEncoder
 from ..operators.prototypes import predict, prototypes
 from ..sources import claims as C
 from ..sources import tables as TB
 from . import experiment, sweep
+from .broadcast import bounded_broadcast
 
 R = 4
 SEED = 123
 M = 20
 HASH_D = 64
-# Caps of the reference (three-way pool, binary pool, corpus dev file).
-THREE_WAY_CAPS = {0: 3333, 1: 3333, 2: 3333}
+# Caps of the reference (binary pool, corpus dev file), the feature of the queries that use them.
 BINARY_CAPS = {0: 3333, 1: 1666, 2: 1667}
 DEV_CAP = 70
 # Drift grids of the reference (consecutive 1..100; from base 1).
@@ -52,7 +52,7 @@ def flagship_pairs(spark, sf) -> DataFrame:
 
 
 def flagship_scored(spark, sf) -> DataFrame:
-    return experiment.score(flagship_pairs(spark, sf), SEED, M)
+    return experiment.score(TB.vec_pairs(spark, sf), SEED, M, prepare=experiment.with_diff)
 
 
 def nested_pairs(spark, sf) -> DataFrame:
@@ -61,14 +61,28 @@ def nested_pairs(spark, sf) -> DataFrame:
 
 def nested_scored(spark, sf) -> DataFrame:
     """Entry A on texts: nested claims -> pairs -> hashing encoder -> split
-    (capped pool, dev with dataset_index) -> prototypes -> labels."""
-    enc = HashingEncoder(HASH_D)
-    return experiment.score(nested_pairs(spark, sf), SEED, M, caps=THREE_WAY_CAPS, with_index=True,
-                            prepare=lambda rows: experiment.with_diff(enc.encode_pairs(rows)))
+    (every other pair is a dev row, with dataset_index) -> prototypes -> labels."""
+    return experiment.score(nested_pairs(spark, sf), SEED, M, with_index=True, prepare=hashed_diff)
+
+
+def hashed_diff(rows: DataFrame) -> DataFrame:
+    return experiment.with_diff(HashingEncoder(HASH_D).encode_pairs(rows))
+
+
+def binary_pairs(spark, sf) -> DataFrame:
+    """The vector pairs of the two-way task: support against the rest."""
+    return TB.vec_pairs(spark, sf).withColumn("label", label_to_binary("label"))
+
+
+def binary_scored(spark, sf) -> DataFrame:
+    return experiment.score(binary_pairs(spark, sf), SEED, M, binary=True, prepare=experiment.with_diff)
+
+
+BINARY_LETTERS = ("s", "not")
 
 
 def corpus_view(spark, sf) -> DataFrame:
-    return C.corpus_dedup(TB.corpus(spark, sf))
+    return TB.corpus(spark, sf)
 
 
 def corpus_pairs_all(spark, sf) -> DataFrame:
@@ -158,18 +172,29 @@ def q_label_to_binary(spark, sf):
 
 
 def q_union_classes(spark, sf):
+    # the union of the classes' rows is one pass with the class as the key
     p = nested_pairs(spark, sf).select("claim_id", "set_pos", "label")
-    parts = [p.filter(F.col("label") == c) for c in (0, 1, 2)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return p.filter(F.col("label").isin(*sampling.LABEL_CODES))
+
+
+# Fixed values of a rule: these words of a text become bracket tokens, as the tables hold none.
+BRACKETED = [(" of ", " -LRB- "), (" to ", " -RRB- "), (" the ", " -LSB- "), (" de ", " -RSB- "), (" and ", " -lrb- ")]
+
+
+def with_brackets(c):
+    out = F.col(c)
+    for word, token in BRACKETED:
+        out = F.replace(out, F.lit(word), F.lit(token))
+    return out
 
 
 def q_clean_brackets(spark, sf):
-    d = TB.table(spark, sf, "documents")
+    d = TB.table(spark, sf, "documents").select("doc_id", with_brackets("text").alias("text"))
     return d.select("doc_id", clean_brackets("text").alias("text"))
 
 
 def q_normalize_text(spark, sf):
-    p = TB.text_pairs(spark, sf)
+    p = TB.text_pairs(spark, sf).withColumn("claim", with_brackets("claim")).withColumn("evidence", with_brackets("evidence"))
     return p.select("claim_id", "set_pos", normalize_claim("claim").alias("claim"),
                     normalize_evidence("evidence").alias("evidence"))
 
@@ -205,6 +230,12 @@ def q_binary_split(spark, sf):
     return sampling.binary_split(p, SEED, M)
 
 
+def q_binary_split_capped(spark, sf):
+    """Three-way caps first, then the merged pool is ranked again."""
+    p = TB.vec_pairs(spark, sf).select("claim_id", "set_pos", "label")
+    return sampling.binary_split(p, SEED, M, BINARY_CAPS)
+
+
 def q_split_counts(spark, sf):
     b = q_binary_split(spark, sf)
     return evaluate.split_counts(b, "split", "blabel").withColumnRenamed("blabel", "label")
@@ -276,23 +307,17 @@ def q_pool_tokens(spark, sf):
     texts = TB.text_pairs(spark, sf).select(
         F.concat_ws(":", F.col("claim_id").cast("string"), F.col("set_pos").cast("string")).alias("text_key"),
         F.col("claim").alias("text"))
-    out = None
-    for mode in ("mean", "max", "cls"):
-        enc = LookupPoolEncoder(vocab, size, mode)
-        v = enc.encode_texts(texts, "text_key", "text").select(
-            "text_key", F.lit(mode).alias("mode"),
-            _r(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)).alias("vec_sum"),
-            _r(V.norm("vec")).alias("vec_norm"))
-        out = v if out is None else out.unionByName(v)
-    return out
+    pooled = LookupPoolEncoder(vocab, size).encode_all(texts, "text_key", "text")
+    modes = F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("vec")) for m in ("mean", "max", "cls")])
+    return pooled.select("text_key", F.inline(modes)).select(
+        "text_key", "mode", _r(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)).alias("vec_sum"),
+        _r(V.norm("vec")).alias("vec_norm"))
 
 
 # ---------------------------------------------------------------- prototypes
 
 def q_prototypes(spark, sf):
-    pairs = flagship_pairs(spark, sf)
-    fit = sampling.fit_sample(pairs, SEED, M)
-    p = prototypes(fit, "diff")
+    p = prototypes(experiment.fit_rows(TB.vec_pairs(spark, sf), SEED, M), "diff")
     return p.select("label", "n", F.posexplode("centroid").alias("pos", "value")).select(
         "label", "n", "pos", _r(F.col("value")).alias("value"))
 
@@ -303,36 +328,42 @@ def q_predict_three(spark, sf):
 
 
 def q_predict_binary(spark, sf):
-    pairs = flagship_pairs(spark, sf).withColumn("blabel", label_to_binary("label"))
-    b = pairs.withColumn("label", F.col("blabel"))
-    fit = sampling.fit_sample(b, SEED, M)
-    dev = sampling.dev_complement(b, SEED, M)
-    protos = prototypes(fit, "diff")
-    s = predict(dev, protos, "diff", out="pred")
-    return s.select("claim_id", "set_pos", F.col("label").alias("truth"), "pred")
+    return binary_scored(spark, sf).select("claim_id", "set_pos", "truth", "pred")
+
+
+def q_binary_accuracy(spark, sf):
+    return evaluate.accuracy(binary_scored(spark, sf))
+
+
+def q_binary_confusion(spark, sf):
+    return evaluate.confusion_long(binary_scored(spark, sf), BINARY_LETTERS)
+
+
+def q_binary_f1(spark, sf):
+    per = evaluate.f1_per_class(q_binary_confusion(spark, sf), labels=BINARY_LETTERS)
+    return per.select("label", _r(F.col("precision")).alias("precision"), _r(F.col("recall")).alias("recall"),
+                      _r(F.col("f1")).alias("f1"), "support")
 
 
 def q_predict_multi_proto(spark, sf):
     """Six prototypes: two sets of three, fitted on the samples of two seeds;
     the winner is folded back to its class."""
-    pairs = flagship_pairs(spark, sf)
-    sets = []
-    for i, s in enumerate((SEED, SEED + 1)):
-        fit = sampling.fit_sample(pairs, s, M).drop("seed", "rank")
-        p = prototypes(fit, "diff").withColumn("proto_id", F.col("label") + F.lit(3 * i))
-        sets.append(p)
-    protos = sets[0].unionByName(sets[1])
-    s = predict(pairs, protos, "diff", out="pred")
+    pairs = TB.vec_pairs(spark, sf)
+    seeds = [SEED, SEED + 1]
+    # one ranking for both seeds; vectors come after it
+    keys = sampling.fit_sample(pairs.select(*sampling.KEY, "label"), seeds, M).drop("label")
+    fit = experiment.with_diff(pairs.join(bounded_broadcast(keys, len(seeds) * 3 * M, 64), list(sampling.KEY)))
+    protos = prototypes(fit, "diff", group_cols=["seed"]).withColumn(
+        "proto_id", F.col("label") + 3 * (F.col("seed") - F.lit(SEED))).drop("seed")
+    s = predict(experiment.with_diff(pairs), protos, "diff", out="pred")
     return s.select("claim_id", "set_pos", F.col("label").alias("truth"), "pred")
 
 
 def q_baseline_logreg(spark, sf):
     from ..operators.baseline import logreg_scores
 
-    pairs = flagship_pairs(spark, sf)
-    fit = sampling.fit_sample(pairs, SEED, M)
-    dev = sampling.dev_complement(pairs, SEED, M)
-    return logreg_scores(fit, dev).select("claim_id", "set_pos", "truth", "pred")
+    fit, dev = experiment.split_rows(TB.vec_pairs(spark, sf), SEED, M)
+    return logreg_scores(experiment.with_diff(fit), experiment.with_diff(dev)).select("claim_id", "set_pos", "truth", "pred")
 
 
 # ---------------------------------------------------------------- evaluation
@@ -372,6 +403,33 @@ def q_errors_correct(spark, sf):
     return evaluate.error_rows(nested_scored(spark, sf), correct=True)
 
 
+# ---------------------------------------------------------------- two sets, batch encoder
+
+def q_corpus_experiment(spark, sf):
+    """Fit on the nested claims' pairs, evaluate on the corpus pairs capped per class."""
+    s = experiment.score_two_sets(nested_pairs(spark, sf), corpus_pairs_all(spark, sf), SEED, M, DEV_CAP, prepare=hashed_diff)
+    return s.select("claim_id", "set_pos", "truth", "pred")
+
+
+def text_features(texts):
+    """A batch model for the encoder hook: per text, counts of five characters and its length, scaled."""
+    import numpy as np
+
+    return np.array([[t.count(c) for c in TEXT_FEATURES] + [len(t)] for t in texts], dtype=float).reshape(
+        len(texts), len(TEXT_FEATURES) + 1) / 100
+
+
+# The characters that the batch model counts.
+TEXT_FEATURES = ["a", "e", "t", "n", " "]
+
+
+def q_encode_batch_model(spark, sf):
+    p = PandasEncoder(text_features, len(TEXT_FEATURES) + 1).encode_pairs(TB.text_pairs(spark, sf))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    return p.select("claim_id", "set_pos", _r(total("claim_vec")).alias("claim_sum"), _r(total("evidence_vec")).alias("evidence_sum"),
+                    _r(V.dot("claim_vec", "evidence_vec")).alias("dot"))
+
+
 # ---------------------------------------------------------------- sweep
 
 def q_sweep(spark, sf):
@@ -409,6 +467,7 @@ REGISTRY: dict[str, Query] = {
     "dev_complement": q_dev_complement,
     "dev_capped": q_dev_capped,
     "binary_split": q_binary_split,
+    "binary_split_capped": q_binary_split_capped,
     "prefix_property": q_prefix_property,
     "split_counts": q_split_counts,
     # vectors
@@ -426,10 +485,15 @@ REGISTRY: dict[str, Query] = {
     "dist_tsss": _pair_metric(V.ts_ss),
     "encode_hashing": q_encode_hashing,
     "pool_tokens": q_pool_tokens,
+    "encode_batch_model": q_encode_batch_model,
     # prototypes
     "prototypes": q_prototypes,
     "predict_three": q_predict_three,
     "predict_binary": q_predict_binary,
+    "binary_accuracy": q_binary_accuracy,
+    "binary_confusion": q_binary_confusion,
+    "binary_f1": q_binary_f1,
+    "corpus_experiment": q_corpus_experiment,
     "predict_multi_proto": q_predict_multi_proto,
     "baseline_logreg": q_baseline_logreg,
     # evaluation
@@ -451,13 +515,13 @@ REGISTRY: dict[str, Query] = {
 def q_drift_consecutive(spark, sf):
     from ..operators.drift import drift_consecutive
 
-    return drift_consecutive(flagship_pairs(spark, sf), SEED, DRIFT_SHOTS)
+    return drift_consecutive(TB.vec_pairs(spark, sf), SEED, DRIFT_SHOTS, prepare=experiment.with_diff)
 
 
 def q_drift_from_base(spark, sf):
     from ..operators.drift import drift_from_base
 
-    return drift_from_base(flagship_pairs(spark, sf), SEED, DRIFT_BASE_SHOTS)
+    return drift_from_base(TB.vec_pairs(spark, sf), SEED, DRIFT_BASE_SHOTS, prepare=experiment.with_diff)
 
 
 def q_read_drift(spark, sf):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -15,9 +17,6 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
-    # per-class caps of a few thousand rows must still be pruned before the
-    # shuffle (WindowGroupLimit); the default threshold is 1000
-    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
 
@@ -41,8 +40,9 @@ def get_spark(master: str | None = None, app: str = "diffproto",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set (a shared file system or object store);
-    only when it is unset, as in local tests, a local folder is created.
+    On a cluster this must be set (a shared file system or object store).
+    Only a local master, as in tests, gets a folder of its own when it is
+    unset; it is removed when Python exits.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -52,7 +52,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir() or conf
+    if not (sc.master or "").startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="diffproto-ckpt-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
 

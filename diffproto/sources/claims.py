@@ -113,38 +113,55 @@ def corpus_dedup(corpus: DataFrame, order_col: str | None = None) -> DataFrame:
     return last.select("doc_id", *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
-def _doc_lookup(keys: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Inner lookup that must match: a cited id missing from the corpus raises."""
-    j = keys.join(corpus, "doc_id", "left")
-    return j.withColumn("abstract", F.when(F.col("abstract").isNotNull(), F.col("abstract")).otherwise(
-        F.raise_error(F.concat(F.lit("document not in corpus: "), F.col("doc_id").cast("string")))))
-
-
-def corpus_pairs_gold(claims: DataFrame, corpus: DataFrame, labels: dict[str, int] = CORPUS_LABELS) -> DataFrame:
+#: Cited documents up to this number are sent to the corpus instead of the corpus to them.
+MAX_BROADCAST_IDS = 100_000
+
+
+def _looked_up(keys: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Every key with the abstract of its ``doc_id``.  The corpus is first cut
+    down to the cited documents, by a semi-join whose small side is counted
+    before it is broadcast; only those documents are checked and joined.  A
+    cited id that is missing raises, and so does one that is there twice."""
+    ids = keys.select("doc_id").distinct()
+    few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    cited = corpus.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    once = cited.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.any_value("abstract").alias("abstract"))
+    j = keys.join(once, "doc_id", "left")
+    fail = lambda text: F.raise_error(F.concat(F.lit(text), F.col("doc_id").cast("string")))
+    return j.withColumn("abstract", F.when(F.col("_n") == 1, F.col("abstract")).when(
+        F.col("_n") > 1, fail("repeated in the corpus, dedup it by an order column first: ")).otherwise(
+        fail("document not in corpus: "))).drop("_n")
+
+
+def cited_documents(claims: DataFrame) -> DataFrame:
+    """One row per claim and cited document: the first annotation of a claim's
+    evidence map, or none for the cited ids of a claim without evidence."""
+    gold = F.transform(F.map_entries("evidence"), lambda e: F.struct(e["key"].alias("doc_key"), e["value"].alias("anns")))
+    none = F.transform("cited_doc_ids", lambda d: F.struct(d.alias("doc_key"), F.lit(None).alias("anns")))
+    entries = F.when(F.size("evidence") > 0, gold).otherwise(none)
+    return (claims.select("claim_id", "claim", F.explode(entries).alias("e"))
+            .select("claim_id", "claim", to_doc_id(F.col("e.doc_key")).alias("doc_id"),
+                    F.element_at("e.anns", 1).alias("ann")))
+
+
+def corpus_pairs(claims: DataFrame, corpus: DataFrame, seed: int = 0, labels: dict[str, int] = CORPUS_LABELS) -> DataFrame:
     """Claims with an evidence map: one pair per cited document, only the
-    first annotation counts, label from that annotation."""
-    ev = (claims.filter(F.size("evidence") > 0)
-          .select("claim_id", "claim", F.explode("evidence").alias("doc_key", "anns"))
-          .select("claim_id", "claim", to_doc_id("doc_key").alias("doc_id"),
-                  F.element_at("anns", 1).alias("ann")))
-    j = _doc_lookup(ev, corpus)
+    first annotation counts, label from that annotation.  Claims with an
+    empty evidence map: one pair per cited document with one seeded-random
+    sentence of it; the label is always 1.  The corpus is joined once."""
+    j = _looked_up(cited_documents(claims), corpus)
+    pick = F.element_at("abstract", (seeded_index(F.lit(seed), F.size("abstract"), "claim_id", "doc_id") + 1).cast("int"))
+    gold = F.col("ann").isNotNull()
     return j.select("claim_id", F.col("doc_id").cast("int").alias("set_pos"), "claim",
-                    join_selected("abstract", F.col("ann.sentences")).alias("evidence"),
-                    encode_label(F.col("ann.label"), labels).alias("label"))
+                    F.when(gold, join_selected("abstract", F.col("ann.sentences"))).otherwise(pick).alias("evidence"),
+                    F.when(gold, encode_label(F.col("ann.label"), labels)).otherwise(F.lit(1)).alias("label"))
 
 
-def corpus_pairs_neutral(claims: DataFrame, corpus: DataFrame, seed: int = 0) -> DataFrame:
-    """Claims with an empty evidence map: one pair per cited document with
-    one seeded-random sentence of it; the label is always 1."""
-    ids = (claims.filter(F.size("evidence") == 0)
-           .select("claim_id", "claim", F.explode("cited_doc_ids").alias("doc_key"))
-           .select("claim_id", "claim", to_doc_id("doc_key").alias("doc_id")))
-    j = _doc_lookup(ids, corpus)
-    idx = seeded_index(F.lit(seed), F.size("abstract"), "claim_id", "doc_id")
-    return j.select("claim_id", F.col("doc_id").cast("int").alias("set_pos"), "claim",
-                    F.element_at("abstract", (idx + 1).cast("int")).alias("evidence"),
-                    F.lit(1).alias("label"))
+def corpus_pairs_gold(claims: DataFrame, corpus: DataFrame, labels: dict[str, int] = CORPUS_LABELS) -> DataFrame:
+    """The pairs of claims with an evidence map."""
+    return corpus_pairs(claims.filter(F.size("evidence") > 0), corpus, labels=labels)
 
 
-def corpus_pairs(claims: DataFrame, corpus: DataFrame, seed: int = 0) -> DataFrame:
-    return corpus_pairs_gold(claims, corpus).unionByName(corpus_pairs_neutral(claims, corpus, seed))
+def corpus_pairs_neutral(claims: DataFrame, corpus: DataFrame, seed: int = 0) -> DataFrame:
+    """The pairs of claims with an empty evidence map."""
+    return corpus_pairs(claims.filter(F.size("evidence") == 0), corpus, seed)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.hashing import hex8_to_int, seeded_hash
 from ..functions.text import non_blank_lines
 from ..functions.vectors import as_double
 
@@ -24,9 +25,8 @@ from ..functions.vectors import as_double
 # partner vector; evidence = w_claim * a + w_partner * b.
 VEC_PAIR_WEIGHTS = [(0, 0.8, 0.2), (1, 0.4, 0.6), (2, 0.0, 1.0)]
 
-# Fixed values of the nested_claims rule: candidate evidence sets, kept when
-# every index exists in the record's sentences.
-NESTED_EVIDENCE_SETS = [[0], [0, 1], [1]]
+# Fixed value of the corpus_claims rule: documents that an odd item cites.
+CITED = 25
 
 EVIDENCE_SCHEMA = T.MapType(
     T.StringType(),
@@ -78,7 +78,6 @@ def nested_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     j = docs.join(labels, "doc_id")
     sentences = non_blank_lines("text")
-    sets = F.array(*[F.array(*[F.lit(i) for i in s]) for s in NESTED_EVIDENCE_SETS])
     label = (F.when(F.col("toxic") == 1, F.lit("REFUTES"))
              .when(F.col("quality") == 1, F.lit("SUPPORTS"))
              .otherwise(F.lit("NOT ENOUGH INFO")))
@@ -87,7 +86,16 @@ def nested_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.get(F.col("sentences"), 0).alias("claim"),
                     "label",
                     "sentences",
-                    F.filter(sets, lambda s: F.array_max(s) < F.size("sentences")).alias("evidence_sets")))
+                    evidence_sets(F.size("sentences")).alias("evidence_sets")))
+
+
+def evidence_sets(n) -> F.Column:
+    """Sets over all ``n`` sentences, each in one set: [0], [1, 2], [3], [4, 5]
+    and so on, the last one as long as there are sentences."""
+    block = lambda j: F.filter(
+        F.array(F.array(j * 3), F.filter(F.array(j * 3 + 1, j * 3 + 2), lambda i: i < n)), lambda s: F.size(s) > 0)
+    blocks = F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / 3).cast("int"), F.lit(0)))
+    return F.when(n > 0, F.flatten(F.transform(blocks, block))).otherwise(F.array().cast("array<array<int>>"))
 
 
 def first_evidence_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,24 +117,34 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(claim_id, claim, evidence, cited_doc_ids)`` from ``benchmark``.
 
-    Even items cite document ``item_id + 1`` with gold sentence 0 (CONTRADICT
-    when ``item_id % 4 = 2``, else SUPPORT); odd items have an empty evidence
-    map and cite ``item_id`` and ``item_id + 7``.
+    Documents are picked by hash over the whole corpus: number ``j`` of an
+    item is the document whose place is the hash of (item, j) modulo the
+    number of documents (ids are 0 .. n-1).  Even items cite their documents
+    0 to 4, each with one gold sentence, picked by hash over all of its
+    sentences (CONTRADICT when ``item_id % 4 = 2``, else SUPPORT); odd items
+    have an empty evidence map and cite ``CITED`` documents.
     """
-    b = table(spark, sf_dir, "benchmark")
-    item = F.col("item_id")
-    even = F.pmod(item, 2) == 0
-    ann = F.struct(F.array(F.lit(0)).alias("sentences"),
-                   F.when(F.pmod(item, 4) == 2, F.lit("CONTRADICT")).otherwise(F.lit("SUPPORT")).alias("label"))
-    gold = F.create_map((item + 1).cast("string"), F.array(ann)).cast(EVIDENCE_SCHEMA)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.size(non_blank_lines("text")).alias("n_sentences"))
+    n = table(spark, sf_dir, "documents").agg(F.count(F.lit(1))).scalar()
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    j = F.when(F.pmod("item_id", F.lit(2)) == 0, F.sequence(F.lit(0), F.lit(4))).otherwise(F.sequence(F.lit(0), F.lit(CITED - 1)))
+    cited = b.select("item_id", F.explode(j).alias("j")).withColumn(
+        "doc_id", F.pmod(hex8_to_int(seeded_hash(F.lit("cite"), "item_id", "j")), n).cast("bigint"))
+    cited = cited.dropDuplicates(["item_id", "doc_id"])
+    sized = cited.join(docs, "doc_id").filter(F.col("n_sentences") > 0)
+    sentence = F.pmod(hex8_to_int(seeded_hash(F.lit("gold"), "item_id", "doc_id")), F.col("n_sentences")).cast("int")
+    ann = F.array(F.struct(
+        F.array(sentence).alias("sentences"),
+        F.when(F.pmod("item_id", F.lit(4)) == 2, F.lit("CONTRADICT")).otherwise(F.lit("SUPPORT")).alias("label")))
+    # an item cites at most CITED documents, so its map is small
+    per = sized.groupBy("item_id").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), ann))).alias("gold"),
+        F.sort_array(F.collect_list(F.col("doc_id").cast("string"))).alias("cited_doc_ids"))
+    even = F.pmod("item_id", F.lit(2)) == 0
     empty = F.create_map().cast(EVIDENCE_SCHEMA)
-    return b.select(
-        item.alias("claim_id"),
-        F.col("text").alias("claim"),
-        F.when(even, gold).otherwise(empty).alias("evidence"),
-        F.when(even, F.array((item + 1).cast("string")))
-         .otherwise(F.array(item.cast("string"), (item + 7).cast("string"))).alias("cited_doc_ids"),
-    )
+    return b.join(per, "item_id").select(
+        F.col("item_id").alias("claim_id"), F.col("text").alias("claim"),
+        F.when(even, F.col("gold").cast(EVIDENCE_SCHEMA)).otherwise(empty).alias("evidence"), "cited_doc_ids")
 
 
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
