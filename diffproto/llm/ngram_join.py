@@ -44,8 +44,7 @@ from .common import SHINGLE, components, longs, read, stored
 
 NUM, DEN = 75, 100  # link if DEN * |x & y| >= NUM * |x | y|
 SKETCH_BITS = 21  # counters of the count sketch: 2 MB of levels, whatever the input
-SKETCH_CHUNK = 2048
-SKETCH_SALTS = 64
+SKETCH_CHUNK = 1 << 14
 MAX_BOUNDARY = 64
 SALT_FROM = 4096  # keys that occur more often than this are dealt to several tasks
 GROUP = 256  # classes compared with one copy of a pivot
@@ -154,20 +153,22 @@ def _first_frame(rows) -> pd.DataFrame:
 _FIRST = "doc_id long, n_shingles long, cid long, digest binary, chunk int, counts binary"
 
 
-def _merge(part: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(SKETCH_CHUNK, dtype=np.int64)
-    for c in part["counts"]:
-        total += np.frombuffer(zlib.decompress(c), dtype="<u4")
-    data = zlib.compress(np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes(), 1)
-    return pd.DataFrame({"chunk": [part["chunk"].iloc[0]], "counts": [data]})
+def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums the chunks of one task's share of the sketch, one batch at a time."""
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for c, data in zip(b["chunk"], b["counts"], strict=True):
+            add = np.frombuffer(zlib.decompress(data), dtype="<u4")
+            total[c] = total[c] + add if c in total else add.astype(np.int64)
+    for c, t in total.items():
+        yield pd.DataFrame({"chunk": [c], "counts": [zlib.compress(np.minimum(t, 0xFFFFFFFF).astype("<u4").tobytes(), 1)]})
 
 
 def sketch_counts(rows: DataFrame) -> np.ndarray:
     """The merged sketch: 2^SKETCH_BITS counters, a fixed size."""
-    some = rows.filter("chunk is not null").select("chunk", "counts", F.pmod(F.xxhash64("counts"), F.lit(SKETCH_SALTS)).alias("salt"))
-    part = some.groupBy("chunk", "salt").applyInPandas(_merge, "chunk int, counts binary")
+    merged = rows.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInPandas(_merge, "chunk int, counts binary")
     out = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for r in part.groupBy("chunk").applyInPandas(_merge, "chunk int, counts binary").collect():
+    for r in merged.collect():
         a = r["chunk"] * SKETCH_CHUNK
         out[a: a + SKETCH_CHUNK] = np.frombuffer(zlib.decompress(r["counts"]), dtype="<u4")
     return out
