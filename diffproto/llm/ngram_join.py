@@ -13,7 +13,8 @@ the light sets that are large enough to link with a heavy one.  The boundary
 is where the estimated work of listing subsets and scanning lists is least.
 
 Verification.  A list of m classes is not turned into m^2 pairs.  All of a
-list are first compared exactly with one pivot, its most typical class; the
+list that may link with one pivot, its most typical class, by size and by
+what is left after the shared shingle, are first compared exactly with it; the
 links found make components, and lists within one component are done.  For
 the rest, pairs of classes from different components are compared exactly,
 unless what is known bounds their overlap: at the first shingle k that x and
@@ -272,15 +273,23 @@ def lists_of_two(keys: DataFrame) -> DataFrame:
 
 
 def with_pivots(lists: DataFrame) -> DataFrame:
-    """Adds each key's pivot: the class of the list whose own listed keys are shared most."""
+    """Adds each key's pivot, the class of the list whose own listed keys are
+    shared most, with its size and position."""
     typical = lists.groupBy("cid").agg((F.count("*") / F.max("n")).alias("typical"))
     named = lists.join(typical, "cid")
     pivot = named.groupBy("key").agg(
-        F.max(F.struct("typical", "cid")).getField("cid").alias("pivot"), F.min("cid").alias("lo"), F.max("cid").alias("hi")
-    ).filter("lo <> hi").select("key", "pivot")
+        F.max(F.struct("typical", "cid", "n", "pos")).alias("p"), F.min("cid").alias("lo"), F.max("cid").alias("hi")
+    ).filter("lo <> hi").select("key", F.col("p.cid").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.pos").alias("pivot_pos"))
     return lists.join(pivot, "key")
 
 
+def may_link(n, pos, m, other, num: int, den: int):
+    """Can sets of n and m shingles link if what they share starts at these
+    positions?  Their sizes and what is left of either must allow it."""
+    small, large, left = F.least(n, m), F.greatest(n, m), F.least(n - pos, m - other)
+    return (small * den >= large * num) & (left * (den + num) >= F.lit(num) * (n + m))
+
+
 # -- exact comparison ------------------------------------------------------
 
 _COMPARED = "cid long, pivot long, n long, shared long, n_pivot long, key array<long>, before array<long>"
@@ -352,7 +361,9 @@ def open_pairs(lists: DataFrame, measured: DataFrame, comp: DataFrame, num: int,
     )
     known = measured.select("cid", "pivot", "shared")
     m = lists.join(known, ["cid", "pivot"], "left").join(by_key, ["cid", "pivot", "key"], "left")
-    m = m.withColumn("a", F.coalesce("shared", "n")).withColumn("f", F.col("n") - F.col("a") - F.coalesce("before", F.lit(0)))
+    unknown = F.col("shared").isNull() & (F.col("cid") != F.col("pivot"))
+    m = m.withColumn("a", F.coalesce("shared", "n")).withColumn(
+        "f", F.when(unknown, F.col("n")).otherwise(F.col("n") - F.col("a") - F.coalesce("before", F.lit(0))))
     # what a class can share at most with any other of the list, against what it must share with any that it links to
     m = m.filter((F.col("a") + F.col("f")) * den >= F.col("n") * num)
     m = m.join(comp, F.col("cid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cid"))
@@ -360,13 +371,11 @@ def open_pairs(lists: DataFrame, measured: DataFrame, comp: DataFrame, num: int,
     mixed = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     m = stored(m.join(mixed, "key", "left_semi"), "open")
     x, y = m.alias("x"), m.alias("y")
-    need = F.lit(num) * (F.col("x.n") + F.col("y.n"))
-    left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     bound = F.least("x.a", "y.a") + F.least("x.f", "y.f")
-    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     ok = (
         (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.comp") != F.col("y.comp"))
-        & (small * den >= large * num) & (left * (den + num) >= need) & (bound * (den + num) >= need)
+        & may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), num, den)
+        & (bound * (den + num) >= F.lit(num) * (F.col("x.n") + F.col("y.n")))
     )
     return x.join(y, ok).select(F.col("x.cid").alias("cid"), F.col("y.cid").alias("pivot")).distinct()
 
@@ -406,7 +415,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     lists = stored(with_pivots(lists), "pivots")
     run = _compare(k, seed, shared, num, den)
     known = docs.filter("doc_id is not null and text is not null")
-    measured = stored(compare(lists.select("cid", "pivot"), known, classes, run), "measured")
+    near = lists.filter(may_link(F.col("n"), F.col("pos"), F.col("pivot_n"), F.col("pivot_pos"), num, den))
+    measured = stored(compare(near.select("cid", "pivot"), known, classes, run), "measured")
     link = is_link("n", "n_pivot", "shared", num, den)
     links = measured.filter(link).select("cid", "pivot")
     comp = components(links, "cid", "pivot")
