@@ -7,6 +7,7 @@ re-derives everything from the raw tables independently of Spark.
 
 from __future__ import annotations
 
+from ..sources import runlogs
 from ..sources import tables as TB
 from . import registry as RG
 from .sweep import REFERENCE_SEEDS, REFERENCE_SHOTS
@@ -615,23 +616,36 @@ d AS (
 
 
 def run_log_sql() -> str:
-    """CTEs: ``recs`` (the small sweep's run records) and ``loglines``
-    (line_no, line) of the rendered log file."""
-    return sweep_sql(RG.SMALL_SEEDS, RG.SMALL_SHOTS) + f""", recs AS (
-  SELECT 'vec_pairs' AS model, seed, m, accuracy, f1_s, f1_n, f1_c, f1_macro AS f1,
-         row_number() OVER (ORDER BY seed, m) - 1 AS i
-  FROM csummary
+    """CTEs: ``recs`` (the run records) and ``loglines`` (model, line_no,
+    line) of the rendered log files."""
+    means = ", ".join(f"sum(n_chars % {q}) / (count(*) * {q}) AS {n}" for n, q in RG.RECORD_METRICS.items())
+    return f"""WITH recs AS (
+  SELECT source AS model, (doc_id // 20 % 3 + 123)::INTEGER AS seed, (doc_id // 60 % 4 * 2 + 2)::INTEGER AS m,
+         (doc_id // 240 % 5 + 1)::INTEGER AS run, {means}
+  FROM documents GROUP BY ALL
 ),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY seed, m, run) - 1 AS i FROM recs),
 loglines AS (
-  SELECT 0 AS line_no, 'fever_fever' AS line
-  UNION ALL SELECT 1 + i * 4, concat_ws(' ', m::VARCHAR, model, seed::VARCHAR) FROM recs
-  UNION ALL SELECT 2 + i * 4, '{RG.NOISE_LINE}' FROM recs
-  UNION ALL SELECT 3 + i * 4, 'Accuracy: ' || printf('%.4f', accuracy) FROM recs
-  UNION ALL SELECT 4 + i * 4, 'F1-macro: ' || printf('%.4f', f1) FROM recs
+  SELECT DISTINCT model, 0 AS line_no, 'fever_fever' AS line FROM recs
+  UNION ALL SELECT model, 1 + i * 4, concat_ws(' ', m::VARCHAR, model, seed::VARCHAR) FROM numbered
+  UNION ALL SELECT model, 2 + i * 4, '{RG.NOISE_LINE}' FROM numbered
+  UNION ALL SELECT model, 3 + i * 4, 'Accuracy: ' || printf('%.4f', accuracy) FROM numbered
+  UNION ALL SELECT model, 4 + i * 4, 'F1-macro: ' || printf('%.4f', f1) FROM numbered
 )
 """
 
 
+EIGHT = ["accuracy", "f1", "f1_s", "f1_n", "f1_c", "accuracy", "f1", "f1_s"]
+
+
+def layout_sql(name: str) -> str:
+    layout = runlogs.LAYOUTS[name]
+    source = {"s": "f1_s", "n": "f1_n", "c": "f1_c", "not": "f1_n"}
+    source |= {n: c for (n, _), c in zip(runlogs.LAYOUTS["before_after"].fields[3:], EIGHT)}
+    return run_log_sql() + "SELECT " + ", ".join(
+        (f'round({source.get(n, n)}, 4) AS "{n}"' if t == "double" else f'{n}') for n, t in layout.fields if n) + " FROM recs"
+
+
 def before_after_sql() -> str:
     parts = []
     for phase, absolute in (("b", False), ("a", True)):
@@ -676,10 +690,21 @@ SELECT {RG.SEED} AS seed, ("end" - start)::INTEGER AS step,
        round(max(CASE WHEN label = 2 THEN drift / ("end" - start) END), 4) AS c
 FROM d GROUP BY start, "end"
 """
-    q["after_marker"] = run_log_sql() + "SELECT (line_no - 1)::INTEGER AS line_no, line FROM loglines WHERE line_no > 0"
-    q["drop_noise"] = run_log_sql() + f"""SELECT (row_number() OVER (ORDER BY line_no) - 1)::INTEGER AS line_no, line
+    q["after_marker"] = run_log_sql() + "SELECT model, (line_no - 1)::INTEGER AS line_no, line FROM loglines WHERE line_no > 0"
+    q["drop_noise"] = run_log_sql() + f"""SELECT model, (row_number() OVER (PARTITION BY model ORDER BY line_no) - 1)::INTEGER AS line_no, line
         FROM loglines WHERE line <> '{RG.NOISE_LINE}'"""
-    q["parse_runs"] = run_log_sql() + """SELECT m, model, seed, round(accuracy, 4) AS accuracy, round(f1, 4) AS f1 FROM recs"""
+    q["parse_runs"] = q["parse_runs_stride"] = layout_sql("prototype_plain")
+    for name in runlogs.LAYOUTS:
+        q[f"parse_{name}"] = layout_sql(name)
+    rates = []
+    for i, seed in enumerate((RG.SEED, RG.SEED + 1)):
+        cols = ", ".join(f"round(round(max(CASE WHEN label = {j} THEN drift / (\"end\" - start) END), 4), 3) AS {c}" for j, c in enumerate("snc"))
+        rates.append(f"SELECT * FROM ({drift_sql(seed, [(RG.DRIFT_BASE_SHOTS[0], n) for n in RG.DRIFT_BASE_SHOTS[1:]], max(RG.DRIFT_BASE_SHOTS))}"
+                     f"SELECT (\"end\" - start)::INTEGER AS step, {cols} FROM d GROUP BY start, \"end\")")
+    q["drift_rate_log"] = " UNION ALL ".join(rates)
+    names = [n for n, _ in runlogs.LAYOUTS["before_after"].fields[3:]]
+    sums = [f"round({f}({c}), 3) AS {k}_{n}" for k, f in (("mean", "avg"), ("std", "stddev_pop")) for n, c in zip(names, EIGHT)]
+    q["summary_sink"] = run_log_sql() + f"SELECT model, m, {', '.join(sums)} FROM recs GROUP BY model, m"
     q["runs_mean_stdpop"] = run_log_sql() + """SELECT model, m,
         round(avg(accuracy), 4) AS mean_acc, round(avg(f1_s), 4) AS mean_s, round(avg(f1_n), 4) AS mean_n,
         round(avg(f1_c), 4) AS mean_c, round(stddev_pop(accuracy), 4) AS std_acc, round(stddev_pop(f1_s), 4) AS std_s,
@@ -691,6 +716,8 @@ FROM d GROUP BY start, "end"
         FROM recs GROUP BY model, m"""
     q["trend_series"] = run_log_sql() + """SELECT model, m, round(avg(accuracy), 4) AS accuracy, round(avg(f1), 4) AS f1
         FROM recs GROUP BY model, m"""
+    q["trend_point"] = run_log_sql() + """SELECT model, m, round(avg(accuracy), 4) AS accuracy, round(avg(f1), 4) AS f1
+        FROM recs WHERE m = 4 GROUP BY model, m"""
     q["average_runs"] = run_log_sql() + """SELECT model, seed, m, round(avg(accuracy), 4) AS accuracy,
         round(avg(f1), 4) AS f1, count(*) AS n_runs FROM recs GROUP BY model, seed, m"""
     metrics = RG.BEFORE_AFTER_METRICS

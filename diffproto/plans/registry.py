@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..functions.labels import CLAIM_LABELS, decode_binary, decode_three, encode_label, label_to_binary
 from ..functions.text import clean_brackets, merge_sentences, normalize_claim, normalize_evidence
-from ..operators import evaluate, sampling
+from ..operators import evaluate, sampling, summary
 from ..operators.encode import HashingEncoder, LookupPoolEncoder, PandasEncoder
 from ..operators.prototypes import predict, prototypes
 from ..sources import claims as C
+from ..sources import runlogs
 from ..sources import tables as TB
 from . import experiment, sweep
 from .broadcast import bounded_broadcast
@@ -527,12 +528,11 @@ def q_drift_from_base(spark, sf):
 def q_read_drift(spark, sf):
     """The drift table written as TSV (3 decimals) and read back."""
     from ..session import scratch_path
-    from ..sources.runlogs import read_drift
     from .sinks import write_drift
 
     path = scratch_path(spark, "drift-tsv")
     write_drift(q_drift_consecutive(spark, sf).drop("seed"), path)
-    return read_drift(spark, path)
+    return runlogs.read_drift(spark, path)
 
 
 # ---------------------------------------------------------------- run logs and summaries
@@ -542,66 +542,110 @@ def q_read_drift(spark, sf):
 NOISE_LINE = "fever --> fever:"
 
 
-def run_records(spark, sf) -> DataFrame:
-    """One record per run of the small sweep: model, seed, m, accuracy,
-    per-class F1 (f1_s, f1_n, f1_c) and macro F1 (f1)."""
-    s = small_sweep_summary(spark, sf)
-    return s.select("model", "seed", "m", "accuracy", "f1_s", "f1_n", "f1_c", F.col("f1_macro").alias("f1"))
+# Fixed values of the run records: divisors whose remainders of n_chars stand for the metrics.
+RECORD_METRICS = {"accuracy": 1009, "f1_s": 997, "f1_n": 991, "f1_c": 983, "f1": 977}
 
 
-def written_run_log(spark, sf) -> str:
+def run_records(spark, sf) -> DataFrame:
+    """One record per run, from the documents of a source dealt by id to 3
+    seeds x 4 shot counts x 5 runs: model (the source), seed, m, run, and
+    metrics that are means of remainders of ``n_chars``."""
+    d = TB.table(spark, sf, "documents").select("doc_id", "source", "n_chars")
+    part = lambda div, n: F.pmod(F.floor(F.col("doc_id") / (20 * div)), F.lit(n)).cast("int")
+    means = [(F.sum(F.pmod("n_chars", F.lit(q))) / (F.count(F.lit(1)) * q)).alias(n) for n, q in RECORD_METRICS.items()]
+    return d.groupBy(F.col("source").alias("model"), (part(1, 3) + 123).alias("seed"),
+                     (part(3, 4) * 2 + 2).alias("m"), (part(12, 5) + 1).alias("run")).agg(*means)
+
+
+def layout_records(spark, sf) -> DataFrame:
+    """The run records under the names that the layouts use."""
+    r = run_records(spark, sf)
+    pick = ["accuracy", "f1", "f1_s", "f1_n", "f1_c", "accuracy", "f1", "f1_s"]
+    eight = [n for n, _ in runlogs.LAYOUTS["before_after"].fields[3:]]
+    return r.select("*", F.col("f1_s").alias("s"), F.col("f1_n").alias("n"), F.col("f1_c").alias("c"), F.col("f1_n").alias("not"),
+                    F.lit("0.1").alias("rate"), F.lit("3").alias("epochs"), *[F.col(c).alias(n) for n, c in zip(eight, pick)])
+
+
+def written_run_log(spark, sf, layout: str = "prototype_plain", marker: str | None = runlogs.MARKER, noise: str | None = NOISE_LINE) -> str:
     from ..session import scratch_path
-    from ..sources import runlogs
 
     path = scratch_path(spark, "run-log")
-    runlogs.write_log(runlogs.render_records(run_records(spark, sf), NOISE_LINE), path)
+    runlogs.write_log(runlogs.render_records(layout_records(spark, sf), noise, runlogs.LAYOUTS[layout], marker), path)
     return path
 
 
 def q_after_marker(spark, sf):
-    from ..sources import runlogs
-
     lines = runlogs.read_lines(spark, written_run_log(spark, sf))
-    return runlogs.after_marker(lines).select("line_no", "line")
+    return runlogs.after_marker(lines).select(F.regexp_extract("file", "model=([^/]*)", 1).alias("model"), "line_no", "line")
 
 
 def q_drop_noise(spark, sf):
-    from ..sources import runlogs
-
     lines = runlogs.read_lines(spark, written_run_log(spark, sf))
-    return runlogs.drop_noise(lines, [NOISE_LINE]).select("line_no", "line")
+    return runlogs.drop_noise(lines, [NOISE_LINE]).select(F.regexp_extract("file", "model=([^/]*)", 1).alias("model"), "line_no", "line")
 
 
 def q_parse_runs(spark, sf):
-    from ..sources import runlogs
-
     return runlogs.parse_runs(spark, written_run_log(spark, sf), noise=[NOISE_LINE])
 
 
-def q_runs_mean_stdpop(spark, sf):
-    from ..operators.summary import runs_mean_stdpop
+def q_parse_runs_stride(spark, sf):
+    return runlogs.parse_runs(spark, written_run_log(spark, sf), noise=[NOISE_LINE], anchored=False)
 
+
+def _parse_layout(name):
+    def q(spark, sf):
+        path = written_run_log(spark, sf, name, marker=None, noise=None)
+        return runlogs.parse_runs(spark, path, runlogs.LAYOUTS[name], marker=None)
+    return q
+
+
+def q_runs_mean_stdpop(spark, sf):
     r = run_records(spark, sf).select("model", "m", F.col("accuracy").alias("acc"), F.col("f1_s").alias("s"),
                                       F.col("f1_n").alias("n"), F.col("f1_c").alias("c"))
-    return runs_mean_stdpop(r, ["acc", "s", "n", "c"])
+    return summary.runs_mean_stdpop(r, ["acc", "s", "n", "c"])
 
 
 def q_runs_mean_stdsamp(spark, sf):
-    from ..operators.summary import runs_mean_stdsamp
-
-    return runs_mean_stdsamp(run_records(spark, sf), ["accuracy", "f1"])
+    return summary.runs_mean_stdsamp(run_records(spark, sf), ["accuracy", "f1"])
 
 
 def q_trend_series(spark, sf):
-    from ..operators.summary import trend_series
+    return summary.trend_series(run_records(spark, sf))
+
 
-    return trend_series(run_records(spark, sf))
+def q_trend_point(spark, sf):
+    """The trend series looked up at one shot count."""
+    return summary.point(q_trend_series(spark, sf), m=4)
 
 
 def q_average_runs(spark, sf):
-    from ..operators.summary import average_runs
+    """Mean over the five runs of each (model, seed, m)."""
+    return summary.average_runs(run_records(spark, sf))
+
+
+def q_drift_rate_log(spark, sf):
+    """Drift rates of two seeds appended to one table, and read back."""
+    from ..operators.drift import drift_from_base
+    from ..session import scratch_path
+    from .sinks import write_drift
+
+    path = scratch_path(spark, "drift-rate-tsv")
+    for i, seed in enumerate((SEED, SEED + 1)):
+        rate = drift_from_base(TB.vec_pairs(spark, sf), seed, DRIFT_BASE_SHOTS, prepare=experiment.with_diff)
+        write_drift(rate.drop("seed"), path, append=i > 0)
+    return runlogs.read_drift(spark, path, runlogs.DRIFT_RATE_SCHEMA)
+
 
-    return average_runs(run_records(spark, sf))
+def q_summary_sink(spark, sf):
+    """Before/after summaries of every model, one folder each, read back."""
+    from ..session import scratch_path
+    from .sinks import write_summaries
+
+    path = scratch_path(spark, "summaries-tsv")
+    metrics = [n for n, _ in runlogs.LAYOUTS["before_after"].fields[3:]]
+    s = summary.mean_std(layout_records(spark, sf), ["model", "m"], metrics, "pop", round_to=None)
+    write_summaries(s.withColumn("dataset", F.lit("documents")), path)
+    return runlogs.read_drift(spark, path, runlogs.BEFORE_AFTER_SCHEMA).drop("dataset")
 
 
 def before_after_records(spark, sf) -> DataFrame:
@@ -632,9 +676,7 @@ BEFORE_AFTER_METRICS = ["before_acc_train", "before_f1_train", "before_acc_dev",
 
 
 def q_before_after_summary(spark, sf):
-    from ..operators.summary import mean_std
-
-    return mean_std(before_after_records(spark, sf), ["m"], BEFORE_AFTER_METRICS, "pop")
+    return summary.mean_std(before_after_records(spark, sf), ["m"], BEFORE_AFTER_METRICS, "pop")
 
 
 def q_sweep_baseline(spark, sf):
@@ -648,10 +690,15 @@ REGISTRY.update({
     "after_marker": q_after_marker,
     "drop_noise": q_drop_noise,
     "parse_runs": q_parse_runs,
+    "parse_runs_stride": q_parse_runs_stride,
+    **{f"parse_{name}": _parse_layout(name) for name in runlogs.LAYOUTS},
     "runs_mean_stdpop": q_runs_mean_stdpop,
     "runs_mean_stdsamp": q_runs_mean_stdsamp,
     "trend_series": q_trend_series,
+    "trend_point": q_trend_point,
     "average_runs": q_average_runs,
+    "drift_rate_log": q_drift_rate_log,
+    "summary_sink": q_summary_sink,
     "before_after_summary": q_before_after_summary,
     "sweep_baseline": q_sweep_baseline,
 })

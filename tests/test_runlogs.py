@@ -31,14 +31,32 @@ def test_noise_lines_removed(spark, tmp_path):
     assert got == [(2, 0.5)]
 
 
-def test_other_layout_and_tokens(spark, tmp_path):
-    layout = RL.Layout(5, [0, 4], [("seed", "int"), ("m", "int"), ("run", "int"), ("accuracy", "double"), ("f1", "double")])
-    text = "seed: 7; # of shots: 10; index of run: 2\nx\ny\nz\nAcc 0.7 F1-macro: [0.6]\n"
-    layout.strip_tokens = list(RL.STRIP_TOKENS) + ["Acc "]
-    got = rows(RL.parse_runs(spark, _log(tmp_path, text), layout, marker=None))
+def test_run_line_layout_and_tokens(spark, tmp_path):
+    text = "seed: 7; # of shots: 10; index of run:2\nx\ny\nz\nAcc: 0.7; F1-macro: [0.6]\n"
+    got = rows(RL.parse_runs(spark, _log(tmp_path, text), RL.LAYOUTS["baseline_five"], marker=None))
     assert got == [(7, 10, 2, 0.7, 0.6)]
 
 
+def test_missing_marker_raises(spark, tmp_path):
+    with pytest.raises(Exception, match="no line 'fever_fever'"):
+        RL.parse_runs(spark, _log(tmp_path, "2 m1 1\nAccuracy: 0.5\nF1-macro: 0.4\n")).collect()
+
+
+@pytest.mark.parametrize("anchored", [True, False])
+def test_long_files_in_many_splits(spark, tmp_path, anchored, monkeypatch):
+    monkeypatch.setattr(RL, "BUCKET", 7)
+    n = 300
+    body = "".join(f"{i} m{i % 3} 1\nnoise line\nAccuracy: 0.{i:04d}\nF1-macro: 0.5\n" for i in range(n))
+    path = _log(tmp_path, "before\nfever_fever\n" + body)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    try:
+        got = RL.parse_runs(spark, path, noise=["noise line"], anchored=anchored)
+        assert sorted(rows(got, "m", "accuracy")) == [(i, float(f"0.{i:04d}")) for i in range(n)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_render_and_parse_roundtrip(spark, tmp_path):
     recs = spark.createDataFrame([("m1", 1, 2, 0.5, 0.25), ("m1", 2, 2, 0.75, 0.5), ("m2", 1, 4, 1.0, 1.0)],
                                  "model string, seed int, m int, accuracy double, f1 double")
