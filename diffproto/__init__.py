@@ -14,7 +14,6 @@ Layout:
   operators/  sampling, encoding, prototypes, evaluation, drift, summaries,
               supervised baseline
   plans/      whole experiments and sweeps, sinks, size-checked broadcast
-  streaming/  scoring of a stream of pairs against stored prototypes
 """
 
 __version__ = "0.1.0"

@@ -34,8 +34,9 @@ def logreg_scores(fit: DataFrame, dev: DataFrame, vec_col: str = "diff", label_c
             .drop("features", "rawPrediction", "probability", "prediction"))
 
 
-def softmax_fit(x, y, n_classes: int, run: int, epochs: int = 200, lr: float = 0.5, l2: float = 1e-3):
-    """Full-batch gradient descent of a softmax regression (numpy).
+def softmax_fit(x, y, n_classes: int, run: int, epochs: int = 2000, lr: float = 0.5, l2: float = 1e-3, tol: float = 1e-4):
+    """Full-batch gradient descent of a softmax regression (numpy), until no
+    entry of the gradient exceeds ``tol`` or ``epochs`` steps are done.
 
     ``run`` seeds the initial weights, as the reference's run index does."""
     import numpy as np
@@ -51,8 +52,11 @@ def softmax_fit(x, y, n_classes: int, run: int, epochs: int = 200, lr: float = 0
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True)
         g = (p - onehot) / n
-        w -= lr * (x.T @ g + l2 * w)
-        b -= lr * g.sum(axis=0)
+        gw, gb = x.T @ g + l2 * w, g.sum(axis=0)
+        if max(np.abs(gw).max(initial=0), np.abs(gb).max(initial=0)) < tol:
+            break
+        w -= lr * gw
+        b -= lr * gb
     return w, b
 
 
@@ -85,10 +89,3 @@ def fit_cells(fit_rows: DataFrame, cell_cols: Sequence[str], n_classes: int = 3,
 
     return fit_rows.select(*cell_cols, vec_col, label_col).groupBy(*cell_cols).applyInPandas(train, schema)
 
-
-def linear_argmax(vec: F.Column, weights: F.Column, bias: F.Column) -> F.Column:
-    """Class with the largest ``w_k . x + b_k`` (first on ties)."""
-    scores = F.transform(F.arrays_zip(weights.alias("w"), bias.alias("b")),
-                         lambda wb: F.aggregate(F.zip_with(wb["w"], vec, lambda a, x: a * x),
-                                                F.lit(0.0), lambda acc, v: acc + v) + wb["b"])
-    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")

@@ -96,7 +96,3 @@ def predict(df: DataFrame, protos: DataFrame, vec_col: str = "diff", metric: str
                          list(group_cols))
     return with_p.withColumn(out, argmax_label(F.col(vec_col), F.col("_protos"), metric)).drop("_protos")
 
-
-def fold_multi(proto_id: Column, n_labels: int = 3) -> Column:
-    """Winner of several prototype sets folded back to its class (i - 3)."""
-    return F.pmod(proto_id, F.lit(n_labels))

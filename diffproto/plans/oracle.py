@@ -582,6 +582,9 @@ SELECT v.claim_id, v.set_pos, v.label AS truth, {argmax_label('v.diff', 'k.ps')}
     q["errors_correct"] = nested_experiment() + "SELECT dataset_index, claim, evidence, y_truth, y_pred FROM scored WHERE y_truth = y_pred"
     # ---------------- sweep
     q["sweep"] = sweep_sql() + "SELECT seed, m, y_truth, y_pred, n FROM conf"
+    grids = [sweep_sql(RG.SMALL_SEEDS, RG.SMALL_SHOTS, absolute=a, p=p, head=False) for p, a in (("x", True), ("y", False))]
+    q["sweep_encoders"] = with_(VEC_PAIRS + "," + ",".join(grids)) + """SELECT 'absolute' AS encoder, seed, m, y_truth, y_pred, n FROM xconf
+        UNION ALL SELECT 'signed' AS encoder, seed, m, y_truth, y_pred, n FROM yconf"""
     q["sweep_summary"] = sweep_sql() + "SELECT * FROM csummary"
     return q
 

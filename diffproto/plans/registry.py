@@ -90,12 +90,6 @@ def corpus_pairs_all(spark, sf) -> DataFrame:
     return C.corpus_pairs(TB.corpus_claims(spark, sf), corpus_view(spark, sf), NEUTRAL_SEED)
 
 
-def small_sweep_summary(spark, sf) -> DataFrame:
-    pairs = flagship_pairs(spark, sf)
-    conf = sweep.sweep_counts(pairs, SMALL_SEEDS, SMALL_SHOTS, materialize=True)
-    return sweep.sweep_summary(conf, ["seed", "m"]).withColumn("model", F.lit("vec_pairs"))
-
-
 # ---------------------------------------------------------------- sources
 
 def q_flatten_pairs(spark, sf):
@@ -435,7 +429,16 @@ def q_encode_batch_model(spark, sf):
 
 def q_sweep(spark, sf):
     pairs = flagship_pairs(spark, sf)
-    return sweep.sweep_counts(pairs, sweep.REFERENCE_SEEDS, sweep.REFERENCE_SHOTS, materialize=True)
+    return sweep.sweep_counts(pairs, sweep.REFERENCE_SEEDS, sweep.REFERENCE_SHOTS)
+
+
+def q_sweep_encoders(spark, sf):
+    """The sweep with an encoder dimension: absolute and signed differences as two encoders."""
+    base = TB.vec_pairs(spark, sf)
+    both = F.array(*[F.struct(F.lit(n).alias("encoder"), V.diff("evidence_vec", "claim_vec", a).alias("diff"))
+                     for n, a in (("absolute", True), ("signed", False))])
+    pairs = base.select("claim_id", "set_pos", "label", F.inline(both))
+    return sweep.sweep_counts(pairs, SMALL_SEEDS, SMALL_SHOTS, encoder_col="encoder", n_encoders=2)
 
 
 def q_sweep_summary(spark, sf):
@@ -508,6 +511,7 @@ REGISTRY: dict[str, Query] = {
     # sweep
     "sweep": q_sweep,
     "sweep_summary": q_sweep_summary,
+    "sweep_encoders": q_sweep_encoders,
 }
 
 
@@ -656,13 +660,12 @@ def before_after_records(spark, sf) -> DataFrame:
 
     base = TB.vec_pairs(spark, sf)
     checkpoint_dir(spark)
-    # one ranking serves all four sweeps (it depends on the keys only), and
-    # each difference variant is materialized once for its fit and dev pass
+    # one ranking serves all four sweeps: it depends on the keys only
     ranked = sweep.ranked_keys(base, SMALL_SEEDS, max(SMALL_SHOTS)).checkpoint(eager=True)
     out = None
     for phase, absolute in (("before", False), ("after", True)):
         pairs = (experiment.with_diff(base, absolute)
-                 .select("claim_id", "set_pos", "label", "diff").checkpoint(eager=True))
+                 .select("claim_id", "set_pos", "label", "diff"))
         for split, tag in (("fit", "train"), ("dev", "dev")):
             conf = sweep.sweep_counts(pairs, SMALL_SEEDS, SMALL_SHOTS, split=split, ranked=ranked)
             s = sweep.sweep_summary(conf, ["seed", "m"]).select(

@@ -3,9 +3,9 @@
 The reference launches one process per grid cell, each re-reading and
 re-encoding the data.  Here:
 
-1. ranks: one seeded ``row_number`` per (seed, class), pruned to the largest
-   m (or the largest cap) per task by ``WindowGroupLimit`` -- at most
-   seeds * classes * max(m) rows, a proven bound.
+1. ranks: the first max(m) keys (or the largest cap) of each (seed, class),
+   ranked in hash buckets -- at most seeds * classes * max(m) rows, a proven
+   bound.
 2. prototypes: the ranked fit keys are expanded over the m grid with a
    generator (``rank <= m``), joined to their difference vectors (broadcast
    of the bounded key side) and averaged per (encoder, seed, m, class,
@@ -56,7 +56,8 @@ def ranked_keys(pairs: DataFrame, seeds: Sequence[int], n: int, key: Sequence[st
         for code, cap in caps.items():
             cond = F.col(label_col) == F.lit(code)
             cap_col = F.when(cond, F.lit(cap)) if cap_col is None else cap_col.when(cond, F.lit(cap))
-        top = top.filter(F.col("rank") <= cap_col.otherwise(F.lit(0)))
+        missing = F.raise_error(F.concat(F.lit("no cap for class "), F.coalesce(F.col(label_col).cast("string"), F.lit("null"))))
+        top = top.filter(F.col("rank") <= cap_col.otherwise(missing))
     return top
 
 
@@ -74,6 +75,18 @@ def cell_prototypes(pairs: DataFrame, ranked: DataFrame, shots: Sequence[int], k
     return mean_vectors(joined, [*_grid_key(encoder_col), "seed", "m", label_col], vec_col, "centroid")
 
 
+def vector_length(pairs: DataFrame, vec_col: str) -> int:
+    """Length of the vectors, read from one row; ``same_length`` holds every row to it."""
+    row = pairs.select(F.size(vec_col).alias("d")).filter("d >= 0").first()
+    return row["d"] if row else 0
+
+
+def same_length(vec_col: str, dim: int):
+    """The vector, or an error if its length is not ``dim``: the size that was checked before broadcasting."""
+    return F.when(F.size(vec_col) == dim, F.col(vec_col)).otherwise(F.raise_error(
+        F.concat(F.lit(f"vector length is not {dim}: "), F.size(vec_col).cast("string"))))
+
+
 def pack_cells(protos: DataFrame, encoder_col: str | None = None, label_col: str = "label") -> DataFrame:
     per_cell = (protos.groupBy(*_grid_key(encoder_col), "seed", "m")
                 .agg(F.array_sort(F.collect_list(F.struct(
@@ -86,7 +99,7 @@ def pack_cells(protos: DataFrame, encoder_col: str | None = None, label_col: str
 def score_cells(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[int], metric: str = "euclidean",
                 key: Sequence[str] = KEY, label_col: str = "label", vec_col: str = "diff",
                 encoder_col: str | None = None, caps: dict[int, int] | None = None,
-                dim: int = 1024, n_encoders: int = 1, n_classes: int = 3,
+                dim: int | None = None, n_encoders: int = 1, n_classes: int = 3,
                 split: str = "dev") -> DataFrame:
     """One row per (pair, cell) where the pair is a dev row of the cell (or a
     fit row with ``split='fit'``): ``(encoder?, seed, m, *key, truth, pred)``."""
@@ -107,10 +120,11 @@ def score_cells(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[int], me
     base = pairs.join(rank_map, list(key), how)
 
     if encoder_col:
-        cell_bytes = len(seeds) * len(shots) * n_classes * (8 * dim + 32)
-        if not fits_broadcast(pairs.sparkSession, n_encoders, cell_bytes):
-            raise ValueError("prototype pack exceeds the broadcast limit; sweep fewer cells per query")
-        base = base.join(F.broadcast(packed.withColumnRenamed("cells", "_cells")), encoder_col)
+        cell_bytes = len(seeds) * len(shots) * n_classes * (8 * (dim or vector_length(pairs, vec_col)) + 32)
+        packed = bounded_broadcast(packed.withColumnRenamed("cells", "_cells"), n_encoders, cell_bytes)
+        base = base.join(packed, encoder_col, "left")
+        base = base.withColumn("_cells", F.coalesce("_cells", F.raise_error(F.concat(
+            F.lit("no prototypes for encoder "), F.col(encoder_col).cast("string")))))
     else:
         base = base.withColumn("_cells", packed.select("cells").scalar())
 
@@ -137,28 +151,21 @@ def score_cells(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[int], me
 
 def sweep_counts(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[int], metric: str = "euclidean",
                  encoder_col: str | None = None, letters: Sequence[str] = THREE_WAY_LETTERS,
-                 engine: str = "numpy", materialize: bool = False, **kw) -> DataFrame:
+                 engine: str = "numpy", **kw) -> DataFrame:
     """Confusion counts per cell, long form, zero cells kept:
     ``(encoder?, seed, m, y_truth, y_pred, n)``.
 
     ``engine='numpy'`` scores Arrow batches with one matrix product per batch
     (fast for any grid); ``engine='sql'`` keeps everything in JVM expressions
     (higher-order functions, interpreted per element: fine for small grids).
-    ``materialize=True`` checkpoints a derived pair table once before the
-    three passes; leave it off when the pairs are a stored table."""
-    if materialize:
-        # the pair table is read three times (ranking, prototypes, scoring):
-        # when it is derived (encoded) rather than stored, cut its lineage once
-        # into the shared checkpoint folder
-        checkpoint_dir(pairs.sparkSession)
-        need = [*_grid_key(encoder_col), *kw.get("key", KEY), kw.get("label_col", "label"), kw.get("vec_col", "diff")]
-        pairs = pairs.select(*need).checkpoint(eager=True)
+    Ranking reads keys only and the prototypes only the fit rows, so the pair
+    table's vectors are computed once, while scoring; it is not stored."""
     if engine == "numpy":
-        groups = seed_groups(pairs.sparkSession, seeds, shots, kw.get("dim", 1024), kw.get("n_encoders", 1),
-                             kw.get("n_classes", 3))
+        kw["dim"] = kw.get("dim") or vector_length(pairs, kw.get("vec_col", "diff"))
         counts = None
-        for group in groups:
-            part = score_counts_numpy(pairs, group, shots, metric, encoder_col=encoder_col, **kw)
+        for some_seeds, some_shots in cell_groups(pairs.sparkSession, seeds, shots, kw["dim"], kw.get("n_encoders", 1),
+                                                  kw.get("n_classes", 3)):
+            part = score_counts_numpy(pairs, some_seeds, some_shots, metric, encoder_col=encoder_col, **kw)
             counts = part if counts is None else counts.unionByName(part)
     elif engine == "sql":
         scored = score_cells(pairs, seeds, shots, metric, encoder_col=encoder_col, **kw)
@@ -173,18 +180,19 @@ def sweep_counts(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[int], m
     return _expand_counts(named, group, letters)
 
 
-def seed_groups(spark, seeds: Sequence[int], shots: Sequence[int], dim: int, n_encoders: int = 1,
-                n_classes: int = 3) -> list[list[int]]:
-    """Split the seeds so each group's prototype pack (encoders * cells *
-    classes * d doubles) fits the broadcast limit.  One group is the normal
-    case; a grid too large to broadcast is scored in several passes over the
-    pairs instead (one per group), never with an unchecked broadcast."""
-    per_seed = n_encoders * len(shots) * n_classes * (8 * dim + 32)
-    if not fits_broadcast(spark, 1, per_seed):
-        raise ValueError("one seed's prototypes exceed the broadcast limit; sweep fewer shot counts per query")
-    k = max(1, broadcast_limit(spark) // per_seed)
-    seeds = [int(x) for x in seeds]
-    return [seeds[i:i + k] for i in range(0, len(seeds), k)]
+def cell_groups(spark, seeds: Sequence[int], shots: Sequence, dim: int, n_encoders: int = 1,
+                n_classes: int = 3) -> list[tuple[list[int], list]]:
+    """Split the grid into (seeds, shots) blocks whose prototype pack
+    (encoders * cells * classes * d doubles) fits the broadcast limit.  One
+    block is the normal case; a larger grid is scored in several passes over
+    the pairs, down to one cell at a time, never with an unchecked broadcast."""
+    per_cell = n_encoders * n_classes * (8 * dim + 32)
+    k = max(1, broadcast_limit(spark) // max(1, per_cell))
+    seeds, shots = [int(x) for x in seeds], list(shots)
+    if k >= len(shots):
+        step = k // len(shots)
+        return [(seeds[i:i + step], shots) for i in range(0, len(seeds), step)]
+    return [([s], shots[i:i + k]) for s in seeds for i in range(0, len(shots), k)]
 
 
 def _expand_counts(named: DataFrame, group: list[str], letters: Sequence[str]) -> DataFrame:
@@ -274,16 +282,16 @@ def _score_batch(x, truth, ranks, pack, metric, split, capped, n_classes, max_el
 def score_counts_numpy(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[int], metric: str = "euclidean",
                        key: Sequence[str] = KEY, label_col: str = "label", vec_col: str = "diff",
                        encoder_col: str | None = None, caps: dict[int, int] | None = None,
-                       dim: int = 1024, n_encoders: int = 1, n_classes: int = 3,
+                       dim: int | None = None, n_encoders: int = 1, n_classes: int = 3,
                        split: str = "dev", ranked: DataFrame | None = None) -> DataFrame:
     """Per-cell ``(encoder?, seed, m, truth, pred, n)`` counts, scored with
     numpy on Arrow batches (``mapInPandas``).  ``ranked`` may pass ranks
     already computed by ``ranked_keys`` for these seeds (shared by several
     sweeps over the same keys).
 
-    The prototype pack is bounded by encoders * cells * classes * d doubles;
-    its size is checked, then it is collected once and broadcast to the
-    executors.  Each batch is scored against every cell with one matrix
+    The prototype pack is bounded by encoders * cells * classes * d doubles,
+    and ``cell_groups`` sizes the grid by it; it is collected once and
+    broadcast to the executors.  Each batch is scored against every cell with one matrix
     product and leaves the task as at most cells * L * L counts, summed by a
     partial/final aggregate.
     """
@@ -295,9 +303,7 @@ def score_counts_numpy(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[i
     shots = [int(m) for m in shots]
     spark = pairs.sparkSession
     ship_package(spark)
-    pack_bytes = n_encoders * len(seeds) * len(shots) * n_classes * (8 * dim + 32)
-    if not fits_broadcast(spark, 1, pack_bytes):
-        raise ValueError("prototype pack exceeds the broadcast limit; sweep fewer cells per query")
+    dim = dim or vector_length(pairs, vec_col)
     n = max(caps.values()) if caps else max(shots)
     # the ranked keys (bounded: seeds * sum(caps) or seeds * classes * max(m))
     # feed both the prototypes and the scoring pass: checkpoint them once to
@@ -321,7 +327,7 @@ def score_counts_numpy(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[i
     base = pairs.join(rank_map, list(key), "inner" if caps else "left")
     ranks_arr = F.array(*[F.coalesce(F.element_at(F.col("_ranks"), F.lit(s)), F.lit(BIG_RANK)) for s in seeds])
     base = base.select(*_grid_key(encoder_col), F.col(label_col).cast("int").alias("truth"),
-                       F.col(vec_col).alias("vec"), ranks_arr.alias("ranks"))
+                       same_length(vec_col, dim).alias("vec"), ranks_arr.alias("ranks"))
 
     enc_field = [T.StructField(encoder_col, pairs.schema[encoder_col].dataType)] if encoder_col else []
     schema = T.StructType(enc_field + [
@@ -341,7 +347,7 @@ def score_counts_numpy(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[i
             for enc, g in groups:
                 pack = all_packs.get(enc)
                 if pack is None:
-                    continue
+                    raise ValueError(f"no prototypes for encoder {enc!r}: it has pairs but no fit rows")
                 x = np.stack(g["vec"].to_numpy()).astype(np.float64)
                 truth = g["truth"].to_numpy().astype(np.int64)
                 ranks = np.stack(g["ranks"].to_numpy()).astype(np.int64)
@@ -359,7 +365,7 @@ def score_counts_numpy(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[i
 
 def sweep_baseline(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[int], runs: Sequence[int] = (1,),
                    key: Sequence[str] = KEY, label_col: str = "label", vec_col: str = "diff",
-                   n_classes: int = 3, dim: int = 1024) -> DataFrame:
+                   n_classes: int = 3, dim: int | None = None) -> DataFrame:
     """Supervised baseline over the grid (seed x m x run): one softmax
     regression per cell, trained in parallel with ``applyInPandas`` on the
     cell's fit rows (at most classes * m rows each); the models (bounded by
@@ -369,8 +375,10 @@ def sweep_baseline(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[int],
     Returns the per-cell summary ``(seed, m, run, accuracy, f1_s, f1_n, f1_c, f1_macro)``."""
     seeds, shots, runs = [int(s) for s in seeds], [int(m) for m in shots], [int(r) for r in runs]
     counts = None
-    for group in seed_groups(pairs.sparkSession, seeds, [(m, r) for m in shots for r in runs], dim, 1, n_classes):
-        part = _baseline_counts(pairs, group, shots, runs, key, label_col, vec_col, n_classes)
+    dim = dim or vector_length(pairs, vec_col)
+    # all runs of a (seed, m) go together: a cell's models are runs * classes * (d + 1) doubles
+    for some_seeds, some_shots in cell_groups(pairs.sparkSession, seeds, shots, dim, len(runs), n_classes):
+        part = _baseline_counts(pairs, some_seeds, some_shots, runs, key, label_col, vec_col, n_classes, dim)
         counts = part if counts is None else counts.unionByName(part)
     named = counts.select("seed", "m", "run", decode_three("truth").alias("y_truth"),
                           decode_three("pred").alias("y_pred"), "n")
@@ -379,8 +387,8 @@ def sweep_baseline(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[int],
 
 
 def _baseline_counts(pairs: DataFrame, seeds: list[int], shots: list[int], runs: list[int],
-                     key: Sequence[str], label_col: str, vec_col: str, n_classes: int) -> DataFrame:
-    """``(seed, m, run, truth, pred, n)`` for one group of seeds."""
+                     key: Sequence[str], label_col: str, vec_col: str, n_classes: int, dim: int) -> DataFrame:
+    """``(seed, m, run, truth, pred, n)`` for one block of the grid."""
     import numpy as np
 
     from pyspark.sql import types as T
@@ -389,7 +397,9 @@ def _baseline_counts(pairs: DataFrame, seeds: list[int], shots: list[int], runs:
 
     spark = pairs.sparkSession
     ship_package(spark)
-    ranked = ranked_keys(pairs, seeds, max(shots), key, label_col)
+    # bounded by seeds * classes * max(m) rows; feeds the fits and the scoring
+    checkpoint_dir(spark)
+    ranked = ranked_keys(pairs, seeds, max(shots), key, label_col).checkpoint(eager=True)
     ms = F.array(*[F.lit(m) for m in shots])
     rs = F.array(*[F.lit(r) for r in runs])
     fit_keys = (ranked.select("seed", *key, "rank", F.explode(ms).alias("m"))
@@ -412,7 +422,7 @@ def _baseline_counts(pairs: DataFrame, seeds: list[int], shots: list[int], runs:
     rank_map = bounded_broadcast(rank_map, len(seeds) * n_classes * max(shots), 64 + 16 * len(seeds))
     ranks_arr = F.array(*[F.coalesce(F.element_at(F.col("_ranks"), F.lit(s)), F.lit(BIG_RANK)) for s in seeds])
     base = (pairs.join(rank_map, list(key), "left")
-            .select(F.col(label_col).cast("int").alias("truth"), F.col(vec_col).alias("vec"), ranks_arr.alias("ranks")))
+            .select(F.col(label_col).cast("int").alias("truth"), same_length(vec_col, dim).alias("vec"), ranks_arr.alias("ranks")))
     schema = T.StructType([T.StructField("seed", T.IntegerType()), T.StructField("m", T.IntegerType()),
                            T.StructField("run", T.IntegerType()), T.StructField("truth", T.IntegerType()),
                            T.StructField("pred", T.IntegerType()), T.StructField("n", T.LongType())])

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from diffproto.plans import sinks
 from diffproto.sources.runlogs import DRIFT_SCHEMA, read_drift
-from diffproto.streaming import score_stream
 from conftest import rows
 
 
@@ -34,16 +33,3 @@ def test_summaries_partitioned(spark, tmp_path):
     sinks.write_summaries(s, path)
     assert sorted(x for x in os.listdir(os.path.join(path, "dataset=fever")) if x.startswith("model=")) == ["model=m1", "model=m2"]
 
-
-def test_score_stream(spark, tmp_path):
-    src = tmp_path / "pairs"
-    spark.createDataFrame([(1, [0.0, 0.0], [0.1, 0.0]), (2, [0.0, 0.0], [5.0, 5.0])],
-                          "id int, claim_vec array<double>, evidence_vec array<double>").write.parquet(str(src))
-    stream = spark.readStream.schema("id int, claim_vec array<double>, evidence_vec array<double>").parquet(str(src))
-    protos = [(0, 0, [0.0, 0.0]), (1, 1, [5.0, 5.0]), (2, 2, [9.0, 9.0])]
-    q = (score_stream(stream, protos).writeStream.format("memory").queryName("scored_pairs")
-         .option("checkpointLocation", str(tmp_path / "ck")).start())
-    q.processAllAvailable()
-    q.stop()
-    got = sorted(rows(spark.table("scored_pairs"), "id", "pred", "y_pred"))
-    assert got == [(1, 0, "s"), (2, 1, "n")]
