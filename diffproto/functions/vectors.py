@@ -67,8 +67,9 @@ def _cos(x: Column, y: Column) -> Column:
     return let(_norm(x) * _norm(y), lambda den: F.when(den == 0, F.lit(NAN)).otherwise(_dot(x, y) / den))
 
 
-def _theta(x: Column, y: Column, variant: str) -> Column:
-    c = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), _cos(x, y)))
+def _angle(dot, den, variant: str) -> Column:
+    cos = F.when(den == 0, F.lit(NAN)).otherwise(dot / den)
+    c = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cos))
     if variant == "reference":
         return F.acos(c) + F.lit(math.radians(10))
     if variant == "degrees":
@@ -76,13 +77,18 @@ def _theta(x: Column, y: Column, variant: str) -> Column:
     raise ValueError(f"unknown theta variant: {variant}")
 
 
-def _triangle(x: Column, y: Column, variant: str) -> Column:
-    return _norm(x) * _norm(y) * F.sin(F.radians(_theta(x, y, variant))) / F.lit(2.0)
+def _bound(x: Column, y: Column, variant: str, f) -> Column:
+    """``f(|x|, |y|, theta)``, each computed once a row."""
+    return let(_norm(x), lambda nx: let(_norm(y), lambda ny: let(
+        _angle(_dot(x, y), nx * ny, variant), lambda th: f(nx, ny, th))))
 
 
-def _sector(x: Column, y: Column, variant: str) -> Column:
-    return (F.lit(math.pi) * F.pow(F.sqrt(_sq(x, y)) + F.abs(_norm(x) - _norm(y)), F.lit(2.0))
-            * _theta(x, y, variant) / F.lit(360.0))
+def _triangle(nx, ny, th) -> Column:
+    return nx * ny * F.sin(F.radians(th)) / F.lit(2.0)
+
+
+def _sector(x: Column, y: Column, nx, ny, th) -> Column:
+    return F.lit(math.pi) * F.pow(F.sqrt(_sq(x, y)) + F.abs(nx - ny), F.lit(2.0)) * th / F.lit(360.0)
 
 
 def sq_distance(a, b) -> Column:
@@ -119,13 +125,13 @@ def theta(a, b, variant: str = "reference") -> Column:
     ``degrees``  : ``degrees(acos(cos)) + 10``, in degrees (published TS-SS).
     The cosine is clamped to [-1, 1] so rounding never leaves acos's domain.
     """
-    return _let2(a, b, lambda x, y: _theta(x, y, variant))
+    return _let2(a, b, lambda x, y: _bound(x, y, variant, lambda nx, ny, th: th))
 
 
 def triangle(a, b, variant: str = "reference") -> Column:
     """``|a| |b| sin(radians(theta)) / 2``; the reference variant converts an
     angle that is already in radians once more."""
-    return _let2(a, b, lambda x, y: _triangle(x, y, variant))
+    return _let2(a, b, lambda x, y: _bound(x, y, variant, _triangle))
 
 
 def magnitude_difference(a, b) -> Column:
@@ -134,12 +140,13 @@ def magnitude_difference(a, b) -> Column:
 
 def sector(a, b, variant: str = "reference") -> Column:
     """``pi (ED + MD)^2 theta / 360``."""
-    return _let2(a, b, lambda x, y: _sector(x, y, variant))
+    return _let2(a, b, lambda x, y: _bound(x, y, variant, lambda nx, ny, th: _sector(x, y, nx, ny, th)))
 
 
 def ts_ss(a, b, variant: str = "reference") -> Column:
     """Triangle-area times sector-area similarity measure (a distance)."""
-    return _let2(a, b, lambda x, y: _triangle(x, y, variant) * _sector(x, y, variant))
+    return _let2(a, b, lambda x, y: _bound(
+        x, y, variant, lambda nx, ny, th: _triangle(nx, ny, th) * _sector(x, y, nx, ny, th)))
 
 
 SIMILARITIES = ("euclidean", "cosine")
