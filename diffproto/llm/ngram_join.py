@@ -49,7 +49,7 @@ SKETCH_CHUNK = 1 << 14
 MAX_BOUNDARY = 64
 SALT_FROM = 4096  # keys that occur more often than this are dealt to several tasks
 GROUP = 256  # classes compared with one copy of a pivot
-WORD_CACHE = 500_000
+WORD_CACHE = 200_000
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _SALT_BITS, _POS_BITS = 12, 20
 
