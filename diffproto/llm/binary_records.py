@@ -21,6 +21,7 @@ running total plus its place in the file.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,11 +36,13 @@ from .common import longs, read
 
 PER_FILE = 2048
 END_ID = 0
-CACHE = 300_000  # word pieces a worker remembers
+CACHE = 300_000  # pieces in a generation of what a worker remembers
 _HEAD = struct.Struct("<QI")
 _BODY = struct.Struct("<qBB")
 _CRC = struct.Struct("<I")
 _END = 10
+_PLAIN = re.compile(r"\n?\S+")
+_FIRST = re.compile(r"\S+")
 
 
 def masked_crc(data: bytes) -> int:
@@ -94,7 +97,7 @@ class Encoder:
     A byte-level tokenizer splits a text before every single space and on
     both sides of a single newline, and merges nothing across, so the ids of
     a text are those of its pieces, and each distinct piece is encoded once
-    and remembered (``CACHE`` pieces; the memory starts anew when full).
+    and remembered (two generations of about ``CACHE`` pieces).
     Texts with other or repeated white space or with a special token's
     string, and other kinds of tokenizers, are encoded whole."""
 
@@ -110,48 +113,58 @@ class Encoder:
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.type = "<u2" if self.width == 2 else "<u4"
         self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+        newline = self.tok.encode("\n", add_special_tokens=False).ids
+        self.by_piece = self.by_piece and len(newline) == 1
+        self.newline = newline[0] if newline else None
 
     def whole(self, texts: list[str]) -> list[bytes]:
         got = self.tok.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         return [np.array(e.ids, dtype=self.type).tobytes() for e in got]
 
+    def _apart(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece, from one text in which newlines, which are
+        never merged with what stands beside them, keep the pieces apart."""
+        if not pieces:
+            return []
+        ids = np.frombuffer(self.whole(["\n".join(pieces)])[0], dtype=self.type)
+        at = np.flatnonzero(ids == self.newline)
+        if len(at) != len(pieces) - 1:
+            return self.whole(pieces)
+        ends = np.append(at, len(ids))
+        starts = np.append(0, at + 1)
+        return [ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > CACHE:
-            self.known = {}
-        plain = [p for p in pieces if p and p != "\n" and not any(c.isspace() for c in p[1:]) and (p[0] == "\n" or not p[0].isspace())]
-        self.known.update(dict.fromkeys(set(pieces) - set(plain)))
-        self.known.update(zip(plain, self.whole([p if p[0] == "\n" else " " + p for p in plain]), strict=True))
+        plain = [p for p in pieces if _PLAIN.fullmatch(p)]
+        self.known.update(dict.fromkeys(pieces))
+        after_space = [p for p in plain if p[0] != "\n"]
+        after_line = [p for p in plain if p[0] == "\n"]
+        self.known.update(zip(after_space, self._apart([" " + p for p in after_space]), strict=True))
+        line = np.array([self.newline], dtype=self.type).tobytes()
+        self.known.update(zip(after_line, (line + x for x in self._apart([p[1:] for p in after_line])), strict=True))
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
         if not self.by_piece:
             return self.whole(texts)
-        out: list[bytes | None] = [None] * len(texts)
+        if len(self.known) > CACHE:  # pieces that come again move on from the older generation
+            self.older, self.known = self.known, {}
         # a piece starts with its newline, or else stands for a space and what follows; the first has neither
         cut = [t.replace("\n", " \n").split(" ") for t in texts]
-        for a in range(0, len(texts), 64):
-            part = cut[a: a + 64]
-            known = self.known
-            missing = {p for c in part for p in c[1:] if p not in known}
-            if missing:
-                self._learn(sorted(missing))
-                known = self.known
-                # the memory may have started anew
-                again = {p for c in part for p in c[1:] if p not in known}
-                if again:
-                    self._learn(sorted(again))
-                    known = self.known
-            for i, c in enumerate(part, a):
-                text = texts[i]
-                first = c[0]
-                if not first or first[0] == "\n" or any(x.isspace() for x in first) or any(s in text for s in self.added):
-                    continue
-                got = [known.get(p) for p in c[1:]]
-                if None not in got:
-                    out[i] = b"".join(got)
-        ready = [i for i, o in enumerate(out) if o is not None]
-        for i, head in zip(ready, self.whole([cut[i][0] for i in ready]), strict=True):
-            out[i] = head + out[i]
+        heads = [c.pop(0) for c in cut]
+        new = set().union(*cut).difference(self.known)
+        again = new & self.older.keys()
+        self.known.update((p, self.older[p]) for p in again)
+        self._learn(list(new - again))
+        get = self.known.__getitem__
+        ready = [i for i, h in enumerate(heads) if _FIRST.fullmatch(h) and not any(s in texts[i] for s in self.added)]
+        out: list[bytes | None] = [None] * len(texts)
+        for i, head in zip(ready, self._apart([heads[i] for i in ready]), strict=True):
+            try:
+                out[i] = head + b"".join(map(get, cut[i]))
+            except TypeError:  # a piece with other white space
+                pass
         rest = [i for i, o in enumerate(out) if o is None]
         for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
             out[i] = ids
