@@ -20,6 +20,7 @@ running total plus its place in the file.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import struct
@@ -43,6 +44,7 @@ _CRC = struct.Struct("<I")
 _END = 10
 _PLAIN = re.compile(r"\n?\S+")
 _FIRST = re.compile(r"\S+")
+_TAIL = re.compile(r"(\n?[^\W\d_]+)([^\w\s]+)")
 
 
 def masked_crc(data: bytes) -> int:
@@ -114,6 +116,7 @@ class Encoder:
         self.type = "<u2" if self.width == 2 else "<u4"
         self.known: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
+        self.tails: dict[str, bytes] = {}
         newline = self.tok.encode("\n", add_special_tokens=False).ids
         self.by_piece = self.by_piece and len(newline) == 1
         self.newline = newline[0] if newline else None
@@ -135,28 +138,42 @@ class Encoder:
         starts = np.append(0, at + 1)
         return [ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if _PLAIN.fullmatch(p)]
-        self.known.update(dict.fromkeys(pieces))
+    def _learn(self, pieces: set[str]) -> None:
+        """Remembers new pieces.  Letters followed by punctuation are put
+        together from both, as nothing is merged across."""
+        split = {p: m.groups() for p in pieces if (m := _TAIL.fullmatch(p))}
+        tails = list({t for _, t in split.values()}.difference(self.tails))
+        self.tails.update(zip(tails, self._apart(tails), strict=True))
+        base = pieces.difference(split).union(c for c, _ in split.values())
+        base = self._recall(base)
+        self.known.update(dict.fromkeys(base))
+        plain = [p for p in base if _PLAIN.fullmatch(p)]
         after_space = [p for p in plain if p[0] != "\n"]
         after_line = [p for p in plain if p[0] == "\n"]
         self.known.update(zip(after_space, self._apart([" " + p for p in after_space]), strict=True))
         line = np.array([self.newline], dtype=self.type).tobytes()
         self.known.update(zip(after_line, (line + x for x in self._apart([p[1:] for p in after_line])), strict=True))
+        self.known.update((p, self.known[c] + self.tails[t]) for p, (c, t) in split.items())
+
+    def _recall(self, pieces: set[str]) -> set[str]:
+        """Moves pieces on from the older generation; returns those that are in neither."""
+        new = pieces.difference(self.known)
+        again = new & self.older.keys()
+        self.known.update((p, self.older[p]) for p in again)
+        return new - again
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
         if not self.by_piece:
             return self.whole(texts)
-        if len(self.known) > CACHE:  # pieces that come again move on from the older generation
+        if len(self.known) > CACHE:
             self.older, self.known = self.known, {}
+        if len(self.tails) > CACHE:
+            self.tails = {}
         # a piece starts with its newline, or else stands for a space and what follows; the first has neither
         cut = [t.replace("\n", " \n").split(" ") for t in texts]
         heads = [c.pop(0) for c in cut]
-        new = set().union(*cut).difference(self.known)
-        again = new & self.older.keys()
-        self.known.update((p, self.older[p]) for p in again)
-        self._learn(list(new - again))
+        self._learn(self._recall(set().union(*cut)))
         get = self.known.__getitem__
         ready = [i for i, h in enumerate(heads) if _FIRST.fullmatch(h) and not any(s in texts[i] for s in self.added)]
         out: list[bytes | None] = [None] * len(texts)
@@ -171,6 +188,12 @@ class Encoder:
         return out
 
 
+@functools.lru_cache(maxsize=4)
+def encoder(path: str) -> Encoder:
+    """One encoder, and so one memory, for all tasks of a worker."""
+    return Encoder(path)
+
+
 def write_records(docs: DataFrame, tokenizer: str, path: str | None = None, id_col: str = "doc_id", text: str = "text",
                   end_id: int = END_ID, per_file: int = PER_FILE) -> tuple[str, str]:
     """Writes the records of ``docs`` and their index; returns both paths.
@@ -185,7 +208,7 @@ def write_records(docs: DataFrame, tokenizer: str, path: str | None = None, id_c
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         end = np.array([end_id], dtype=enc.type).tobytes()
         for b in batches:
             ids, texts = b["doc_id"], list(b["text"])
