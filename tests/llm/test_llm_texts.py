@@ -259,7 +259,7 @@ def test_nearest_edge_cases(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=6).round(2).tolist()) for i in range(120)]
     rows += [(i, rows[3][1]) for i in range(200, 260)]  # ties
-    rows += [(300, None), (320, []), (340, [0.0] * 6), (360, [1.0, None, 1, 1, 1, 1]), (380, [float("nan")] * 6), (400, [float("inf")] * 6),
+    rows += [(300, None), (320, []), (340, [0.0] * 6), (360, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (380, [float("nan")] * 6), (400, [float("inf")] * 6),
              (None, rows[0][1]), (0, rows[0][1]), (420, [1.0, 2.0]), (441, [3.0, 1.0])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, rank int")
     got = {}
