@@ -63,7 +63,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    _SCRATCH.append((spark.sparkContext.applicationId, path))
+    return path
+
+
+_SCRATCH: list[tuple[str, str]] = []
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes the tables that this application wrote to the shared folder.
+    DataFrames that were returned read them, so only the caller knows when."""
+    sc = spark.sparkContext
+    conf = sc._jsc.hadoopConfiguration()
+    for app, path in [x for x in _SCRATCH if x[0] == sc.applicationId]:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+        _SCRATCH.remove((app, path))
 
 
 _SHIPPED: set[str] = set()

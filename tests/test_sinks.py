@@ -33,3 +33,13 @@ def test_summaries_partitioned(spark, tmp_path):
     sinks.write_summaries(s, path)
     assert sorted(x for x in os.listdir(os.path.join(path, "dataset=fever")) if x.startswith("model=")) == ["model=m1", "model=m2"]
 
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    from diffproto.session import drop_scratch, scratch_path
+
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert os.path.exists(path.removeprefix("file:"))
+    drop_scratch(spark)
+    assert not os.path.exists(path.removeprefix("file:"))
