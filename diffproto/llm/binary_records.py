@@ -139,28 +139,31 @@ class Encoder:
         return [ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
 
     def _learn(self, pieces: set[str]) -> None:
-        """Remembers new pieces.  Letters followed by punctuation are put
-        together from both, as nothing is merged across."""
-        split = {p: m.groups() for p in pieces if (m := _TAIL.fullmatch(p))}
-        tails = list({t for _, t in split.values()}.difference(self.tails))
-        self.tails.update(zip(tails, self._apart(tails), strict=True))
-        base = pieces.difference(split).union(c for c, _ in split.values())
-        base = self._recall(base)
-        self.known.update(dict.fromkeys(base))
-        plain = [p for p in base if _PLAIN.fullmatch(p)]
+        """Remembers pieces that are in neither generation; one with other white space is remembered as None."""
+        new = pieces.difference(self.known)
+        again = new & self.older.keys()
+        self.known.update((p, self.older[p]) for p in again)
+        new -= again
+        self.known.update(dict.fromkeys(new))
+        plain = [p for p in new if _PLAIN.fullmatch(p)]
         after_space = [p for p in plain if p[0] != "\n"]
         after_line = [p for p in plain if p[0] == "\n"]
         self.known.update(zip(after_space, self._apart([" " + p for p in after_space]), strict=True))
         line = np.array([self.newline], dtype=self.type).tobytes()
         self.known.update(zip(after_line, (line + x for x in self._apart([p[1:] for p in after_line])), strict=True))
-        self.known.update((p, self.known[c] + self.tails[t]) for p, (c, t) in split.items())
 
-    def _recall(self, pieces: set[str]) -> set[str]:
-        """Moves pieces on from the older generation; returns those that are in neither."""
-        new = pieces.difference(self.known)
-        again = new & self.older.keys()
-        self.known.update((p, self.older[p]) for p in again)
-        return new - again
+    def _look(self, pieces: set[str]) -> dict[str, bytes | None]:
+        """The ids of a batch's distinct pieces.  Letters followed by
+        punctuation are put together from both, as nothing is merged across;
+        only the letters are remembered."""
+        split = {p: m.groups() for p in pieces if (m := _TAIL.fullmatch(p))}
+        tails = list({t for _, t in split.values()}.difference(self.tails))
+        self.tails.update(zip(tails, self._apart(tails), strict=True))
+        rest = pieces.difference(split)
+        self._learn(rest.union(c for c, _ in split.values()))
+        look = {p: self.known[c] + self.tails[t] for p, (c, t) in split.items()}
+        look.update((p, self.known[p]) for p in rest)
+        return look
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
@@ -173,8 +176,7 @@ class Encoder:
         # a piece starts with its newline, or else stands for a space and what follows; the first has neither
         cut = [t.replace("\n", " \n").split(" ") for t in texts]
         heads = [c.pop(0) for c in cut]
-        self._learn(self._recall(set().union(*cut)))
-        get = self.known.__getitem__
+        get = self._look(set().union(*cut)).__getitem__
         ready = [i for i, h in enumerate(heads) if _FIRST.fullmatch(h) and not any(s in texts[i] for s in self.added)]
         out: list[bytes | None] = [None] * len(texts)
         for i, head in zip(ready, self._apart([heads[i] for i in ready]), strict=True):
@@ -188,6 +190,18 @@ class Encoder:
         return out
 
 
+def runs(texts: list[str], most: int = 1024, chars: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of a bounded size; a longer text is a run of its own."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > start and (i - start >= most or size + len(t) > chars):
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """One encoder, and so one memory, for all tasks of a worker."""
@@ -212,9 +226,9 @@ def write_records(docs: DataFrame, tokenizer: str, path: str | None = None, id_c
         end = np.array([end_id], dtype=enc.type).tobytes()
         for b in batches:
             ids, texts = b["doc_id"], list(b["text"])
-            for a in range(0, len(texts), 256):
+            for a, z in runs(texts):
                 out = []
-                for doc_id, packed in zip(ids[a: a + 256], enc.batch(texts[a: a + 256]), strict=True):
+                for doc_id, packed in zip(ids[a:z], enc.batch(texts[a:z]), strict=True):
                     out.append(frame(pack(None if pd.isna(doc_id) else int(doc_id), enc.width, packed + end)))
                 yield pd.DataFrame({"record": out})
 
