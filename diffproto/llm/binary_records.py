@@ -237,20 +237,29 @@ def write_records(docs: DataFrame, tokenizer: str, path: str | None = None, id_c
     framed.select(F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", per_file).option(
         "lineSep", chr(_END)).text(f"{path}/data")
 
+    index_records(spark, path)
+    return f"{path}/data", f"{path}/index"
+
+
+def index_records(spark: SparkSession, path: str) -> None:
+    """Reads the files back, every checksum verified and every id decoded, and
+    writes the index: file, record, doc_id, offset, length, n_tokens,
+    ids_crc32 (unsigned CRC-32 of the ids as little-endian u32) and before,
+    the ids of earlier records of the file."""
+    ship_package(spark)
+    schema = ("file string, record long, doc_id long, offset long, length long, n_tokens long, ids_crc32 long, before long")
+
     def scan(batches):
         for b in batches:
             for name, content in zip(b["path"], b["content"], strict=True):
                 seen, got = 0, []
-                for k, (offset, length, payload) in enumerate(records(content, check=False)):
-                    doc_id, _, n = body(payload)
-                    got.append((name, k, doc_id, offset, length, n, seen))
-                    seen += n
-                yield _frame(got, ["file", "record", "doc_id", "offset", "length", "n_tokens", "before"])
-
-    index = _files(spark, path).mapInPandas(
-        scan, "file string, record long, doc_id long, offset long, length long, n_tokens long, before long")
-    index.write.parquet(f"{path}/index")
-    return f"{path}/data", f"{path}/index"
+                for k, (offset, length, payload) in enumerate(records(content)):
+                    doc_id, ids = unpack(payload)
+                    got.append((name, k, doc_id, offset, length, len(ids), zlib.crc32(ids.tobytes()), seen))
+                    seen += len(ids)
+                yield _frame(got, [c.split()[0] for c in schema.split(", ")])
+
+    _files(spark, path).mapInPandas(scan, schema).write.parquet(f"{path}/index")
 
 
 def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
@@ -264,28 +273,16 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Reads files back, checksums verified: file, record, doc_id, n_tokens,
-    ids_crc32 (unsigned CRC-32 of the ids as little-endian u32), and start,
-    the number of ids in all documents before it."""
-    ship_package(spark)
-
-    def run(batches):
-        for b in batches:
-            for name, content in zip(b["path"], b["content"], strict=True):
-                got = []
-                for k, (_, _, payload) in enumerate(records(content)):
-                    doc_id, ids = unpack(payload)
-                    got.append((name, k, doc_id, len(ids), zlib.crc32(ids.tobytes())))
-                yield _frame(got, ["file", "record", "doc_id", "n_tokens", "ids_crc32"])
-
-    got = _files(spark, path).mapInPandas(run, "file string, record long, doc_id long, n_tokens long, ids_crc32 long")
-    index = spark.read.parquet(f"{path}/index").select("file", "record", "before", F.col("n_tokens").alias("n"))
+    """What the files hold, as read back for the index: doc_id, start (the
+    number of ids in all documents before it), n_tokens, ids_crc32, and where
+    the record lies (file, record, offset, length)."""
+    index = spark.read.parquet(f"{path}/index")
     # one row per file, whatever number of documents it holds
-    per = index.groupBy("file").agg(F.sum("n").alias("total"))
+    per = index.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     upto = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     base = per.select("file", F.coalesce(F.sum("total").over(upto), F.lit(0)).alias("base"))
-    at = index.join(base, "file").select("file", "record", (F.col("base") + F.col("before")).alias("start"))
-    return got.join(at, ["file", "record"]).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "record")
+    return index.join(base, "file").select(
+        "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "file", "record", "offset", "length")
 
 
 def default_tokenizer() -> str:
