@@ -37,7 +37,7 @@ from .common import longs, read
 
 PER_FILE = 2048
 END_ID = 0
-CACHE = 300_000  # pieces in a generation of what a worker remembers
+CACHE = 500_000  # pieces in a generation of what a worker remembers
 _HEAD = struct.Struct("<QI")
 _BODY = struct.Struct("<qBB")
 _CRC = struct.Struct("<I")
@@ -138,14 +138,17 @@ class Encoder:
         starts = np.append(0, at + 1)
         return [ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Remembers pieces that are in neither generation; one with other white space is remembered as None."""
+    def _recall(self, pieces: set[str]) -> set[str]:
+        """Moves pieces on from the older generation; returns those that are in neither."""
         new = pieces.difference(self.known)
         again = new & self.older.keys()
         self.known.update((p, self.older[p]) for p in again)
-        new -= again
-        self.known.update(dict.fromkeys(new))
-        plain = [p for p in new if _PLAIN.fullmatch(p)]
+        return new - again
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Remembers pieces; one with other white space is remembered as None."""
+        self.known.update(dict.fromkeys(pieces))
+        plain = [p for p in pieces if _PLAIN.fullmatch(p)]
         after_space = [p for p in plain if p[0] != "\n"]
         after_line = [p for p in plain if p[0] == "\n"]
         self.known.update(zip(after_space, self._apart([" " + p for p in after_space]), strict=True))
@@ -153,17 +156,15 @@ class Encoder:
         self.known.update(zip(after_line, (line + x for x in self._apart([p[1:] for p in after_line])), strict=True))
 
     def _look(self, pieces: set[str]) -> dict[str, bytes | None]:
-        """The ids of a batch's distinct pieces.  Letters followed by
-        punctuation are put together from both, as nothing is merged across;
-        only the letters are remembered."""
-        split = {p: m.groups() for p in pieces if (m := _TAIL.fullmatch(p))}
+        """The memory, with all of ``pieces`` in it.  Letters followed by
+        punctuation are put together from both, as nothing is merged across."""
+        new = self._recall(pieces)
+        split = {p: m.groups() for p in new if (m := _TAIL.fullmatch(p))}
         tails = list({t for _, t in split.values()}.difference(self.tails))
         self.tails.update(zip(tails, self._apart(tails), strict=True))
-        rest = pieces.difference(split)
-        self._learn(rest.union(c for c, _ in split.values()))
-        look = {p: self.known[c] + self.tails[t] for p, (c, t) in split.items()}
-        look.update((p, self.known[p]) for p in rest)
-        return look
+        self._learn(new.difference(split) | self._recall({c for c, _ in split.values()}))
+        self.known.update((p, self.known[c] + self.tails[t]) for p, (c, t) in split.items())
+        return self.known
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
