@@ -13,9 +13,10 @@ a checksum of data holding checksums stays sound.
 Documents are range-partitioned and sorted by id; each task encodes its rows
 and writes its files, at most ``PER_FILE`` records each, through Spark's
 writer, whose commit survives lost and repeated tasks on any file system.
-The index has a row per record: file, record, offset, length.  File names
-sort like the ids in them, so a document's global token offset is its file's
-running total plus its place in the file.
+The index has a row per record: file, record, offset, length.  Files in the
+order of the part number and the file counter in their names, as integers,
+are in the order of the ids in them, so a document's global token offset is
+its file's running total plus its place in the file.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship_package
@@ -273,6 +274,12 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/data").select(name.alias("path"), "content")
 
 
+def _file_order(file: Column) -> list[Column]:
+    """A task's part number and its file counter: Spark pads them to five and
+    three digits, so from the 1001st file of a task on names do not sort."""
+    return [F.regexp_extract(file, r"^part-(\d+)", 1).cast("long"), F.regexp_extract(file, r"-c(\d+)(?:\.|$)", 1).cast("long")]
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """What the files hold, as read back for the index: doc_id, start (the
     number of ids in all documents before it), n_tokens, ids_crc32, and where
@@ -280,7 +287,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     index = spark.read.parquet(f"{path}/index")
     # one row per file, whatever number of documents it holds
     per = index.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    upto = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.orderBy(*_file_order(F.col("file"))).rowsBetween(Window.unboundedPreceding, -1)
     base = per.select("file", F.coalesce(F.sum("total").over(upto), F.lit(0)).alias("base"))
     return index.join(base, "file").select(
         "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "file", "record", "offset", "length")

@@ -180,6 +180,18 @@ def test_round_trip(spark):
     assert binary_records.read_records(spark, empty.removesuffix("/data")).collect() == []
 
 
+def test_offsets_hold_beyond_a_thousand_files_of_a_task(spark):
+    df = spark.createDataFrame([(None, f"{i:04d}" + " word" * (i % 5)) for i in range(1003)], "doc_id long, text string")
+    data, _ = binary_records.write_records(df, binary_records.default_tokenizer(), per_file=1)
+    got = binary_records.read_records(spark, data.removesuffix("/data")).orderBy("start").collect()
+    assert any("-c1002" in r["file"] for r in got)
+    upto = 0
+    for i, r in enumerate(got):
+        ids = np.array([*tokens(f"{i:04d}" + " word" * (i % 5)), binary_records.END_ID], dtype="<u4")
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (upto, len(ids), zlib.crc32(ids.tobytes()))
+        upto += len(ids)
+
+
 def test_damage_is_found():
     good = b"".join(binary_records.frame(binary_records.pack(i, 2, b"\x01\x00" * i)) + b"\n" for i in range(3))
     assert len(list(binary_records.records(good))) == 3
