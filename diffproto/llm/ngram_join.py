@@ -32,7 +32,8 @@ keys are salted.  Graph steps run on links, in tables on the shared folder.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -391,6 +392,34 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     all stay.  Rows that share an id but differ in text are linked each by
     its own text.  An empty table gives an empty result; other columns are
     ignored."""
+    return _named(_join(docs, id_col, text, k, num, den))
+
+
+@dataclass
+class _Joined:
+    """What the join found.  ``named``: cid, component_id, and whether the
+    class represents its component."""
+
+    sets: DataFrame
+    classes: DataFrame
+    lists: DataFrame
+    measured: DataFrame
+    comp: DataFrame
+    named: DataFrame
+    known: DataFrame
+    run: Callable
+    seed: int
+
+
+def _named(found: _Joined) -> DataFrame:
+    out = found.sets.join(found.named, "cid", "left")
+    return out.select(
+        "doc_id", "n_shingles",
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+    )
+
+
+def _join(docs: DataFrame, id_col: str, text: str, k: int, num: int, den: int) -> _Joined:
     spark = docs.sparkSession
     ship_package(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -424,25 +453,37 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     if not rest.isEmpty():
         comp = components(links.unionByName(rest), "cid", "pivot")
     roots = classes.join(comp, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("component", "cid").alias("root"))
-    least = roots.groupBy("root").agg(F.min("rep").alias("least"))
-    named = roots.join(least, "root").select("cid", F.col("least").alias("component_id"))
-    out = sets.join(named, "cid", "left")
-    return out.select(
-        "doc_id", "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-    )
+    # rows under one id may differ in text, so of a component's classes several may have its smallest id
+    least = roots.groupBy("root").agg(F.min(F.struct("rep", "cid")).alias("l"))
+    named = roots.join(least, "root").select("cid", F.col("l.rep").alias("component_id"), (F.col("cid") == F.col("l.cid")).alias("first"))
+    return _Joined(sets, classes, lists, measured, comp, named, known, run, seed)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest
-    id.  Documents without words, and rows without an id, all stay; of rows
-    with one id and an equal shingle set one stays."""
-    found = link_components(docs, id_col=id_col, **options)
-    keep = found.filter("doc_id = component_id").groupBy("doc_id").agg(
-        F.count("*").alias("__rows"), F.max("n_shingles").alias("__n")).withColumnRenamed("doc_id", "__keep")
+    id.  Documents without words, and rows without an id, all stay.  Rows
+    that share an id are decided each by its own text: texts of different
+    components stay apart, and of rows with one id and an equal shingle set,
+    or in one component, one stays."""
+    found = _join(docs, id_col, text, k, num, den)
+    first = stored(found.named.filter("first").select("cid", "component_id"), "kept")
+    chosen = F.col("cid").isNull() | (F.col("component_id") == F.col("doc_id"))
+    keep = found.sets.filter("doc_id is not null").join(first, "cid", "left").groupBy(F.col("doc_id").alias("__keep")).agg(
+        F.count("*").alias("__rows"), F.max(chosen).alias("__any")).filter("__any")
     kept = docs.join(keep, F.col(id_col) == F.col("__keep"))
-    once = kept.filter((F.col("__rows") == 1) | (F.col("__n") == 0)).select(*docs.columns)
-    many = kept.filter((F.col("__rows") > 1) & (F.col("__n") > 0)).select(*docs.columns).dropDuplicates([id_col])
+    once = kept.filter(F.col("__rows") == 1).select(*docs.columns)
+
+    seed = found.seed
+
+    @F.pandas_udf("long")
+    def class_of(col):
+        sets = (shingles(t, k) for t in col)
+        return pd.Series(longs(identity(h, seed)[0] if len(h) else None for h in sets))
+
+    many = kept.filter(F.col("__rows") > 1).select(*docs.columns, class_of(F.col(text)).alias("__cid"))
+    apart = first.select(F.col("cid").alias("__of"), F.col("component_id").alias("__id"))
+    same = many.join(apart, (F.col(id_col) == F.col("__id")) & (F.col("__cid") == F.col("__of")), "left_semi")
+    many = same.dropDuplicates([id_col, "__cid"]).unionByName(many.filter(F.col("__cid").isNull())).select(*docs.columns)
     return once.unionByName(many).unionByName(docs.filter(F.col(id_col).isNull()))
 
 

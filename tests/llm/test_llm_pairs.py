@@ -94,6 +94,16 @@ def test_join_edge_cases(spark):
     assert ngram_join.link_components(docs(spark, [])).collect() == []
 
 
+def test_keep_one_tells_texts_under_one_id_apart(spark):
+    base = [f"w{i}" for i in range(40)]
+    far = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    rows = [(1, " ".join(base)), (5, " ".join([*base, "end"])), (5, far("a")), (5, far("b")), (5, far("b").upper()), (5, ""), (5, None),
+            (7, far("c")), (7, far("c") + " end"), (8, far("d"))]
+    kept = sorted(((r["doc_id"], (r["text"] or "").lower()) for r in ngram_join.keep_one(docs(spark, rows)).collect()))
+    assert [r for r in kept if r[0] != 7] == sorted([(1, rows[0][1]), (5, far("a")), (5, far("b")), (5, ""), (5, ""), (8, far("d"))])
+    assert sum(r[0] == 7 for r in kept) == 1
+
+
 def test_components_of_a_long_chain(spark):
     from diffproto.llm.common import components
 
