@@ -5,8 +5,11 @@ to its element.  Text length and punctuation are aggregated per path; a
 block's feature is its path's mean text length times its path's mean number
 of punctuation marks (fused), smoothed over neighbouring blocks by a
 Gaussian.  Blocks over a share of the standard deviation are content nodes.
-They locate the article: the deepest element that holds nearly all of their
-text, or the <article> or <main> around it.  Its blocks are returned.
+They locate the article: if the deepest element that holds nearly all of
+their text lies in an <article> or <main>, that one, and its blocks are
+returned.  On other pages nothing marks where the article ends, and only
+menus are left out: blocks of link text alone, outside the lowest element
+that holds all content nodes.
 
 Elements that are no article by their kind (navigation, forms, scripts ...)
 or by the words of their class, id and role (sidebar, cookie, comments ...)
@@ -70,6 +73,8 @@ _TAG = re.compile(
 )
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_HEADING = re.compile(r"h[1-6]")
+_WORD = re.compile(r"[^\W_]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PUNCT = re.compile(r"[.,;:!?…。，、；：！？¿¡\"'()«»“”-]")
 
@@ -107,6 +112,8 @@ class _Page:
     def __init__(self, text: str):
         self.parent, self.tag, self.path, self.gone, self.art = [-1], [""], [0], [False], [False]
         self.blocks: list[tuple[int, str]] = []
+        self.links: list[bool] = []  # of each block: are its letters and digits all in <a>?
+        self._plain = False
         self._paths: dict[tuple[int, str], int] = {}
         self._stack = [0]
         self._count: dict[str, int] = {}
@@ -120,6 +127,18 @@ class _Page:
             if text:
                 top = next((i for i in reversed(self._stack) if self.tag[i] not in INLINE), 0)
                 self.blocks.append((top, text))
+                self.links.append(not self._plain)
+        self._plain = False
+
+    def _in_link(self) -> bool:
+        """Is the text at this place in an <a> of its own block?"""
+        if self._count.get("a"):
+            for i in reversed(self._stack):
+                if self.tag[i] not in INLINE:
+                    return False
+                if self.tag[i] == "a":
+                    return True
+        return False
 
     def _open(self, tag: str, attrs: str) -> None:
         up = self._stack[-1]
@@ -164,6 +183,7 @@ class _Page:
             if end > at and not self.gone[self._stack[-1]]:
                 piece = text[at:end]
                 self._buffer.append(entities.unescape(piece) if "&" in piece else piece)
+                self._plain = self._plain or bool(_WORD.search(self._buffer[-1])) and not self._in_link()
             if not m:
                 break
             at = m.end()
@@ -218,35 +238,48 @@ def content(page: _Page) -> list[str]:
         smooth.append(sum(a * b for a, b in zip(ks, raw[lo:hi], strict=True)) / sum(ks))
     mean = sum(smooth) / len(smooth)
     cut = CUT * math.sqrt(sum((s - mean) ** 2 for s in smooth) / len(smooth))
+    nodes = [i for i, s in enumerate(smooth) if s >= cut]
+    root = _deepest(page, nodes, HOLDS)
+    up = root
+    while up > 0 and page.tag[up] not in ("article", "main"):
+        up = page.parent[up]
+    marked = up > 0
+    # the Gaussian lifts a menu beside the article over the cut
+    root = up if marked else _deepest(page, [i for i in nodes if not page.links[i]], 1)
+    inside = [False] * len(page.tag)
+    for el in range(len(page.tag)):
+        inside[el] = el == root or (el > 0 and inside[page.parent[el]])
+    heads = [el for el, _ in blocks if _HEADING.fullmatch(page.tag[el])]
+    if marked:
+        heads = [el for el in heads if page.tag[el] == "h1"]
+        heads = heads if len(heads) == 1 else []
+    keep = set(heads)
+    return [text for (el, text), link in zip(blocks, page.links, strict=True) if inside[el] or el in keep or not (marked or link)]
+
+
+def _held(page: _Page, nodes: list[int]) -> dict[int, int]:
+    """Element -> length of the text of these blocks in it."""
     held: dict[int, int] = {}
-    mass = 0
-    own: dict[int, int] = {}
-    for (el, text), s in zip(blocks, smooth, strict=True):
-        if s >= cut:
-            own[el] = own.get(el, 0) + len(text)
-            mass += len(text)
+    for i in nodes:
+        el, text = page.blocks[i]
+        held[el] = held.get(el, 0) + len(text)
     # children come after their parents, so one backward pass sums up the tree
-    held = own
     for el in range(len(page.tag) - 1, 0, -1):
         if el in held:
             held[page.parent[el]] = held.get(page.parent[el], 0) + held[el]
-    root = 0
+    return held
+
+
+def _deepest(page: _Page, nodes: list[int], share: float) -> int:
+    """The deepest element that holds this share of the text of these blocks."""
+    held = _held(page, nodes)
+    if not held:
+        return 0
+    root, least = 0, share * held.get(0, 0)
     for el in range(len(page.tag)):  # the deepest comes last along a chain of parents
-        if held.get(el, 0) >= HOLDS * mass and (el == 0 or page.parent[el] == root or _under(page, el, root)):
+        if held.get(el, 0) >= least and (el == 0 or page.parent[el] == root or _under(page, el, root)):
             root = el
-    up = root
-    while up > 0 and page.tag[up] not in ("article", "main"):
-        up = page.parent[up]
-    if up > 0:
-        root = up
-    elif root > 0 and page.tag[root] in ("p", "li", "td", "blockquote", "pre"):
-        root = page.parent[root]  # one long paragraph is not the whole article
-    inside = [False] * len(page.tag)
-    for el in range(len(page.tag)):
-        inside[el] = el == root or (el > 0 and inside[page.parent[el]])
-    heads = [el for el, _ in blocks if page.tag[el] == "h1"]
-    keep = set(heads) if len(heads) == 1 else set()
-    return [text for el, text in blocks if inside[el] or el in keep]
+    return root
 
 
 def _under(page: _Page, el: int, root: int) -> bool:

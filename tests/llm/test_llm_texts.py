@@ -69,6 +69,16 @@ def test_parts_that_are_no_article_go():
         "Last bold, and done…"]
 
 
+def test_sections_beside_the_longest_one_stay():
+    long = "".join(f"<p>Paragraph {i}, which is long enough, has commas, and goes on for a while, as they do.</p>" for i in range(30))
+    page = ("<body><div class=top><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></div><div id=content><div class=lead><p>A lead.</p></div>"
+            "<section><ul><li>one<li>two, <a href=/x>linked</a></ul></section><div class=body>" + long + "</div>"
+            "<section><h2><a href=#n>Notes</a></h2><p>Short.</p><p>Also here, a sentence, with commas, of some length.</p></section></div></body>")
+    got = html_extract.main_text(page).split("\n")
+    assert got[:3] == ["A lead.", "one", "two, linked"] and len(got) == 36
+    assert got[-3:] == ["Notes", "Short.", "Also here, a sentence, with commas, of some length."]
+
+
 @pytest.mark.parametrize("html,text", [
     (None, ""), ("", ""), ("   ", ""), ("plain &lt;text&gt;", "plain <text>"), ("<nav>menu</nav>", ""),
     ("<script>var a = 1", ""), ("<p>cut off <b", "cut off"), ("<!-- <p>no</p> --><p>a\n\t b&nbsp;c</p>", "a b c"),
