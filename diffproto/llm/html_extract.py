@@ -13,13 +13,16 @@ that holds all content nodes.
 
 Elements that are no article by their kind (navigation, forms, scripts ...)
 or by the words of their class, id and role (sidebar, cookie, comments ...)
-take no part.
+take no part.  A form, or an element with such a word in its class or id, that
+holds the page's only <article> or <main> or most of the content nodes' text
+is a wrapper and stays.
 
 One page is one row, and a task holds one Arrow batch: no shuffle.
 """
 
 from __future__ import annotations
 
+import heapq
 import html as entities
 import math
 import re
@@ -64,6 +67,8 @@ DROP_WORDS = frozenset(
 )
 #: Class words that an article's own parts may carry.
 _INSIDE_ARTICLE = frozenset({"header"})
+#: Words that say nothing beside one of DROP_WORDS: ``comments-area`` names comments, ``has-sidebar`` does not name a sidebar.
+_NEUTRAL = frozenset("area bar block box container inner list outer section wrap wrapper".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -82,35 +87,50 @@ SIGMA = 1.0  # of the Gaussian over neighbouring blocks
 RADIUS = 2
 CUT = 0.5  # times the standard deviation
 HOLDS = 0.9  # share of the content nodes' text that the article's element holds
+MOST = 0.5  # share of it in an element that a class word or a form does not drop
 
 
-def _dropped(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in DROP_TAGS or (tag == "header" and not in_article):
-        return True
+_STAYS, _FORM, _WORDED, _NAMED, _GONE = range(5)
+
+
+def _dropped(tag: str, attrs: str, in_article: bool) -> int:
+    """Does an element go, and by what: ``_GONE`` for good; else unless it
+    turns out to hold the article: as a form, by a word in a class or id, or
+    by a whole class or id that names such a part."""
+    if tag == "form":
+        level = _FORM
+    elif tag in DROP_TAGS or (tag == "header" and not in_article):
+        return _GONE
+    else:
+        level = _STAYS
     if not attrs or attrs.isspace():
-        return False
+        return level
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return _GONE
         if name == "style" and _HIDDEN.search(value):
-            return True
+            return _GONE
         if name == "role" and value.lower() in DROP_ROLES:
-            return True
+            return _GONE
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            words = {w.lower() for w in _WORDS.findall(value)} & DROP_WORDS
-            if words - (_INSIDE_ARTICLE if in_article else frozenset()):
-                return True
-    return False
+            part = DROP_WORDS - _INSIDE_ARTICLE if in_article else DROP_WORDS
+            for token in value.split():
+                words = {w.lower() for w in _WORDS.findall(token)}
+                if words & part:
+                    level = max(level, _WORDED if words - part - _NEUTRAL else _NAMED)
+    return _GONE if level and tag in INLINE else level
 
 
 class _Page:
     """Elements and text blocks of one page.  Element i has ``parent[i]``,
     ``tag[i]``, ``path[i]`` (an interned number, so that deep nesting costs
-    nothing), ``gone[i]`` (in no article) and ``art[i]`` (in <article> or <main>)."""
+    nothing), ``gone[i]`` (in no article), ``art[i]`` (in <article> or <main>)
+    and ``level[i]`` (what may drop it)."""
 
     def __init__(self, text: str):
         self.parent, self.tag, self.path, self.gone, self.art = [-1], [""], [0], [False], [False]
+        self.level = [_STAYS]
         self.blocks: list[tuple[int, str]] = []
         self.links: list[bool] = []  # of each block: are its letters and digits all in <a>?
         self._plain = False
@@ -119,6 +139,48 @@ class _Page:
         self._count: dict[str, int] = {}
         self._buffer: list[str] = []
         self._parse(text)
+        if any(self.level):
+            self._drop()
+
+    def _drop(self) -> None:
+        """Takes out the blocks of elements that go by a word or as a form.
+        One that holds the page's only <article> or <main>, or most of the
+        content nodes' text, stays, and those in it are looked at in turn."""
+        over = [0] * len(self.tag)  # the nearest such element, itself included
+        above: dict[int, int] = {}
+        within: dict[int, list[int]] = {}
+        for el in range(1, len(self.tag)):
+            over[el] = over[self.parent[el]]
+            if self.level[el]:
+                above[el] = over[el]
+                within.setdefault(over[el], []).append(el)
+                over[el] = el
+        texts = _held(self, list(range(len(self.blocks))))
+        held = _held(self, content_nodes(self))
+        articles = {over[el] for el in range(1, len(self.tag)) if self.tag[el] in ("article", "main") and texts.get(el)}
+        holds = set()
+        for el in articles:
+            while el and el not in holds:
+                holds.add(el)
+                el = above[el]
+        free = 0 in articles
+        stay = {0}
+        rank = lambda el: (el not in holds, -held.get(el, 0), el)
+        heap = [rank(el) for el in within.get(0, [])]
+        heapq.heapify(heap)
+        while heap:
+            _, mass, el = heapq.heappop(heap)
+            share = -mass / max(1, held.get(0, 0))
+            if free and self.level[el] == _NAMED:
+                continue
+            if not (el in holds and not free or share > (HOLDS if free or self.level[el] == _NAMED else MOST)):
+                continue
+            stay.add(el)
+            free = free or el in articles
+            for x in within.get(el, []):
+                heapq.heappush(heap, rank(x))
+        kept = [i for i, (el, _) in enumerate(self.blocks) if over[el] in stay]
+        self.blocks, self.links = [self.blocks[i] for i in kept], [self.links[i] for i in kept]
 
     def _flush(self) -> None:
         if self._buffer:
@@ -143,23 +205,19 @@ class _Page:
     def _open(self, tag: str, attrs: str) -> None:
         up = self._stack[-1]
         art = self.art[up] or tag in ("article", "main")
-        gone = self.gone[up] or _dropped(tag, attrs, art)
-        if tag in ("article", "main") and self.gone[up] and "form" in self._count and self._only_form():
-            gone = False
+        level = _GONE if self.gone[up] else _dropped(tag, attrs, art)
+        gone = level == _GONE
         if gone and not self.gone[up] and tag not in INLINE:
             self._flush()
         self.parent.append(up)
         self.tag.append(tag)
         self.path.append(self._paths.setdefault((self.path[up], tag), len(self._paths) + 1))
         self.gone.append(gone)
+        self.level.append(_STAYS if gone else level)
         self.art.append(art)
         self._stack.append(len(self.tag) - 1)
         self._count[tag] = self._count.get(tag, 0) + 1
 
-    def _only_form(self) -> bool:
-        """Is a form around the whole page the one reason to drop what is inside?"""
-        return next(self.tag[i] for i in self._stack if self.gone[i]) == "form"
-
     def _pop(self) -> str:
         t = self.tag[self._stack.pop()]
         self._count[t] -= 1
@@ -217,8 +275,8 @@ class _Page:
         self._flush()
 
 
-def content(page: _Page) -> list[str]:
-    """The texts of the article's blocks, in page order."""
+def content_nodes(page: _Page) -> list[int]:
+    """The numbers of the blocks over the cut."""
     blocks = page.blocks
     if not blocks:
         return []
@@ -238,7 +296,12 @@ def content(page: _Page) -> list[str]:
         smooth.append(sum(a * b for a, b in zip(ks, raw[lo:hi], strict=True)) / sum(ks))
     mean = sum(smooth) / len(smooth)
     cut = CUT * math.sqrt(sum((s - mean) ** 2 for s in smooth) / len(smooth))
-    nodes = [i for i, s in enumerate(smooth) if s >= cut]
+    return [i for i, s in enumerate(smooth) if s >= cut]
+
+
+def content(page: _Page) -> list[str]:
+    """The texts of the article's blocks, in page order."""
+    blocks, nodes = page.blocks, content_nodes(page)
     root = _deepest(page, nodes, HOLDS)
     up = root
     while up > 0 and page.tag[up] not in ("article", "main"):

@@ -79,6 +79,20 @@ def test_sections_beside_the_longest_one_stay():
     assert got[-3:] == ["Notes", "Short.", "Also here, a sentence, with commas, of some length."]
 
 
+@pytest.mark.parametrize("wrap", ["div class=has-sidebar", "div class='page no-sidebar'", "div class=elementor-widget-theme-post-content",
+                                  "div id=login-page", "form", "div class=sidebar"])
+@pytest.mark.parametrize("article", ["article", "main", "div"])
+def test_a_wrapper_with_a_dropped_word_keeps_the_article(wrap, article):
+    text = "".join(f"<p>Paragraph {i}, which is long enough, has commas.</p>" for i in range(8))
+    page = (f"<body><div class=related><p>Read this, too.</p></div><{wrap}><{article}>{text}"
+            f"<div class=share-bar><p>Share it, now.</p></div></{article}>"
+            f"<div id=comments><article><p>I liked this, very much, indeed.</p></article></div></{wrap.split()[0]}></body>")
+    if article == "div":
+        page = page.replace("<article>", "").replace("</article>", "")
+    got = html_extract.main_text(page).split("\n")
+    assert got == [f"Paragraph {i}, which is long enough, has commas." for i in range(8)]
+
+
 @pytest.mark.parametrize("html,text", [
     (None, ""), ("", ""), ("   ", ""), ("plain &lt;text&gt;", "plain <text>"), ("<nav>menu</nav>", ""),
     ("<script>var a = 1", ""), ("<p>cut off <b", "cut off"), ("<!-- <p>no</p> --><p>a\n\t b&nbsp;c</p>", "a b c"),
