@@ -34,6 +34,8 @@ MAX_LANGS = 200
 LANDMARKS = 200
 RIDGE = 1e-2
 UNDETERMINED = "und"
+#: A text is rejected below this score: every one-versus-rest output is then under -0.8.
+MIN_SCORE = 0.1
 HELD_OUT = 2  # the remainder of crc32(id) mod 4 that is never learned from
 _BATCH_CHARS = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
@@ -97,6 +99,7 @@ class Model:
     column: np.ndarray  # bucket -> column of the landmarks' n-grams
     landmarks: np.ndarray  # columns x landmarks, each over the root of its count
     weights: np.ndarray  # landmarks x languages
+    partial: bool = False  # are there labels that it was not fitted on, beyond MAX_LANGS?
 
     def kernel(self, x: np.ndarray) -> np.ndarray:
         norm = np.sqrt(np.maximum(1.0, x.sum(axis=1, dtype=np.float64))).astype(np.float32)
@@ -148,15 +151,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", max_train: int = MAX_TRAIN) -> Model:
-    """Fits on rows with a language, a text with letters, and an id that is not held out."""
+    """Fits on rows with a language, a text with letters, and an id that is not
+    held out.  Of more than ``MAX_LANGS`` languages it learns the most
+    frequent ones (ties by name), and the model is ``partial``."""
     ship_package(docs.sparkSession)
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(id_col))).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"),
         (F.pmod(F.xxhash64(F.col(id_col), F.length(text)), F.lit(1 << 30)) / (1 << 30)).alias("h"),
     )
-    counts = rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGS + 1).collect()
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS + 1).collect()
+    partial, counts = len(counts) > MAX_LANGS, sorted(counts[:MAX_LANGS])
     if not counts:
         return fit_bits(np.zeros((0, BUCKETS), dtype=np.uint8), [])
     each = max(2, max_train // len(counts))
@@ -179,7 +183,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
 
     got = sorted(sample.select("lang", "text").mapInPandas(bits, "lang string, bits binary").collect(), key=lambda r: (r["lang"], r["bits"]))
     x = np.array([np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8)) for r in got], dtype=np.uint8).reshape(-1, BUCKETS)
-    return fit_bits(x, [r["lang"] for r in got])
+    model = fit_bits(x, [r["lang"] for r in got])
+    model.partial = partial
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -201,6 +207,25 @@ def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "lang
     return rest.withColumn("__p", run(F.col(text))).withColumn(out, F.col("__p.lang")).withColumn(score, F.col("__p.score")).drop("__p")
 
 
+def accepted(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", min_score: float = MIN_SCORE) -> DataFrame:
+    """``docs`` without the texts that are in no language: null texts, texts
+    without a letter, and those that the classifier scores below
+    ``min_score`` for every language.  With no label to learn from, or with
+    labels that the model does not know, a score rejects nothing, and every
+    text with a letter stays."""
+    ship_package(docs.sparkSession)
+    model = fit(docs, id_col=id_col, text=text, lang=lang)
+    if not model.langs:
+        @F.pandas_udf("boolean")
+        def lettered(col):
+            return pd.Series([bool(t and _LETTER.search(t)) for t in col], dtype=bool)
+
+        return docs.filter(lettered(F.col(text)))
+    told = identify(docs, model, text=text, out="__lang", score="__score")
+    sure = F.lit(True) if model.partial else F.col("__score") >= min_score
+    return told.filter((F.col("__lang") != UNDETERMINED) & sure).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs)

@@ -141,6 +141,22 @@ def test_language_id_edge_cases(spark):
     assert {r["lang_pred"] for r in langid.identify(df, nothing).collect()} == {"und"}
 
 
+def test_language_stage_without_labels_and_with_many(spark, monkeypatch):
+    import corpus_pipeline as C
+
+    en, fr, de = "the cat and the dog went with this", "le chat est avec les chiens dans une école", "der Hund ist mit den Katzen"
+    rows = [(i, (en, fr, de)[i % 3] + f" {i}", ("en", "fr", "de")[i % 3]) for i in range(60)] + [(90, None, "en"), (91, "12 !!", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = lambda d: sorted(r["doc_id"] for r in C.language_id(spark, d, "").collect())
+    assert kept(df.withColumn("lang", langid.F.lit(None).cast("string"))) == list(range(60))
+    assert kept(df) == list(range(60))
+    model = langid.fit(df)
+    scores = sorted(r["score"] for r in langid.identify(df, model).filter("doc_id < 60").collect())
+    assert langid.accepted(df, min_score=scores[30]).count() == sum(x >= scores[30] for x in scores)
+    monkeypatch.setattr(langid, "MAX_LANGS", 2)
+    assert len(langid.fit(df).langs) == 2 and kept(df) == list(range(60))
+
+
 def test_kernel_is_the_normalised_count_of_shared_grams():
     texts = ["abc abd", "abd xyz", "hello"]
     every = np.arange(langid.BUCKETS)
