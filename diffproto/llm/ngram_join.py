@@ -355,8 +355,8 @@ def is_link(n: str, m: str, shared: str, num: int, den: int):
     return F.col(shared) * (den + num) >= F.lit(num) * (F.col(n) + F.col(m))
 
 
-def open_pairs(lists: DataFrame, measured: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs of classes, of one list but of different components, whose overlap nothing bounds yet."""
+def _bounded(lists: DataFrame, measured: DataFrame, num: int, den: int) -> DataFrame:
+    """Listed rows that may link, with what is known of their overlap: a and f."""
     by_key = measured.select("cid", "pivot", "shared", F.explode_outer(F.arrays_zip("key", "before")).alias("e")).select(
         "cid", "pivot", F.col("e.key").alias("key"), F.col("e.before").alias("before")
     )
@@ -366,21 +366,45 @@ def open_pairs(lists: DataFrame, measured: DataFrame, comp: DataFrame, num: int,
     m = m.withColumn("a", F.coalesce("shared", "n")).withColumn(
         "f", F.when(unknown, F.col("n")).otherwise(F.col("n") - F.col("a") - F.coalesce("before", F.lit(0))))
     # what a class can share at most with any other of the list, against what it must share with any that it links to
-    m = m.filter((F.col("a") + F.col("f")) * den >= F.col("n") * num)
+    return m.filter((F.col("a") + F.col("f")) * den >= F.col("n") * num)
+
+
+def _may_pair(num: int, den: int):
+    """May the rows x and y of one list link, by size, position and bounds?"""
+    bound = F.least("x.a", "y.a") + F.least("x.f", "y.f")
+    return (
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid"))
+        & may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), num, den)
+        & (bound * (den + num) >= F.lit(num) * (F.col("x.n") + F.col("y.n")))
+    )
+
+
+def open_pairs(lists: DataFrame, measured: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs of classes, of one list but of different components, whose overlap nothing bounds yet."""
+    m = _bounded(lists, measured, num, den)
     m = m.join(comp, F.col("cid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cid"))
     m = m.select("key", "cid", "comp", "n", "pos", "a", "f")
     mixed = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     m = stored(m.join(mixed, "key", "left_semi"), "open")
     x, y = m.alias("x"), m.alias("y")
-    bound = F.least("x.a", "y.a") + F.least("x.f", "y.f")
-    ok = (
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.comp") != F.col("y.comp"))
-        & may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), num, den)
-        & (bound * (den + num) >= F.lit(num) * (F.col("x.n") + F.col("y.n")))
-    )
+    ok = _may_pair(num, den) & (F.col("x.comp") != F.col("y.comp"))
     return x.join(y, ok).select(F.col("x.cid").alias("cid"), F.col("y.cid").alias("pivot")).distinct()
 
 
+def all_pairs(lists: DataFrame, measured: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs of classes of one list, inside a component too, that may
+    link and were not compared with each other as class and pivot.  A list is
+    dealt to parts of about ``GROUP`` classes, each with a copy of the list."""
+    m = stored(_bounded(lists, measured, num, den).select("key", "cid", "n", "pos", "a", "f"), "bounded")
+    parts = m.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    m = m.join(parts, "key")
+    x = m.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).alias("x")
+    y = m.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    pairs = x.join(y, _may_pair(num, den) & (F.col("x.part") == F.col("y.part"))).select(F.col("x.cid").alias("cid"), F.col("y.cid").alias("pivot"))
+    done = measured.select(F.least("cid", "pivot").alias("cid"), F.greatest("cid", "pivot").alias("pivot"))
+    return pairs.distinct().join(done, ["cid", "pivot"], "left_anti")
+
+
 def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = SHINGLE, num: int = NUM,
                     den: int = DEN) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
@@ -459,6 +483,36 @@ def _join(docs: DataFrame, id_col: str, text: str, k: int, num: int, den: int) -
     return _Joined(sets, classes, lists, measured, comp, named, known, run, seed)
 
 
+def links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = SHINGLE, num: int = NUM,
+          den: int = DEN) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): every link between different shingle sets, those
+    inside a component too, and who has which set.
+
+    ``pairs``: cid, other (cid < other), n, n_other, shared, each pair once.
+    ``members``: doc_id, cid, one row per row of ``docs`` with an id and words.
+    Members of one class link as well and are not listed pair by pair.  The
+    pairs of a group of m near copies are up to m^2 / 2, and so is the work."""
+    found = _join(docs, id_col, text, k, num, den)
+    rest = compare(all_pairs(found.lists, found.measured, num, den), found.known, found.classes, found.run)
+    linked = found.measured.unionByName(rest).filter(is_link("n", "n_pivot", "shared", num, den))
+    up = F.col("cid") < F.col("pivot")
+    pairs = linked.select(
+        F.least("cid", "pivot").alias("cid"), F.greatest("cid", "pivot").alias("other"), F.when(up, F.col("n")).otherwise(F.col("n_pivot")).alias("n"),
+        F.when(up, F.col("n_pivot")).otherwise(F.col("n")).alias("n_other"), "shared",
+    ).distinct()
+    return stored(pairs, "links"), found.sets.filter("doc_id is not null and cid is not null").select("doc_id", "cid")
+
+
+def link_counts(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """doc_id, cid, n_links per row of ``members``: how many other rows it links
+    with, its copies included.  Nothing is multiplied by the number of copies."""
+    size = members.groupBy("cid").agg(F.count("*").alias("size"))
+    both = pairs.select("cid", "other").union(pairs.select("other", "cid"))
+    near = both.join(size.select(F.col("cid").alias("other"), "size"), "other").groupBy("cid").agg(F.sum("size").alias("near"))
+    per = size.join(near, "cid", "left").select("cid", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    return members.join(per, "cid").select("doc_id", "cid", "n_links")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest
     id.  Documents without words, and rows without an id, all stay.  Rows

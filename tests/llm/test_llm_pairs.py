@@ -104,6 +104,30 @@ def test_keep_one_tells_texts_under_one_id_apart(spark):
     assert sum(r[0] == 7 for r in kept) == 1
 
 
+def test_links_inside_components_are_listed(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "GROUP", 4)
+    rnd = random.Random(5)
+    rows = []
+    for g in range(2):
+        base = [f"{g}w{i}" for i in range(200)]
+        for i in range(12):
+            t = list(base)
+            for _ in range(rnd.randrange(3)):
+                t[rnd.randrange(200)] = f"z{rnd.randrange(10**6)}"
+            rows.append((100 * g + i, " ".join(t)))
+    rows += [(50, rows[0][1]), (51, "one two three"), (52, None), (None, rows[0][1]), (53, "a b c d e f g h"), (54, "a b c d e f g h i")]
+    pairs, members = ngram_join.links(docs(spark, rows))
+    of = {r["doc_id"]: r["cid"] for r in members.collect()}
+    sets = {of[d]: shingle_set(t) for d, t in rows if d is not None and t}
+    want = {(x, y, len(a), len(b), len(a & b)) for x, a in sets.items() for y, b in sets.items()
+            if x < y and 100 * len(a & b) >= 75 * len(a | b)}
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
+    known = [(d, shingle_set(t)) for d, t in rows if d is not None and t]
+    n = {d: sum(100 * len(a & b) >= 75 * len(a | b) for e, b in known if e != d) for d, a in known}
+    assert {r["doc_id"]: r["n_links"] for r in ngram_join.link_counts(pairs, members).collect()} == n
+
+
 def test_components_of_a_long_chain(spark):
     from diffproto.llm.common import components
 
