@@ -112,10 +112,16 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: s
     return best.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that contain an item."""
-    hit = contained(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.col(id_col) == F.col("__hit"), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", null_ids: bool = False,
+                  **options) -> DataFrame:
+    """``docs`` without the rows that contain an item.  Of rows that share an
+    id only those whose own text contains an item go.  Rows without an id all
+    stay, or with ``null_ids`` are searched like the others."""
+    # what a row contains depends on its text alone, so the text's digest is the key
+    key = F.md5(F.col(text).cast("binary"))
+    key = key if null_ids else F.when(F.col(id_col).isNotNull(), key)
+    hit = contained(docs.select(key.alias("__row"), F.col(text)), items, id_col="__row", text=text, **options)
+    return docs.join(hit.select(F.col("doc_id").alias("__hit")).distinct(), key == F.col("__hit"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

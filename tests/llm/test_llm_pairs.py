@@ -169,6 +169,15 @@ def test_decontamination_equals_brute_force(spark):
     assert decontam.contained(docs(spark, rows), its.limit(0)).collect() == []
 
 
+def test_decontamination_goes_by_row(spark):
+    item = " ".join(f"i{n}" for n in range(20))
+    clean = " ".join(f"c{n}" for n in range(50))
+    rows = [(None, "before " + item + " after"), (None, clean), (1, clean), (1, clean + " " + item), (2, None), (3, item), (4, "")]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in decontam.decontaminate(docs(spark, rows), items, null_ids=True).collect()), key=repr)
+    assert got == sorted([(None, clean), (1, clean), (2, None), (4, "")], key=repr)
+
+
 def brute_targets(sizes, weights=(3, 1, 2), cap=2):
     order = sorted(sizes, key=lambda s: (s is None, s))
     w = {s: weights[i % 3] for i, s in enumerate(order)}
