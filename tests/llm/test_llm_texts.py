@@ -270,6 +270,17 @@ def test_templates_that_rewrite_history_are_found():
     assert any(counting.feed("user", "x")[3] for _ in range(12))
 
 
+def test_full_prefixes_find_rewrites_beyond_the_window(spark):
+    last = lambda turns: "".join(t for _, t in turns[-40:])
+    rows = [(1, i, "user", f"t{i};") for i in range(50)] + [(2, i, "user", f"u{i};") for i in range(3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    full = {(r["conv_id"], r["seq"]): r for r in chat.format_conversations(df, last, window=None).collect()}
+    assert [r for r in full if full[r]["rewrites"]] and all((s >= 40) == full[1, s]["rewrites"] for s in range(50))
+    assert not any(r["windowed"] for r in full.values())
+    some = {(r["conv_id"], r["seq"]): r["windowed"] for r in chat.format_conversations(df, last).collect()}
+    assert all(some[1, s] == (s >= chat.WINDOW) for s in range(50)) and not any(some[2, s] for s in range(3))
+
+
 def brute_digest(rows):
     by = {}
     for c, t, r, x in rows:
