@@ -81,6 +81,18 @@ def with_shingles(df: DataFrame, text: str, out: str, k: int = SHINGLE) -> DataF
     ).drop(w, n)
 
 
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], size: str, heavy: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with one row per class, ``size`` of ``classes``
+    telling how many rows a class has.  Classes with at least a ``heavy``-th
+    of all rows are at most ``heavy`` and are broadcast, so no task of the
+    shuffled join of the rest gets more than that share for one key."""
+    total = classes.agg(F.sum(size)).first()[0] or 0
+    big = F.col(size) >= max(2, -(-total // heavy))
+    large, small = F.broadcast(classes.filter(big)), classes.filter(~big)
+    rest = rows.join(F.broadcast(classes.filter(big).select(*keys)), keys, "left_anti")
+    return rows.join(large, keys).unionByName(rest.join(small, keys))
+
+
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
     """Connected components of an undirected edge list: (node, component), the
     component being its smallest node.  Only nodes with an edge appear.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, binary_records, chat, decontam, hardneg, html_extract, langid, line_dedup, mixing, ngram_join, url_filter
+from . import ann, binary_records, chat, decontam, hardneg, hnsw, html_extract, langid, line_dedup, mixing, ngram_join, url_filter
 
 QUERIES = {
     "op1_html_extraction": html_extract.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filters": url_filter.query,
     "op9_line_dedup": line_dedup.query,
     "op10_nearest_neighbours": ann.query,
+    "op11_embedding_near_dedup": hnsw.query,
     "op13_hard_negatives": hardneg.query,
 }
 
@@ -25,5 +26,6 @@ ORACLE_SQL = {
     "op8_url_filters": url_filter.SQL,
     "op9_line_dedup": line_dedup.SQL,
     "op10_nearest_neighbours": ann.SQL,
+    "op11_embedding_near_dedup": hnsw.SQL,
     "op13_hard_negatives": hardneg.SQL,
 }
