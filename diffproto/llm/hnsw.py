@@ -45,8 +45,7 @@ RECALL = 0.97
 # ---------------------------------------------------------------- the graph
 
 def beam(vecs: np.ndarray, adj: np.ndarray, q: np.ndarray, entry: np.ndarray, width: int):
-    """Best-first search of all queries together: (ids, cosines), best first,
-    padded with -1, and the (query, node) pairs seen."""
+    """Best-first search of all queries together: (ids, cosines), best first, padded with -1."""
     n_q, m = len(q), adj.shape[1]
     seen = np.zeros((n_q, len(vecs)), dtype=bool)
     ids = np.full((n_q, width), -1, dtype=np.int64)
@@ -62,7 +61,7 @@ def beam(vecs: np.ndarray, adj: np.ndarray, q: np.ndarray, entry: np.ndarray, wi
         some = waits.any(axis=1)
         live, at, waits = live[some], at[some], waits[some]
         if not len(live):
-            return ids, sims, seen
+            return ids, sims
         done[live[:, None], at] = True
         node = np.take_along_axis(ids[live], at, 1)
         new = np.full((len(live), wide, m), -1, dtype=np.int64)
@@ -138,7 +137,7 @@ class Graph:
                 if (~into).any():
                     entry[~into] = beam(self.vecs, self.adj[k], q[~into], entry[~into], 2)[0][:, 0]
                 if into.any():
-                    ids, sims, _ = beam(self.vecs, self.adj[k], q[into], entry[into], BUILD)
+                    ids, sims = beam(self.vecs, self.adj[k], q[into], entry[into], BUILD)
                     entry[into] = ids[:, 0]
                     beside = q[into] @ q[into].T  # in the same batch
                     np.fill_diagonal(beside, -np.inf)
@@ -186,7 +185,10 @@ class Graph:
 
     def near(self, q: np.ndarray, width: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, node) pairs with a cosine of at least ``least``, or found on the way; and the beam."""
-        ids, sims, seen = beam(self.vecs, self.adj[0], q, self.descend(q), min(width, len(self.vecs)))
+        ids, sims = beam(self.vecs, self.adj[0], q, self.descend(q), min(width, len(self.vecs)))
+        seen = np.zeros((len(q), len(self.vecs)), dtype=bool)  # without what fell out of the beam
+        r, c = np.nonzero(ids >= 0)
+        seen[r, ids[r, c]] = True
         r, c = np.nonzero(sims >= least)
         rows, nodes = [r], [ids[r, c]]
         begin, both = self._both()
@@ -221,7 +223,8 @@ def audited_width(graph: Graph, q: np.ndarray, own: np.ndarray, least: float, wi
         got[r, x] = True
         i, j = np.nonzero(ids >= 0)
         got[i, ids[i, j]] = True
-        recall = float((got & want).sum() / max(1, want.sum()))
+        # by query, so one large group does not hide the rest
+        recall = float(np.mean((got & want).sum(axis=1) / np.maximum(1, want.sum(axis=1)) + (want.sum(axis=1) == 0)))
         if recall >= RECALL or width >= len(graph.vecs):
             return width, recall
         width *= 2

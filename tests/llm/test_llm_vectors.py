@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from diffproto.llm import hardneg
+from diffproto.llm import hardneg, hnsw
 
 ROWS = "vec_id long, embedding array<double>, label int, id string, key string, q string, block string, shard string, node string"
 
@@ -99,3 +99,70 @@ def test_hilbert_curve_goes_to_neighbours(d, bits):
     keys = [k.tobytes() for k in hardneg.hilbert_keys(cells, bits)]
     path = cells[sorted(range(len(cells)), key=keys.__getitem__)]
     assert len(set(keys)) == len(cells) and (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
+
+
+def near_copies(seed, d=24):
+    """Groups of near copies from pairs to 150, a chain, random vectors, repeated rows, three labels and none."""
+    rng = np.random.default_rng(seed)
+    rows = [(i, rng.normal(size=d).tolist(), int(rng.integers(0, 3))) for i in range(500)]
+    at = 500
+    for size in (2, 3, 5, 20, 150):
+        base = rng.normal(size=d)
+        for _ in range(size):
+            rows.append((at, (base + 0.2 * rng.normal(size=d)).tolist(), int(rng.integers(0, 2)) if size < 20 else 1))
+            at += 1
+    x, y = np.eye(d)[0], np.eye(d)[1]
+    for k in range(12):  # neighbours in the chain are linked, its ends are not
+        rows.append((at, (np.cos(0.3 * k) * x + np.sin(0.3 * k) * y).tolist(), 2))
+        at += 1
+    rows += [(at, rows[3][1], rows[3][2]), (at + 1, [2 * v for v in rows[3][1]], rows[3][2]), (at + 2, rows[3][1], 1 - min(1, rows[3][2])),
+             (at + 3, rows[600][1], None), rows[5], (None, rows[8][1], rows[8][2]), (at + 4, [0.0] * d, 1), (at + 5, [0.0] * d, 1), (at + 6, [], 1)]
+    return rows + BAD
+
+
+def brute_links(rows):
+    ok = [i for i, (_, v, lab) in enumerate(rows)
+          if lab is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    n, comp = [0] * len(rows), list(range(len(rows)))
+    for k, i in enumerate(ok):
+        for j in ok[:k]:
+            if rows[i][2] == rows[j][2] and len(rows[i][1]) == len(rows[j][1]):
+                a, b = np.array(rows[i][1]), np.array(rows[j][1])
+                if a @ b / (np.linalg.norm(a) * np.linalg.norm(b)) >= 0.93:
+                    n[i] += 1
+                    n[j] += 1
+                    old, new = comp[i], comp[j]
+                    comp = [new if c == old else c for c in comp]
+    least = {}
+    for c, (i, _, _) in zip(comp, rows, strict=True):
+        if i is not None:
+            least[c] = min(i, least.get(c, i))
+    return sorted(((i, n[k], least.get(comp[k]), i is not None and i == least.get(comp[k])) for k, (i, _, _) in enumerate(rows)), key=repr)
+
+
+@pytest.mark.parametrize("shard", [64, 4096])
+def test_embedding_near_duplicates_equal_brute_force(spark, shard):
+    rows = near_copies(7)
+    got = sorted((tuple(r) for r in hnsw.near_duplicates(vectors(spark, rows), shard=shard).collect()), key=repr)
+    assert got == brute_links(rows)
+
+
+def test_embedding_near_duplicates_of_nothing(spark):
+    assert hnsw.near_duplicates(vectors(spark, [])).collect() == []
+    got = {tuple(r) for r in hnsw.near_duplicates(vectors(spark, [(1, None, 1), (2, [0.0, 0.0], 1), (3, [1.0, 0.0], None)])).collect()}
+    assert got == {(i, 0, i, True) for i in (1, 2, 3)}
+
+
+def test_graph_recall_and_audit():
+    """Random vectors have no structure to follow; the audit widens the beam until its queries' neighbours are found."""
+    rng = np.random.default_rng(2)
+    u = hnsw._unit(rng.normal(size=(2000, 32)))[0]
+    levels = np.minimum(-np.log(rng.random(2000)) / np.log(hnsw.LINKS), 12).astype("<i4")
+    g = hnsw.Graph(u, levels)
+    q = u.astype(np.float32)
+    width, recall = hnsw.audited_width(g, q, np.arange(2000), 0.93, width=2)
+    assert recall >= hnsw.RECALL and 2 < width < 2000
+    _, _, ids = g.near(q[:300], width, 0.93)
+    s = q[:300] @ q.T
+    want = np.argsort(-s, axis=1)[:, :5]
+    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(want, ids, strict=True)]) >= 0.9
