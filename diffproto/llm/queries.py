@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, binary_records, chat, decontam, hardneg, hnsw, html_extract, langid, line_dedup, mixing, ngram_join, url_filter
+from . import ann, binary_records, chat, decontam, hardneg, hnsw, html_extract, langid, line_dedup, mixing, ngram_join, tokalign, url_filter
 
 QUERIES = {
     "op1_html_extraction": html_extract.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.query,
     "op10_nearest_neighbours": ann.query,
     "op11_embedding_near_dedup": hnsw.query,
+    "op12_token_alignment": tokalign.query,
     "op13_hard_negatives": hardneg.query,
 }
 
