@@ -76,10 +76,24 @@ class Pieces:
         self.begin = [np.zeros(1 << 16, dtype=np.int64) for _ in self.types]
         self.count = [np.zeros(1 << 16, dtype=np.int32) for _ in self.types]
         self.used = [0] * len(self.types)
+        self.uses = np.zeros(1 << 16, dtype=np.int32)  # batches in which a piece was met
+
+    def _forget(self) -> None:
+        """Keeps the pieces met in several batches, half of what may be remembered at most."""
+        n, least = len(self.slot), 2
+        while (stays := np.flatnonzero(self.uses[:n] >= least)).size > self.most // 2:
+            least *= 2
+        names, old = list(self.slot), (self.ids, self.begin, self.count, self.uses)
+        self._reset()
+        self._store([names[i] for i in stays], [(ids[ragged(begin[stays], count[stays])], count[stays])
+                                                for ids, begin, count in zip(*old[:3], strict=True)])
+        self.uses[: len(stays)] = old[3][stays] // 2
 
-    def _add(self, pieces: list[bytes]) -> None:
+    def _store(self, pieces: list[bytes], streams: Sequence[tuple[np.ndarray, np.ndarray]]) -> None:
         start = len(self.slot)
-        for k, (ids, counts) in enumerate(self.learn(pieces)):
+        if start + len(pieces) > len(self.uses):
+            self.uses = np.concatenate([self.uses, np.zeros(max(len(pieces), len(self.uses)), dtype=np.int32)])
+        for k, (ids, counts) in enumerate(streams):
             n, need = len(counts), self.used[k] + len(ids)
             if need > len(self.ids[k]):
                 self.ids[k] = np.concatenate([self.ids[k], np.zeros(max(need, len(self.ids[k])), dtype=self.types[k])])
@@ -101,10 +115,12 @@ class Pieces:
         words = found.dictionary.to_pylist()
         new = [w for w in words if w not in self.slot]
         if len(self.slot) + len(new) > self.most and self.slot:
-            self._reset()
-            new = words
-        self._add(new)
+            self._forget()
+            new = [w for w in words if w not in self.slot]
+        if new:
+            self._store(new, self.learn(new))
         known = np.fromiter(map(self.slot.__getitem__, words), dtype=np.int64, count=len(words))
+        self.uses[known] += 1
         return known[found.indices.to_numpy()], begins
 
     def gather(self, slots: np.ndarray, stream: int = 0) -> tuple[np.ndarray, np.ndarray]:

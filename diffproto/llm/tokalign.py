@@ -39,9 +39,10 @@ WORK = 1 << 16  # ends merged in a piece
 HEAVY = 200_000  # pairs that are broadcast
 DENSE = 4096  # links of a group that are listed one by one
 SLICE = 1 << 21  # links that are listed together
-CHARS = 4 << 20  # bytes of text in a run; a longer text is a run of its own
+CHARS = 1 << 20  # bytes of text in a run; a longer text is a run of its own
 DOCS = 1024  # texts in a run
-FLUSH = 1 << 20  # distinct pairs that a task gathers before it passes their counts on
+FLUSH = 1 << 18  # distinct pairs that a task gathers before it passes their counts on
+REMEMBER = 400_000  # pieces of text, in a worker
 BITS = 20  # of an id, at most
 
 
@@ -167,7 +168,7 @@ class Both:
         glue = bytes(c for c in (9, 10, 11, 12, 13) if any(chr(c) in t for t in own))
         joins = self.b.is_unknown(self.space) or any(re.search("[^▁]▁", t) for t in own)
         self.level = ByteLevel(self.a)
-        self.pieces = Pieces(self.learn, ["<i4", "<i4", "|u1"], glue + b" \t\n\x0b\x0c\r" * joins)
+        self.pieces = Pieces(self.learn, ["<i4", "<i4", "|u1"], glue + b" \t\n\x0b\x0c\r" * joins, most=REMEMBER)
 
     def learn(self, pieces: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         a, na = self.level.learn(pieces)
