@@ -162,11 +162,10 @@ def capped_with_index(df: DataFrame, seed: int, m: int, caps: dict[int, int], by
                       key: Sequence[str] = KEY, class_order: Iterable[int] = LABEL_CODES) -> DataFrame:
     """Capped split with ``dataset_index`` for the dev rows.  The pool
     (bounded by sum(caps) rows) feeds both the dev rows and the class
-    offsets, so it is checkpointed once instead of ranked twice."""
-    from ..session import checkpoint_dir
+    offsets, so it is stored once instead of ranked twice."""
+    from ..session import scratch_table
 
-    checkpoint_dir(df.sparkSession)
-    pool = split_capped(df, seed, m, caps, by, key).checkpoint(eager=True)
+    pool = scratch_table(split_capped(df, seed, m, caps, by, key), "capped-pool")
     dev = pool.filter(F.col("split") == "dev")
     sizes = dev.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
     order = F.create_map(*[x for i, c in enumerate(class_order) for x in (F.lit(c), F.lit(i))])

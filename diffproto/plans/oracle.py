@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from ..sources import runlogs
 from ..sources import tables as TB
+from ..operators.baseline import L2, RIDGE
 from . import registry as RG
 from .sweep import REFERENCE_SEEDS, REFERENCE_SHOTS
 
@@ -329,6 +330,15 @@ def sweep_sql(seeds=REFERENCE_SEEDS, shots=REFERENCE_SHOTS, src_ctes: str = VEC_
   FROM {p}cmember d JOIN {diff_src} v ON v.claim_id = d.claim_id AND v.set_pos = d.set_pos
   JOIN {p}cpacked k ON k.seed = d.seed AND k.m = d.m
 ),
+""" + metrics_ctes(p)
+    if head:
+        return with_(src_ctes + "," + body)
+    return body
+
+
+def metrics_ctes(p: str = "") -> str:
+    """From ``{p}cscored (seed, m, truth, pred)``: counts, confusion and summary of every cell."""
+    return f"""
 {p}ccounts AS (
   SELECT seed, m, {letter3('truth')} AS y_truth, {letter3('pred')} AS y_pred, count(*) AS n
   FROM {p}cscored GROUP BY ALL
@@ -361,9 +371,89 @@ def sweep_sql(seeds=REFERENCE_SEEDS, shots=REFERENCE_SHOTS, src_ctes: str = VEC_
            round(avg(CASE WHEN support > 0 OR predicted > 0 THEN f1 END), 4) AS f1_macro
     FROM {p}cper GROUP BY seed, m) f USING (seed, m)
 )"""
-    if head:
-        return with_(src_ctes + "," + body)
-    return body
+
+
+def fitted_ctes(seeds, shots, kind: str, steps: int = 300, p: str = "") -> str:
+    """The optimum of a penalised linear fit for every cell, by accelerated
+    gradient steps in the dual: ``{p}weights (seed, m, w)``, a list of weights
+    per class, each a sum of the fit rows.  Independent of the library's
+    closed forms: only inner products of fit rows are used.
+
+    ``kind``: ``softmax`` (the logistic regression; the vector gets a one) or
+    ``ridge`` (the map to the classes' unit vectors)."""
+    soft = kind == "softmax"
+    vec = "list_append(v.diff, 1.0)" if soft else "v.diff"
+    # the size of a step and the strength of the penalty; both objectives are strictly convex
+    smooth, strong = (f"0.5 * max(k[i]) + {L2}", f"{L2}") if soft else (f"sum(k[i]) + {RIDGE}", f"{RIDGE}")
+    if soft:
+        slope = lambda k: f"((e{k} / (e0 + e1 + e2) - (label = {k})::INTEGER) / n + {L2} * y[{k + 1}][i])"
+    else:
+        slope = lambda k: f"(z{k} + {RIDGE} * y[{k + 1}][i] - (label = {k})::INTEGER)"
+    new = ", ".join(f"y[{k + 1}][i] - eta * {slope(k)} AS n{k}" for k in range(3))
+    return f"""
+{p}fseeds AS (SELECT unnest([{", ".join(map(str, seeds))}])::INTEGER AS seed),
+{p}fshots AS (SELECT unnest([{", ".join(map(str, shots))}])::INTEGER AS m),
+{p}franked AS MATERIALIZED (
+  SELECT s.seed, x.claim_id, x.set_pos, x.label,
+         row_number() OVER (PARTITION BY s.seed, x.label ORDER BY {order_key('s.seed', 'x.claim_id', 'x.set_pos')},
+                            x.claim_id, x.set_pos) AS rank
+  FROM fpairs x CROSS JOIN {p}fseeds s
+),
+{p}frows AS MATERIALIZED (
+  SELECT r.seed, g.m, r.label, {vec} AS x, row_number() OVER (PARTITION BY r.seed, g.m ORDER BY r.rank, r.label) AS i
+  FROM {p}franked r JOIN {p}fshots g ON r.rank <= g.m JOIN fpairs v ON v.claim_id = r.claim_id AND v.set_pos = r.set_pos
+),
+{p}gram AS MATERIALIZED (
+  SELECT a.seed, a.m, a.i, a.label, list(list_inner_product(a.x, b.x) ORDER BY b.i) AS k
+  FROM {p}frows a JOIN {p}frows b ON a.seed = b.seed AND a.m = b.m GROUP BY a.seed, a.m, a.i, a.label
+),
+{p}fstep AS MATERIALIZED (
+  SELECT seed, m, count(*) AS n, 1 / ({smooth}) AS eta,
+         (1 - sqrt({strong} / ({smooth}))) / (1 + sqrt({strong} / ({smooth}))) AS beta
+  FROM {p}gram GROUP BY seed, m
+),
+{p}fit AS (
+  SELECT 0 AS it, seed, m, [z, z, z] AS a, [z, z, z] AS y FROM (
+    SELECT seed, m, list_transform(range(n), lambda j: 0.0::DOUBLE) AS z FROM {p}fstep)
+  UNION ALL
+  SELECT it + 1, seed, m, [list(n0 ORDER BY i), list(n1 ORDER BY i), list(n2 ORDER BY i)],
+         [list(n0 + beta * (n0 - o0) ORDER BY i), list(n1 + beta * (n1 - o1) ORDER BY i), list(n2 + beta * (n2 - o2) ORDER BY i)]
+  FROM (
+    SELECT it, seed, m, i, beta, a[1][i] AS o0, a[2][i] AS o1, a[3][i] AS o2, {new} FROM (
+      SELECT *, exp(z0 - greatest(z0, z1, z2)) AS e0, exp(z1 - greatest(z0, z1, z2)) AS e1, exp(z2 - greatest(z0, z1, z2)) AS e2 FROM (
+        SELECT f.it, f.seed, f.m, f.a, f.y, g.i, g.label, s.n, s.eta, s.beta, list_inner_product(g.k, f.y[1]) AS z0,
+               list_inner_product(g.k, f.y[2]) AS z1, list_inner_product(g.k, f.y[3]) AS z2
+        FROM {p}fit f JOIN {p}gram g ON g.seed = f.seed AND g.m = f.m JOIN {p}fstep s ON s.seed = f.seed AND s.m = f.m
+        WHERE f.it < {steps})))
+  GROUP BY it, seed, m
+),
+{p}wpos AS (
+  SELECT seed, m, pos, sum(a0 * x) AS w0, sum(a1 * x) AS w1, sum(a2 * x) AS w2 FROM (
+    SELECT r.seed, r.m, f.a[1][r.i] AS a0, f.a[2][r.i] AS a1, f.a[3][r.i] AS a2, unnest(r.x) AS x, generate_subscripts(r.x, 1) AS pos
+    FROM {p}frows r JOIN {p}fit f ON f.seed = r.seed AND f.m = r.m AND f.it = {steps})
+  GROUP BY seed, m, pos
+),
+{p}weights AS MATERIALIZED (
+  SELECT seed, m, [list(w0 ORDER BY pos), list(w1 ORDER BY pos), list(w2 ORDER BY pos)] AS w FROM {p}wpos GROUP BY seed, m
+),
+{p}fz AS MATERIALIZED (
+  SELECT r.seed, g.m, r.claim_id, r.set_pos, r.label, r.rank, list_transform(k.w, lambda w: list_inner_product({vec}, w)) AS z
+  FROM {p}franked r CROSS JOIN {p}fshots g JOIN fpairs v ON v.claim_id = r.claim_id AND v.set_pos = r.set_pos
+  JOIN {p}weights k ON k.seed = r.seed AND k.m = g.m
+)"""
+
+
+def with_recursive(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",".join(ctes) + "\n"
+
+
+def softmax_sql(seeds, shots) -> str:
+    return with_recursive(VEC_PAIRS.replace("fpairs AS (", "fpairs AS MATERIALIZED ("), fitted_ctes(seeds, shots, "softmax"), """
+cscored AS (
+  SELECT seed, m, claim_id, set_pos, label AS truth, (list_position(z, list_max(z)) - 1)::INTEGER AS pred,
+         1 / list_sum(list_transform(z, lambda x: exp(x - list_max(z)))) AS prob
+  FROM fz WHERE rank > m
+),""" + metrics_ctes())
 
 
 def pair_metric(expr_fn) -> str:
@@ -524,9 +614,10 @@ SELECT text_key, mode, round(list_sum(vec), 4) AS vec_sum, round({vnorm('vec')},
     # ---------------- prototypes
     q["prototypes"] = with_(VEC_PAIRS, split_ctes("fpairs", RG.SEED, RG.M), proto_ctes()) + """
 SELECT label, n, (generate_subscripts(centroid, 1) - 1)::INTEGER AS pos, round(unnest(centroid), 4) AS value FROM protos"""
-    q["baseline_logreg"] = flagship() + "SELECT claim_id, set_pos, truth, TRUE AS above_bound FROM scored"
-    q["sweep_baseline"] = f"""SELECT seed::INTEGER AS seed, m::INTEGER AS m, run::INTEGER AS run, TRUE AS above_bound
-        FROM (SELECT unnest({RG.SMALL_SEEDS}) AS seed), (SELECT unnest({RG.SMALL_SHOTS}) AS m), (SELECT unnest([1, 2, 3, 4, 5]) AS run)"""
+    q["baseline_logreg"] = softmax_sql([RG.SEED], [RG.M]) + "SELECT claim_id, set_pos, truth, pred, round(prob, 4) AS prob FROM cscored"
+    # runs differ in their start only, and the optimum is one
+    q["sweep_baseline"] = softmax_sql(RG.SMALL_SEEDS, RG.SMALL_SHOTS) + f"""
+SELECT seed, m, run::INTEGER AS run, y_truth, y_pred, n FROM conf CROSS JOIN (SELECT unnest({RG.BASELINE_RUNS}) AS run)"""
     q["predict_three"] = flagship() + "SELECT claim_id, set_pos, truth, pred FROM scored"
     two = with_(VEC_PAIRS, """
 bpairs AS (SELECT * EXCLUDE (label), (CASE WHEN label = 0 THEN 0 ELSE 1 END)::INTEGER AS label FROM fpairs)""",
@@ -570,10 +661,14 @@ SELECT d.claim_id, d.set_pos, d.label AS truth, {argmax_label('d.diff', 'k.ps')}
         multi.append(f"""
 r{i} AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {order_key(s)}, claim_id, set_pos) AS rank FROM fpairs),
 f{i} AS (SELECT * FROM r{i} WHERE rank <= {RG.M})""" + "," + proto_ctes(f"f{i}", prefix=f"s{i}_"))
-    q["predict_multi_proto"] = with_(VEC_PAIRS, *multi, """
+    # materialised, and the similarities bound once: cheap whatever the planner makes of it
+    q["predict_multi_proto"] = with_(VEC_PAIRS.replace("fpairs AS (", "fpairs AS MATERIALIZED ("), *multi, """
 allp AS (SELECT label + 0 AS pid, label, centroid FROM s0_protos UNION ALL SELECT label + 3 AS pid, label, centroid FROM s1_protos)""",
-                                     packed_cte("allp", pid="pid")) + f"""
-SELECT v.claim_id, v.set_pos, v.label AS truth, {argmax_label('v.diff', 'k.ps')} AS pred FROM fpairs v CROSS JOIN packed k"""
+                                     packed_cte("allp", pid="pid").replace("packed AS (", "packed AS MATERIALIZED ("), f"""
+sims AS MATERIALIZED (
+  SELECT v.claim_id, v.set_pos, v.label AS truth, k.ps, list_transform(k.ps, lambda q: 1.0 - {ved('v.diff', 'q.centroid')}) AS s
+  FROM fpairs v CROSS JOIN packed k
+)""") + "SELECT claim_id, set_pos, truth, (ps[list_position(s, list_max(s))]).label AS pred FROM sims"
     # ---------------- evaluation
     q["accuracy"] = flagship() + "SELECT round(avg((truth = pred)::INTEGER::DOUBLE), 4) AS accuracy, count(*) AS n FROM scored"
     q["confusion"] = flagship() + "SELECT y_truth, y_pred, n FROM conf"
@@ -653,12 +748,22 @@ def layout_sql(name: str) -> str:
 
 
 def before_after_sql() -> str:
-    parts = []
-    for phase, absolute in (("b", False), ("a", True)):
-        for split in ("fit", "dev"):
-            parts.append(sweep_sql(RG.SMALL_SEEDS, RG.SMALL_SHOTS, absolute=absolute, split=split,
-                                   p=f"{phase}{split}_", head=False))
-    return with_(VEC_PAIRS + "," + ",".join(parts)) + """
+    """Before: prototypes of the difference vectors.  After: of the three values that the cell's ridge map gives."""
+    parts = [fitted_ctes(RG.SMALL_SEEDS, RG.SMALL_SHOTS, "ridge"), """
+zprotos AS MATERIALIZED (
+  SELECT seed, m, list(struct_pack(label := label, centroid := c) ORDER BY label) AS ps FROM (
+    SELECT seed, m, label, [avg(z[1]), avg(z[2]), avg(z[3])] AS c FROM fz WHERE rank <= m GROUP BY seed, m, label)
+  GROUP BY seed, m
+),
+zscored AS MATERIALIZED (
+  SELECT f.seed, f.m, f.rank, f.label AS truth, """ + argmax_label("f.z", "k.ps") + """ AS pred
+  FROM fz f JOIN zprotos k ON k.seed = f.seed AND k.m = f.m
+)"""]
+    for split, own in (("fit", "rank <= m"), ("dev", "rank > m")):
+        parts.append(sweep_sql(RG.SMALL_SEEDS, RG.SMALL_SHOTS, split=split, p=f"b{split}_", head=False))
+        parts.append(f"""
+a{split}_cscored AS (SELECT seed, m, truth, pred FROM zscored WHERE {own}),""" + metrics_ctes(f"a{split}_"))
+    return with_recursive(VEC_PAIRS.replace("fpairs AS (", "fpairs AS MATERIALIZED ("), *parts) + """
 , rec AS (
   SELECT bf.seed, bf.m,
          bf.accuracy AS before_acc_train, bf.f1_macro AS before_f1_train,

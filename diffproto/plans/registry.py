@@ -355,17 +355,14 @@ def q_predict_multi_proto(spark, sf):
 
 
 def q_baseline_logreg(spark, sf):
-    from ..operators.baseline import logreg_scores
+    """One distributed Newton fit on the m-shot sample; every other pair with its prediction and its probability."""
+    from ..operators.baseline import linear_scores, newton_fit
+    from ..session import scratch_table
 
-    # the fitted numbers are beyond SQL; which rows are scored, their truth and a bound on the accuracy are not
     fit, dev = experiment.split_rows(TB.vec_pairs(spark, sf), SEED, M)
-    scored = logreg_scores(experiment.with_diff(fit), experiment.with_diff(dev)).select("claim_id", "set_pos", "truth", "pred")
-    right = scored.agg(F.avg((F.col("truth") == F.col("pred")).cast("double"))).scalar()
-    return scored.select("claim_id", "set_pos", "truth", (right > F.lit(BASELINE_BOUND)).alias("above_bound"))
-
-
-#: Accuracy that a fitted baseline must exceed: chance among three classes.
-BASELINE_BOUND = 1 / 3
+    weights = newton_fit(scratch_table(experiment.with_diff(fit).select("label", "diff"), "fit-rows"))
+    scored = linear_scores(experiment.with_diff(dev), weights)
+    return scored.select("claim_id", "set_pos", F.col("label").alias("truth"), "pred", _r(F.col("prob")).alias("prob"))
 
 
 # ---------------------------------------------------------------- evaluation
@@ -661,24 +658,12 @@ def q_summary_sink(spark, sf):
 
 def before_after_records(spark, sf) -> DataFrame:
     """Per (seed, m) of the small grid: accuracy and macro F1 on the fit rows
-    (train) and the dev rows, before = signed differences, after = absolute
-    differences."""
-    from ..session import checkpoint_dir
-
-    base = TB.vec_pairs(spark, sf)
-    checkpoint_dir(spark)
-    # one ranking serves all four sweeps: it depends on the keys only
-    ranked = sweep.ranked_keys(base, SMALL_SEEDS, max(SMALL_SHOTS)).checkpoint(eager=True)
-    out = None
-    for phase, absolute in (("before", False), ("after", True)):
-        pairs = (experiment.with_diff(base, absolute)
-                 .select("claim_id", "set_pos", "label", "diff"))
-        for split, tag in (("fit", "train"), ("dev", "dev")):
-            conf = sweep.sweep_counts(pairs, SMALL_SEEDS, SMALL_SHOTS, split=split, ranked=ranked)
-            s = sweep.sweep_summary(conf, ["seed", "m"]).select(
-                "seed", "m", F.col("accuracy").alias(f"{phase}_acc_{tag}"), F.col("f1_macro").alias(f"{phase}_f1_{tag}"))
-            out = s if out is None else out.join(s, ["seed", "m"])
-    return out
+    (train) and the dev rows, before and after the cell's refinement is fitted."""
+    conf = sweep.before_after_counts(flagship_pairs(spark, sf), SMALL_SEEDS, SMALL_SHOTS)
+    per = sweep.sweep_summary(conf, ["phase", "split", "seed", "m"])
+    pick = lambda c, p, s: F.max(F.when((F.col("phase") == p) & (F.col("split") == s), F.col(c)))
+    return per.groupBy("seed", "m").agg(*[pick(c, p, s).alias(f"{p}_{n}_{s}") for p in sweep.PHASES for s in ("train", "dev")
+                                          for c, n in (("accuracy", "acc"), ("f1_macro", "f1"))])
 
 
 BEFORE_AFTER_METRICS = ["before_acc_train", "before_f1_train", "before_acc_dev", "before_f1_dev",
@@ -689,10 +674,12 @@ def q_before_after_summary(spark, sf):
     return summary.mean_std(before_after_records(spark, sf), ["m"], BEFORE_AFTER_METRICS, "pop")
 
 
+BASELINE_RUNS = [1, 2, 3, 4, 5]
+
+
 def q_sweep_baseline(spark, sf):
-    """Cells and runs of the fitted baseline; the fitted numbers are beyond SQL, a bound on them is not."""
-    cells = sweep.sweep_baseline(flagship_pairs(spark, sf), SMALL_SEEDS, SMALL_SHOTS, runs=[1, 2, 3, 4, 5])
-    return cells.select("seed", "m", "run", (F.col("accuracy") > BASELINE_BOUND).alias("above_bound"))
+    """Confusion counts of the fitted baseline for every cell and run."""
+    return sweep.sweep_baseline(flagship_pairs(spark, sf), SMALL_SEEDS, SMALL_SHOTS, runs=BASELINE_RUNS)
 
 
 REGISTRY.update({

@@ -30,7 +30,7 @@ from ..functions.labels import THREE_WAY_LETTERS, decode_three
 from ..operators import evaluate
 from ..operators.prototypes import argmax_label, mean_vectors
 from ..operators.sampling import KEY, top_per_class
-from ..session import checkpoint_dir, ship_package
+from ..session import scratch_table, ship_package
 from .broadcast import bounded_broadcast, broadcast_limit, fits_broadcast
 
 BIG_RANK = 2 ** 31 - 1
@@ -306,11 +306,10 @@ def score_counts_numpy(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[i
     dim = dim or vector_length(pairs, vec_col)
     n = max(caps.values()) if caps else max(shots)
     # the ranked keys (bounded: seeds * sum(caps) or seeds * classes * max(m))
-    # feed both the prototypes and the scoring pass: checkpoint them once to
-    # the shared folder instead of ranking the whole pair table twice
+    # feed both the prototypes and the scoring pass: written once to the
+    # shared folder instead of ranking the whole pair table twice
     if ranked is None:
-        checkpoint_dir(spark)
-        ranked = ranked_keys(pairs, seeds, n, key, label_col, caps, encoder_col).checkpoint(eager=True)
+        ranked = scratch_table(ranked_keys(pairs, seeds, n, key, label_col, caps, encoder_col), "ranked")
     else:
         ranked = ranked.filter(F.col("seed").isin(seeds))
     fit_ranked = ranked.filter(F.col("rank") <= max(shots)) if caps else ranked
@@ -366,56 +365,102 @@ def score_counts_numpy(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[i
 def sweep_baseline(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[int], runs: Sequence[int] = (1,),
                    key: Sequence[str] = KEY, label_col: str = "label", vec_col: str = "diff",
                    n_classes: int = 3, dim: int | None = None) -> DataFrame:
-    """Supervised baseline over the grid (seed x m x run): one softmax
-    regression per cell, trained in parallel with ``applyInPandas`` on the
-    cell's fit rows (at most classes * m rows each); the models (bounded by
-    cells * classes * (d + 1) doubles, checked) are broadcast and every pair
-    is scored against every cell in Arrow batches.  A grid whose models do
-    not fit the broadcast limit is run in several passes (seed groups).
-    Returns the per-cell summary ``(seed, m, run, accuracy, f1_s, f1_n, f1_c, f1_macro)``."""
-    seeds, shots, runs = [int(s) for s in seeds], [int(m) for m in shots], [int(r) for r in runs]
-    counts = None
+    """Supervised baseline over the grid (seed x m x run): confusion counts
+    ``(seed, m, run, y_truth, y_pred, n)`` of the dev rows, zero cells kept;
+    ``sweep_summary`` makes metrics of them.
+
+    The ranked fit rows (at most classes * max(m) a seed) are fitted in one
+    group per seed, runs stacked and shot counts warm-started along their
+    nesting; the models (bounded by cells * classes * (d + 1) doubles,
+    checked) are broadcast and every pair is scored against every cell in
+    Arrow batches.  A grid whose models do not fit the broadcast limit is run
+    in several passes."""
+    from ..operators.baseline import fit_cells, with_one
+
+    runs = [int(r) for r in runs]
     dim = dim or vector_length(pairs, vec_col)
+
+    def scorer(models):
+        import numpy as np
+
+        w = np.array([r["weights"] for r in models], dtype=np.float64).reshape(len(models), n_classes, dim + 1)
+        return lambda x: [("dev", r["run"], r["seed"], r["m"], p) for r, p in zip(
+            models, (with_one(x) @ w.reshape(-1, dim + 1).T).reshape(len(x), len(models), n_classes).argmax(axis=2).T, strict=True)]
+
+    counts = None
     # all runs of a (seed, m) go together: a cell's models are runs * classes * (d + 1) doubles
-    for some_seeds, some_shots in cell_groups(pairs.sparkSession, seeds, shots, dim, len(runs), n_classes):
-        part = _baseline_counts(pairs, some_seeds, some_shots, runs, key, label_col, vec_col, n_classes, dim)
+    for some_seeds, some_shots in cell_groups(pairs.sparkSession, seeds, shots, dim + 1, len(runs), n_classes):
+        part = _fitted_counts(pairs, some_seeds, some_shots, key, label_col, vec_col, n_classes, dim,
+                              lambda fit, shots=some_shots: fit_cells(fit, shots, runs, n_classes, vec_col, label_col), scorer)
         counts = part if counts is None else counts.unionByName(part)
-    named = counts.select("seed", "m", "run", decode_three("truth").alias("y_truth"),
+    named = counts.select("seed", "m", F.col("variant").alias("run"), decode_three("truth").alias("y_truth"),
                           decode_three("pred").alias("y_pred"), "n")
-    conf = _expand_counts(named, ["seed", "m", "run"], THREE_WAY_LETTERS)
-    return sweep_summary(conf, ["seed", "m", "run"])
+    return _expand_counts(named, ["seed", "m", "run"], THREE_WAY_LETTERS)
 
 
-def _baseline_counts(pairs: DataFrame, seeds: list[int], shots: list[int], runs: list[int],
-                     key: Sequence[str], label_col: str, vec_col: str, n_classes: int, dim: int) -> DataFrame:
-    """``(seed, m, run, truth, pred, n)`` for one block of the grid."""
-    import numpy as np
+#: Variants of ``before_after_counts``.
+PHASES = ("before", "after")
 
-    from pyspark.sql import types as T
 
-    from ..operators.baseline import fit_cells
+def before_after_counts(pairs: DataFrame, seeds: Sequence[int], shots: Sequence[int], key: Sequence[str] = KEY,
+                        label_col: str = "label", vec_col: str = "diff", n_classes: int = 3, dim: int | None = None) -> DataFrame:
+    """Prototypes before and after a fit, on the same cells:
+    ``(phase, split, seed, m, y_truth, y_pred, n)``, zero cells kept.
+
+    After: the vectors go through the cell's own linear refinement (closed
+    form, ``baseline.refine_cells``) before prototypes are made and compared.
+    One pass over the pairs scores both phases on fit rows (``train``) and dev
+    rows (``dev``)."""
+    from ..operators.baseline import refine_cells
+
+    dim = dim or vector_length(pairs, vec_col)
+
+    def scorer(models):
+        import numpy as np
+
+        def nearest(z, protos):
+            d2 = (z ** 2).sum(axis=1)[:, None] - 2 * z @ np.nan_to_num(protos).T + np.nansum(protos ** 2, axis=1)[None]
+            return np.where(np.isnan(protos[:, 0])[None], np.inf, d2).argmin(axis=1)
+
+        def score(x):
+            out = []
+            for r in models:
+                to = np.reshape(r["map"], (dim, n_classes))
+                for k, (z, name) in enumerate(((x, "before"), (x @ to, "after"))):
+                    pred = nearest(z, np.reshape(r[name], (n_classes, -1)))
+                    out += [(split, k, r["seed"], r["m"], pred) for split in ("train", "dev")]
+            return out
+
+        return score
+
+    counts = None
+    # a cell holds its map, as many values again as prototypes, and a few more
+    for some_seeds, some_shots in cell_groups(pairs.sparkSession, seeds, shots, dim + n_classes, 2, n_classes):
+        part = _fitted_counts(pairs, some_seeds, some_shots, key, label_col, vec_col, n_classes, dim,
+                              lambda fit, shots=some_shots: refine_cells(fit, shots, n_classes, vec_col, label_col), scorer)
+        counts = part if counts is None else counts.unionByName(part)
+    named = counts.select(F.element_at(F.array(*[F.lit(p) for p in PHASES]), F.col("variant") + 1).alias("phase"), "split", "seed", "m",
+                          decode_three("truth").alias("y_truth"), decode_three("pred").alias("y_pred"), "n")
+    return _expand_counts(named, ["phase", "split", "seed", "m"], THREE_WAY_LETTERS)
+
+
+def _fitted_counts(pairs: DataFrame, seeds: list[int], shots: list[int], key: Sequence[str], label_col: str, vec_col: str,
+                   n_classes: int, dim: int, fit_models, scorer) -> DataFrame:
+    """``(split, variant, seed, m, truth, pred, n)`` of one block of the grid.
+
+    ``fit_models`` makes a bounded table of models of the ranked fit rows
+    (seed, rank, label, vector).  ``scorer(models)`` gives a function of a batch of
+    vectors: for each column to count (split, variant, seed, m, predictions)."""
+    import numpy as np
 
     spark = pairs.sparkSession
     ship_package(spark)
     # bounded by seeds * classes * max(m) rows; feeds the fits and the scoring
-    checkpoint_dir(spark)
-    ranked = ranked_keys(pairs, seeds, max(shots), key, label_col).checkpoint(eager=True)
-    ms = F.array(*[F.lit(m) for m in shots])
-    rs = F.array(*[F.lit(r) for r in runs])
-    fit_keys = (ranked.select("seed", *key, "rank", F.explode(ms).alias("m"))
-                .filter(F.col("rank") <= F.col("m"))
-                .select("seed", "m", *key, F.explode(rs).alias("run")))
-    fit_keys = bounded_broadcast(fit_keys, len(seeds) * len(runs) * n_classes * sum(shots), 48)
-    fit = pairs.select(*key, label_col, vec_col).join(fit_keys, list(key))
-    models = fit_cells(fit, ["seed", "m", "run"], n_classes, vec_col, label_col).collect()
-
-    seed_idx = {s: i for i, s in enumerate(seeds)}
-    c_seed = np.array([seed_idx[r["seed"]] for r in models], dtype=np.int64)
-    c_m = np.array([r["m"] for r in models], dtype=np.int64)
-    c_run = np.array([r["run"] for r in models], dtype=np.int64)
-    w = np.array([r["weights"] for r in models], dtype=np.float64)        # (C, L, d)
-    b = np.array([r["bias"] for r in models], dtype=np.float64)           # (C, L)
-    bc = spark.sparkContext.broadcast((c_seed, c_m, c_run, w, b))
+    ranked = scratch_table(ranked_keys(pairs, seeds, max(shots), key, label_col), "ranked")
+    fit_keys = bounded_broadcast(ranked.select("seed", *key, "rank"), len(seeds) * n_classes * max(shots), 48)
+    fit = pairs.select(*key, label_col, same_length(vec_col, dim).alias(vec_col)).join(fit_keys, list(key))
+    models = sorted(fit_models(fit).collect(), key=lambda r: (r["seed"], r["m"]))
+    bc = spark.sparkContext.broadcast([r.asDict() for r in models])
 
     rank_map = (ranked.groupBy(*key).agg(
         F.map_from_entries(F.collect_list(F.struct("seed", "rank"))).alias("_ranks")))
@@ -423,32 +468,23 @@ def _baseline_counts(pairs: DataFrame, seeds: list[int], shots: list[int], runs:
     ranks_arr = F.array(*[F.coalesce(F.element_at(F.col("_ranks"), F.lit(s)), F.lit(BIG_RANK)) for s in seeds])
     base = (pairs.join(rank_map, list(key), "left")
             .select(F.col(label_col).cast("int").alias("truth"), same_length(vec_col, dim).alias("vec"), ranks_arr.alias("ranks")))
-    schema = T.StructType([T.StructField("seed", T.IntegerType()), T.StructField("m", T.IntegerType()),
-                           T.StructField("run", T.IntegerType()), T.StructField("truth", T.IntegerType()),
-                           T.StructField("pred", T.IntegerType()), T.StructField("n", T.LongType())])
+    at = {s: i for i, s in enumerate(seeds)}
 
     def run(batches):
         import pandas as pd
 
-        cs, cm, cr, ww, bb = bc.value
+        score = scorer(bc.value)
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-            truth = pdf["truth"].to_numpy().astype(np.int64)
-            ranks = np.stack(pdf["ranks"].to_numpy()).astype(np.int64)
-            scores = np.einsum("bd,cld->bcl", x, ww) + bb[None, :, :]
-            pred = np.argmax(scores, axis=2)
-            member = ranks[:, cs] > cm[None, :]
-            rows, cells = np.nonzero(member)
-            code = (cells * n_classes + truth[rows]) * n_classes + pred[rows, cells]
-            counts = np.bincount(code, minlength=len(cm) * n_classes * n_classes)
-            nz = np.nonzero(counts)[0]
-            cell = nz // (n_classes * n_classes)
-            yield pd.DataFrame({"seed": np.asarray(seeds, dtype=np.int32)[cs[cell]], "m": cm[cell].astype(np.int32),
-                                "run": cr[cell].astype(np.int32),
-                                "truth": ((nz // n_classes) % n_classes).astype(np.int32),
-                                "pred": (nz % n_classes).astype(np.int32), "n": counts[nz].astype(np.int64)})
-
-    return (base.mapInPandas(run, schema)
-            .groupBy("seed", "m", "run", "truth", "pred").agg(F.sum("n").alias("n")))
+            for a in range(0, len(pdf), 2048):
+                part = pdf.iloc[a: a + 2048]
+                truth, ranks = part["truth"].to_numpy().astype(np.int64), np.stack(part["ranks"].to_numpy()).astype(np.int64)
+                out = []
+                for split, variant, seed, m, pred in score(np.stack(part["vec"].to_numpy()).astype(np.float64)):
+                    own = ranks[:, at[seed]] <= m
+                    code = (truth * n_classes + pred)[own if split == "train" else ~own]
+                    n = np.bincount(code, minlength=n_classes * n_classes)
+                    out += [(split, variant, seed, m, c // n_classes, c % n_classes, n[c]) for c in np.flatnonzero(n)]
+                yield pd.DataFrame(out, columns=["split", "variant", "seed", "m", "truth", "pred", "n"])
+
+    return (base.mapInPandas(run, "split string, variant int, seed int, m int, truth int, pred int, n long")
+            .groupBy("split", "variant", "seed", "m", "truth", "pred").agg(F.sum("n").alias("n")))

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -68,6 +68,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage is cut, a
+    lost executor costs a re-read, and ``drop_scratch`` deletes it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SCRATCH: list[tuple[str, str]] = []
 
 
