@@ -9,7 +9,7 @@ start and the order of the rows: predictions can be checked.
 
 * ``newton_fit``: one fit over a distributed table.  A step is one pass; each
   partition leaves its sums of loss, gradient and Hessian, which are added up
-  by position, so the driver gets one (classes * (d + 1))^2 matrix.
+  in a tree; the driver solves one (classes * (d + 1))^2 system.
 * ``fit_cells``: a grid of small fits.  All cells of a seed are solved
   together, its runs stacked in one solve; shot counts are nested, so the fit
   for m starts from the optimum for the next smaller m.
@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 L2 = 0.05
 TOL = 1e-10
 MAX_STEPS = 100
+DRIVER_BYTES = 256 << 20  # of partial sums collected in a step
 MAX_PARAMS = 4096  # of one distributed fit: its Hessian is solved on the driver (128 MB)
 
 
@@ -102,15 +103,15 @@ def newton_fit(fit: DataFrame, vec_col: str = "diff", label_col: str = "label",
     """Weights (classes, d + 1), the bias last, of the optimum over ``fit``.
 
     ``fit`` is read once per step, so store it if it is costly.  Each
-    partition sums its rows' Hessian in Arrow batches; one row per matrix row
-    leaves it.  Those rows are added up position by position in two stages, so
-    neither depends on the number of partitions.  An empty ``fit`` raises."""
+    partition sums its rows' loss, gradient and Hessian in Arrow batches and
+    leaves one row; those rows are added up in a tree, so the driver gets at
+    most ``DRIVER_BYTES`` of them.  An empty ``fit`` raises."""
     from ..session import ship_package
 
     spark = fit.sparkSession
     ship_package(spark)
-    head = fit.agg(F.max(F.size(vec_col)).alias("d"), F.min(F.size(vec_col)).alias("e"), F.count(F.lit(1)).alias("n"),
-                   F.min(label_col).alias("lo"), F.max(label_col).alias("hi")).first()
+    head = fit.withColumn("_part", F.spark_partition_id()).agg(F.max(F.size(vec_col)).alias("d"), F.min(F.size(vec_col)).alias("e"), F.count(F.lit(1)).alias("n"),
+                   F.min(label_col).alias("lo"), F.max(label_col).alias("hi"), F.max("_part").alias("parts")).first()
     if not head["n"]:
         raise ValueError("nothing to fit on")
     if head["d"] != head["e"]:
@@ -133,19 +134,26 @@ def newton_fit(fit: DataFrame, vec_col: str = "diff", label_col: str = "label",
                     part = b.iloc[a: a + 4096]
                     got = loss_sums(with_one(np.stack(part["x"].to_numpy()).astype(float)), part["y"].to_numpy().astype(int), w)
                     loss, g, h = loss + got[0], g + got[1], h + got[2]
-            # row 0: loss and gradient; then the Hessian's rows
-            yield pd.DataFrame({"i": np.arange(size + 1), "v": [np.append(loss, g.ravel()), *h[0]]})
+            yield pd.DataFrame({"v": [np.concatenate([loss, g.ravel(), h.ravel()]).tobytes()]})
 
-        def add(frame):
+        def add(batches):
             import pandas as pd
 
-            return pd.DataFrame({"i": [frame["i"].iloc[0]], "v": [np.sum(np.stack(frame["v"].to_numpy()), axis=0)]})
-
-        parts = rows.mapInPandas(run, "i int, v array<double>").withColumn("part", F.spark_partition_id() % 32)
-        first = parts.groupBy("i", "part").applyInPandas(add, "i int, v array<double>")
-        got = {r["i"]: np.array(r["v"]) for r in first.groupBy("i").applyInPandas(add, "i int, v array<double>").collect()}
-        return got[0][:1], got[0][1:].reshape(1, n_classes, d), np.stack([got[i + 1] for i in range(size)])[None]
-
+            total = 0.0
+            for b in batches:
+                for v in b["v"]:
+                    total = total + np.frombuffer(v)
+            if not np.isscalar(total):
+                yield pd.DataFrame({"v": [total.tobytes()]})
+
+        parts, n = rows.mapInPandas(run, "v binary"), head["parts"] + 1
+        while n > most:
+            n = max(most, -(-n // 32))
+            parts = parts.repartition(n).mapInPandas(add, "v binary")
+        got = np.sum([np.frombuffer(r["v"]) for r in parts.collect()], axis=0)
+        return got[:1], got[1: 1 + size].reshape(1, n_classes, d), got[1 + size:].reshape(1, size, size)
+
+    most = max(1, DRIVER_BYTES // (8 * size * size))
     return newton(sums, np.zeros((1, n_classes, d)), np.array([float(head["n"])]), l2, tol)[0]
 
 

@@ -1,67 +1,94 @@
 """Prototype drift as the number of shots grows.
 
 The reference re-samples and re-encodes every prefix for every m.  Here the
-prototypes for *all* m come from one pass: the seeded rank puts each class in
-a fixed order, the difference vectors are exploded by position, and a
-running ``avg`` over (seed, class, position) ordered by rank is the prototype
-after m shots at row ``rank = m``.  Only keys are ranked; vectors are computed
-for the at most seeds * classes * max(m) rows that the ranking keeps.  The
-window key has seeds * classes * d values, with at most max(m) rows each.  A class with fewer than m rows keeps its last
-prototype (it uses all it has).
+prototypes of *all* grid values come from one pass: the seeded rank puts each
+class in a fixed order, the grid cuts that order into blocks, each block's
+vectors are summed position by position (map-side combined), and prefix sums
+over blocks give the prototype after every grid value.  Prefix sums are blocked
+too: inside groups of ``GROUP`` blocks, plus what earlier groups hold, so
+neither the grid nor a class is ever one task's or one array's.  Only keys are
+ranked; vectors are computed for the rows that the ranking keeps.  A class with
+fewer than m rows keeps its last prototype (it uses all it has).
 """
 
 from __future__ import annotations
 
 from typing import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions.labels import DRIFT_NAMES
+from ..functions.vectors import distance
 from ..operators.sampling import KEY, top_per_class
 from ..plans.broadcast import bounded_broadcast
 
 LETTER_NAMES = ["s", "n", "c"]
+GROUP = 1024  # blocks
 
 
-def running_prototypes(pairs: DataFrame, seeds, max_m: int, vec_col: str = "diff", label_col: str = "label",
-                       key: Sequence[str] = KEY, prepare: Callable[[DataFrame], DataFrame] | None = None,
-                       n_classes: int = 3) -> DataFrame:
-    """``(seed, label, rank, pos, c)``: prototype value at position ``pos``
-    after ``rank`` shots.  Ranking sees keys only; the rows of the ranked keys
-    are joined back and get their vectors (``prepare``) after that."""
+def grid_prototypes(pairs: DataFrame, seeds, shots: Sequence[int], vec_col: str = "diff", label_col: str = "label",
+                    key: Sequence[str] = KEY, prepare: Callable[[DataFrame], DataFrame] | None = None,
+                    n_classes: int = 3) -> DataFrame:
+    """``(seed, label, j, centroid)``: the prototype after the j-th of the
+    sorted ``shots``, for every j up to the one that takes in the class's last
+    row.  Ranking sees keys only; the rows of the ranked keys are joined back
+    and get their vectors (``prepare``) after that."""
     n_seeds = 1 if isinstance(seeds, int) else len(list(seeds))
-    ranked = top_per_class(pairs.select(*key, label_col), seeds, max_m, (label_col,), key).drop(label_col)
-    rows = pairs.join(bounded_broadcast(ranked, n_seeds * n_classes * max_m, 64), list(key))
+    grid = np.array(sorted({int(m) for m in shots}))
+
+    @F.pandas_udf(IntegerType())
+    def block(rank: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(grid, rank.to_numpy()).astype("int32"))
+
+    ranked = top_per_class(pairs.select(*key, label_col), seeds, int(grid[-1]), (label_col,), key)
+    ranked = ranked.select("seed", *key, block("rank").alias("j"))
+    rows = pairs.join(bounded_broadcast(ranked, n_seeds * n_classes * int(grid[-1]), 64), list(key))
     rows = prepare(rows) if prepare is not None else rows
-    x = (rows.select("seed", label_col, "rank", F.posexplode_outer(vec_col).alias("pos", "x"))
-         .filter(F.col("pos").isNotNull()))
-    w = (Window.partitionBy("seed", label_col, "pos").orderBy("rank")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return x.withColumn("c", F.avg("x").over(w)).drop("x")
+    at = ["seed", label_col, "pos"]
+    sums = (rows.select("seed", label_col, "j", F.posexplode_outer(vec_col).alias("pos", "x"))
+            .filter(F.col("pos").isNotNull())
+            .groupBy(*at, "j").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
+            .withColumn("g", F.floor(F.col("j") / GROUP)))
+    before = Window.partitionBy(*at).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.groupBy(*at, "g").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).select(
+        *at, "g", F.coalesce(F.sum("x").over(before), F.lit(0.0)).alias("x0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
+    inside = Window.partitionBy(*at, "g").orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = sums.withColumn("x", F.sum("x").over(inside)).withColumn("n", F.sum("n").over(inside))
+    c = c.join(carry, [*at, "g"]).select(*at, "j", ((F.col("x") + F.col("x0")) / (F.col("n") + F.col("n0"))).alias("c"))
+    return c.groupBy("seed", label_col, "j").agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("_s")).select(
+        "seed", label_col, "j", F.transform("_s", lambda s: s["c"]).alias("centroid"))
+
+
+def running_prototypes(pairs: DataFrame, seeds, max_m: int, vec_col: str = "diff", label_col: str = "label", **kw) -> DataFrame:
+    """``(seed, label, rank, pos, c)``: prototype value at position ``pos``
+    after every ``rank`` up to ``max_m``."""
+    protos = grid_prototypes(pairs, seeds, range(1, max_m + 1), vec_col, label_col, **kw)
+    return protos.select("seed", label_col, (F.col("j") + 1).alias("rank"), F.posexplode("centroid").alias("pos", "c"))
 
 
 def drift_pairs(pairs: DataFrame, seeds, steps: Sequence[tuple[int, int]], vec_col: str = "diff",
                 label_col: str = "label", key: Sequence[str] = KEY,
-                prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Euclidean distance between the prototypes after ``start`` and after
+                prepare: Callable[[DataFrame], DataFrame] | None = None, metric: str = "euclidean") -> DataFrame:
+    """Distance (``metric``: euclidean, cosine or triangle, as in
+    ``vectors.distance``) between the prototypes after ``start`` and after
     ``end`` shots, for every (start, end) in ``steps``:
-    ``(seed, label, start, end, drift)``.
-
-    One pass: the values of a (seed, class, position) after every m (at most
-    max(m) of them, in the order of m) are one array, from which all steps
-    read their two ends."""
-    max_m = max(max(a, b) for a, b in steps)
-    run = running_prototypes(pairs, seeds, max_m, vec_col, label_col, key, prepare)
-    per = run.groupBy("seed", label_col, "pos").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "c"))), lambda s: s["c"]).alias("_cs"))
-    grid = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in steps])
-    at = lambda m: F.element_at("_cs", F.least(m, F.size("_cs")))
-    g = (per.select("seed", label_col, "_cs", F.explode(grid).alias("g"))
-         .select("seed", label_col, F.col("g.start").alias("start"), F.col("g.end").alias("end"),
-                 (at(F.col("g.end")) - at(F.col("g.start"))).alias("_d")))
-    return (g.groupBy("seed", label_col, "start", "end")
-            .agg(F.sqrt(F.sum(F.col("_d") * F.col("_d"))).alias("drift")))
+    ``(seed, label, start, end, drift)``."""
+    spark = pairs.sparkSession
+    grid = sorted({int(m) for step in steps for m in step})
+    place = {m: j for j, m in enumerate(grid)}
+    measure = distance("_a", "_b", metric)  # an unknown metric raises here
+    protos = grid_prototypes(pairs, seeds, grid, vec_col, label_col, key, prepare)
+    last = protos.groupBy(F.col("seed").alias("_s"), F.col(label_col).alias("_l")).agg(F.max("j").alias("_last"))
+    asked = spark.createDataFrame([(int(a), int(b), place[a], place[b]) for a, b in steps], "start int, end int, ja int, jb int")
+    want = asked.crossJoin(F.broadcast(last)).select("start", "end", "_s", "_l", F.least("ja", "_last").alias("ja"), F.least("jb", "_last").alias("jb"))
+    at = lambda j: (F.col("_s") == F.col("seed")) & F.col("_l").eqNullSafe(F.col(label_col)) & (F.col(j) == F.col("j"))
+    first = want.join(protos.withColumnRenamed("centroid", "_a"), at("ja")).select("start", "end", "_s", "_l", "jb", "_a")
+    both = first.join(protos.withColumnRenamed("centroid", "_b"), at("jb"))
+    return both.select("seed", label_col, "start", "end", measure.alias("drift"))
 
 
 def drift_consecutive(pairs: DataFrame, seeds, shots: Sequence[int], round_to: int = 4, **kw) -> DataFrame:

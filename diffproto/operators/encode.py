@@ -8,7 +8,8 @@ Two kinds of encoder:
 * ``PandasEncoder(fn, dim)`` -- any batch model (``fn(pd.Series[str]) ->
   ndarray (n, dim)``), run with ``mapInPandas`` over Arrow batches.  Texts
   are de-duplicated first (keyed by md5) so a claim shared by many pairs is
-  encoded once, then joined back.
+  encoded once, then joined back.  ``EncodingStore`` keeps encodings for
+  later runs.
 
 ``pool_tokens`` turns token vectors into one text vector (mean / max /
 first token), and ``LookupPoolEncoder`` combines both: tokens are hashed
@@ -17,14 +18,19 @@ into a vocabulary table of vectors and pooled.
 
 from __future__ import annotations
 
+import urllib.parse
+import uuid
 from typing import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import hex8_to_int
 from ..functions.vectors import l2_normalize
+from ..session import scratch_table
+from ..sources import manifest
+from .joins import frequent_keys, skew_join
 
 # Token rule shared with the SQL oracle: lower-case, split on every run of
 # characters that are neither letters nor digits, drop empty tokens.
@@ -101,49 +107,115 @@ class HashingEncoder:
         return self.encode(self.encode(pairs, claim, "claim_vec"), evidence, "evidence_vec")
 
 
+_LOADED: dict[str, Callable] = {}
+
+
+def _loaded(name: str, load: Callable[[], Callable]) -> Callable:
+    """The model, loaded once in a worker whatever number of tasks it runs."""
+    if name not in _LOADED:
+        _LOADED[name] = load()
+    return _LOADED[name]
+
+
 class PandasEncoder:
-    """A batch model run with ``mapInPandas`` on de-duplicated texts."""
+    """A batch model run with ``mapInPandas`` on de-duplicated texts.
+
+    ``fn(texts) -> (n, dim)`` is the model itself; ``load() -> fn`` loads it,
+    once per worker, under ``name``."""
 
-    def __init__(self, fn: Callable, dim: int, name: str = "pandas"):
-        self.fn = fn
+    def __init__(self, fn: Callable | None = None, dim: int = 0, name: str = "pandas", load: Callable[[], Callable] | None = None,
+                 batch: int = 1024):
+        if (fn is None) == (load is None):
+            raise ValueError("give fn or load")
+        self.fn, self.load = fn, load
         self.dim = int(dim)
         self.name = name
-
-    def encode_texts(self, texts: DataFrame, text_col: str = "text") -> DataFrame:
-        """``(text_key, vec)`` for the distinct texts of ``texts``."""
+        self.batch = int(batch)
+
+    def keyed(self, texts: DataFrame, text_col: str = "text") -> DataFrame:
+        """The distinct texts with their digest; a text that many rows hold is reduced map-side."""
+        return (texts.filter(F.col(text_col).isNotNull())
+                .select(F.md5(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+                .dropDuplicates(["text_key"]))
+
+    def encode_keyed(self, keyed: DataFrame) -> DataFrame:
+        """``(text_key, vec)`` of ``(text_key, text)``.  Texts go to the model
+        by length, so a batch's texts are about equally long, and ``batch``
+        at a time."""
         from ..session import ship_package
 
-        ship_package(texts.sparkSession)
-        fn = self.fn
-        keyed = (texts.filter(F.col(text_col).isNotNull())
-                 .select(F.md5(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-                 .dropDuplicates(["text_key"]))
-        schema = T.StructType([T.StructField("text_key", T.StringType()),
-                               T.StructField("vec", T.ArrayType(T.DoubleType()))])
+        ship_package(keyed.sparkSession)
+        fn, load, name, size, dim = self.fn, self.load, self.name, self.batch, self.dim
 
         def run(batches):
             import numpy as np
             import pandas as pd
 
+            model = fn or _loaded(name, load)
             for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                mat = np.asarray(fn(pdf["text"]), dtype="float64")
-                yield pd.DataFrame({"text_key": pdf["text_key"].to_numpy(), "vec": list(mat)})
+                for a in range(0, len(pdf), size):
+                    part = pdf.iloc[a: a + size]
+                    mat = np.asarray(model(part["text"]), dtype="float64")
+                    if mat.shape != (len(part), dim):
+                        raise ValueError(f"encoder {name!r} gave {mat.shape} for {len(part)} texts, not {dim} values each")
+                    yield pd.DataFrame({"text_key": part["text_key"].to_numpy(), "vec": list(mat)})
 
-        return keyed.mapInPandas(run, schema)
+        by_length = keyed.withColumn("_n", F.length("text")).sortWithinPartitions("_n").drop("_n")
+        return by_length.mapInPandas(run, ENCODING_SCHEMA)
 
-    def encode_pairs(self, pairs: DataFrame, claim: str = "claim", evidence: str = "evidence") -> DataFrame:
-        texts = (pairs.select(F.col(claim).alias("text"))
-                 .unionByName(pairs.select(F.col(evidence).alias("text"))))
-        vecs = self.encode_texts(texts, "text")
+    def encode_texts(self, texts: DataFrame, text_col: str = "text") -> DataFrame:
+        """``(text_key, vec)`` for the distinct texts of ``texts``."""
+        return self.encode_keyed(self.keyed(texts, text_col))
+
+    def encode_pairs(self, pairs: DataFrame, claim: str = "claim", evidence: str = "evidence", store: EncodingStore | None = None) -> DataFrame:
+        """Adds ``claim_vec`` and ``evidence_vec``, null for a null text.  With
+        a ``store``, texts it holds are not encoded again.  A text that many
+        pairs share is joined by several tasks."""
+        both = pairs.select(F.col(claim).alias("text")).unionByName(pairs.select(F.col(evidence).alias("text")))
+        if store is not None:
+            store.fill(both, self)
+            vecs = store.encodings(self)
+        else:
+            vecs = self.encode_texts(both)
         out = pairs.withColumn("_ck", F.md5(F.col(claim))).withColumn("_ek", F.md5(F.col(evidence)))
-        # left joins: a pair with a null text keeps its place, with a null vector
-        out = out.join(vecs.select(F.col("text_key").alias("_ck"), F.col("vec").alias("claim_vec")), "_ck", "left")
-        out = out.join(vecs.select(F.col("text_key").alias("_ek"), F.col("vec").alias("evidence_vec")), "_ek", "left")
+        for key, other, vec in (("_ck", "_ek", "claim_vec"), ("_ek", "_ck", "evidence_vec")):
+            often = frequent_keys(pairs.select(F.md5(F.col(claim if key == "_ck" else evidence)).alias(key)), key)
+            out = skew_join(out, vecs.select(F.col("text_key").alias(key), F.col("vec").alias(vec)), key, [other, *[c for c in pairs.columns if c in KEY]],
+                            "left", often)
         return out.drop("_ck", "_ek")
 
 
+KEY = ("claim_id", "set_pos")
+ENCODING_SCHEMA = T.StructType([T.StructField("text_key", T.StringType()), T.StructField("vec", T.ArrayType(T.DoubleType()))])
+
+
+class EncodingStore:
+    """Encodings that outlive a run: a table by encoder and text digest under
+    ``path``.  ``fill`` finds the texts that are not in it by an anti join,
+    encodes only these and commits them; a fill that fails leaves nothing."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _at(self, encoder: PandasEncoder) -> str:
+        return f"{self.path}/{urllib.parse.quote(encoder.name, safe='')}-{encoder.dim}"
+
+    def encodings(self, encoder: PandasEncoder) -> DataFrame:
+        """``(text_key, vec)``, one row per text; two fills at the same time may
+        both have encoded a text, and one of the equal rows is taken."""
+        got = manifest.read(self.spark, self._at(encoder), ENCODING_SCHEMA)
+        return got.dropDuplicates(["text_key"]) if len(manifest.committed(self.spark, self._at(encoder))) > 1 else got
+
+    def fill(self, texts: DataFrame, encoder: PandasEncoder, text_col: str = "text") -> int:
+        """Encodes what is missing; returns the number of texts encoded."""
+        known = manifest.read(self.spark, self._at(encoder), ENCODING_SCHEMA).select("text_key")
+        missing = scratch_table(encoder.keyed(texts, text_col).join(known, "text_key", "left_anti"), "missing-texts")
+        n = missing.count()
+        if n:
+            manifest.append(encoder.encode_keyed(missing), self._at(encoder), uuid.uuid4().hex)
+        return n
+
+
 POOL_MODES = ("mean", "max", "cls")
 
 
@@ -188,16 +260,14 @@ class LookupPoolEncoder:
         self.mode = mode
         self.name = name or f"lookup-{mode}"
 
-    def encode_all(self, texts: DataFrame, key_col: str, text_col: str, salts: int = 8) -> DataFrame:
+    def encode_all(self, texts: DataFrame, key_col: str, text_col: str) -> DataFrame:
         """``(key, mean, max, cls)``: all three poolings from one tokenisation,
-        one vocabulary join and one aggregate.  The vocabulary is repeated
-        ``salts`` times, so a token that most texts hold is joined by several
-        tasks."""
-        counts = self._tokens(texts, key_col, text_col).groupBy(key_col, "vocab_id").agg(
-            F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-        salted = counts.withColumn("_salt", F.pmod(F.xxhash64(key_col), F.lit(salts)))
-        vocab = self.vocab.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-        tv = salted.join(vocab, ["vocab_id", "_salt"])
+        one vocabulary join and one aggregate.  Token counts are stored, a
+        sketch of them finds the vocabulary entries that many texts hold, and
+        only those are copied; the rest of the vocabulary is joined as it is."""
+        counts = scratch_table(self._tokens(texts, key_col, text_col).groupBy(key_col, "vocab_id").agg(
+            F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")), "token-counts")
+        tv = skew_join(counts, self.vocab, "vocab_id", [key_col])
         x = (tv.select(key_col, "n", "first", F.posexplode_outer("vec").alias("_p", "_x")).filter(F.col("_p").isNotNull()))
         per_pos = x.groupBy(key_col, "_p").agg(
             (F.sum(F.col("_x") * F.col("n")) / F.sum("n")).alias("mean"), F.max("_x").alias("max"),

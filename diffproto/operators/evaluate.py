@@ -18,6 +18,14 @@ from ..functions.labels import THREE_WAY_LETTERS
 ROUND = 4
 
 
+def rounded(value, digits: int = ROUND, ties: str = "up"):
+    """A number rounded to ``digits``; what lies half-way goes away from zero
+    (``up``) or to the even neighbour (``even``)."""
+    if ties not in ("up", "even"):
+        raise ValueError(f"unknown ties {ties!r}")
+    return (F.round if ties == "up" else F.bround)(value, digits)
+
+
 def accuracy(scored: DataFrame, truth: str = "y_truth", pred: str = "y_pred",
              group_cols: Sequence[str] = ()) -> DataFrame:
     return (scored.groupBy(*group_cols)

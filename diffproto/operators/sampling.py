@@ -5,9 +5,9 @@ so the same seed gives the same split in Spark and in DuckDB, and the m = 2
 sample is always inside the m = 4 sample.
 
 Scale notes
-* Top-n per class counts rows by the first hex digits of the order key, keeps
-  only the buckets that start before place n, and ranks inside these, so a
-  class holding a third of all rows never reaches one task.
+* Top-n per class is a mergeable bottom-n in one pass, or, for large n, a rank
+  inside hash buckets that start before place n, so a class holding a third of
+  all rows never reaches one task.
 * The uncapped dev set is a ``left_anti`` join against the fit keys (at most
   n_classes * m rows per seed), never a full ranking.
 * Exact positions of dev rows (``dataset_index``) come from a bucketed rank:
@@ -65,17 +65,33 @@ def _null_safe(d: DataFrame, offsets: DataFrame, on: Sequence[str]) -> DataFrame
     return d.join(o, cond).drop(*[f"_o_{c}" for c in on])
 
 
+#: Up to this many rows a class, the first ones come from one pass (Spark's own bound of its window group limit).
+ONE_PASS = 1000
+DEALT = 64
+
+
 def top_per_class(df: DataFrame, seeds, n: int, by: Sequence[str] = ("label",),
                   key: Sequence[str] = KEY, hex_digits: int = 3) -> DataFrame:
     """Rows with ``rank <= n`` in the seeded order of their class (+ seed, rank).
 
-    The order key is a hash, so its first digits cut a class into up to
-    16^hex_digits buckets in order.  Buckets are counted (map-side combined),
-    those that start at or beyond place n are dropped before any row is
-    shuffled, and the rest are ranked inside their bucket only.  No task
-    gets a whole class, whatever its share of the rows and whatever the
-    session's settings."""
+    A small sample is a mergeable bottom-n in one pass over the rows for all
+    seeds: every task keeps at most n rows of each (seed, class, part), the
+    parts' n are merged by a second window over at most ``DEALT`` * n rows of
+    a class.  A larger one goes by buckets: the order key is a hash, so its
+    first digits cut a class into up to 16^hex_digits buckets in order, which
+    are counted (map-side combined); those that start at or beyond place n are
+    dropped before any row is shuffled, and the rest are ranked inside their
+    bucket only.  Either way no task gets a whole class, whatever its share
+    of the rows and whatever the session's settings, and the rows are the same."""
     n = int(n)
+    if n <= ONE_PASS:
+        d = with_seed(df, seeds).withColumn("_h", shuffle_key(key)).withColumn("_p", F.substring("_h", -2, 2))
+        d = d.withColumn("_p", F.pmod(F.conv("_p", 16, 10).cast("int"), F.lit(DEALT)))
+        part = Window.partitionBy("seed", *by, "_p").orderBy("_h", *key)
+        whole = Window.partitionBy("seed", *by).orderBy("_h", *key)
+        few = d.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= F.lit(n))
+        return (few.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= F.lit(n))
+                .drop("_h", "_p"))
     d, offsets = _bucketed(df, seeds, by, key, hex_digits)
     kept = _null_safe(d, offsets.filter(F.col("_off") < F.lit(n)), ["seed", *by, "_b"])
     w = Window.partitionBy("seed", *by, "_b").orderBy("_h", *key)
@@ -147,7 +163,12 @@ def dev_with_index(df: DataFrame, seed: int, m: int, by: str = "label", key: Seq
                    class_order: Iterable[int] = LABEL_CODES) -> DataFrame:
     """Uncapped dev rows with ``dataset_index``: 0-based place in the dev list
     (classes in ``class_order``, each in shuffled order)."""
-    ranked = exact_rank(df, seed, (by,), key).filter(F.col("rank") > m)
+    return with_index(exact_rank(df, seed, (by,), key), m, by, class_order)
+
+
+def with_index(ranked: DataFrame, m: int, by: str = "label", class_order: Iterable[int] = LABEL_CODES) -> DataFrame:
+    """The rows after rank ``m`` of an exact ranking, with ``dataset_index``."""
+    ranked = ranked.filter(F.col("rank") > m)
     sizes = ranked.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
     order = F.create_map(*[x for i, c in enumerate(class_order) for x in (F.lit(c), F.lit(i))])
     wo = Window.orderBy(F.element_at(order, F.col(by))).rowsBetween(Window.unboundedPreceding, -1)

@@ -18,6 +18,7 @@ from ..functions.labels import decode_binary, decode_three
 from ..functions.vectors import diff
 from ..operators import sampling
 from ..operators.prototypes import predict, prototypes
+from ..session import scratch_table
 from .broadcast import bounded_broadcast
 
 KEY = sampling.KEY
@@ -45,7 +46,8 @@ def split_rows(pairs: DataFrame, seed: int, m: int, caps: dict[int, int] | None
     """
     keys = pairs.select(*key, "label")
     body = pairs.drop("label")
-    fit_k = sampling.fit_sample(keys, seed, m, key=key)
+    # bounded; it serves the join for the fit rows and the anti join for the dev rows
+    fit_k = scratch_table(sampling.fit_sample(keys, seed, m, key=key), "fit-keys")
     fit = pairs.join(bounded_broadcast(fit_k.drop("label"), n_classes * m, 64), list(key))
     if caps:
         pool = (sampling.capped_with_index(keys, seed, m, caps, key=key) if with_index
@@ -97,6 +99,25 @@ def score(pairs: DataFrame, seed: int, m: int, metric: str = "euclidean",
             .withColumn("y_pred", decode("pred")))
 
 
+def score_stored(pairs: DataFrame, seed: int, m: int, prepare: Callable[[DataFrame], DataFrame], metric: str = "euclidean",
+                 key: Sequence[str] = KEY, n_classes: int = 3) -> DataFrame:
+    """Every dev row's key, ``dataset_index``, ``truth``, ``pred`` and letters,
+    as a stored table.
+
+    The pairs are read and prepared (encoded) once, and their keys, labels and
+    difference vectors stored.  One exact ranking of the keys tells fit rows
+    from dev rows; prototypes and predictions read the stored vectors, the
+    prediction is joined with the ranking by key, and texts take no part."""
+    vecs = scratch_table(prepare(pairs).select(*key, "label", "diff"), "pair-diffs")
+    ranked = scratch_table(sampling.exact_rank(vecs.select(*key, "label"), seed, key=key).select(*key, "label", "rank"), "pair-ranks")
+    fit_k = bounded_broadcast(ranked.filter(F.col("rank") <= m).select(*key), n_classes * m, 64)
+    protos = prototypes(vecs.join(fit_k, list(key)), "diff", "label")
+    scored = predict(vecs, protos, "diff", metric, out="pred").select(*key, "pred")
+    dev = sampling.with_index(ranked, m).join(scored, list(key))
+    return scratch_table(dev.select(*key, "dataset_index", F.col("label").alias("truth"), "pred", decode_three("label").alias("y_truth"),
+                                    decode_three("pred").alias("y_pred")), "pair-scores")
+
+
 def score_two_sets(fit_pairs: DataFrame, dev_pairs: DataFrame, seed: int, m: int, dev_cap: int = 70,
                    metric: str = "euclidean", key: Sequence[str] = KEY, n_classes: int = 3,
                    prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -656,6 +656,11 @@ SELECT d.claim_id, d.set_pos, d.label AS truth, {argmax_label('d.diff', 'k.ps')}
     q["encode_batch_model"] = with_(TEXT_PAIRS) + f"""SELECT claim_id, set_pos, round(list_sum(cv), 4) AS claim_sum,
         round(list_sum(ev), 4) AS evidence_sum, round({vdot('cv', 'ev')}, 4) AS dot
         FROM (SELECT claim_id, set_pos, {feats.format('claim')} AS cv, {feats.format('evidence')} AS ev FROM text_pairs)"""
+    q["encode_store"] = q["encode_batch_model"]
+    q["encode_fills"] = with_(TEXT_PAIRS) + """
+SELECT 1::INTEGER AS fill, count(DISTINCT claim) AS encoded FROM text_pairs
+UNION ALL SELECT 2, count(DISTINCT evidence) FROM text_pairs WHERE evidence NOT IN (SELECT claim FROM text_pairs WHERE claim IS NOT NULL)
+UNION ALL SELECT 3, 0"""
     multi = []
     for i, s in enumerate((RG.SEED, RG.SEED + 1)):
         multi.append(f"""
@@ -678,6 +683,9 @@ sims AS MATERIALIZED (
     q["f1_observed"] = nested_experiment() + "SELECT label, round(f1, 4) AS f1 FROM per WHERE support > 0 OR predicted > 0"
     q["errors_wrong"] = nested_experiment() + "SELECT dataset_index, claim, evidence, y_truth, y_pred FROM scored WHERE y_truth <> y_pred"
     q["errors_correct"] = nested_experiment() + "SELECT dataset_index, claim, evidence, y_truth, y_pred FROM scored WHERE y_truth = y_pred"
+    q["error_sink"] = nested_experiment() + "SELECT dataset_index, claim, evidence, y_truth, y_pred, y_truth = y_pred AS is_correct FROM scored"
+    q["accuracy_half_even"] = sweep_sql(RG.SMALL_SEEDS, RG.SMALL_SHOTS) + """
+SELECT seed, m, round_even(sum(CASE WHEN y_truth = y_pred THEN n ELSE 0 END) * 100 / sum(n), 0)::INTEGER AS percent FROM conf GROUP BY seed, m"""
     # ---------------- sweep
     q["sweep"] = sweep_sql() + "SELECT seed, m, y_truth, y_pred, n FROM conf"
     grids = [sweep_sql(RG.SMALL_SEEDS, RG.SMALL_SHOTS, absolute=a, p=p, head=False) for p, a in (("x", True), ("y", False))]
@@ -801,6 +809,13 @@ SELECT {RG.SEED} AS seed, ("end" - start)::INTEGER AS step,
        round(max(CASE WHEN label = 2 THEN drift / ("end" - start) END), 4) AS c
 FROM d GROUP BY start, "end"
 """
+    parts = [f"""SELECT '{metric}' AS metric, a.label, s.start::INTEGER AS start, s."end"::INTEGER AS "end", round({fn('a.v', 'b.v')}, 4) AS drift
+FROM steps s JOIN vecs a ON a.rank = s.start JOIN vecs b ON b.rank = s."end" AND b.label = a.label"""
+             for metric, fn in (("euclidean", ved), ("cosine", _cos), ("triangle", lambda a, b: f"({_triangle(a, b)} * {_sector(a, b)})"))]
+    q["drift_metrics"] = drift_sql(RG.SEED, bsteps, max(base)) + f""",
+steps AS (SELECT DISTINCT start, "end" FROM d),
+vecs AS MATERIALIZED (SELECT label, rank, list(c ORDER BY pos) AS v FROM drun GROUP BY label, rank)
+""" + " UNION ALL ".join(parts)
     q["after_marker"] = run_log_sql() + "SELECT model, (line_no - 1)::INTEGER AS line_no, line FROM loglines WHERE line_no > 0"
     q["drop_noise"] = run_log_sql() + f"""SELECT model, (row_number() OVER (PARTITION BY model ORDER BY line_no) - 1)::INTEGER AS line_no, line
         FROM loglines WHERE line <> '{RG.NOISE_LINE}'"""
@@ -829,6 +844,8 @@ FROM d GROUP BY start, "end"
         FROM recs GROUP BY model, m"""
     q["trend_point"] = run_log_sql() + """SELECT model, m, round(avg(accuracy), 4) AS accuracy, round(avg(f1), 4) AS f1
         FROM recs WHERE m = 4 GROUP BY model, m"""
+    q["trend_model"] = run_log_sql() + f"""SELECT model, m, round(avg(accuracy), 4) AS accuracy, round(avg(f1), 4) AS f1
+        FROM recs WHERE model = '{RG.TREND_MODEL}' GROUP BY model, m"""
     q["average_runs"] = run_log_sql() + """SELECT model, seed, m, round(avg(accuracy), 4) AS accuracy,
         round(avg(f1), 4) AS f1, count(*) AS n_runs FROM recs GROUP BY model, seed, m"""
     metrics = RG.BEFORE_AFTER_METRICS

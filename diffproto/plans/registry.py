@@ -17,13 +17,14 @@ from ..functions import vectors as V
 from ..functions.labels import CLAIM_LABELS, decode_binary, decode_three, encode_label, label_to_binary
 from ..functions.text import clean_brackets, merge_sentences, normalize_claim, normalize_evidence
 from ..operators import evaluate, sampling, summary
-from ..operators.encode import HashingEncoder, LookupPoolEncoder, PandasEncoder
+from ..operators.encode import EncodingStore, HashingEncoder, LookupPoolEncoder, PandasEncoder
 from ..operators.prototypes import predict, prototypes
 from ..sources import claims as C
 from ..sources import runlogs
 from ..sources import tables as TB
 from . import experiment, sweep
 from .broadcast import bounded_broadcast
+from .sinks import ERROR_COLUMNS, read_errors, write_errors
 
 R = 4
 SEED = 123
@@ -62,8 +63,14 @@ def nested_pairs(spark, sf) -> DataFrame:
 
 def nested_scored(spark, sf) -> DataFrame:
     """Entry A on texts: nested claims -> pairs -> hashing encoder -> split
-    (every other pair is a dev row, with dataset_index) -> prototypes -> labels."""
-    return experiment.score(nested_pairs(spark, sf), SEED, M, with_index=True, prepare=hashed_diff)
+    (every other pair is a dev row, with dataset_index) -> prototypes ->
+    labels; keys and labels only, stored."""
+    return experiment.score_stored(nested_pairs(spark, sf), SEED, M, hashed_diff)
+
+
+def nested_errors(spark, sf, scored: DataFrame) -> DataFrame:
+    """Scored rows with their texts, which are read for them only."""
+    return nested_pairs(spark, sf).drop("label").join(scored, list(sampling.KEY))
 
 
 def hashed_diff(rows: DataFrame) -> DataFrame:
@@ -371,6 +378,13 @@ def q_accuracy(spark, sf):
     return evaluate.accuracy(flagship_scored(spark, sf))
 
 
+def q_accuracy_half_even(spark, sf):
+    """Accuracy of every cell of the small grid, rounded half to even."""
+    conf = sweep.sweep_counts(flagship_pairs(spark, sf), SMALL_SEEDS, SMALL_SHOTS)
+    right = F.sum(F.when(F.col("y_truth") == F.col("y_pred"), F.col("n")).otherwise(0))
+    return conf.groupBy("seed", "m").agg(evaluate.rounded(right * 100 / F.sum("n"), 0, "even").cast("int").alias("percent"))
+
+
 def flagship_confusion(spark, sf):
     return evaluate.confusion_long(flagship_scored(spark, sf))
 
@@ -395,11 +409,22 @@ def q_f1_observed(spark, sf):
 
 
 def q_errors_wrong(spark, sf):
-    return evaluate.error_rows(nested_scored(spark, sf), correct=False)
+    wrong = nested_scored(spark, sf).filter(F.col("y_truth") != F.col("y_pred"))
+    return nested_errors(spark, sf, wrong).select(*ERROR_COLUMNS)
 
 
 def q_errors_correct(spark, sf):
-    return evaluate.error_rows(nested_scored(spark, sf), correct=True)
+    right = nested_scored(spark, sf).filter(F.col("y_truth") == F.col("y_pred"))
+    return nested_errors(spark, sf, right).select(*ERROR_COLUMNS)
+
+
+def q_error_sink(spark, sf):
+    """Both error tables written from one scored pass, and read back."""
+    from ..session import scratch_path
+
+    path = scratch_path(spark, "errors-tsv")
+    write_errors(nested_errors(spark, sf, nested_scored(spark, sf)), path)
+    return read_errors(spark, path)
 
 
 # ---------------------------------------------------------------- two sets, batch encoder
@@ -422,13 +447,42 @@ def text_features(texts):
 TEXT_FEATURES = ["a", "e", "t", "n", " "]
 
 
-def q_encode_batch_model(spark, sf):
-    p = PandasEncoder(text_features, len(TEXT_FEATURES) + 1).encode_pairs(TB.text_pairs(spark, sf))
+def batch_encoder() -> PandasEncoder:
+    return PandasEncoder(load=lambda: text_features, dim=len(TEXT_FEATURES) + 1, name="text-features")
+
+
+def _vector_digest(p: DataFrame) -> DataFrame:
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
     return p.select("claim_id", "set_pos", _r(total("claim_vec")).alias("claim_sum"), _r(total("evidence_vec")).alias("evidence_sum"),
                     _r(V.dot("claim_vec", "evidence_vec")).alias("dot"))
 
 
+def q_encode_batch_model(spark, sf):
+    return _vector_digest(batch_encoder().encode_pairs(TB.text_pairs(spark, sf)))
+
+
+def encoding_store(spark) -> EncodingStore:
+    from ..session import scratch_path
+
+    return EncodingStore(spark, scratch_path(spark, "encodings"))
+
+
+def q_encode_store(spark, sf):
+    """Vectors of all pairs from a store that already holds those of the claims."""
+    store, pairs = encoding_store(spark), TB.text_pairs(spark, sf)
+    store.fill(pairs.select(F.col("claim").alias("text")), batch_encoder())
+    return _vector_digest(batch_encoder().encode_pairs(pairs, store=store))
+
+
+def q_encode_fills(spark, sf):
+    """Texts encoded by three fills of one store: the claims, then claims and evidence, then the same again."""
+    store, pairs = encoding_store(spark), TB.text_pairs(spark, sf)
+    claims = pairs.select(F.col("claim").alias("text"))
+    both = claims.unionByName(pairs.select(F.col("evidence").alias("text")))
+    done = [(i + 1, store.fill(t, batch_encoder())) for i, t in enumerate((claims, both, both))]
+    return spark.createDataFrame(done, "fill int, encoded long")
+
+
 # ---------------------------------------------------------------- sweep
 
 def q_sweep(spark, sf):
@@ -494,6 +548,8 @@ REGISTRY: dict[str, Query] = {
     "encode_hashing": q_encode_hashing,
     "pool_tokens": q_pool_tokens,
     "encode_batch_model": q_encode_batch_model,
+    "encode_store": q_encode_store,
+    "encode_fills": q_encode_fills,
     # prototypes
     "prototypes": q_prototypes,
     "predict_three": q_predict_three,
@@ -512,6 +568,8 @@ REGISTRY: dict[str, Query] = {
     "f1_observed": q_f1_observed,
     "errors_wrong": q_errors_wrong,
     "errors_correct": q_errors_correct,
+    "error_sink": q_error_sink,
+    "accuracy_half_even": q_accuracy_half_even,
     # sweep
     "sweep": q_sweep,
     "sweep_summary": q_sweep_summary,
@@ -533,6 +591,18 @@ def q_drift_from_base(spark, sf):
     return drift_from_base(TB.vec_pairs(spark, sf), SEED, DRIFT_BASE_SHOTS, prepare=experiment.with_diff)
 
 
+def q_drift_metrics(spark, sf):
+    """Drift from the first shot count by each of the metrics."""
+    from ..operators.drift import drift_pairs
+
+    steps, out = [(DRIFT_BASE_SHOTS[0], m) for m in DRIFT_BASE_SHOTS[1:]], None
+    for metric in V.DISTANCES:
+        d = drift_pairs(TB.vec_pairs(spark, sf), SEED, steps, prepare=experiment.with_diff, metric=metric).select(
+            F.lit(metric).alias("metric"), "label", "start", "end", _r(F.col("drift")).alias("drift"))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
 def q_read_drift(spark, sf):
     """The drift table written as TSV (3 decimals) and read back."""
     from ..session import scratch_path
@@ -626,22 +696,32 @@ def q_trend_point(spark, sf):
     return summary.point(q_trend_series(spark, sf), m=4)
 
 
+def q_trend_model(spark, sf):
+    """The trend series of one model, the filter on the runs' records."""
+    return summary.point(q_trend_series(spark, sf), model=TREND_MODEL)
+
+
+# Fixed value: the source whose records the model filter picks.
+TREND_MODEL = "src3"
+
+
 def q_average_runs(spark, sf):
     """Mean over the five runs of each (model, seed, m)."""
     return summary.average_runs(run_records(spark, sf))
 
 
 def q_drift_rate_log(spark, sf):
-    """Drift rates of two seeds appended to one table, and read back."""
+    """Drift rates of two seeds appended to one table, the first run a second
+    time, and read back: one copy of each run."""
     from ..operators.drift import drift_from_base
     from ..session import scratch_path
-    from .sinks import write_drift
+    from .sinks import append_drift, read_appended
 
     path = scratch_path(spark, "drift-rate-tsv")
-    for i, seed in enumerate((SEED, SEED + 1)):
+    for seed in (SEED, SEED + 1, SEED):
         rate = drift_from_base(TB.vec_pairs(spark, sf), seed, DRIFT_BASE_SHOTS, prepare=experiment.with_diff)
-        write_drift(rate.drop("seed"), path, append=i > 0)
-    return runlogs.read_drift(spark, path, runlogs.DRIFT_RATE_SCHEMA)
+        append_drift(rate.drop("seed"), path, f"seed={seed}")
+    return read_appended(spark, path, runlogs.DRIFT_RATE_SCHEMA)
 
 
 def q_summary_sink(spark, sf):
@@ -685,6 +765,7 @@ def q_sweep_baseline(spark, sf):
 REGISTRY.update({
     "drift_consecutive": q_drift_consecutive,
     "drift_from_base": q_drift_from_base,
+    "drift_metrics": q_drift_metrics,
     "read_drift": q_read_drift,
     "after_marker": q_after_marker,
     "drop_noise": q_drop_noise,
@@ -695,6 +776,7 @@ REGISTRY.update({
     "runs_mean_stdsamp": q_runs_mean_stdsamp,
     "trend_series": q_trend_series,
     "trend_point": q_trend_point,
+    "trend_model": q_trend_model,
     "average_runs": q_average_runs,
     "drift_rate_log": q_drift_rate_log,
     "summary_sink": q_summary_sink,

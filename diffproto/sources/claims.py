@@ -98,7 +98,7 @@ def flatten_first_evidence(claims: DataFrame, labels: dict[str, int] = CLAIM_LAB
 
 def corpus_dedup(corpus: DataFrame, order_col: str | None = None) -> DataFrame:
     """Corpus keyed by ``doc_id``; a repeated id keeps the last record by
-    ``order_col`` (``max_by`` over the record).  Without an ordering column
+    ``order_col``, ties by a digest of the record.  Without an ordering column
     the ids must be unique: a count of repeated ids (a shuffle of ids only)
     feeds a scalar subquery that makes the scan raise."""
     if order_col is None:
@@ -106,11 +106,14 @@ def corpus_dedup(corpus: DataFrame, order_col: str | None = None) -> DataFrame:
                  .filter(F.col("_n") > 1).agg(F.count(F.lit(1)))).scalar()
         return corpus.filter(F.when(n_dup > 0, F.raise_error(
             F.lit("repeated doc_id: pass an order column to keep the last record"))).otherwise(F.lit(True)))
-    cols = [c for c in corpus.columns if c != "doc_id"]
-    rest = [c for c in cols if c != order_col]
-    last = corpus.groupBy("doc_id").agg(
-        F.max_by(F.struct(*cols), F.struct(order_col, *rest)).alias("_r"))
-    return last.select("doc_id", *[F.col(f"_r.{c}").alias(c) for c in cols])
+    # winners are found on ids, versions and digests; whole records are only fetched for them
+    rest = [c for c in corpus.columns if c not in ("doc_id", order_col)]
+    digest = F.xxhash64(*rest) if rest else F.lit(0)
+    last = corpus.select(F.col("doc_id").alias("_id"), F.struct(F.col(order_col).alias("v"), digest.alias("h")).alias("_w")).groupBy("_id").agg(
+        F.max("_w").alias("_w"))
+    won = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col(order_col).eqNullSafe(F.col("_w.v")) & (digest == F.col("_w.h"))
+    # records that are equal in everything are one
+    return corpus.join(last, won, "left_semi").dropDuplicates(["doc_id"])
 
 
 #: Cited documents up to this number are sent to the corpus instead of the corpus to them.

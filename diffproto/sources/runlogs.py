@@ -141,12 +141,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(file, line_no, line)`` for every line of every file under ``path``;
     lines are stripped.  The lines of one split of a file are read in order by
     one task, so their ids are consecutive from the split's smallest."""
-    from ..session import checkpoint_dir
+    from ..session import scratch_table
 
-    checkpoint_dir(spark)
     raw = spark.read.option("recursiveFileLookup", "true").text(path)
-    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"),
-                     F.monotonically_increasing_id().alias("_id"), "value").checkpoint(eager=True)
+    raw = scratch_table(raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"),
+                                   F.monotonically_increasing_id().alias("_id"), "value"), "log-lines")
     splits = raw.groupBy("file", "_at").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("_off", F.coalesce(F.sum("_n").over(upto), F.lit(0))).drop("_n")
@@ -234,7 +233,7 @@ BEFORE_AFTER_SCHEMA = T.StructType([T.StructField("m", T.IntegerType())] + [
     T.StructField(f"{k}_{n}", T.DoubleType()) for k in ("mean", "std") for n, _ in _EIGHT])
 
 
-def read_drift(spark: SparkSession, path: str, schema: T.StructType = DRIFT_SCHEMA) -> DataFrame:
+def read_drift(spark: SparkSession, path: str | list[str], schema: T.StructType = DRIFT_SCHEMA) -> DataFrame:
     """Tab-separated table with a header: drift, drift rate or before/after
     summary, by its schema.  Folders ``name=value`` become columns."""
     return (spark.read.option("sep", "\t").option("header", "true").option("mode", "FAILFAST")
