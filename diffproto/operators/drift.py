@@ -25,6 +25,7 @@ from ..functions.labels import DRIFT_NAMES
 from ..functions.vectors import distance
 from ..operators.sampling import KEY, top_per_class
 from ..plans.broadcast import bounded_broadcast
+from ..session import scratch_table
 
 LETTER_NAMES = ["s", "n", "c"]
 GROUP = 1024  # blocks
@@ -40,9 +41,18 @@ def grid_prototypes(pairs: DataFrame, seeds, shots: Sequence[int], vec_col: str
     n_seeds = 1 if isinstance(seeds, int) else len(list(seeds))
     grid = np.array(sorted({int(m) for m in shots}))
 
-    @F.pandas_udf(IntegerType())
-    def block(rank: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(grid, rank.to_numpy()).astype("int32"))
+    def block(rank):
+        """The place of the first grid value that is not below the rank."""
+        if len(grid) == grid[-1]:
+            return (F.col(rank) - 1).cast("int")
+        if len(grid) <= GROUP:
+            return F.size(F.filter(F.array(*[F.lit(int(m)) for m in grid]), lambda m: m < F.col(rank)))
+
+        @F.pandas_udf(IntegerType())
+        def search(r: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(grid, r.to_numpy()).astype("int32"))
+
+        return search(rank)
 
     ranked = top_per_class(pairs.select(*key, label_col), seeds, int(grid[-1]), (label_col,), key)
     ranked = ranked.select("seed", *key, block("rank").alias("j"))
@@ -81,7 +91,8 @@ def drift_pairs(pairs: DataFrame, seeds, steps: Sequence[tuple[int, int]], vec_c
     grid = sorted({int(m) for step in steps for m in step})
     place = {m: j for j, m in enumerate(grid)}
     measure = distance("_a", "_b", metric)  # an unknown metric raises here
-    protos = grid_prototypes(pairs, seeds, grid, vec_col, label_col, key, prepare)
+    # seeds * classes * grid values * d; read for the classes' ends and for both ends of the steps
+    protos = scratch_table(grid_prototypes(pairs, seeds, grid, vec_col, label_col, key, prepare), "grid-prototypes")
     last = protos.groupBy(F.col("seed").alias("_s"), F.col(label_col).alias("_l")).agg(F.max("j").alias("_last"))
     asked = spark.createDataFrame([(int(a), int(b), place[a], place[b]) for a, b in steps], "start int, end int, ja int, jb int")
     want = asked.crossJoin(F.broadcast(last)).select("start", "end", "_s", "_l", F.least("ja", "_last").alias("ja"), F.least("jb", "_last").alias("jb"))

@@ -108,7 +108,9 @@ def score_stored(pairs: DataFrame, seed: int, m: int, prepare: Callable[[DataFra
     difference vectors stored.  One exact ranking of the keys tells fit rows
     from dev rows; prototypes and predictions read the stored vectors, the
     prediction is joined with the ranking by key, and texts take no part."""
-    vecs = scratch_table(prepare(pairs).select(*key, "label", "diff"), "pair-diffs")
+    # a long document gives many pairs: dealing them out costs a tenth of encoding them
+    dealt = pairs.repartition(*key)
+    vecs = scratch_table(prepare(dealt).select(*key, "label", "diff"), "pair-diffs")
     ranked = scratch_table(sampling.exact_rank(vecs.select(*key, "label"), seed, key=key).select(*key, "label", "rank"), "pair-ranks")
     fit_k = bounded_broadcast(ranked.filter(F.col("rank") <= m).select(*key), n_classes * m, 64)
     protos = prototypes(vecs.join(fit_k, list(key)), "diff", "label")
