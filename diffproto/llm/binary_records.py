@@ -11,8 +11,9 @@ ids.  The CRC is zlib's CRC-32, masked by a rotation and a constant, so that
 a checksum of data holding checksums stays sound.
 
 Documents are range-partitioned and sorted by id; each task encodes its rows
-and writes its files, at most ``PER_FILE`` records each, through Spark's
-writer, whose commit survives lost and repeated tasks on any file system.
+and writes its files, at most ``PER_FILE`` records and ``FILE_BYTES`` bytes
+each, through Spark's writer, whose commit survives lost and repeated tasks on
+any file system.
 The index has a row per record: file, record, offset, length.  Files in the
 order of the part number and the file counter in their names, as integers,
 are in the order of the ids in them, so a document's global token offset is
@@ -23,7 +24,6 @@ from __future__ import annotations
 
 import functools
 import json
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,17 +35,18 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship_package
 from .common import longs, read
+from .pieces import ByteLevel, Pieces, joined
 
 PER_FILE = 2048
 END_ID = 0
-CACHE = 500_000  # pieces in a generation of what a worker remembers
+FILE_BYTES = 8 << 20  # of a file; a longer record is a file of its own
+HEAD = 64  # characters of a text that part the rows of one id
+SALT = 256  # parts of rows whose ids and heads are equal
+CACHE = 700_000  # pieces that a worker remembers
 _HEAD = struct.Struct("<QI")
 _BODY = struct.Struct("<qBB")
 _CRC = struct.Struct("<I")
 _END = 10
-_PLAIN = re.compile(r"\n?\S+")
-_FIRST = re.compile(r"\S+")
-_TAIL = re.compile(r"(\n?[^\W\d_]+)([^\w\s]+)")
 
 
 def masked_crc(data: bytes) -> int:
@@ -97,11 +98,9 @@ def unpack(payload: memoryview) -> tuple[int | None, np.ndarray]:
 class Encoder:
     """A tokenizers file as text -> packed ids.
 
-    A byte-level tokenizer splits a text before every single space and on
-    both sides of a single newline, and merges nothing across, so the ids of
-    a text are those of its pieces, and each distinct piece is encoded once
-    and remembered (two generations of about ``CACHE`` pieces).
-    Texts with other or repeated white space or with a special token's
+    A byte-level tokenizer merges nothing across the places where ``pieces``
+    cuts, so the ids of a text are those of its pieces, and each distinct
+    piece is encoded once and remembered.  Texts that hold a special token's
     string, and other kinds of tokenizers, are encoded whole."""
 
     def __init__(self, path: str):
@@ -115,84 +114,37 @@ class Encoder:
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.type = "<u2" if self.width == 2 else "<u4"
-        self.known: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
-        self.tails: dict[str, bytes] = {}
-        newline = self.tok.encode("\n", add_special_tokens=False).ids
-        self.by_piece = self.by_piece and len(newline) == 1
-        self.newline = newline[0] if newline else None
+        level = ByteLevel(self.tok)
+        self.pieces = Pieces(lambda p: [level.learn(p)], [self.type], marks=True, most=CACHE)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         got = self.tok.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         return [np.array(e.ids, dtype=self.type).tobytes() for e in got]
 
-    def _apart(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece, from one text in which newlines, which are
-        never merged with what stands beside them, keep the pieces apart."""
-        if not pieces:
-            return []
-        ids = np.frombuffer(self.whole(["\n".join(pieces)])[0], dtype=self.type)
-        at = np.flatnonzero(ids == self.newline)
-        if len(at) != len(pieces) - 1:
-            return self.whole(pieces)
-        ends = np.append(at, len(ids))
-        starts = np.append(0, at + 1)
-        return [ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
-
-    def _recall(self, pieces: set[str]) -> set[str]:
-        """Moves pieces on from the older generation; returns those that are in neither."""
-        new = pieces.difference(self.known)
-        again = new & self.older.keys()
-        self.known.update((p, self.older[p]) for p in again)
-        return new - again
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Remembers pieces; one with other white space is remembered as None."""
-        self.known.update(dict.fromkeys(pieces))
-        plain = [p for p in pieces if _PLAIN.fullmatch(p)]
-        after_space = [p for p in plain if p[0] != "\n"]
-        after_line = [p for p in plain if p[0] == "\n"]
-        self.known.update(zip(after_space, self._apart([" " + p for p in after_space]), strict=True))
-        line = np.array([self.newline], dtype=self.type).tobytes()
-        self.known.update(zip(after_line, (line + x for x in self._apart([p[1:] for p in after_line])), strict=True))
-
-    def _look(self, pieces: set[str]) -> dict[str, bytes | None]:
-        """The memory, with all of ``pieces`` in it.  Letters followed by
-        punctuation are put together from both, as nothing is merged across."""
-        new = self._recall(pieces)
-        split = {p: m.groups() for p in new if (m := _TAIL.fullmatch(p))}
-        tails = list({t for _, t in split.values()}.difference(self.tails))
-        self.tails.update(zip(tails, self._apart(tails), strict=True))
-        self._learn(new.difference(split) | self._recall({c for c, _ in split.values()}))
-        self.known.update((p, self.known[c] + self.tails[t]) for p, (c, t) in split.items())
-        return self.known
-
     def batch(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
         if not self.by_piece:
             return self.whole(texts)
-        if len(self.known) > CACHE:
-            self.older, self.known = self.known, {}
-        if len(self.tails) > CACHE:
-            self.tails = {}
-        # a piece starts with its newline, or else stands for a space and what follows; the first has neither
-        cut = [t.replace("\n", " \n").split(" ") for t in texts]
-        heads = [c.pop(0) for c in cut]
-        get = self._look(set().union(*cut)).__getitem__
-        ready = [i for i, h in enumerate(heads) if _FIRST.fullmatch(h) and not any(s in texts[i] for s in self.added)]
-        out: list[bytes | None] = [None] * len(texts)
-        for i, head in zip(ready, self._apart([heads[i] for i in ready]), strict=True):
-            try:
-                out[i] = head + b"".join(map(get, cut[i]))
-            except TypeError:  # a piece with other white space
-                pass
-        rest = [i for i, o in enumerate(out) if o is None]
-        for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
-            out[i] = ids
+        special = [i for i, t in enumerate(texts) if any(s in t for s in self.added)]
+        plain = list(texts)
+        for i in special:
+            plain[i] = ""
+        data, ends = joined([t.encode() for t in plain])
+        out = [b""] * len(texts)
+        if len(data):
+            slots, begins = self.pieces.slots(data, ends)
+            ids, n = self.pieces.gather(slots)
+            per = np.add.reduceat(np.append(n, 0), np.append(np.searchsorted(begins, np.append(0, ends[:-1])), len(n)))[:-1]
+            per[np.diff(ends, prepend=0) == 0] = 0
+            at = (np.append(0, np.cumsum(per)) * self.width).tolist()
+            packed = memoryview(ids.tobytes())
+            out = [bytes(packed[a:b]) for a, b in zip(at, at[1:], strict=False)]
+        for i, ids_ in zip(special, self.whole([texts[i] for i in special]), strict=True):
+            out[i] = ids_
         return out
 
 
-def runs(texts: list[str], most: int = 1024, chars: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def runs(texts: list[str], most: int = 1024, chars: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts of a bounded size; a longer text is a run of its own."""
     start, size = 0, 0
     for i, t in enumerate(texts):
@@ -215,29 +167,40 @@ def write_records(docs: DataFrame, tokenizer: str, path: str | None = None, id_c
     """Writes the records of ``docs`` and their index; returns both paths.
 
     Null text counts as empty and gives the end id alone.  Null ids come
-    first.  Equal ids follow each other by text, repeated rows all stay.  An
-    empty table gives no records.  Other columns are ignored."""
+    first.  Rows with equal ids follow each other by text, repeated rows all stay;
+    however many rows share an id, they are dealt over the range partitions
+    (by the first ``HEAD`` characters, and by chance where these are equal).  A file holds at most ``per_file``
+    records and about ``FILE_BYTES`` bytes; a text of any length is one
+    record.  An empty table gives no records.  Other columns are ignored."""
     spark = docs.sparkSession
     ship_package(spark)
     path = path or scratch_path(spark, "records")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+                       F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int").alias("part"))
+    dealt = rows.withColumn("head", F.substring("text", 1, HEAD)).repartitionByRange("doc_id", "head", "part")
+    ordered = dealt.select("doc_id", "text").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
         enc = encoder(tokenizer)
         end = np.array([end_id], dtype=enc.type).tobytes()
+        last = bytes([_END])
+        held, size = [], 0
         for b in batches:
             ids, texts = b["doc_id"], list(b["text"])
             for a, z in runs(texts):
-                out = []
                 for doc_id, packed in zip(ids[a:z], enc.batch(texts[a:z]), strict=True):
-                    out.append(frame(pack(None if pd.isna(doc_id) else int(doc_id), enc.width, packed + end)))
-                yield pd.DataFrame({"record": out})
-
-    framed = ordered.mapInPandas(run, "record binary")
-    # the text writer puts a column's bytes as they are, each followed by the end byte
-    framed.select(F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", per_file).option(
-        "lineSep", chr(_END)).text(f"{path}/data")
+                    record = frame(pack(None if pd.isna(doc_id) else int(doc_id), enc.width, packed + end))
+                    if held and (len(held) >= per_file or size + len(record) > FILE_BYTES):
+                        yield pd.DataFrame({"file": [last.join(held)]})
+                        held, size = [], 0
+                    held.append(record)
+                    size += len(record) + 1
+        if held:
+            yield pd.DataFrame({"file": [last.join(held)]})
+
+    # a row is a file: the text writer puts its bytes as they are, followed by the last record's end byte
+    ordered.mapInPandas(run, "file binary").select(F.col("file").cast("string").alias("value")).write.option(
+        "maxRecordsPerFile", 1).option("lineSep", chr(_END)).text(f"{path}/data")
 
     index_records(spark, path)
     return f"{path}/data", f"{path}/index"

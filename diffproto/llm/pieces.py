@@ -9,6 +9,7 @@ are encoded, and known ones are looked up in a memory of bounded size.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Sequence
 
@@ -113,13 +114,16 @@ class Pieces:
         bounds = np.append(begins, len(data)).astype(np.int32)
         found = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
         words = found.dictionary.to_pylist()
-        new = [w for w in words if w not in self.slot]
-        if len(self.slot) + len(new) > self.most and self.slot:
+        known = np.array([self.slot.get(w, -1) for w in words], dtype=np.int64)
+        missing = np.flatnonzero(known < 0)
+        if len(self.slot) + len(missing) > self.most and self.slot:
             self._forget()
-            new = [w for w in words if w not in self.slot]
-        if new:
+            known = np.array([self.slot.get(w, -1) for w in words], dtype=np.int64)
+            missing = np.flatnonzero(known < 0)
+        if len(missing):
+            known[missing] = len(self.slot) + np.arange(len(missing))
+            new = [words[i] for i in missing]
             self._store(new, self.learn(new))
-        known = np.fromiter(map(self.slot.__getitem__, words), dtype=np.int64, count=len(words))
         self.uses[known] += 1
         return known[found.indices.to_numpy()], begins
 
@@ -138,12 +142,37 @@ _PLAIN = re.compile(rb"[ \n]?[^ \t\n\x0b\x0c\r]+")
 _HAS_WIDE = re.compile(b"|".join(chr(c).encode() for c in WIDE_SPACE))
 
 
+# Letters from U+0041 to U+027F, after one blank or none: one word of the pattern, whatever its version.
+_LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc9][\x80-\xbf])+")
+
+
+def byte_signs() -> dict[int, str]:
+    """A byte-level vocabulary's sign for each byte: printable Latin-1 stands
+    for itself, the other bytes for the code points from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class ByteLevel:
     """A byte-level tokenizers file, its pieces encoded many at a time: a
-    newline is never merged with what stands beside it, so it keeps them apart."""
+    newline is never merged with what stands beside it, so it keeps them
+    apart.  Words of letters skip the pattern: they are handed over as the
+    model's signs, cut at white space."""
 
     def __init__(self, tokenizer):
         self.tok = tokenizer
+        spec = json.loads(tokenizer.to_str())
+        model = spec["model"]
+        self.words = None
+        if (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec.get("normalizer") and model.get("type") == "BPE" and not any(
+                model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+            spec |= {"pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "post_processor": None, "truncation": None, "padding": None}
+            self.words = type(tokenizer).from_str(json.dumps(spec))
+            self.signs = {b: c for b, c in byte_signs().items() if b != 10}
+            self.size = np.zeros(max(tokenizer.get_vocab().values()) + 1, dtype=np.int64)
+            for entry, i in tokenizer.get_vocab().items():
+                self.size[i] = len(entry)
         newline = tokenizer.encode("\n", add_special_tokens=False).ids
         self.newline = newline[0] if len(newline) == 1 else None
 
@@ -153,6 +182,26 @@ class ByteLevel:
         return np.fromiter((i for g in got for i in g), dtype=np.int32, count=int(n.sum())), n
 
     def learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces' ids one after the other, and how many each has."""
+        if self.words is None:
+            return self._learn(pieces)
+        letters = np.fromiter((_LETTERS.fullmatch(p) is not None for p in pieces), dtype=bool, count=len(pieces))
+        if not letters.any():
+            return self._learn(pieces)
+        text = b"\n".join([p for p, ok in zip(pieces, letters, strict=True) if ok])
+        # line ends stay; every other byte becomes its sign
+        got = self.words.encode_batch_fast([text.decode("latin-1").translate(self.signs)], add_special_tokens=False)[0]
+        easy = np.array(got.ids, dtype=np.int32)
+        # an entry has a sign for each of its bytes
+        sizes = np.array([len(p) for p, ok in zip(pieces, letters, strict=True) if ok])
+        n_easy = np.diff(np.searchsorted(np.cumsum(self.size[easy]), np.cumsum(sizes), side="right"), prepend=0)
+        rest, n_rest = self._learn([p for p, ok in zip(pieces, letters, strict=True) if not ok])
+        counts, begin = np.zeros(len(pieces), dtype=np.int64), np.zeros(len(pieces), dtype=np.int64)
+        counts[letters], counts[~letters] = n_easy, n_rest
+        begin[letters], begin[~letters] = np.cumsum(n_easy) - n_easy, len(easy) + np.cumsum(n_rest) - n_rest
+        return np.concatenate([easy, rest])[ragged(begin, counts)], counts.astype(np.int32)
+
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if self.newline is None:
             return self.whole([p.decode() for p in pieces])
         plain = np.fromiter((_PLAIN.fullmatch(p) is not None and _HAS_WIDE.search(p) is None for p in pieces), dtype=bool, count=len(pieces))

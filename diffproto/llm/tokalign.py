@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship_package
 from .common import read, stored
-from .pieces import ByteLevel, Pieces, joined, ragged
+from .pieces import ByteLevel, Pieces, byte_signs, joined, ragged
 
 WORK = 1 << 16  # ends merged in a piece
 HEAVY = 200_000  # pairs that are broadcast
@@ -130,11 +130,8 @@ def _distinct(keys: np.ndarray, times: np.ndarray | None = None) -> tuple[np.nda
 # ---------------------------------------------------------------- tokenizers
 
 def byte_level_bytes(tokens: list[str]) -> list[bytes]:
-    """A byte-level vocabulary's entries as bytes: printable Latin-1 stands
-    for itself, the other bytes for the code points from 256 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(own)]
-    byte = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+    """A byte-level vocabulary's entries as bytes."""
+    byte = {c: b for b, c in byte_signs().items()}
     return [bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t in tokens]
 
 

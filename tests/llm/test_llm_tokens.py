@@ -134,3 +134,40 @@ def test_pieces_equal_whole_texts(tok):
             got = np.split(ids, np.cumsum(per)[:-1])
             for t, g in zip(part, got, strict=True):
                 assert g.tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_one_id_on_many_rows_is_dealt_out(spark):
+    """A third of the rows without an id, many of them equal, lie in several partitions."""
+    from pyspark.sql import functions as F
+
+    from diffproto.llm import binary_records
+
+    rows = [(None if i % 3 == 0 else i, "same text" if i % 6 == 0 else f"text {i} " + "word " * (i % 40)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    data, _ = binary_records.write_records(df, binary_records.default_tokenizer())
+    got = binary_records.read_records(spark, data.removesuffix("/data"))
+    per = [r["count"] for r in got.filter("doc_id IS NULL").groupBy(F.substring("file", 1, 10).alias("part")).count().collect()]
+    assert got.count() == 3000 and sum(per) == 1000 and len(per) > 1
+    at = 0
+    for r in got.orderBy("start").collect():
+        assert r["start"] == at
+        at += r["n_tokens"]
+    enc = binary_records.Encoder(binary_records.default_tokenizer())
+    assert enc.batch(["", "a b", "<|endoftext|> x", ""]) == enc.whole(["", "a b", "<|endoftext|> x", ""])
+
+
+def test_files_roll_by_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from diffproto.llm import binary_records
+
+    # two texts of about 5 MB of ids each do not share a file of 8 MB
+    df = spark.range(4).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2, F.repeat(F.lit("zq "), 900_000)).otherwise(F.lit("short")).alias("text"))
+    data, index = binary_records.write_records(df.coalesce(1), binary_records.default_tokenizer())
+    got = binary_records.read_records(spark, data.removesuffix("/data")).orderBy("doc_id").collect()
+    big = [r for r in got if r["doc_id"] < 2]
+    assert len(got) == 4 and sum(r["length"] for r in big) > binary_records.FILE_BYTES // 2
+    per = {}
+    for r in got:
+        per[r["file"]] = per.get(r["file"], 0) + r["length"]
+    assert all(v <= binary_records.FILE_BYTES + 8 or sum(r["file"] == f for r in got) == 1 for f, v in per.items())
