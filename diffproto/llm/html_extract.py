@@ -40,6 +40,14 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math nobr q "
     "rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr".split()
 )
+#: Elements that end a line of text.  Anything else, known or not, stands within a block.
+BLOCKS = frozenset(
+    "html head body address article aside blockquote center details dialog dir div dl dt dd fieldset figcaption figure footer form "
+    "frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li listing main menu nav ol p plaintext pre search section summary table "
+    "caption colgroup thead tbody tfoot tr td th title ul xmp".split()
+)
+#: Start tags that end an open paragraph.
+ENDS_P = BLOCKS - frozenset("html head body frameset legend caption colgroup thead tbody tfoot tr td th title".split())
 #: A start tag of these closes an open element of the listed kinds, up to the nearest of the barriers.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -50,7 +58,7 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select", "datalist"}),
 }
-P_BARRIER = frozenset("table td th caption button object template html".split())
+P_BARRIER = frozenset("applet table td th caption button marquee object template html foreignobject desc".split())
 
 #: Elements that are never part of an article.
 DROP_TAGS = frozenset(
@@ -113,6 +121,8 @@ def _dropped(tag: str, attrs: str, in_article: bool) -> int:
             return _GONE
         if name == "role" and value.lower() in DROP_ROLES:
             return _GONE
+        if name == "id" and in_article and (tag == "p" or _HEADING.fullmatch(tag)):
+            continue  # a place to link to
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
             part = DROP_WORDS - _INSIDE_ARTICLE if in_article else DROP_WORDS
             for token in value.split():
@@ -146,6 +156,13 @@ class _Page:
         """Takes out the blocks of elements that go by a word or as a form.
         One that holds the page's only <article> or <main>, or most of the
         content nodes' text, stays, and those in it are looked at in turn."""
+        texts = _held(self, list(range(len(self.blocks))))
+        held = _held(self, content_nodes(self))
+        prose = _held(self, [i for i in content_nodes(self, own=True) if not self.links[i]])
+        for el in range(1, len(self.tag)):
+            # beside other words, a word says nothing of a part of the article that its path ratios keep
+            if self.level[el] == _WORDED and self.art[el] and 2 * prose.get(el, 0) >= texts.get(el, 0) > 0:
+                self.level[el] = _STAYS
         over = [0] * len(self.tag)  # the nearest such element, itself included
         above: dict[int, int] = {}
         within: dict[int, list[int]] = {}
@@ -155,8 +172,6 @@ class _Page:
                 above[el] = over[el]
                 within.setdefault(over[el], []).append(el)
                 over[el] = el
-        texts = _held(self, list(range(len(self.blocks))))
-        held = _held(self, content_nodes(self))
         articles = {over[el] for el in range(1, len(self.tag)) if self.tag[el] in ("article", "main") and texts.get(el)}
         holds = set()
         for el in articles:
@@ -187,7 +202,7 @@ class _Page:
             text = " ".join("".join(self._buffer).split())
             self._buffer = []
             if text:
-                top = next((i for i in reversed(self._stack) if self.tag[i] not in INLINE), 0)
+                top = next((i for i in reversed(self._stack) if self.tag[i] in BLOCKS), 0)
                 self.blocks.append((top, text))
                 self.links.append(not self._plain)
         self._plain = False
@@ -196,7 +211,7 @@ class _Page:
         """Is the text at this place in an <a> of its own block?"""
         if self._count.get("a"):
             for i in reversed(self._stack):
-                if self.tag[i] not in INLINE:
+                if self.tag[i] in BLOCKS:
                     return False
                 if self.tag[i] == "a":
                     return True
@@ -207,7 +222,7 @@ class _Page:
         art = self.art[up] or tag in ("article", "main")
         level = _GONE if self.gone[up] else _dropped(tag, attrs, art)
         gone = level == _GONE
-        if gone and not self.gone[up] and tag not in INLINE:
+        if gone and not self.gone[up] and tag in BLOCKS:
             self._flush()
         self.parent.append(up)
         self.tag.append(tag)
@@ -225,12 +240,14 @@ class _Page:
 
     def _close_open(self, kinds, barrier) -> None:
         for k in range(len(self._stack) - 1, 0, -1):
-            t = self.tag[self._stack[k]]
+            el = self._stack[k]
+            t = self.tag[el]
             if t in kinds:
                 while len(self._stack) > k:
                     self._pop()
                 return
-            if t in barrier:
+            # what is inside an element that goes does not end what is around it
+            if t in barrier or self.gone[el] and not self.gone[self.parent[el]]:
                 return
 
     def _parse(self, text: str) -> None:
@@ -249,7 +266,7 @@ class _Page:
             if not tag:
                 continue
             if m["end"] or m["end2"]:
-                if tag not in INLINE:
+                if tag in BLOCKS and not self.gone[self._stack[-1]]:
                     self._flush()
                 if self._count.get(tag):
                     while self._pop() != tag:
@@ -259,12 +276,12 @@ class _Page:
             if tag == "br":
                 self._buffer.append(" ")
                 continue
-            if tag not in INLINE:
+            if tag in BLOCKS and not self.gone[self._stack[-1]]:
                 self._flush()
-                if tag in CLOSES:
-                    self._close_open(*CLOSES[tag])
-                if self._count.get("p"):
-                    self._close_open({"p"}, P_BARRIER)
+            if tag in CLOSES:
+                self._close_open(*CLOSES[tag])
+            if tag in ENDS_P and self._count.get("p"):
+                self._close_open({"p"}, P_BARRIER)
             if tag in RAW:
                 close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(text, at)
                 at = close.end() if close else n
@@ -275,8 +292,9 @@ class _Page:
         self._flush()
 
 
-def content_nodes(page: _Page) -> list[int]:
-    """The numbers of the blocks over the cut."""
+def content_nodes(page: _Page, own: bool = False) -> list[int]:
+    """The numbers of the blocks over the cut; ``own``: of those whose path is
+    over it without its neighbours' help, too."""
     blocks = page.blocks
     if not blocks:
         return []
@@ -296,7 +314,7 @@ def content_nodes(page: _Page) -> list[int]:
         smooth.append(sum(a * b for a, b in zip(ks, raw[lo:hi], strict=True)) / sum(ks))
     mean = sum(smooth) / len(smooth)
     cut = CUT * math.sqrt(sum((s - mean) ** 2 for s in smooth) / len(smooth))
-    return [i for i, s in enumerate(smooth) if s >= cut]
+    return [i for i, s in enumerate(smooth) if s >= cut and not (own and raw[i] < cut)]
 
 
 def content(page: _Page) -> list[str]:
@@ -307,17 +325,21 @@ def content(page: _Page) -> list[str]:
     while up > 0 and page.tag[up] not in ("article", "main"):
         up = page.parent[up]
     marked = up > 0
-    # the Gaussian lifts a menu beside the article over the cut
-    root = up if marked else _deepest(page, [i for i in nodes if not page.links[i]], 1)
+    # the Gaussian lifts a menu or a line beside the article over the cut
+    own = [] if marked else [i for i in content_nodes(page, own=True) if not page.links[i]]
+    root = up if marked else _deepest(page, own, 1)
     inside = [False] * len(page.tag)
     for el in range(len(page.tag)):
         inside[el] = el == root or (el > 0 and inside[page.parent[el]])
+    paths = {page.path[blocks[i][0]] for i in own}
     heads = [el for el, _ in blocks if _HEADING.fullmatch(page.tag[el])]
     if marked:
         heads = [el for el in heads if page.tag[el] == "h1"]
         heads = heads if len(heads) == 1 else []
     keep = set(heads)
-    return [text for (el, text), link in zip(blocks, page.links, strict=True) if inside[el] or el in keep or not (marked or link)]
+    # outside the root, on a page that marks no article, blocks stay whose path is a content path
+    return [text for (el, text), link in zip(blocks, page.links, strict=True)
+            if inside[el] or el in keep or not (marked or link) and page.path[el] in paths]
 
 
 def _held(page: _Page, nodes: list[int]) -> dict[int, int]:
