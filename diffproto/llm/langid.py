@@ -24,13 +24,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.broadcast import bounded_broadcast
 from ..session import ship_package
-from .common import read
+from .common import read, stored
 
 SPECTRUM = 3
 BUCKETS = 1 << 15
 MAX_TRAIN = 1600
-MAX_LANGS = 200
 LANDMARKS = 200
 RIDGE = 1e-2
 UNDETERMINED = "und"
@@ -99,7 +99,6 @@ class Model:
     column: np.ndarray  # bucket -> column of the landmarks' n-grams
     landmarks: np.ndarray  # columns x landmarks, each over the root of its count
     weights: np.ndarray  # landmarks x languages
-    partial: bool = False  # are there labels that it was not fitted on, beyond MAX_LANGS?
 
     def kernel(self, x: np.ndarray) -> np.ndarray:
         norm = np.sqrt(np.maximum(1.0, x.sum(axis=1, dtype=np.float64))).astype(np.float32)
@@ -152,24 +151,24 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", max_train: int = MAX_TRAIN) -> Model:
     """Fits on rows with a language, a text with letters, and an id that is not
-    held out.  Of more than ``MAX_LANGS`` languages it learns the most
-    frequent ones (ties by name), and the model is ``partial``."""
-    ship_package(docs.sparkSession)
+    held out: about ``max_train`` of them, spread evenly over the languages, and
+    two at least of each, however many there are.  The landmarks bound the
+    model; a language costs it one column of weights."""
+    spark = docs.sparkSession
+    ship_package(spark)
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(id_col))).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"),
         (F.pmod(F.xxhash64(F.col(id_col), F.length(text)), F.lit(1 << 30)) / (1 << 30)).alias("h"),
     )
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS + 1).collect()
-    partial, counts = len(counts) > MAX_LANGS, sorted(counts[:MAX_LANGS])
-    if not counts:
+    counts = stored(rows.groupBy(F.col("lang").alias("__l")).agg(F.count(F.lit(1)).alias("__n")), "lang-counts")
+    n_langs = counts.count()
+    if not n_langs:
         return fit_bits(np.zeros((0, BUCKETS), dtype=np.uint8), [])
-    each = max(2, max_train // len(counts))
+    each = max(2, max_train // n_langs)
     # a hash threshold thins the rows in the scan; what is left is ranked, a few times the quota
-    keep = F.lit(False)
-    for r in counts:
-        keep = keep | ((F.col("lang") == r["lang"]) & (F.col("h") < 3.0 * each / r["count"]))
+    known = rows.join(bounded_broadcast(counts, n_langs, 128), F.col("lang") == F.col("__l"))
     top = Window.partitionBy("lang").orderBy("h", "text")
-    sample = rows.filter(keep).withColumn("i", F.row_number().over(top)).filter(F.col("i") <= each)
+    sample = known.filter(F.col("h") < 3.0 * each / F.col("__n")).withColumn("i", F.row_number().over(top)).filter(F.col("i") <= each)
 
     def bits(batches):
         every = np.arange(BUCKETS)
@@ -183,9 +182,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
 
     got = sorted(sample.select("lang", "text").mapInPandas(bits, "lang string, bits binary").collect(), key=lambda r: (r["lang"], r["bits"]))
     x = np.array([np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8)) for r in got], dtype=np.uint8).reshape(-1, BUCKETS)
-    model = fit_bits(x, [r["lang"] for r in got])
-    model.partial = partial
-    return model
+    return fit_bits(x, [r["lang"] for r in got])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -210,9 +207,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "lang
 def accepted(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", min_score: float = MIN_SCORE) -> DataFrame:
     """``docs`` without the texts that are in no language: null texts, texts
     without a letter, and those that the classifier scores below
-    ``min_score`` for every language.  With no label to learn from, or with
-    labels that the model does not know, a score rejects nothing, and every
-    text with a letter stays."""
+    ``min_score`` for every language.  With no label to learn from, a score
+    rejects nothing, and every text with a letter stays."""
     ship_package(docs.sparkSession)
     model = fit(docs, id_col=id_col, text=text, lang=lang)
     if not model.langs:
@@ -222,8 +218,7 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
 
         return docs.filter(lettered(F.col(text)))
     told = identify(docs, model, text=text, out="__lang", score="__score")
-    sure = F.lit(True) if model.partial else F.col("__score") >= min_score
-    return told.filter((F.col("__lang") != UNDETERMINED) & sure).select(*docs.columns)
+    return told.filter((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= min_score)).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,7 +141,7 @@ def test_language_id_edge_cases(spark):
     assert {r["lang_pred"] for r in langid.identify(df, nothing).collect()} == {"und"}
 
 
-def test_language_stage_without_labels_and_with_many(spark, monkeypatch):
+def test_language_stage_without_labels_and_with_many(spark):
     import corpus_pipeline as C
 
     en, fr, de = "the cat and the dog went with this", "le chat est avec les chiens dans une école", "der Hund ist mit den Katzen"
@@ -153,8 +153,41 @@ def test_language_stage_without_labels_and_with_many(spark, monkeypatch):
     model = langid.fit(df)
     scores = sorted(r["score"] for r in langid.identify(df, model).filter("doc_id < 60").collect())
     assert langid.accepted(df, min_score=scores[30]).count() == sum(x >= scores[30] for x in scores)
-    monkeypatch.setattr(langid, "MAX_LANGS", 2)
-    assert len(langid.fit(df).langs) == 2 and kept(df) == list(range(60))
+    # every label is learned, however many there are, and the score rule holds
+    many = spark.createDataFrame([(i, (en, fr, de)[i % 3] + f" {i}" + f" word{i % 300}x" * 9, f"l{i % 300:03d}") for i in range(2400)], df.schema)
+    model = langid.fit(many)
+    assert model.langs == sorted({f"l{k:03d}" for k in range(300)}) and model.weights.shape == (langid.LANDMARKS, 300)
+    scores = [r["score"] for r in langid.identify(many, model).collect()]
+    assert langid.accepted(many, min_score=0.3).count() == sum(x >= 0.3 for x in scores)
+
+
+def test_predictions_equal_dense_kernel_ridge(spark, monkeypatch):
+    """With every training text a landmark, the model is kernel ridge regression on the whole kernel matrix."""
+    rnd = random.Random(3)
+    word = lambda a: "".join(rnd.choice(a) for _ in range(rnd.randrange(2, 7)))
+    texts = [" ".join(word(a) for _ in range(rnd.randrange(3, 30))) for a in ("abcde", "cdefg", "efghia") for _ in range(40)]
+    rows = [(i, t, "xyz"[i // 40]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid.fit_bits, "__defaults__", (10_000, langid.RIDGE))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(df, langid.fit(df)).collect()}
+    learned = {r["doc_id"] for r in df.filter(~langid.held_out(langid.F.col("doc_id"))).collect()}
+
+    def grams(t):
+        p = langid._points(t)
+        return {b for n in range(1, langid.SPECTRUM + 1) for b in langid.grams(p, n).tolist()}
+
+    sets = [grams(t) for _, t, _ in rows]
+    fit = [i for i, _, _ in rows if i in learned]
+    seen = set().union(*[sets[i] for i in fit])
+    sets = [s & seen for s in sets]  # n-grams of no landmark have no column
+    k = np.array([[len(a & sets[j]) / np.sqrt(max(1, len(a)) * max(1, len(sets[j]))) for j in fit] for a in sets])
+    y = np.array([[1.0 if rows[j][2] == c else -1.0 for c in "xyz"] for j in fit])
+    f = k @ np.linalg.solve(k[fit] + langid.RIDGE * len(fit) / 100 * np.eye(len(fit)), y)
+    assert 60 < len(fit) < 120
+    for i, _, _ in rows:
+        assert got[i][1] == pytest.approx(min(1, max(0, (f[i].max() + 1) / 2)), abs=2e-3)
+        top = np.sort(f[i])
+        assert top[-1] - top[-2] < 1e-2 or got[i][0] == "xyz"[f[i].argmax()]
 
 
 def test_kernel_is_the_normalised_count_of_shared_grams():
