@@ -85,15 +85,19 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", source: str = "source",
     # how many sources there are is known only from the data: ask for one row over the bound
     few = sized.select(source).distinct().limit(max_sources + 1).count() <= max_sources
     side = bounded_broadcast(per, max_sources, 256) if few else per
+    # the caller's columns may have any name but the added ones
+    side = side.select("__s", "source_size", "target", F.col("rate").alias("__rate"))
     joined = sized.join(side, F.col(source).eqNullSafe(F.col("__s")), "left")
-    extra = (draw(F.col(id_col), F.col(text), seed) < F.col("rate") - F.floor("rate")).cast("long")
-    return joined.withColumn("copies", F.floor("rate").cast("long") + extra).drop("__s", "weight", "rate")
+    extra = (draw(F.col(id_col), F.col(text), seed) < F.col("__rate") - F.floor("__rate")).cast("long")
+    return joined.withColumn("copies", F.floor("__rate").cast("long") + extra).drop("__s", "__rate")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is taken."""
-    counted = mix_counts(docs, **options)
-    return counted.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as it is taken, with
+    all their columns as they are, whatever their names."""
+    whole = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
+    counted = mix_counts(whole, **options).filter("copies > 0")
+    return counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
