@@ -80,7 +80,7 @@ def _masks(key: Column) -> list[Column]:
 
 def blocked_bloom(listed: DataFrame, key: str, n_blocks: int) -> DataFrame:
     """(block, w0..w7): the filter of ``listed.key``; blocks without keys have no row."""
-    aggs = [F.bit_or(m).alias(f"w{i}") for i, m in enumerate(_masks(F.col(key)))]
+    aggs = [F.bit_or(m).alias(f"__w{i}") for i, m in enumerate(_masks(F.col(key)))]
     return listed.groupBy(_block(F.col(key), n_blocks).alias("__block")).agg(*aggs)
 
 
@@ -93,7 +93,7 @@ def possible(df: DataFrame, key: str, keys: DataFrame, keys_key: str, n_blocks:
         bloom = F.broadcast(bloom)
     hit = F.lit(True)
     for i, m in enumerate(_masks(F.col(key))):
-        hit = hit & (F.col(f"w{i}").bitwiseAND(m) == m)
+        hit = hit & (F.col(f"__w{i}").bitwiseAND(m) == m)
     probe = df.withColumn("__b", _block(F.col(key), n_blocks))
     return probe.join(bloom, F.col("__b") == F.col("__block")).filter(hit).select(*df.columns)
 
@@ -113,9 +113,9 @@ def listed_urls(df: DataFrame, key: Column, listed: DataFrame, listed_key: str =
     joined = probe.join(F.broadcast(bloom) if small else bloom, F.col("__b") == F.col("__block"), "left")
     hit = F.lit(True)
     for i, m in enumerate(_masks(F.col("__k"))):
-        hit = hit & (F.col(f"w{i}").bitwiseAND(m) == m)
+        hit = hit & (F.col(f"__w{i}").bitwiseAND(m) == m)
     joined = joined.withColumn("__maybe", F.col("__k").isNotNull() & F.coalesce(hit, F.lit(False)))
-    joined = joined.drop("__b", "__block", *[f"w{i}" for i in range(WORDS)])
+    joined = joined.drop("__b", "__block", *[f"__w{i}" for i in range(WORDS)])
     # only possible hits reach the exact join; the others never move
     sure = joined.filter(~F.col("__maybe")).withColumn("listed", F.lit(False))
     exact = joined.filter("__maybe").join(keys, F.col("__k") == F.col("__key"), "left").withColumn(
