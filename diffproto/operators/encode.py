@@ -253,12 +253,11 @@ class LookupPoolEncoder:
     so a 20,000-word text costs one row per distinct token bucket.
     """
 
-    def __init__(self, vocab: DataFrame, vocab_size: int, mode: str = "mean", name: str | None = None):
+    def __init__(self, vocab: DataFrame, vocab_size: int, name: str = "lookup"):
         self.vocab = vocab
         # an int, or a Column such as a scalar subquery counting the vocabulary
         self.vocab_size = vocab_size if isinstance(vocab_size, Column) else int(vocab_size)
-        self.mode = mode
-        self.name = name or f"lookup-{mode}"
+        self.name = name
 
     def encode_all(self, texts: DataFrame, key_col: str, text_col: str) -> DataFrame:
         """``(key, mean, max, cls)``: all three poolings from one tokenisation,
@@ -284,11 +283,6 @@ class LookupPoolEncoder:
                 .filter(F.col("pos").isNotNull())
                 .select(key_col, "pos", F.pmod(F.col("_h"), F.lit(self.vocab_size)).alias("vocab_id")))
 
-    def encode_texts(self, texts: DataFrame, key_col: str, text_col: str) -> DataFrame:
-        toks = self._tokens(texts, key_col, text_col)
-        if self.mode == "cls":
-            first = toks.groupBy(key_col).agg(F.min_by("vocab_id", "pos").alias("vocab_id"))
-            return first.join(self.vocab, "vocab_id").select(key_col, F.col("vec"))
-        counts = toks.groupBy(key_col, "vocab_id").agg(F.count(F.lit(1)).alias("n"))
-        tv = counts.join(self.vocab, "vocab_id")
-        return pool_tokens(tv, [key_col], "vec", mode=self.mode, weight_col="n" if self.mode == "mean" else None)
+    def token_vectors(self, texts: DataFrame, key_col: str, text_col: str) -> DataFrame:
+        """``(key, pos, vec)``: the vector of every token, for ``pool_tokens``."""
+        return skew_join(self._tokens(texts, key_col, text_col), self.vocab, "vocab_id", [key_col, "pos"]).select(key_col, "pos", "vec")

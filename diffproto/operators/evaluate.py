@@ -150,19 +150,3 @@ def cell_metrics(conf_long: DataFrame, group_cols: Sequence[str],
 def split_counts(df: DataFrame, split_col: str = "split", label_col: str = "label",
                  group_cols: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*group_cols, split_col, label_col).agg(F.count(F.lit(1)).alias("n"))
-
-
-def error_rows(scored: DataFrame, correct: bool, index_col: str = "dataset_index") -> DataFrame:
-    """Rows the classifier got wrong (``correct=False``) or right, with the
-    reference's five columns.
-
-    A plain ``filter`` on the prediction would be pushed below the projection
-    that computes it, with the whole prediction (encoding + scoring) inlined,
-    so every row would be scored twice.  The rows are instead emitted by an
-    outer generator and filtered on its output, which Catalyst cannot push
-    further down: the prediction is computed once."""
-    row = F.struct(F.col(index_col).alias("dataset_index"), "claim", "evidence", "y_truth", "y_pred",
-                   F.lit(True).alias("_keep"))
-    same = lambda r: r["y_truth"] == r["y_pred"]
-    kept = F.filter(F.array(row), same if correct else (lambda r: ~same(r)))
-    return scored.select(F.inline_outer(kept)).filter(F.col("_keep")).drop("_keep")

@@ -611,6 +611,7 @@ pcls AS (SELECT f.text_key, 'cls' AS mode, v.vec FROM (
   JOIN vocab v ON v.vocab_id = f.vocab_id),
 pooled AS (SELECT * FROM pmean UNION ALL SELECT * FROM pmax UNION ALL SELECT * FROM pcls)""") + f"""
 SELECT text_key, mode, round(list_sum(vec), 4) AS vec_sum, round({vnorm('vec')}, 4) AS vec_norm FROM pooled"""
+    q["pool_token_vectors"] = q["pool_tokens"]
     # ---------------- prototypes
     q["prototypes"] = with_(VEC_PAIRS, split_ctes("fpairs", RG.SEED, RG.M), proto_ctes()) + """
 SELECT label, n, (generate_subscripts(centroid, 1) - 1)::INTEGER AS pos, round(unnest(centroid), 4) AS value FROM protos"""
@@ -677,6 +678,16 @@ sims AS MATERIALIZED (
     # ---------------- evaluation
     q["accuracy"] = flagship() + "SELECT round(avg((truth = pred)::INTEGER::DOUBLE), 4) AS accuracy, count(*) AS n FROM scored"
     q["confusion"] = flagship() + "SELECT y_truth, y_pred, n FROM conf"
+    q["confusion_wide"] = flagship() + "SELECT y_truth, " + ", ".join(
+        f"sum(CASE WHEN y_pred = '{c}' THEN n ELSE 0 END)::BIGINT AS {c}" for c in "snc") + " FROM conf GROUP BY y_truth"
+    cap = " ".join(f"WHEN {k} THEN {v}" for k, v in RG.SMALL_CAPS.items())
+    q["experiment_capped"] = with_(VEC_PAIRS, split_ctes("fpairs", RG.SEED, RG.M), proto_ctes(), packed_cte(), f"""
+pool AS (SELECT * FROM dev WHERE rank <= (CASE label {cap} END)),
+offs AS (
+  SELECT label, coalesce(sum(n) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+  FROM (SELECT label, count(*) AS n FROM pool GROUP BY label)
+)""") + f"""SELECT d.claim_id, d.set_pos, (o.off + d.rank - {RG.M} - 1)::BIGINT AS dataset_index, d.label AS truth,
+        {argmax_label('d.diff', 'k.ps')} AS pred FROM pool d JOIN offs o ON o.label = d.label CROSS JOIN packed k"""
     q["f1_per_class"] = flagship() + """SELECT label, round(precision, 4) AS precision, round(recall, 4) AS recall,
         round(f1, 4) AS f1, support::BIGINT AS support FROM per"""
     q["f1_macro"] = flagship() + "SELECT round(avg(f1), 4) AS f1_macro FROM per WHERE support > 0 OR predicted > 0"

@@ -17,7 +17,7 @@ from ..functions import vectors as V
 from ..functions.labels import CLAIM_LABELS, decode_binary, decode_three, encode_label, label_to_binary
 from ..functions.text import clean_brackets, merge_sentences, normalize_claim, normalize_evidence
 from ..operators import evaluate, sampling, summary
-from ..operators.encode import EncodingStore, HashingEncoder, LookupPoolEncoder, PandasEncoder
+from ..operators.encode import POOL_MODES, EncodingStore, HashingEncoder, LookupPoolEncoder, PandasEncoder, pool_tokens
 from ..operators.prototypes import predict, prototypes
 from ..sources import claims as C
 from ..sources import runlogs
@@ -300,20 +300,38 @@ def q_encode_hashing(spark, sf):
                     _r(V.dot("claim_vec", "evidence_vec")).alias("dot"))
 
 
-def q_pool_tokens(spark, sf):
-    """Claims of text_pairs: tokens hashed into the embeddings table used as a
-    vocabulary (size = its row count), pooled by mean, max and first token."""
+def lookup_encoder(spark, sf) -> LookupPoolEncoder:
+    """Tokens hashed into the embeddings table used as a vocabulary (size = its row count)."""
     emb = TB.table(spark, sf, "embeddings")
     vocab = emb.select(F.col("vec_id").alias("vocab_id"), V.as_double("embedding").alias("vec"))
-    size = emb.agg(F.count(F.lit(1))).scalar()
-    texts = TB.text_pairs(spark, sf).select(
+    return LookupPoolEncoder(vocab, emb.agg(F.count(F.lit(1))).scalar())
+
+
+def claim_texts(spark, sf) -> DataFrame:
+    return TB.text_pairs(spark, sf).select(
         F.concat_ws(":", F.col("claim_id").cast("string"), F.col("set_pos").cast("string")).alias("text_key"),
         F.col("claim").alias("text"))
-    pooled = LookupPoolEncoder(vocab, size).encode_all(texts, "text_key", "text")
-    modes = F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("vec")) for m in ("mean", "max", "cls")])
-    return pooled.select("text_key", F.inline(modes)).select(
-        "text_key", "mode", _r(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)).alias("vec_sum"),
-        _r(V.norm("vec")).alias("vec_norm"))
+
+
+def _pooled_digest(pooled: DataFrame) -> DataFrame:
+    return pooled.select("text_key", "mode", _r(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)).alias("vec_sum"),
+                         _r(V.norm("vec")).alias("vec_norm"))
+
+
+def q_pool_tokens(spark, sf):
+    """Claims pooled by mean, max and first token, from counts of tokens."""
+    pooled = lookup_encoder(spark, sf).encode_all(claim_texts(spark, sf), "text_key", "text")
+    modes = F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("vec")) for m in POOL_MODES])
+    return _pooled_digest(pooled.select("text_key", F.inline(modes)))
+
+
+def q_pool_token_vectors(spark, sf):
+    """The same poolings of a table of token vectors, one at a time."""
+    vecs, out = lookup_encoder(spark, sf).token_vectors(claim_texts(spark, sf), "text_key", "text"), None
+    for mode in POOL_MODES:
+        p = pool_tokens(vecs, ["text_key"], mode=mode).select("text_key", F.lit(mode).alias("mode"), "vec")
+        out = p if out is None else out.unionByName(p)
+    return _pooled_digest(out)
 
 
 # ---------------------------------------------------------------- prototypes
@@ -393,6 +411,20 @@ def q_confusion(spark, sf):
     return flagship_confusion(spark, sf)
 
 
+def q_confusion_wide(spark, sf):
+    return evaluate.confusion_matrix(flagship_confusion(spark, sf))
+
+
+#: Caps of the capped experiment: a tenth of the reference's, so that they bind.
+SMALL_CAPS = {0: 333, 1: 166, 2: 167}
+
+
+def q_experiment_capped(spark, sf):
+    """One experiment whose dev rows are the capped pool's, with their places."""
+    s = experiment.score(TB.vec_pairs(spark, sf), SEED, M, caps=SMALL_CAPS, with_index=True, prepare=experiment.with_diff)
+    return s.select("claim_id", "set_pos", F.col("dataset_index").cast("bigint").alias("dataset_index"), "truth", "pred")
+
+
 def q_f1_per_class(spark, sf):
     per = evaluate.f1_per_class(flagship_confusion(spark, sf))
     return per.select("label", _r(F.col("precision")).alias("precision"), _r(F.col("recall")).alias("recall"),
@@ -547,6 +579,7 @@ REGISTRY: dict[str, Query] = {
     "dist_tsss": _pair_metric(V.ts_ss),
     "encode_hashing": q_encode_hashing,
     "pool_tokens": q_pool_tokens,
+    "pool_token_vectors": q_pool_token_vectors,
     "encode_batch_model": q_encode_batch_model,
     "encode_store": q_encode_store,
     "encode_fills": q_encode_fills,
@@ -563,6 +596,8 @@ REGISTRY: dict[str, Query] = {
     # evaluation
     "accuracy": q_accuracy,
     "confusion": q_confusion,
+    "confusion_wide": q_confusion_wide,
+    "experiment_capped": q_experiment_capped,
     "f1_per_class": q_f1_per_class,
     "f1_macro": q_f1_macro,
     "f1_observed": q_f1_observed,
