@@ -6,10 +6,11 @@ boilerplate and clearly under it are not; only lines in between, within the
 sketch's error, get an exact distinct count.  Boilerplate lines are removed
 from every document.
 
-Shape: (line hash, site) pairs are de-duplicated first, on the map side as
-far as possible, so that a line on a third of all rows is a handful of rows
-per task when its sketch is built.  Documents move once, to meet the list of
-their own boilerplate hashes; no line's documents are ever grouped together.
+Shape: rows are numbered and their lines hashed once, and stored with them.
+Sketches are built from the lines as they come, merged in each task first, so a
+line on a third of all rows is one small sketch per task; (line, site) pairs are
+only made for near-threshold lines.  A row then meets the list of its own
+boilerplate hashes by its number, so no id, line or site is ever one task's.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.broadcast import bounded_broadcast
 from .common import read, stored
 
 MIN_SITES = 10
@@ -37,60 +39,63 @@ def line_key(line: Column) -> Column:
     return F.when(t != "", F.xxhash64(t))
 
 
+def hashed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``__row``, a number of the row's own, and ``__h``, the hash
+    of each line (null for a blank one), stored."""
+    return stored(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn(
+        "__h", F.transform(lines(F.col(text)), line_key)), "hashed-lines")
+
+
+def _each(hashed: DataFrame, *columns: str) -> DataFrame:
+    return hashed.select(*columns, F.explode(F.array_distinct("__h")).alias("line")).filter("line is not null")
+
+
 def spread(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = MIN_SITES,
            lg_k: int = LG_K, sigmas: float = SIGMAS) -> DataFrame:
     """(line, sites) of the lines on at least ``min_sites`` distinct non-null
     sites.  ``sites`` is exact for near-threshold lines and the sketch's
     estimate for the rest; membership is exact for near-threshold lines, and
     beyond ``sigmas`` standard errors for the rest."""
-    pairs = docs.filter(F.col(site).isNotNull()).select(
-        F.col(site).alias("site"), F.explode(F.array_distinct(F.transform(lines(F.col(text)), line_key))).alias("line")
-    ).filter("line is not null").distinct()
-    pairs = stored(pairs, "line-sites")
-    sketched = pairs.groupBy("line").agg(F.hll_sketch_agg("site", lg_k).alias("sk")).select(
-        "line", F.hll_sketch_estimate("sk").alias("estimate")
-    )
+    hashed = docs if "__h" in docs.columns else hashed_lines(docs, text)
+    told = _each(hashed.filter(F.col(site).isNotNull()), site)
+    sketched = told.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg(site, lg_k)).alias("estimate"))
     band = max(1.0, sigmas * 1.04 / math.sqrt(2 ** lg_k) * min_sites)
     sketched = stored(sketched.filter(F.col("estimate") >= min_sites - band), "line-spread")
     sure = sketched.filter(F.col("estimate") > min_sites + band).select("line", F.col("estimate").cast("long").alias("sites"))
     near = sketched.filter(F.col("estimate") <= min_sites + band).select("line")
-    exact = pairs.join(near, "line", "left_semi").groupBy("line").agg(F.countDistinct("site").alias("sites"))
+    pairs = told.join(_small(near), "line", "left_semi").select("line", site).distinct()
+    exact = pairs.groupBy("line").agg(F.count(F.lit(1)).alias("sites"))
     return sure.unionByName(exact.filter(F.col("sites") >= min_sites))
 
 
+def _small(found: DataFrame) -> DataFrame:
+    """A list of line hashes, broadcast where its counted size allows."""
+    return bounded_broadcast(found, found.count(), 16)
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", site: str = "source", text: str = "text", **options) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and with
     ``n_lines`` and ``n_removed`` (long).
 
     Kept lines stay as they are, in order, blank lines too.  Null text stays
-    null with 0 lines; an empty text is one blank line.  Rows without a site
-    count towards no line but are cleaned.  Repeated rows and rows without
-    an id all stay.  An empty table gives an empty result.  Columns of
+    null with 0 lines; an empty text is one blank line; a text of any length
+    is handled whole.  Rows without a site count towards no line but are
+    cleaned.  Repeated rows, rows that share an id and rows without one all
+    stay, each for itself.  An empty table gives an empty result.  Columns of
     ``docs`` with the names of the added ones are replaced."""
     docs = docs.drop(*[c for c in ("n_lines", "n_removed") if c not in (id_col, site, text)])
-    bad = spread(docs, site, text, **options).select("line")
-    # which boilerplate hashes each document holds; equal ids share a list, which is harmless:
-    # a hash in it is boilerplate everywhere
-    own = docs.select(
-        F.col(id_col).alias("__id"), F.explode(F.array_distinct(F.transform(lines(F.col(text)), line_key))).alias("line")
-    ).filter("line is not null and __id is not null").join(bad, "line", "left_semi").groupBy("__id").agg(F.collect_set("line").alias("__bad"))
-    # rows without an id would meet in one task: they ask for their lines under a number of their own
-    has = docs.filter(F.col(id_col).isNotNull()).join(own, F.col(id_col) == F.col("__id"), "left").drop("__id")
-    lone = docs.filter(F.col(id_col).isNull())
-    lone_bad = lone.select(F.explode(F.array_distinct(F.transform(lines(F.col(text)), line_key))).alias("line")).join(bad, "line", "left_semi")
-    lone_key = F.xxhash64(F.col(text))
-    lone_own = lone.select(
-        lone_key.alias("__id"), F.explode(F.array_distinct(F.transform(lines(F.col(text)), line_key))).alias("line")
-    ).join(lone_bad.distinct(), "line", "left_semi").groupBy("__id").agg(F.collect_set("line").alias("__bad"))
-    lone = lone.withColumn("__lone", lone_key).join(lone_own, F.col("__lone") == F.col("__id"), "left").drop("__id", "__lone")
-    every = has.unionByName(lone)
+    hashed = hashed_lines(docs, text)
+    bad = stored(spread(hashed, site, text, **options).select("line"), "boilerplate")
+    # a row's boilerplate hashes: at most as many as it has lines
+    own = _each(hashed, "__row").join(_small(bad), "line", "left_semi").groupBy(F.col("__row").alias("__r")).agg(F.collect_list("line").alias("__bad"))
+    every = hashed.join(own, F.col("__row") == F.col("__r"), "left")
     ls = lines(F.col(text))
-    kept = F.filter(ls, lambda x: ~F.coalesce(F.array_contains(F.col("__bad"), line_key(x)), F.lit(False)))
-    some = F.size("__bad") > 0
+    kept = F.filter(ls, lambda x, i: ~F.coalesce(F.array_contains(F.col("__bad"), F.get("__h", i)), F.lit(False)))
+    some = F.col("__bad").isNotNull()
     every = every.withColumn("n_lines", F.size(ls).cast("long")).withColumn("__kept", F.when(some, kept))
     return every.withColumn(
         "n_removed", F.when(some, F.col("n_lines") - F.size("__kept")).otherwise(F.lit(0)).cast("long")
-    ).withColumn(text, F.when(some, F.array_join("__kept", "\n")).otherwise(F.col(text))).drop("__bad", "__kept")
+    ).withColumn(text, F.when(some, F.array_join("__kept", "\n")).otherwise(F.col(text))).select(*docs.columns, "n_lines", "n_removed")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
