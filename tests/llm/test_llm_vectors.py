@@ -166,3 +166,38 @@ def test_graph_recall_and_audit():
     s = q[:300] @ q.T
     want = np.argsort(-s, axis=1)[:, :5]
     assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(want, ids, strict=True)]) >= 0.9
+
+
+def test_queries_go_to_few_cells_on_clustered_vectors(spark, monkeypatch):
+    """Recall over several cells with an early stop, and rows that repeat one vector do not fill a block."""
+    from diffproto.llm import ann
+
+    rng = np.random.default_rng(4)
+    d, c = 32, 60
+    centres = rng.normal(size=(c, d))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    v = centres[rng.integers(0, c, 6000)] + rng.normal(size=(6000, d)) * 0.02
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = [(i, x.tolist(), 0) for i, x in enumerate(v)] + [(10_000 + i, v[7].tolist(), 0) for i in range(2000)]
+
+    df = vectors(spark, rows)
+    got = {}
+    for r in ann.nearest(df, df.filter("vec_id % 100 = 0"), block=250).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    every = np.array([r[1] for r in rows])
+    ids = np.array([r[0] for r in rows])
+    hits = total = 0
+    for q in [i for i in ids if i % 100 == 0]:
+        s = every @ every[int(np.flatnonzero(ids == q)[0])]
+        s[ids == q] = -np.inf
+        want = [int(ids[j]) for j in np.lexsort((ids, -np.round(s, 12)))[:20]]
+        mine = [x[1] for x in sorted(got[q])]
+        hits += len(set(want) & set(mine))
+        total += 20
+        assert len(mine) == 20 and all(abs(x[2] - s[ids == x[1]][0]) < 1e-12 for x in got[q])
+    assert hits >= 0.95 * total
+    points = ann._projected(list(v), 1.0, ann.DIMS, False)
+    cells = ann.Cells(points, 24)
+    of = cells.of(points)
+    assert cells.n == 24 and set(of) == set(range(24)) and np.bincount(of).max() < 4 * 6000 / 24
+
