@@ -74,11 +74,13 @@ def flatten_pairs(claims: DataFrame, labels: dict[str, int] = CLAIM_LABELS,
     sets = F.transform("evidence_sets", lambda s, i: F.struct(i.alias("pos"), s.alias("idx")))
     if single_only:
         sets = F.filter(sets, lambda x: F.size(x["idx"]) == 1)
-    return (claims.select("claim_id", "claim", "label", "sentences", F.explode(sets).alias("_s"))
+    # the texts are joined inside the array: a row holds its own evidence, not the record's sentences
+    texts = F.transform(sets, lambda x: F.struct(x["pos"].alias("pos"), join_selected("sentences", x["idx"]).alias("evidence")))
+    return (claims.select("claim_id", "claim", "label", F.explode(texts).alias("_s"))
             .select("claim_id",
                     F.col("_s.pos").alias("set_pos"),
                     "claim",
-                    join_selected("sentences", F.col("_s.idx")).alias("evidence"),
+                    F.col("_s.evidence").alias("evidence"),
                     encode_label("label", labels).alias("label")))
 
 
