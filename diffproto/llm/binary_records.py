@@ -42,7 +42,7 @@ END_ID = 0
 FILE_BYTES = 8 << 20  # of a file; a longer record is a file of its own
 HEAD = 64  # characters of a text that part the rows of one id
 SALT = 256  # parts of rows whose ids and heads are equal
-CACHE = 700_000  # pieces that a worker remembers
+CACHE = 400_000  # pieces that a task remembers
 _HEAD = struct.Struct("<QI")
 _BODY = struct.Struct("<qBB")
 _CRC = struct.Struct("<I")
@@ -158,7 +158,7 @@ def runs(texts: list[str], most: int = 1024, chars: int = 1 << 21) -> Iterator[t
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    """One encoder, and so one memory, for all tasks of a worker."""
+    """One encoder for all tasks of a worker."""
     return Encoder(path)
 
 
@@ -185,6 +185,8 @@ def write_records(docs: DataFrame, tokenizer: str, path: str | None = None, id_c
         end = np.array([end_id], dtype=enc.type).tobytes()
         last = bytes([_END])
         held, size = [], 0
+        # workers are used again, by other stages too: what they remember goes with the task
+        enc.pieces.clear()
         for b in batches:
             ids, texts = b["doc_id"], list(b["text"])
             for a, z in runs(texts):
@@ -195,6 +197,7 @@ def write_records(docs: DataFrame, tokenizer: str, path: str | None = None, id_c
                         held, size = [], 0
                     held.append(record)
                     size += len(record) + 1
+        enc.pieces.clear()
         if held:
             yield pd.DataFrame({"file": [last.join(held)]})
 

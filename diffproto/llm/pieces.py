@@ -69,9 +69,9 @@ class Pieces:
     def __init__(self, learn: Callable[[list[bytes]], Sequence[tuple[np.ndarray, np.ndarray]]], types: Sequence[str],
                  glue: bytes = b"", marks: bool = False, most: int = CACHE):
         self.learn, self.types, self.glue, self.marks, self.most = learn, types, glue, marks, most
-        self._reset()
+        self.clear()
 
-    def _reset(self) -> None:
+    def clear(self) -> None:
         self.slot: dict[bytes, int] = {}
         self.ids = [np.zeros(1 << 16, dtype=t) for t in self.types]
         self.begin = [np.zeros(1 << 16, dtype=np.int64) for _ in self.types]
@@ -85,7 +85,7 @@ class Pieces:
         while (stays := np.flatnonzero(self.uses[:n] >= least)).size > self.most // 2:
             least *= 2
         names, old = list(self.slot), (self.ids, self.begin, self.count, self.uses)
-        self._reset()
+        self.clear()
         self._store([names[i] for i in stays], [(ids[ragged(begin[stays], count[stays])], count[stays])
                                                 for ids, begin, count in zip(*old[:3], strict=True)])
         self.uses[: len(stays)] = old[3][stays] // 2
