@@ -11,13 +11,14 @@ A conversation may be longer than memory, so prefixes start at an anchor: at
 most ``WINDOW`` turns are rendered at once.  When the anchor moves, half of
 the window is rendered under both anchors, and parts that come out different
 are reported as rewritten history too.  For a template that only appends,
-the parts joined are the rendering of the whole conversation.  For others
-a rewrite that reaches further back than the window is not seen, and places
-are counted from the anchor: turns rendered after the anchor moved are marked,
-and without a window every prefix is rendered in full.
-
-Turns arrive sorted by conversation and turn, one Arrow batch after another;
-a task holds one batch and one window, not a conversation.
+the parts joined are the rendering of the whole conversation.  A template
+declares that by ``append_only``, and its conversations are streamed.  For
+others a rewrite may reach further back than the window, and places would be
+counted from the anchor: their prefixes start at the first turn, all in full.
+
+Turns arrive sorted by conversation and turn, one Arrow batch after another.
+Of a template that only appends, a task holds one batch and one window, not a
+conversation; any other is given whole conversations, so a task holds one.
 """
 
 from __future__ import annotations
@@ -50,9 +51,16 @@ def unescape(text: str) -> str:
     return _UNDO.sub(r"\1", text)
 
 
+def append_only(template: Callable[[list[Turn]], str]) -> Callable[[list[Turn]], str]:
+    """Declares of a template that a turn's part depends on the turn alone, and on whether it is the first."""
+    template.append_only = True
+    return template
+
+
 _MARKS = {"system": ("<<SYS>> ", " <</SYS>>"), "user": ("[INST] ", " [/INST]"), "assistant": (" ", " </s>")}
 
 
+@append_only
 def inst_template(turns: list[Turn]) -> str:
     """``<s>`` first, then every turn between its role's marks."""
     out = ["<s>"] if turns else []
@@ -86,7 +94,6 @@ class Incremental:
 
     def __init__(self, render: Callable[[list[Turn]], str], window: int | None = WINDOW):
         self.render, self.window = render, max(2, window) if window is not None else math.inf
-        self.moved = False
         self.turns: list[Turn] = []
         self.last = render([])
         self.parts: list[str] = []
@@ -94,7 +101,6 @@ class Incremental:
 
     def _move_anchor(self) -> bool:
         """Drops the older half of the window; True if later parts change by that."""
-        self.moved = True
         cut = len(self.turns) // 2
         old = self.parts[cut:]
         self.turns, changed = self.turns[cut:], False
@@ -156,10 +162,12 @@ def format_conversations(turns: DataFrame, render: Callable[[list[Turn]], str] =
     """One row per turn: conv_id, seq (from 0), part (what the turn adds to the
     formatted text), lo and hi (its text in the part, code points), loss (is
     that text trained on), rewrites (the template changed earlier output),
-    windowed (the turn was rendered, and checked, within the window only).
+    windowed (the turn comes after the first window).
 
-    ``window`` None renders every prefix in full, whatever the template does;
-    a task then holds a conversation, and its work grows with its square.
+    Conversations of a template that is ``append_only`` are rendered within the
+    window, any other's from the first turn, every prefix in full: a task then
+    holds a conversation, and its work grows with its square.  ``window`` None
+    renders every prefix in full too, and marks no turn as windowed.
 
     Turns go by ``turn`` (null first), ties by role and text; repeated rows
     stay.  Null role and text count as empty; a null conversation id is one
@@ -171,13 +179,16 @@ def format_conversations(turns: DataFrame, render: Callable[[list[Turn]], str] =
     )
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
+    streamed = window is not None and getattr(render, "append_only", False)
+    most = math.inf if window is None else max(2, window)
+
     def run(batches):
         state, seq = None, 0
         out: list[tuple] = []
         for new, cid, (_, _, r, t) in _runs(batches):
             if new:
-                state, seq = Incremental(render, window), 0
-            out.append((cid, seq, *state.feed(r, t), r == loss_role, state.moved))
+                state, seq = Incremental(render, window if streamed else None), 0
+            out.append((cid, seq, *state.feed(r, t), r == loss_role, seq >= most))
             seq += 1
             if len(out) >= 2000:
                 yield _frame(out)

@@ -314,6 +314,24 @@ def test_full_prefixes_find_rewrites_beyond_the_window(spark):
     assert all(some[1, s] == (s >= chat.WINDOW) for s in range(50)) and not any(some[2, s] for s in range(3))
 
 
+def test_long_conversations_are_rendered_whole_whatever_the_template(spark):
+    numbered = lambda turns: "".join(f"{i}:{t};" for i, (_, t) in enumerate(turns))
+    ends = lambda turns: "".join(t for _, t in turns[-40:]) + "."
+    rows = [(1, i, "user", f"t{i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.format_conversations(df, numbered).orderBy("seq").collect()
+    assert "".join(r["part"] for r in got) == numbered([(r[2], r[3]) for r in rows]) and not any(r["rewrites"] for r in got)
+    assert [r["part"][r["lo"]: r["hi"]] for r in got] == [r[3] for r in rows]
+    exact = chat.Incremental(ends, None)
+    want = [exact.feed(r[2], r[3]) for r in rows]
+    got = chat.format_conversations(df, ends).orderBy("seq").collect()
+    assert [(r["part"], r["lo"], r["hi"], r["rewrites"]) for r in got] == want
+    # a template that declares itself append-only is streamed, and comes out the same
+    turns = [(r[2], r[3]) for r in rows]
+    got = chat.format_conversations(df).orderBy("seq").collect()
+    assert "".join(r["part"] for r in got) == chat.inst_template(turns) and not any(r["rewrites"] for r in got)
+
+
 def brute_digest(rows):
     by = {}
     for c, t, r, x in rows:
