@@ -17,7 +17,7 @@ from ..functions import vectors as V
 from ..functions.labels import CLAIM_LABELS, decode_binary, decode_three, encode_label, label_to_binary
 from ..functions.text import clean_brackets, merge_sentences, normalize_claim, normalize_evidence
 from ..operators import evaluate, sampling, summary
-from ..operators.encode import POOL_MODES, EncodingStore, HashingEncoder, LookupPoolEncoder, PandasEncoder, pool_tokens
+from ..operators.encode import POOL_MODES, EncodingStore, HashingEncoder, LookupPoolEncoder, PandasEncoder, large_groups, pool_tokens
 from ..operators.prototypes import predict, prototypes
 from ..sources import claims as C
 from ..sources import runlogs
@@ -327,9 +327,11 @@ def q_pool_tokens(spark, sf):
 
 def q_pool_token_vectors(spark, sf):
     """The same poolings of a table of token vectors, one at a time."""
-    vecs, out = lookup_encoder(spark, sf).token_vectors(claim_texts(spark, sf), "text_key", "text"), None
+    enc, out = lookup_encoder(spark, sf), None
+    toks = enc.stored_tokens(claim_texts(spark, sf), "text_key", "text")
+    vecs, large = enc.token_vectors(toks, "text_key"), large_groups(toks, ["text_key"])
     for mode in POOL_MODES:
-        p = pool_tokens(vecs, ["text_key"], mode=mode).select("text_key", F.lit(mode).alias("mode"), "vec")
+        p = pool_tokens(vecs, ["text_key"], mode=mode, large=large).select("text_key", F.lit(mode).alias("mode"), "vec")
         out = p if out is None else out.unionByName(p)
     return _pooled_digest(out)
 

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from diffproto.operators.encode import HashingEncoder, PandasEncoder, pool_tokens
+from diffproto.operators import encode
+from diffproto.operators.encode import HashingEncoder, LookupPoolEncoder, PandasEncoder, pool_tokens
 from diffproto.operators.prototypes import predict
 from conftest import rows
 
@@ -47,6 +48,38 @@ def test_pool_modes(spark):
         pool_tokens(tv, ["g"], mode="median")
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pooling_shuffles_vectors_not_elements(spark):
+    tv = spark.range(100).selectExpr("cast(id % 7 as string) as g", "id as pos", "array(cast(id as double), 1.0D) as vec")
+    for mode in ("mean", "max"):
+        assert "hashpartitioning(g" in plan_of(pool_tokens(tv, ["g"], mode=mode)) and "_p#" not in "".join(
+            line for line in plan_of(pool_tokens(tv, ["g"], mode=mode)).splitlines() if "hashpartitioning" in line)
+    vocab = spark.range(50).selectExpr("id as vocab_id", "array(cast(id as double), 1.0D) as vec")
+    texts = spark.createDataFrame([("a", "one two two"), ("b", "three")], "k string, t string")
+    assert not [line for line in plan_of(LookupPoolEncoder(vocab, 50).encode_all(texts, "k", "t")).splitlines()
+                if "hashpartitioning" in line and "_p#" in line]
+
+
+def test_pooling_of_large_null_and_ragged_groups(spark, monkeypatch):
+    data = [(g, i, [float(i), None if i % 3 else 2.0, 5.0][: 1 + i % 3]) for g, n in (("a", 9), ("b", 2), (None, 7)) for i in range(n)]
+    data += [("c", 0, None), ("b", 2, [])]
+    tv = spark.createDataFrame(data, "g string, pos int, vec array<double>")
+    want = {}
+    for g in ("a", "b", None):
+        cols = [[v[p] for h, _, v in data if h == g and v and len(v) > p] for p in range(3)]
+        vals = [[x for x in c if x is not None] for c in cols]
+        want[g] = ([sum(v) / len(c) if v else None for c, v in zip(cols, vals, strict=True) if c],
+                   [max(v) if v else None for c, v in zip(cols, vals, strict=True) if c])
+    for least in (encode.LARGE, 3):
+        monkeypatch.setattr(encode, "LARGE", least)
+        got = [dict(rows(pool_tokens(tv, ["g"], mode=m), "g", "vec")) for m in ("mean", "max")]
+        assert [{g: w[k] for g, w in want.items()} for k in (0, 1)] == got
+    assert rows(encode.large_groups(tv, ["g"])) != []
+
+
 def test_predict_per_group(spark):
     protos = spark.createDataFrame([("x", 0, 0, 1, [0.0]), ("x", 1, 1, 1, [10.0]), ("y", 0, 0, 1, [10.0]), ("y", 1, 1, 1, [0.0])],
                                    "g string, proto_id int, label int, n bigint, centroid array<double>")
