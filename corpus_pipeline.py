@@ -15,8 +15,9 @@ from diffproto.llm.common import read, stored
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no language: null texts, texts without a letter, and
-    those the classifier scores below ``langid.MIN_SCORE`` for every language."""
-    return langid.accepted(docs)
+    those the classifier scores below ``langid.MIN_SCORE`` for every language.
+    ``lang`` becomes the language found; it goes into the records."""
+    return langid.accepted(docs, relabel=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +36,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def binary_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token ids as binary records and reads the files back."""
-    data, _ = binary_records.write_records(docs, binary_records.default_tokenizer())
-    return binary_records.read_records(spark, data.removesuffix("/data"))
+    """Writes the token ids, and the language of each document, as binary
+    records and reads the files back."""
+    data, _ = binary_records.write_records(docs, binary_records.default_tokenizer(), tag="lang")
+    return binary_records.read_records(spark, data.removesuffix("/data")).withColumnRenamed("tag", "lang")
 
 
 STAGES = [

@@ -5,9 +5,9 @@ A record is
     u64 payload length | u32 masked CRC of these 8 bytes |
     payload | u32 masked CRC of the payload | end byte 0x0A
 
-all little-endian; the payload is i64 doc_id, u8 flags (1: the id is null),
-u8 width of an id in bytes (2 where the vocabulary fits, else 4) and the
-ids.  The CRC is zlib's CRC-32, masked by a rotation and a constant, so that
+all little-endian; the payload is i64 doc_id, u8 flags (1: the id is null,
+2: a tag follows), u8 width of an id in bytes (2 where the vocabulary fits,
+else 4), the tag if any (u16 length, UTF-8 bytes) and the ids.  The CRC is zlib's CRC-32, masked by a rotation and a constant, so that
 a checksum of data holding checksums stays sound.
 
 Documents are range-partitioned and sorted by id; each task encodes its rows
@@ -46,6 +46,7 @@ CACHE = 400_000  # pieces that a task remembers
 _HEAD = struct.Struct("<QI")
 _BODY = struct.Struct("<qBB")
 _CRC = struct.Struct("<I")
+_TAG = struct.Struct("<H")
 _END = 10
 
 
@@ -79,20 +80,37 @@ def records(content: bytes, check: bool = True) -> Iterator[tuple[int, int, memo
         at = end + _CRC.size + 1
 
 
-def pack(doc_id: int | None, width: int, ids: bytes) -> bytes:
-    return _BODY.pack(0 if doc_id is None else doc_id, int(doc_id is None), width) + ids
+def pack(doc_id: int | None, width: int, ids: bytes, tag: str | None = None) -> bytes:
+    t = b"" if tag is None else tag.encode("utf-8", "surrogatepass")
+    if len(t) >= 1 << 16:
+        raise ValueError(f"a tag of {len(t)} bytes")
+    return _BODY.pack(0 if doc_id is None else doc_id, (doc_id is None) | (tag is not None) << 1, width) + (b"" if tag is None else _TAG.pack(len(t)) + t) + ids
+
+
+def _head(payload: memoryview) -> tuple[int | None, int, int, str | None]:
+    """(doc_id, width of an id, where the ids begin, tag) of a payload."""
+    doc_id, flags, width = _BODY.unpack_from(payload)
+    at, tag = _BODY.size, None
+    if flags & 2:
+        end = at + _TAG.size + _TAG.unpack_from(payload, at)[0]
+        at, tag = end, bytes(payload[at + _TAG.size: end]).decode("utf-8", "surrogatepass")
+    return (None if flags & 1 else doc_id), width, at, tag
 
 
 def body(payload: memoryview) -> tuple[int | None, int, int]:
     """(doc_id, width of an id, number of ids) of a payload."""
-    doc_id, flags, width = _BODY.unpack_from(payload)
-    return (None if flags & 1 else doc_id), width, (len(payload) - _BODY.size) // width
+    doc_id, width, at, _ = _head(payload)
+    return doc_id, width, (len(payload) - at) // width
 
 
 def unpack(payload: memoryview) -> tuple[int | None, np.ndarray]:
     """(doc_id, ids as little-endian u32)."""
-    doc_id, width, _ = body(payload)
-    return doc_id, np.frombuffer(payload[_BODY.size:], dtype="<u2" if width == 2 else "<u4").astype("<u4")
+    doc_id, width, at, _ = _head(payload)
+    return doc_id, np.frombuffer(payload[at:], dtype="<u2" if width == 2 else "<u4").astype("<u4")
+
+
+def tag_of(payload: memoryview) -> str | None:
+    return _head(payload)[3]
 
 
 class Encoder:
@@ -163,7 +181,7 @@ def encoder(path: str) -> Encoder:
 
 
 def write_records(docs: DataFrame, tokenizer: str, path: str | None = None, id_col: str = "doc_id", text: str = "text",
-                  end_id: int = END_ID, per_file: int = PER_FILE) -> tuple[str, str]:
+                  end_id: int = END_ID, per_file: int = PER_FILE, tag: str | None = None) -> tuple[str, str]:
     """Writes the records of ``docs`` and their index; returns both paths.
 
     Null text counts as empty and gives the end id alone.  Null ids come
@@ -171,14 +189,19 @@ def write_records(docs: DataFrame, tokenizer: str, path: str | None = None, id_c
     however many rows share an id, they are dealt over the range partitions
     (by the first ``HEAD`` characters, and by chance where these are equal).  A file holds at most ``per_file``
     records and about ``FILE_BYTES`` bytes; a text of any length is one
-    record.  An empty table gives no records.  Other columns are ignored."""
+    record.  An empty table gives no records.  The string in the column
+    ``tag``, if one is named, is kept in a row's record; other columns are
+    ignored."""
     spark = docs.sparkSession
     ship_package(spark)
     path = path or scratch_path(spark, "records")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+    tagged = tag is not None
+    extra = [F.col(tag).cast("string").alias("tag")] if tagged else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *extra,
                        F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int").alias("part"))
     dealt = rows.withColumn("head", F.substring("text", 1, HEAD)).repartitionByRange("doc_id", "head", "part")
-    ordered = dealt.select("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "text", *(["tag"] if tagged else [])]
+    ordered = dealt.select(*order).sortWithinPartitions(*order)
 
     def run(batches):
         enc = encoder(tokenizer)
@@ -189,9 +212,10 @@ def write_records(docs: DataFrame, tokenizer: str, path: str | None = None, id_c
         enc.pieces.clear()
         for b in batches:
             ids, texts = b["doc_id"], list(b["text"])
+            tags = [None if pd.isna(t) else t for t in b["tag"]] if tagged else [None] * len(texts)
             for a, z in runs(texts):
-                for doc_id, packed in zip(ids[a:z], enc.batch(texts[a:z]), strict=True):
-                    record = frame(pack(None if pd.isna(doc_id) else int(doc_id), enc.width, packed + end))
+                for doc_id, packed, t in zip(ids[a:z], enc.batch(texts[a:z]), tags[a:z], strict=True):
+                    record = frame(pack(None if pd.isna(doc_id) else int(doc_id), enc.width, packed + end, t))
                     if held and (len(held) >= per_file or size + len(record) > FILE_BYTES):
                         yield pd.DataFrame({"file": [last.join(held)]})
                         held, size = [], 0
@@ -205,17 +229,18 @@ def write_records(docs: DataFrame, tokenizer: str, path: str | None = None, id_c
     ordered.mapInPandas(run, "file binary").select(F.col("file").cast("string").alias("value")).write.option(
         "maxRecordsPerFile", 1).option("lineSep", chr(_END)).text(f"{path}/data")
 
-    index_records(spark, path)
+    index_records(spark, path, tagged)
     return f"{path}/data", f"{path}/index"
 
 
-def index_records(spark: SparkSession, path: str) -> None:
+def index_records(spark: SparkSession, path: str, tagged: bool = False) -> None:
     """Reads the files back, every checksum verified and every id decoded, and
     writes the index: file, record, doc_id, offset, length, n_tokens,
-    ids_crc32 (unsigned CRC-32 of the ids as little-endian u32) and before,
-    the ids of earlier records of the file."""
+    ids_crc32 (unsigned CRC-32 of the ids as little-endian u32), before,
+    the ids of earlier records of the file, and with ``tagged`` the tag."""
     ship_package(spark)
-    schema = ("file string, record long, doc_id long, offset long, length long, n_tokens long, ids_crc32 long, before long")
+    schema = "file string, record long, doc_id long, offset long, length long, n_tokens long, ids_crc32 long, before long"
+    schema += ", tag string" if tagged else ""
 
     def scan(batches):
         for b in batches:
@@ -223,7 +248,8 @@ def index_records(spark: SparkSession, path: str) -> None:
                 seen, got = 0, []
                 for k, (offset, length, payload) in enumerate(records(content)):
                     doc_id, ids = unpack(payload)
-                    got.append((name, k, doc_id, offset, length, len(ids), zlib.crc32(ids.tobytes()), seen))
+                    row = (name, k, doc_id, offset, length, len(ids), zlib.crc32(ids.tobytes()), seen)
+                    got.append((*row, tag_of(payload)) if tagged else row)
                     seen += len(ids)
                 yield _frame(got, [c.split()[0] for c in schema.split(", ")])
 
@@ -248,15 +274,16 @@ def _file_order(file: Column) -> list[Column]:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """What the files hold, as read back for the index: doc_id, start (the
-    number of ids in all documents before it), n_tokens, ids_crc32, and where
-    the record lies (file, record, offset, length)."""
+    number of ids in all documents before it), n_tokens, ids_crc32, where
+    the record lies (file, record, offset, length), and the tag if there are tags."""
     index = spark.read.parquet(f"{path}/index")
     # one row per file, whatever number of documents it holds
     per = index.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     upto = Window.orderBy(*_file_order(F.col("file"))).rowsBetween(Window.unboundedPreceding, -1)
     base = per.select("file", F.coalesce(F.sum("total").over(upto), F.lit(0)).alias("base"))
     return index.join(base, "file").select(
-        "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "file", "record", "offset", "length")
+        "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "file", "record", "offset", "length",
+        *[c for c in index.columns if c == "tag"])
 
 
 def default_tokenizer() -> str:

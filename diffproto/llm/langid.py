@@ -204,11 +204,13 @@ def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "lang
     return rest.withColumn("__p", run(F.col(text))).withColumn(out, F.col("__p.lang")).withColumn(score, F.col("__p.score")).drop("__p")
 
 
-def accepted(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", min_score: float = MIN_SCORE) -> DataFrame:
+def accepted(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", min_score: float = MIN_SCORE,
+             relabel: bool = False) -> DataFrame:
     """``docs`` without the texts that are in no language: null texts, texts
     without a letter, and those that the classifier scores below
     ``min_score`` for every language.  With no label to learn from, a score
-    rejects nothing, and every text with a letter stays."""
+    rejects nothing, and every text with a letter stays.  With ``relabel``,
+    ``lang`` becomes the language found, where there was one to learn."""
     ship_package(docs.sparkSession)
     model = fit(docs, id_col=id_col, text=text, lang=lang)
     if not model.langs:
@@ -218,7 +220,8 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
 
         return docs.filter(lettered(F.col(text)))
     told = identify(docs, model, text=text, out="__lang", score="__score")
-    return told.filter((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= min_score)).select(*docs.columns)
+    return told.filter((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= min_score)).select(
+        *[F.col("__lang").alias(c) if relabel and c == lang else F.col(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

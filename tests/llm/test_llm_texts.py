@@ -440,6 +440,23 @@ def test_pipeline_equals_brute_force(spark):
         assert stage(spark, d.limit(0), SF_SMALL).columns == names
 
 
+def test_the_language_found_goes_into_the_records(spark):
+    import corpus_pipeline as C
+
+    en, fr = "the cat and the dog went with this", "le chat est avec les chiens dans une école"
+    rows = [(i, (en, fr)[i % 2] + f" {i}", None if i % 5 == 0 else ("en", "fr")[i % 2]) for i in range(60)] + [(90, "12 !!", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = C.language_id(spark, df, "")
+    want = {i: ("en", "fr")[i % 2] for i in range(60)}
+    assert {r["doc_id"]: r["lang"] for r in found.collect()} == want
+    got = C.binary_output(spark, found, "").collect()
+    assert {r["doc_id"]: r["lang"] for r in got} == want and len(got) == 60
+    blank = C.binary_output(spark, df.withColumn("lang", langid.F.lit(None).cast("string")).limit(3), "").collect()
+    assert [r["lang"] for r in blank] == [None] * 3
+    one, = [p for *_, p in binary_records.records(binary_records.frame(binary_records.pack(None, 2, b"\x01\x00", "é")) + b"\n")]
+    assert binary_records.unpack(one)[0] is None and binary_records.tag_of(one) == "é" and binary_records.body(one) == (None, 2, 1)
+
+
 def test_frames_hold_null_and_large_ids():
     big = (1 << 62) + 1
     f = binary_records._frame([("f", 0, None), ("f", 1, big)], ["file", "record", "doc_id"])
