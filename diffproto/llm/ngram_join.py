@@ -50,41 +50,82 @@ SKETCH_CHUNK = 1 << 14
 MAX_BOUNDARY = 64
 SALT_FROM = 4096  # keys that occur more often than this are dealt to several tasks
 GROUP = 256  # classes compared with one copy of a pivot
-WORD_CACHE = 200_000
+CUT = 1 << 16  # bytes of a text whose words are hashed at once
+LONG_WORD = 64  # bytes; longer words are hashed one by one
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _SALT_BITS, _POS_BITS = 12, 20
+_BYTES = np.random.default_rng(5).integers(1 << 63, size=256, dtype=np.uint64)  # a number for each byte
+_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BASE = 0x9E3779B97F4A7C13  # 3 modulo 8, so that its powers differ in their low bits
 
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _P[1]
+    return h ^ (h >> np.uint64(29))
 
-class _Words(dict):
-    """Word (bytes) -> 64-bit hash, remembered."""
 
-    def __missing__(self, w: bytes) -> int:
-        if len(self) > WORD_CACHE:
-            self.clear()
-        h = self[w] = xxhash.xxh64_intdigest(w)
-        return h
+def _powers(base: int, n: int) -> np.ndarray:
+    p = np.full(n, base, dtype=np.uint64)
+    p[0] = 1
+    return np.cumprod(p, dtype=np.uint64)
 
 
-_WORDS = _Words()
+_UP, _DOWN = _powers(_BASE, CUT), _powers(pow(_BASE, -1, 1 << 64), CUT)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _P[1]
-    return h ^ (h >> np.uint64(29))
+def _hash_words(data: bytes) -> np.ndarray:
+    """The 64-bit hash of every word of lower-cased bytes, in order: a
+    polynomial of the word's bytes, all words' at once from running sums."""
+    b = np.frombuffer(data, dtype=np.uint8)
+    edge = np.flatnonzero(np.diff(_SPACES[b], prepend=True, append=True))
+    start, end = edge[::2], edge[1::2]
+    up, down = (_UP, _DOWN) if len(b) <= CUT else (_powers(_BASE, len(b)), _powers(pow(_BASE, -1, 1 << 64), len(b)))
+    total = np.zeros(len(b) + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[b] * up[: len(b)], out=total[1:])
+    n = end - start
+    h = _mix((total[end] - total[start]) * down[start] + n.astype(np.uint64))
+    for i in np.flatnonzero(n > LONG_WORD):
+        h[i] = xxhash.xxh64_intdigest(data[start[i]: end[i]])
+    return h
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """The hashes of the text's words, A-Z lower-cased, a piece of about ``CUT`` bytes at a time."""
+    data = text.encode("utf-8", "surrogatepass").lower() if text else b""  # bytes: A-Z only
+    if len(data) <= CUT:
+        return _hash_words(data)
+    found, at = [], 0
+    while at < len(data):
+        to = len(data)
+        if to - at > CUT:  # up to the last white space of the piece, or the first one after it
+            cut = max(data.rfind(c, at + 1, at + CUT) for c in _WHITE)
+            if cut < 0:
+                cut = min((i for c in _WHITE if (i := data.find(c, at + CUT)) >= 0), default=to)
+            to = cut
+        found.append(_hash_words(data[at:to]))
+        at = to
+    return np.concatenate(found)
+
+
+_WHITE = [bytes([c]) for c in (9, 10, 11, 12, 13, 32)]
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending."""
+    h = np.sort(h)
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
 
 
 def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
     """The distinct 64-bit hashes of the text's k-word shingles, ascending."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: A-Z and ASCII white space only
-    n = len(words)
+    w = word_hashes(text)
+    n = len(w)
     if not n:
         return np.empty(0, dtype=np.uint64)
-    w = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=n)
     span = min(n, k)
     h = np.full(n - span + 1, span, dtype=np.uint64)
     for i in range(span):
         h = h * _P[0] + w[i: n - span + 1 + i]
-    return np.unique(_mix(h))
+    return distinct(_mix(h))
 
 
 def identity(h: np.ndarray, seed: int) -> tuple[int, bytes]:
@@ -524,8 +565,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     chosen = F.col("cid").isNull() | (F.col("component_id") == F.col("doc_id"))
     keep = found.sets.filter("doc_id is not null").join(first, "cid", "left").groupBy(F.col("doc_id").alias("__keep")).agg(
         F.count("*").alias("__rows"), F.max(chosen).alias("__any")).filter("__any")
-    kept = docs.join(keep, F.col(id_col) == F.col("__keep"))
-    once = kept.filter(F.col("__rows") == 1).select(*docs.columns)
+    keep = stored(keep.select("__keep", "__rows"), "keep")
+    single = keep.filter(F.col("__rows") == 1).select("__keep")
+    once = docs.join(single, F.col(id_col) == F.col("__keep"), "left_semi")
 
     seed = found.seed
 
@@ -534,11 +576,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
         sets = (shingles(t, k) for t in col)
         return pd.Series(longs(identity(h, seed)[0] if len(h) else None for h in sets))
 
-    many = kept.filter(F.col("__rows") > 1).select(*docs.columns, class_of(F.col(text)).alias("__cid"))
+    # repeated ids are rare: their texts are read again only where there are any
+    several = keep.filter(F.col("__rows") > 1).select(F.col("__keep").alias("__id"))
+    out = once.unionByName(docs.filter(F.col(id_col).isNull()))
+    if several.isEmpty():
+        return out
+    # stored, so that classes are computed for these rows only
+    rows = stored(docs.join(several, F.col(id_col) == F.col("__id"), "left_semi"), "repeated")
+    many = rows.select("*", class_of(F.col(text)).alias("__cid"))
     apart = first.select(F.col("cid").alias("__of"), F.col("component_id").alias("__id"))
     same = many.join(apart, (F.col(id_col) == F.col("__id")) & (F.col("__cid") == F.col("__of")), "left_semi")
     many = same.dropDuplicates([id_col, "__cid"]).unionByName(many.filter(F.col("__cid").isNull())).select(*docs.columns)
-    return once.unionByName(many).unionByName(docs.filter(F.col(id_col).isNull()))
+    return out.unionByName(many)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,6 +104,29 @@ def test_keep_one_tells_texts_under_one_id_apart(spark):
     assert sum(r[0] == 7 for r in kept) == 1
 
 
+def test_words_are_hashed_alike_wherever_they_stand():
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abAB\x85é🙂") for _ in range(rnd.choice([1, 2, 9, 64, 65, 300])))
+    some = [word() for _ in range(300)] + ["x" * 70000, "x" * 70001]
+    of = {}
+    for n in (1, 4, 500, 20000):
+        ws = [rnd.choice(some) for _ in range(n)]
+        text = "\n" + "".join(w + rnd.choice([" ", "\t\v", "\f\r "]) for w in ws)
+        got = ngram_join.word_hashes(text[:-1] if n == 4 else text).tolist()
+        want = text.encode().lower().split()
+        assert len(got) == len(want) and all(of.setdefault(w, h) == h for w, h in zip(want, got, strict=True))
+    assert len(set(of.values())) == len(of) > 200
+    for none in (None, "", " \n " * 40000):
+        assert not len(ngram_join.word_hashes(none)) and not len(ngram_join.shingles(none))
+
+
+def test_keep_one_reads_texts_once_without_repeated_ids(spark):
+    rows = [(1, "a b c d e f"), (2, "A b c d e f"), (3, "g h i j k l"), (None, "a b c d e f"), (4, None)]
+    kept = ngram_join.keep_one(docs(spark, rows))
+    assert "Python" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([1, 3, None, 4], key=repr)
+
+
 def test_links_inside_components_are_listed(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "GROUP", 4)
     rnd = random.Random(5)
