@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..plans.broadcast import bounded_broadcast
 from ..session import ship_package
-from .common import read, stored
+from .common import once, read, stored
 
 SPECTRUM = 3
 BUCKETS = 1 << 15
@@ -220,6 +220,8 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
 
         return docs.filter(lettered(F.col(text)))
     told = identify(docs, model, text=text, out="__lang", score="__score")
+    # each text predicted once: a filter pushed below the prediction would repeat it, with one more Python worker a task
+    told = told.withColumn("__lang", once(F.col("__lang")))
     return told.filter((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= min_score)).select(
         *[F.col("__lang").alias(c) if relabel and c == lang else F.col(c) for c in docs.columns])
 

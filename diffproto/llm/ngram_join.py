@@ -52,6 +52,8 @@ SALT_FROM = 4096  # keys that occur more often than this are dealt to several ta
 GROUP = 256  # classes compared with one copy of a pivot
 CUT = 1 << 16  # bytes of a text whose words are hashed at once
 LONG_WORD = 64  # bytes; longer words are hashed one by one
+COUNTED = 1 << 19  # shingles that the first pass holds before it counts them
+LISTED = 1 << 17  # keys in one frame of the second pass, more only for a text that lists more
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _SALT_BITS, _POS_BITS = 12, 20
 _BYTES = np.random.default_rng(5).integers(1 << 63, size=256, dtype=np.uint64)  # a number for each byte
@@ -171,7 +173,7 @@ def _first_pass(k: int, seed: int):
                 rows.append((doc_id, len(h), cid, digest, None, None))
                 held.append(bucket(h))
                 size += len(h)
-                if size > 1 << 21:
+                if size > COUNTED:
                     counts += np.bincount(np.concatenate(held), minlength=len(counts))
                     held, size = [], 0
             yield _first_frame(rows)
@@ -271,7 +273,7 @@ def _second_pass(k: int, seed: int, shared, num: int, den: int):
         levels, heavy, boundary = shared.value
         seen: set[int] = set()
         for b in batches:
-            rows = []
+            rows, listed = [], 0
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 if pd.isna(doc_id):
                     continue
@@ -285,9 +287,13 @@ def _second_pass(k: int, seed: int, shared, num: int, den: int):
                     seen.clear()
                 seen.add(cid)
                 keys, at = class_keys(h, levels, boundary, num, den)
-                salts = heavy[bucket(keys)] if len(heavy) else np.zeros(len(keys), dtype=np.int64)
+                salts = heavy[bucket(keys)].astype(np.int64) if len(heavy) else np.zeros(len(keys), dtype=np.int64)
                 salt = np.where(salts > 0, cid % np.maximum(salts, 1) + 1, 0)
+                if rows and listed + len(keys) > LISTED:
+                    yield pd.DataFrame(rows, columns=["cid", "n", "key", "at"])
+                    rows, listed = [], 0
                 rows.append((cid, len(h), signed(keys), (at << _SALT_BITS) | salt))
+                listed += len(keys)
             yield pd.DataFrame(rows, columns=["cid", "n", "key", "at"])
 
     return run
@@ -503,7 +509,7 @@ def _join(docs: DataFrame, id_col: str, text: str, k: int, num: int, den: int) -
     by_size = classes.groupBy(F.least("n", F.lit(MAX_BOUNDARY + 1)).alias("n")).count().collect()
     boundary = choose_boundary({r["n"]: r["count"] for r in by_size}, counts, num, den)
     over = np.maximum(0, counts - np.int64(np.median(counts)))
-    heavy = np.where(over > SALT_FROM, np.minimum(-(-over // SALT_FROM), (1 << _SALT_BITS) - 2), 0)
+    heavy = np.where(over > SALT_FROM, np.minimum(-(-over // SALT_FROM), (1 << _SALT_BITS) - 2), 0).astype(np.uint16)
     shared = spark.sparkContext.broadcast((frequency_levels(counts), heavy, boundary))
     lists = stored(lists_of_two(listed_keys(docs, k, seed, shared, num, den)), "lists")
     lists = stored(with_pivots(lists), "pivots")

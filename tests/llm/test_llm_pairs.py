@@ -1,7 +1,10 @@
 """N-gram join, decontamination, mixing, line dedup and URL filters: edge cases and brute force."""
 
 import random
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
 from conftest import SF_SMALL
 
@@ -127,6 +130,24 @@ def test_keep_one_reads_texts_once_without_repeated_ids(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([1, 3, None, 4], key=repr)
 
 
+@pytest.mark.parametrize("salts", [np.uint16, np.int64])
+def test_frames_of_listed_keys_are_bounded(salts):
+    rnd = random.Random(4)
+    texts = [" ".join(str(rnd.randrange(10**6)) for _ in range(n)) for n in [20000, *[400] * 2000, 0, 3]]
+    levels = np.zeros(1 << ngram_join.SKETCH_BITS, dtype=np.uint8)
+    heavy = np.full(len(levels), 4094, dtype=salts)
+    shared = SimpleNamespace(value=(levels, heavy, 24))
+    run = ngram_join._second_pass(5, 0, shared, 75, 100)
+    got = list(run([pd.DataFrame({"doc_id": range(len(texts)), "text": texts})]))
+    assert max(f["key"].map(len).sum() for f in got) <= 1 << 17 and len(got) > 1
+    sets = [h for t in texts if len(h := ngram_join.shingles(t))]
+    want = [ngram_join.identity(h, 0)[0] for h in sets]
+    assert [c for f in got for c in f["cid"]] == want and [n for f in got for n in f["n"]] == [len(h) for h in sets]
+    keys = [k for f in got for k in f["key"]]
+    assert all((k == ngram_join.signed(ngram_join.class_keys(h, levels, 24, 75, 100)[0])).all() for k, h in zip(keys, sets, strict=True))
+    assert {int(a) & 4095 for f in got for c, at in zip(f["cid"], f["at"], strict=True) for a in at if c == want[0]} == {want[0] % 4094 + 1}
+
+
 def test_links_inside_components_are_listed(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "GROUP", 4)
     rnd = random.Random(5)

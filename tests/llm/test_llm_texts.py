@@ -161,6 +161,14 @@ def test_language_stage_without_labels_and_with_many(spark):
     assert langid.accepted(many, min_score=0.3).count() == sum(x >= 0.3 for x in scores)
 
 
+@pytest.mark.parametrize("relabel", [False, True])
+def test_language_stage_predicts_each_text_once(spark, relabel):
+    rows = [(i, ("the cat and the dog", "le chat est une école")[i % 2] + f" {i}", ("en", "fr")[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    plan = langid.accepted(df, relabel=relabel)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # each one more is one more worker a task
+
+
 def test_predictions_equal_dense_kernel_ridge(spark, monkeypatch):
     """With every training text a landmark, the model is kernel ridge regression on the whole kernel matrix."""
     rnd = random.Random(3)
